@@ -215,14 +215,15 @@ def _home_pages(spark: SparkSession, directory: str) -> DataFrame:
         F.when(low, F.concat(F.lit('<meta property="og:site_name" content=" '), "s_name", F.lit(' ">'))).otherwise(F.lit("")),
         F.when(nation < 20, F.lit('<script src="//cdn.shopify.com/t.js"></script>')).otherwise(F.lit("")),
         F.format_string('<script>var s={"currency":"USD","country":"C%s"};</script>', F.char(F.lit(65) + nation)),
-        F.lit('</head><body><header><a href="/account/login">Sign in</a></header><nav>'),
+        F.lit('</head><body><header><a href="/account/login">Sign in</a>'),
+        F.when(low, F.format_string(" Call (212) 555-%04d.", number % 10000)).otherwise(F.lit("")),
+        F.lit("</header><nav>"),
         F.lit('<a href="/collections/all">Shop all</a><a href="/blogs/news">News</a><a href="/x">x</a></nav><main><ul>'),
         F.coalesce("cards", F.lit("")),
         F.lit("</ul></main><footer>"),
         F.when(nation % 2 == 0, F.lit('<a href="/pages/contact">Contact us</a><a href="/pages/track">Track order</a><a href="/policies/terms">Terms</a>')).otherwise(F.lit("")),
         F.format_string('<a href="https://instagram.com/shop%d">Instagram</a> <a href="https://facebook.com/sharer">Share</a> <a href="https://www.youtube.com/c/tube%d?x=1">Videos</a>', number, number),
         F.format_string(" Mail Sales%d@Shop.co or sales%d@shop.co or hi@example.com.", number, number),
-        F.when(low, F.format_string(" Call (212) 555-%04d.", number % 10000)).otherwise(F.lit("")),
         F.lit("</footer></body></html>"),
     )
     return stores.select(
@@ -244,9 +245,9 @@ def _document_pages(spark: SparkSession, directory: str) -> DataFrame:
         F.when(F.col("lang") == "de", 404).otherwise(200).alias("status"),
         place.alias("second"),
         F.concat(
-            F.lit("<html><body><nav>Menu</nav><div class='page-content'><p>"),
+            F.lit("<html><body><nav>Menu</nav><div class='page-content'>"),
             escape(F.col("text")),
-            F.lit("</p></div><footer>end</footer></body></html>"),
+            F.lit("</div><footer>end</footer></body></html>"),
         ).alias("html"),
     )
 
@@ -272,10 +273,25 @@ def _faq_pages(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
+def _contact_pages(spark: SparkSession, directory: str) -> DataFrame:
+    number = F.col("s_suppkey")
+    return table(spark, directory, "supplier").select(
+        supplier_url(number).alias("store_url"),
+        F.lit("/pages/contact").alias("path"),
+        F.lit(200).alias("status"),
+        F.lit(40).alias("second"),
+        F.concat(
+            F.format_string('<body><div class="our-address"> %d Road </div>', number),
+            F.format_string("<p>Info%d@Shop.co, a@test.com, call +1 212-555-%04d now</p></body>", number, number % 10000),
+        ).alias("html"),
+    )
+
+
 def supplier_pages(spark: SparkSession, directory: str) -> DataFrame:
     """Landed pages of all supplier stores."""
     pages = (
         _home_pages(spark, directory)
+        .unionByName(_contact_pages(spark, directory))
         .unionByName(_document_pages(spark, directory))
         .unionByName(_faq_pages(spark, directory))
     )
@@ -287,3 +303,84 @@ def supplier_pages(spark: SparkSession, directory: str) -> DataFrame:
         F.timestamp_seconds(F.lit(1704067200) + F.col("second")).alias("fetched_at"),
         "html",
     )
+
+
+# ---- brands and competitors
+
+TYPE_NAMES = {
+    "ECONOMY": "Home Decor", "STANDARD": "Sport Shoes", "LARGE": "Makeup", "MEDIUM": "Fashion",
+    "SMALL": "Jewelry",
+}
+
+
+def shown_type() -> Column:
+    """Part type as a shop would name it; promo parts have none."""
+    out = None
+    for kind, name in TYPE_NAMES.items():
+        hit = F.col("p_type") == kind
+        out = F.when(hit, F.lit(name)) if out is None else out.when(hit, F.lit(name))
+    return out.otherwise(F.lit(""))
+
+
+def catalog_stores(spark: SparkSession, directory: str) -> DataFrame:
+    """Supplier stores with a catalog of their 20 parts."""
+    key = F.col("p_partkey")
+    item = F.struct(F.col("p_name").alias("name"), shown_type().alias("product_type"))
+    catalogs = (
+        table(spark, directory, "part")
+        .groupBy(F.floor(key / BLOCK).alias("s_suppkey"))
+        .agg(F.array_sort(F.collect_list(F.struct(key, item.alias("item")))).alias("rows"))
+        .select("s_suppkey", F.transform("rows", lambda r: r["item"]).alias("product_catalog"))
+    )
+    return table(spark, directory, "supplier").join(catalogs, "s_suppkey").select(
+        F.concat(supplier_url(F.col("s_suppkey")), F.lit("/")).alias("website_url"),
+        F.col("s_name").alias("brand_name"),
+        "product_catalog",
+        F.size("product_catalog").alias("total_products"),
+    )
+
+
+LEADER_SITES = sorted({site for sites in rules.INDUSTRY_LEADERS.values() for site in sites})
+
+
+def leader_records(spark: SparkSession, directory: str) -> DataFrame:
+    """Records of the leaders' sites: the parts are dealt out among them."""
+    site = F.get(F.lit(LEADER_SITES), (F.col("p_partkey") % len(LEADER_SITES)).cast("int"))
+    counted = table(spark, directory, "part").groupBy(site.alias("site")).agg(
+        F.count("*").alias("n"), F.max("p_size").alias("top")
+    )
+    return counted.select(
+        F.concat(F.lit("https://"), "site", F.lit("/")).alias("website_url"),
+        F.upper("site").alias("brand_name"),
+        F.col("n").cast("int").alias("total_products"),
+        F.when(F.col("top") > 49, F.array(F.lit("faq"))).otherwise(F.array().cast("array<string>")).alias("faqs"),
+        F.slice(F.array(F.lit("a"), F.lit("b"), F.lit("c")), F.lit(1), (F.col("n") % 4).cast("int")).alias("social_handles"),
+    )
+
+
+def search_results(spark: SparkSession, directory: str) -> DataFrame:
+    """Search results per supplier: one per part, some of them excluded sites or the store itself."""
+    key = F.col("p_partkey")
+    number = F.floor(key / BLOCK)
+    name = F.replace(F.translate("p_name", " ", "-"), F.lit("red"), F.lit("reddit"))
+    link = F.when(F.col("p_size") < 4, supplier_url(number)).otherwise(
+        F.concat(F.lit("https://"), name, F.lit(".shop.net/"))
+    )
+    return table(spark, directory, "part").select(
+        F.format_string("Supplier#%09d", number).alias("brand_name"),
+        (key % BLOCK + 1).cast("int").alias("rank"),
+        link.alias("link"),
+    )
+
+
+INDUSTRIES = ["cosmetics", "Home", "sports shoes", "jewel case", "skincare goods", "toys", ""]
+
+
+def brands(spark: SparkSession, directory: str) -> DataFrame:
+    """Suppliers as brands with an industry text."""
+    return table(spark, directory, "supplier").select(
+        F.col("s_name").alias("brand_name"),
+        F.format_string("shop-%d.example.com", "s_suppkey").alias("domain"),
+        F.get(F.lit(INDUSTRIES), (F.col("s_suppkey") % len(INDUSTRIES)).cast("int")).alias("industry"),
+        "s_acctbal",
+    )
