@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from .arrays import keep_first_by
-from .text import contains_any, strip
+from .text import contains_any, one_of, strip
 
 
 def digits(c: Column) -> Column:
@@ -22,7 +22,7 @@ def find_emails_bounded(text: Column) -> Column:
     found = F.regexp_extract_all(text, F.lit("(?U)" + rules.EMAIL_PATTERN_BOUNDED), F.lit(0))
     kept = F.filter(
         found,
-        lambda e: ~F.lower(F.element_at(F.split(e, "@"), -1)).isin(rules.PLACEHOLDER_EMAIL_DOMAINS)
+        lambda e: ~one_of(F.lower(F.element_at(F.split(e, "@"), -1)), rules.PLACEHOLDER_EMAIL_DOMAINS)
         & ~e.rlike(r"\.(png|jpg)$"),
     )
     return F.array_distinct(F.transform(kept, F.lower))
@@ -42,7 +42,7 @@ def clean_emails_strict(emails: Column) -> Column:
     plain = F.transform(emails, lambda e: strip(F.lower(e)))
     kept = F.filter(
         plain,
-        lambda e: ~F.element_at(F.split(e, "@"), -1).isin(rules.PLACEHOLDER_EMAIL_DOMAINS_ALL)
+        lambda e: ~one_of(F.element_at(F.split(e, "@"), -1), rules.PLACEHOLDER_EMAIL_DOMAINS_ALL)
         & ~e.rlike(f"({suffixes})$"),
     )
     return F.slice(F.array_distinct(kept), 1, rules.EMAILS_MAX)

@@ -4,7 +4,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import rules, schemas
-from .text import blank_to_null, contains_any, has_text, head, longer_than, strip
+from .text import blank_to_null, contains_any, has_text, head, longer_than, sql_text, strip
 
 _QUESTION_LINE = r"^(?:Q:|Question:|Q\.)|\?$"
 _QUESTION_LABEL = r"(?U)^(Q:|Question:|Q\.)\s*"
@@ -88,9 +88,12 @@ def of_page(jsonld: Column, candidates: Column) -> Column:
 
 
 def default_pairs() -> Column:
-    return F.array(
-        *[_pair(F.lit(q), F.lit(a), F.lit(c), True) for q, a, c in rules.DEFAULT_FAQS[:3]]
+    rows = ", ".join(
+        f"named_struct('question', {sql_text(q)}, 'answer', {sql_text(a)}, 'category', {sql_text(c)},"
+        " 'is_default', true)"
+        for q, a, c in rules.DEFAULT_FAQS[:3]
     )
+    return F.expr(f"array({rows})")
 
 
 def pad_pairs(pairs: Column) -> Column:

@@ -6,12 +6,12 @@ from pyspark.sql import functions as F
 from .. import rules
 from . import urls
 from .arrays import keep_first_by
-from .text import contains_any, first_matching_label, has_text, head, longer_than, strip
+from .text import contains_any, first_matching_label, has_text, head, longer_than, one_of, sql_text, strip
 
 
 def stored_category(raw: Column) -> Column:
     low = F.lower(raw)
-    return F.when(low.isin(rules.STORED_LINK_CATEGORIES), low).otherwise(F.lit("other"))
+    return F.when(one_of(low, rules.STORED_LINK_CATEGORIES), low).otherwise(F.lit("other"))
 
 
 def raw_category(text: Column, href: Column, ladder: dict[str, list[str]] | None = None) -> Column:
@@ -97,11 +97,12 @@ def important_links_crawl(anchors: Column, base: Column) -> Column:
 
 
 def default_links(base: Column) -> Column:
-    return F.array(
-        *[
-            _link(F.lit(name), F.concat(base, F.lit(path)), F.lit(raw), True)
-            for name, path, raw in rules.DEFAULT_LINKS
-        ]
+    rows = ", ".join(
+        f"named_struct('name', {sql_text(name)}, 'path', {sql_text(path)}, 'raw', {sql_text(raw)})"
+        for name, path, raw in rules.DEFAULT_LINKS
+    )
+    return F.transform(
+        F.expr(f"array({rows})"), lambda k: _link(k["name"], F.concat(base, k["path"]), k["raw"], True)
     )
 
 

@@ -5,18 +5,17 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from .arrays import keep_first_by, let
-from .text import blank_to_null
+from .text import blank_to_null, one_of
 
 
 def normalize_platform(p: Column) -> Column:
     low = F.lower(p)
-    return F.when(low.isin(rules.SOCIAL_PLATFORMS), low).otherwise(F.lit("other"))
+    return F.when(one_of(low, rules.SOCIAL_PLATFORMS), low).otherwise(F.lit("other"))
 
 
 def _handle(platform: str, url: Column, handle: Column) -> Column:
-    return F.struct(
-        normalize_platform(F.lit(platform)).alias("platform"), url.alias("url"), handle.alias("handle")
-    )
+    known = platform if platform in rules.SOCIAL_PLATFORMS else "other"
+    return F.struct(F.lit(known).alias("platform"), url.alias("url"), handle.alias("handle"))
 
 
 def find_handles(
@@ -32,12 +31,12 @@ def find_handles(
         regex = F.lit("(?iU)" + pattern)
         if scan_past:
             real = F.filter(
-                F.regexp_extract_all(html, regex, F.lit(1)), lambda h: ~h.isin(rules.PSEUDO_HANDLES)
+                F.regexp_extract_all(html, regex, F.lit(1)), lambda h: ~one_of(h, rules.PSEUDO_HANDLES)
             )
             handle = F.get(real, F.lit(0))
         else:
             first = blank_to_null(F.regexp_extract(html, "(?iU)" + pattern, 1))
-            handle = F.when(~first.isin(rules.PSEUDO_HANDLES), first)
+            handle = F.when(~one_of(first, rules.PSEUDO_HANDLES), first)
         url = F.concat(F.lit(f"https://{platform}.com/"), handle)
         found.append(F.when(handle.isNotNull(), _handle(platform, url, handle)))
     return F.filter(F.array(*found), lambda s: s.isNotNull())
@@ -49,7 +48,7 @@ def _first_real(html: Column, platform: str, pattern: str, group: int) -> Column
         F.regexp_extract_all(html, F.lit(regex), F.lit(0)),
         lambda m: F.struct(m.alias("text"), F.regexp_extract(m, regex, group).alias("handle")),
     )
-    real = F.filter(matches, lambda m: ~m["handle"].isin(rules.PSEUDO_HANDLES_CRAWL))
+    real = F.filter(matches, lambda m: ~one_of(m["handle"], rules.PSEUDO_HANDLES_CRAWL))
     return let(
         F.get(real, F.lit(0)),
         lambda m: F.when(

@@ -59,6 +59,19 @@ def leading_paragraphs(c: Column) -> Column:
     return head(F.array_join(F.slice(paragraphs, 1, 3), "\n\n"), 2000)
 
 
+def sql_text(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def text_array(values: list[str]) -> Column:
+    """Constant array of texts, built in one step."""
+    return F.expr(f"array({', '.join(sql_text(v) for v in values)})")
+
+
+def one_of(c: Column, values: list[str]) -> Column:
+    return F.array_contains(text_array(values), c)
+
+
 def any_of(words: list[str]) -> str:
     """Regex that finds any of the literal words."""
     special = set(r"\.^$|?*+()[]{}-")

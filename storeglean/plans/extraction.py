@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from .. import rules, schemas
 from ..functions import contact, faq, industry, links, page, scoring, social, urls
 from ..functions.arrays import empty, keep_first_by, or_empty, size0
-from ..functions.text import blank_to_null, clean, has_text, head, longer_than, strip
+from ..functions.text import (
+    blank_to_null, clean, has_text, head, longer_than, one_of, sql_text, strip, text_array,
+)
 from ..sources import feed as feeds
 from ..sources.dom import page_facts
 
@@ -21,25 +23,21 @@ _LINK_FACTS = "ARRAY<STRUCT<name: STRING, url: STRING, category: STRING, raw_cat
 
 def _hero_product(p: Column) -> Column:
     """A featured product in the shape of a catalog product."""
-    return F.struct(
-        p["name"].alias("name"),
-        p["price"].alias("price"),
-        p["image_url"].alias("image_url"),
-        p["product_url"].alias("product_url"),
-        F.lit(None).cast("string").alias("description"),
-        F.lit(None).cast("string").alias("sku"),
-        F.lit(None).cast("string").alias("vendor"),
-        F.lit(None).cast("string").alias("product_type"),
-        F.array().cast("array<string>").alias("tags"),
-        F.lit(True).alias("available"),
+    rest = F.expr(
+        "named_struct('description', CAST(NULL AS STRING), 'sku', CAST(NULL AS STRING),"
+        " 'vendor', CAST(NULL AS STRING), 'product_type', CAST(NULL AS STRING),"
+        " 'tags', CAST(array() AS ARRAY<STRING>), 'available', true)"
     )
+    names = ["description", "sku", "vendor", "product_type", "tags", "available"]
+    found = ["name", "price", "image_url", "product_url"]
+    return F.struct(*[p[n].alias(n) for n in found], *[rest[n].alias(n) for n in names])
 
 
 def _fact_of(path: Column, candidates: dict[str, list[str]]) -> tuple[Column, Column]:
     """The fact a path is a candidate for, and its place in the order of trial."""
     fact, place = None, None
     for name, paths in candidates.items():
-        hit, rank = path.isin(paths), F.array_position(F.lit(paths), path)
+        hit, rank = one_of(path, paths), F.array_position(text_array(paths), path)
         fact = F.when(hit, F.lit(name)) if fact is None else fact.when(hit, F.lit(name))
         place = F.when(hit, rank) if place is None else place.when(hit, rank)
     return fact, place
@@ -49,7 +47,8 @@ def _candidate_pages(pages: DataFrame, candidates: dict[str, list[str]]) -> Data
     """Pages on candidate paths, with html only where the page was delivered."""
     wanted = [p for paths in candidates.values() for p in paths]
     fact, place = _fact_of(F.col("path"), candidates)
-    return pages.where(F.col("path").isin(wanted)).select(
+    listed = ", ".join(sql_text(p) for p in wanted)
+    return pages.where(f"path IN ({listed})").select(
         urls.normalize(F.col("store_url")).alias("store_url"),
         "url",
         "status",
