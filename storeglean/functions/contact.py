@@ -5,7 +5,17 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from .arrays import keep_first_by
-from .text import contains_any, one_of, strip
+from .text import SPACE, contains_any, one_of, strip
+
+# Same matches as the plain pattern. It is tried only where a run of address characters starts
+# or the last match ended, because inside such a run no other starting point can succeed.
+_EMAIL = r"(?:(?<![a-zA-Z0-9._%+-])|\G)" + rules.EMAIL_PATTERN
+_PHONE = "(?U)" + rules.PHONE_PATTERN.replace(r"\s", SPACE)
+_PHONE_GROUPED = "(?U)" + rules.PHONE_PATTERN_GROUPED.replace(r"\s", SPACE)
+
+
+def _with_at(text: Column, found: Column) -> Column:
+    return F.when(text.contains("@"), found).otherwise(F.array().cast("array<string>"))
 
 
 def digits(c: Column) -> Column:
@@ -14,7 +24,7 @@ def digits(c: Column) -> Column:
 
 def find_emails(text: Column) -> Column:
     """Distinct addresses in first-seen order, spelled as found."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(rules.EMAIL_PATTERN), F.lit(0)))
+    return _with_at(text, F.array_distinct(F.regexp_extract_all(text, F.lit(_EMAIL), F.lit(0))))
 
 
 def find_emails_bounded(text: Column) -> Column:
@@ -25,7 +35,7 @@ def find_emails_bounded(text: Column) -> Column:
         lambda e: ~one_of(F.lower(F.element_at(F.split(e, "@"), -1)), rules.PLACEHOLDER_EMAIL_DOMAINS)
         & ~e.rlike(r"\.(png|jpg)$"),
     )
-    return F.array_distinct(F.transform(kept, F.lower))
+    return _with_at(text, F.array_distinct(F.transform(kept, F.lower)))
 
 
 def clean_emails(emails: Column, placeholders: list[str] | None = None) -> Column:
@@ -50,7 +60,7 @@ def clean_emails_strict(emails: Column) -> Column:
 
 def find_phones(text: Column) -> Column:
     """Of the first five number-like matches, up to three with ten digits or more."""
-    found = F.regexp_extract_all(text, F.lit("(?U)" + rules.PHONE_PATTERN), F.lit(0))
+    found = F.regexp_extract_all(text, F.lit(_PHONE), F.lit(0))
     looked_at = F.slice(found, 1, rules.PHONES_SCANNED)
     kept = F.filter(looked_at, lambda p: F.length(digits(p)) >= rules.PHONE_MIN_DIGITS)
     return F.slice(kept, 1, rules.PHONES_MAX)
@@ -58,7 +68,7 @@ def find_phones(text: Column) -> Column:
 
 def find_phones_grouped(text: Column) -> Column:
     """Other pattern: every whole match of 10 to 15 characters counting digits and plus signs."""
-    found = F.regexp_extract_all(text, F.lit("(?U)" + rules.PHONE_PATTERN_GROUPED), F.lit(0))
+    found = F.regexp_extract_all(text, F.lit(_PHONE_GROUPED), F.lit(0))
     kept = F.filter(
         found,
         lambda p: F.length(F.regexp_replace(p, r"[^0-9+]", "")).between(

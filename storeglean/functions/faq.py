@@ -4,6 +4,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import rules, schemas
+from .arrays import let
 from .text import blank_to_null, contains_any, has_text, head, longer_than, sql_text, strip
 
 _QUESTION_LINE = r"^(?:Q:|Question:|Q\.)|\?$"
@@ -83,8 +84,10 @@ def from_items(items: Column) -> Column:
 
 def of_page(jsonld: Column, candidates: Column) -> Column:
     """JSON-LD pairs, or element pairs where the page has none."""
-    structured = from_jsonld(jsonld)
-    return F.when(F.size(structured) > 0, structured).otherwise(from_elements(candidates))
+    return let(
+        from_jsonld(jsonld),
+        lambda found: F.when(F.size(found) > 0, found).otherwise(from_elements(candidates)),
+    )
 
 
 def default_pairs() -> Column:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from . import urls
-from .arrays import keep_first_by
+from .arrays import keep_first_by, let
 from .text import contains_any, first_matching_label, has_text, head, longer_than, one_of, sql_text, strip
 
 
@@ -108,11 +108,13 @@ def default_links(base: Column) -> Column:
 
 def pad_links(links: Column, base: Column) -> Column:
     """Fewer than five links are filled up with default ones; at most 15 remain."""
-    room = F.greatest(F.lit(rules.LINKS_PAD_UNTIL) - F.size(links), F.lit(0))
-    padded = F.concat(links, F.slice(default_links(base), F.lit(1), room))
-    return F.slice(
-        F.when(F.size(links) < rules.LINKS_PAD_BELOW, padded).otherwise(links), 1, rules.LINKS_MAX
-    )
+    room = F.lit(rules.LINKS_PAD_UNTIL)
+
+    def padded(found: Column) -> Column:
+        filled = F.concat(found, F.slice(default_links(base), F.lit(1), room - F.size(found)))
+        return F.when(F.size(found) < rules.LINKS_PAD_BELOW, filled).otherwise(found)
+
+    return F.slice(let(links, padded), 1, rules.LINKS_MAX)
 
 
 def dedup_links(links: Column) -> Column:

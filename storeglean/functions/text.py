@@ -3,14 +3,20 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Unicode white space plus the four separator controls, which str.strip() also removes.
-_SPACE = r"[\s\x1c-\x1f]"
-_EDGES = rf"(?U)^{_SPACE}+|{_SPACE}+$"
-_RUNS = rf"(?U){_SPACE}+"
+# The white space characters of Unicode and the four separator controls.
+SPACES = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+SPACE_LISTED = (
+    r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+SPACE = r"\s\x1c-\x1f"  # for use inside a class, under the flag (?U)
+_RUNS = rf"(?U)[{SPACE}]+"
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, _EDGES, "")
+    return F.trim(c, F.lit(SPACES))
 
 
 def collapse(c: Column) -> Column:
@@ -44,21 +50,26 @@ def clean(c: Column, limit: int) -> Column:
 def scrub(c: Column) -> Column:
     """Drop navigation words, URLs and e-mail addresses. Gaps they leave are kept."""
     out = F.regexp_replace(c, _RUNS, " ")
-    for pattern in (
-        r"(?iu)(Menu|Navigation|Footer|Header|Cookie.*?accept)",
-        r"(?U)https?://\S+",
-        r"(?U)\S+@\S+",
-    ):
-        out = F.regexp_replace(out, pattern, "")
+    # The look-ahead and look-behind change no match; they only rule out most starting points.
+    out = F.regexp_replace(
+        out, r"(?iu)(?=[mnfhc])(?:Menu|Navigation|Footer|Header|Cookie.*?accept)", ""
+    )
+    out = F.regexp_replace(out, rf"(?U)https?://[^{SPACE}]+", "")
+    word, start = rf"[^{SPACE}]+", rf"(?<![^{SPACE}])"
+    out = F.when(out.contains("@"), F.regexp_replace(out, f"(?U){start}{word}@{word}", "")).otherwise(out)
     return strip(out)
 
 
-def leading_paragraphs(c: Column) -> Column:
-    """First three scrubbed paragraphs of more than 50 characters, 2000 characters in all."""
-    paragraphs = F.filter(F.split(scrub(c), "\n\n"), lambda p: F.length(p) > 50)
+def paragraph_head(scrubbed: Column) -> Column:
+    """First three paragraphs of more than 50 characters, 2000 characters in all."""
+    paragraphs = F.filter(F.split(scrubbed, "\n\n"), lambda p: F.length(p) > 50)
     return head(F.array_join(F.slice(paragraphs, 1, 3), "\n\n"), 2000)
 
 
+def leading_paragraphs(c: Column) -> Column:
+    return paragraph_head(scrub(c))
+
+
 def sql_text(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 

@@ -15,13 +15,30 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
+def texts(spark: SparkSession, directory: str, name: str, key: str) -> DataFrame:
+    """A table of long texts, spread over all cores where few files would keep them idle.
+
+    Texts cost far more to work on than to move. A table of many files is read as it is.
+    """
+    rows = table(spark, directory, name)
+    return spread(rows, key) if few_files(rows) else rows
+
+
+def few_files(rows: DataFrame) -> bool:
+    return len(rows.inputFiles()) < rows.sparkSession.sparkContext.defaultParallelism
+
+
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism, *keys)
+
+
 # ---- pages
 
 
-def store_pages(spark: SparkSession, directory: str) -> DataFrame:
+def store_pages(pages: DataFrame) -> DataFrame:
     """Pages as landed pages; two of the hosts answer with errors."""
     url = F.col("url")
-    return table(spark, directory, "pages").select(
+    return pages.select(
         "page_id",
         F.regexp_extract(url, "^[a-z]+://[^/?#]*", 0).alias("store_url"),
         F.regexp_extract(url, r"^[a-z]+://[^/?#]*([^?#]*)", 1).alias("path"),
@@ -289,12 +306,15 @@ def _contact_pages(spark: SparkSession, directory: str) -> DataFrame:
 
 def supplier_pages(spark: SparkSession, directory: str) -> DataFrame:
     """Landed pages of all supplier stores."""
+    documents = _document_pages(spark, directory)
     pages = (
         _home_pages(spark, directory)
         .unionByName(_contact_pages(spark, directory))
-        .unionByName(_document_pages(spark, directory))
+        .unionByName(documents)
         .unionByName(_faq_pages(spark, directory))
     )
+    if few_files(documents):
+        pages = spread(pages, "store_url", "path")
     return pages.select(
         "store_url",
         "path",

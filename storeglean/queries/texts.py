@@ -11,7 +11,7 @@ from .sqltext import PAIRS, ladder, q, strip, words_in
 
 
 def _documents(spark: SparkSession, d: str) -> DataFrame:
-    return roles.table(spark, d, "documents")
+    return roles.texts(spark, d, "documents", "doc_id")
 
 
 def extract_emails(spark: SparkSession, d: str) -> DataFrame:
@@ -152,10 +152,8 @@ SELECT doc_id, length(t) AS n_chars, md5(t) AS text_md5 FROM cut
 def scrub_text(spark: SparkSession, d: str) -> DataFrame:
     noisy = F.concat_ws(" ", F.lit("Menu"), "text", F.lit("see https://a.b/c?d=1 Cookie notice: accept"))
     rows = _documents(spark, d).select("doc_id", noisy.alias("text"))
-    return rows.select(
-        "doc_id",
-        F.md5(text.scrub(F.col("text"))).alias("text_md5"),
-        F.md5(text.leading_paragraphs(F.col("text"))).alias("head_md5"),
+    return rows.select("doc_id", text.scrub(F.col("text")).alias("t")).select(
+        "doc_id", F.md5("t").alias("text_md5"), F.md5(text.paragraph_head(F.col("t"))).alias("head_md5")
     )
 
 
@@ -271,7 +269,7 @@ def url_list_parse(spark: SparkSession, d: str) -> DataFrame:
         .when(F.col("url").contains("/de/"), F.lit('{"stores": []}'))
         .otherwise(F.concat(F.lit("Try "), site, F.lit(" or https://www.example.org!")))
     )
-    rows = roles.table(spark, d, "pages").select("page_id", response.alias("response"))
+    rows = roles.texts(spark, d, "pages", "page_id").select("page_id", response.alias("response"))
     return rows.select(
         "page_id",
         F.array_join(lists.competitor_urls(F.col("response")), " ").alias("urls"),

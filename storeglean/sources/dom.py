@@ -7,7 +7,7 @@ parsed in Arrow batches, in whatever partitions the scan produced, without a shu
 
 import re
 import sys
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from html.parser import HTMLParser
 from itertools import repeat
@@ -45,6 +45,9 @@ class _Page(HTMLParser):
         self.feed(html)
         self.close()
         self._pop_to(0)
+        self._of_tag = {}
+        for i, tag in enumerate(self.tags):
+            self._of_tag.setdefault(tag, []).append(i)
 
     def handle_starttag(self, tag, attrs):
         self._fresh = True
@@ -92,11 +95,12 @@ class _Page(HTMLParser):
 
     def find(self, tag=None, css=None, within=None) -> list[int]:
         lo, hi = (0, len(self.tags) - 1) if within is None else (within + 1, self.last[within])
-        return [
-            i
-            for i in range(lo, hi + 1)
-            if (tag is None or self.tags[i] == tag) and (css is None or css in self.classes(i))
-        ]
+        if tag is None:
+            found = range(lo, hi + 1)
+        else:
+            same = self._of_tag.get(tag, [])
+            found = same[bisect_left(same, lo) : bisect_right(same, hi)]
+        return [i for i in found if css is None or css in self.classes(i)]
 
     def select(self, selector: str) -> list[int]:
         tag, _, css = selector.partition(".")
