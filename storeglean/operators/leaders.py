@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from .. import rules
 from ..functions.industry import fallback_leaders
 from ..functions.text import blank_to_null
+from .joins import lookup_join
 
 
 def seed_leaders(spark: SparkSession, at: Column | None = None) -> DataFrame:
@@ -51,7 +52,7 @@ def lookup_leaders(brands: DataFrame, leaders: DataFrame) -> DataFrame:
     keyed = brands.withColumn("_exact", low).withColumn(
         "_part", blank_to_null(F.get(F.split(F.trim(low), r"\s+"), F.lit(0)))
     )
-    found = keyed.join(exact, "_exact", "left").join(by_part, "_part", "left")
+    found = lookup_join(lookup_join(keyed, exact, ["_exact"], "left"), by_part, ["_part"], "left")
     # No industry, no look-up.
     hosts = F.when(
         blank_to_null(F.col("industry")).isNotNull(),

@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import blank_to_null, strip
+from .joins import lookup_join
 from .keyed import keep_first
 
 
@@ -42,7 +43,7 @@ def by_list(products: DataFrame, lists: DataFrame, store: str = "store", name: s
     """
     groups = lists.groupBy(store, name).agg(F.collect_set("category").alias("_categories"))
     return (
-        products.join(groups, [store, name])
+        lookup_join(products, groups, [store, name])
         .withColumn("category", F.explode("_categories"))
         .drop("_categories")
     )

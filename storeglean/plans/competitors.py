@@ -7,6 +7,7 @@ from .. import rules
 from ..functions import industry, urls
 from ..functions.arrays import size0
 from ..functions.text import blank_to_null
+from ..operators.joins import lookup_join
 from ..operators.leaders import lookup_leaders
 from ..sources.landed import search_candidates
 
@@ -39,7 +40,7 @@ def with_cached(brands: DataFrame, cache: DataFrame) -> DataFrame:
     cached = cache.groupBy("domain").agg(
         F.max_by("competitor_domains", "last_updated").alias("cached_domains")
     )
-    return brands.join(cached, "domain", "left")
+    return lookup_join(brands, cached, ["domain"], "left")
 
 
 def find_competitors(
@@ -60,7 +61,7 @@ def find_competitors(
     else:
         found = found.withColumn("cached_domains", F.lit(None).cast("array<string>"))
     if results is not None:
-        found = found.join(search_links(results), "brand_name", "left")
+        found = lookup_join(found, search_links(results), ["brand_name"], "left")
     else:
         found = found.withColumn("search_urls", F.lit(None).cast("array<string>"))
     more = F.when(F.size("_leaders") < max_results, F.coalesce("search_urls", _no_urls())).otherwise(_no_urls())
@@ -133,37 +134,36 @@ def report(
     others = F.filter(
         "competitor_urls", lambda u: urls.canonical(u) != F.col("main_brand_url")
     )
-    found = found.withColumn("competitor_urls", F.slice(others, 1, wanted))
-    looked_up = found.select(
-        "main_brand_url",
-        F.posexplode(F.slice("competitor_urls", 1, rules.COMPETITORS_REPORTED)).alias("pos", "competitor_url"),
-    ).withColumn("_key", urls.canonical(F.col("competitor_url")))
-    facts = mini_rows(known).withColumnRenamed("website_url", "_key")
-    matched = looked_up.join(facts, "_key")
+    kept = ["main_brand_name", "competitor_urls", "industry_keywords"]
+    looked_up = (
+        found.withColumn("competitor_urls", F.slice(others, 1, wanted))
+        .select(
+            "main_brand_url",
+            F.struct(*kept).alias("main"),
+            F.posexplode_outer(F.slice("competitor_urls", 1, rules.COMPETITORS_REPORTED)).alias("pos", "competitor_url"),
+        )
+        .withColumn("_key", urls.canonical(F.col("competitor_url")))
+    )
+    facts = mini_rows(known).select(F.col("website_url").alias("_key"), F.struct("*").alias("other"))
     competitor = F.struct(
         F.col("competitor_url").alias("website_url"),
-        "brand_name", "total_products", "has_faqs", "social_platforms",
+        *[F.col(f"other.{n}").alias(n) for n in ("brand_name", "total_products", "has_faqs", "social_platforms")],
     )
     # At most three rows per main brand are gathered here.
-    gathered = matched.groupBy("main_brand_url").agg(
-        F.array_sort(F.collect_list(F.struct("pos", competitor.alias("row")))).alias("_rows")
+    row = F.when(F.col("other").isNotNull(), F.struct("pos", competitor.alias("row")))
+    gathered = lookup_join(looked_up, facts, ["_key"], "left").groupBy("main_brand_url").agg(
+        F.max("main").alias("main"), F.array_sort(F.collect_list(row)).alias("_rows")
     )
-    count = F.size("competitor_urls")
-    return found.join(gathered, "main_brand_url", "left").select(
+    count = F.size("main.competitor_urls")
+    return gathered.select(
         "main_brand_url",
-        "main_brand_name",
+        "main.main_brand_name",
         count.alias("competitors_found"),
-        "competitor_urls",
-        F.coalesce(
-            F.transform("_rows", lambda r: r["row"]),
-            F.array().cast(
-                "array<struct<website_url:string,brand_name:string,total_products:int,"
-                "has_faqs:boolean,social_platforms:int>>"
-            ),
-        ).alias("competitors"),
+        "main.competitor_urls",
+        F.transform("_rows", lambda r: r["row"]).alias("competitors"),
         F.format_string("Found %d competitors", count).alias("analysis_summary"),
         run_ts.alias("analysis_timestamp"),
-        "industry_keywords",
+        "main.industry_keywords",
     )
 
 
