@@ -1,4 +1,4 @@
-"""URL lists in free text: JSON, fenced JSON, or prose."""
+"""Lists in free text: URLs in JSON, fenced JSON or prose, and product categories in JSON."""
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -54,3 +54,9 @@ def industry_default_urls(text: Column, n: int) -> Column:
         F.filter(found, lambda u: F.coalesce((u != "") & ~F.lower(u).contains("example"), F.lit(False))),
     ).otherwise(found)
     return F.slice(kept, 1, n)
+
+
+def category_lists(text: Column) -> Column:
+    """Category to product names from a JSON object, plain or fenced; null where it is not one."""
+    body = strip(F.regexp_replace(F.regexp_replace(strip(text), "^```json", ""), "```$", ""))
+    return F.from_json(body, "map<string, array<string>>")

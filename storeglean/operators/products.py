@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lists import category_lists
 from ..functions.text import blank_to_null, strip
 from .joins import lookup_join
 from .keyed import keep_first
@@ -47,3 +48,25 @@ def by_list(products: DataFrame, lists: DataFrame, store: str = "store", name: s
         .withColumn("category", F.explode("_categories"))
         .drop("_categories")
     )
+
+
+def categorize(
+    products: DataFrame,
+    responses: DataFrame,
+    store: str = "store",
+    name: str = "name",
+    product_type: str = "product_type",
+) -> DataFrame:
+    """Products by the category lists of their store, or by type where there is no valid list.
+
+    `responses` has one (store, response) row per store. A product may be in several categories
+    or, with a valid list, in none.
+    """
+    parsed = responses.select(store, category_lists(F.col("response")).alias("_lists"))
+    named = F.map_keys(F.map_filter("_lists", lambda _, names: F.array_contains(names, F.col(name))))
+    own = F.array(F.coalesce(blank_to_null(F.col(product_type)), F.lit("Other")))
+    return (
+        lookup_join(products, parsed, [store], "left")
+        .withColumn("category", F.explode(F.when(F.col("_lists").isNull(), own).otherwise(named)))
+        .drop("_lists")
+    )

@@ -4,8 +4,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import rules
-from ..functions import industry, urls
-from ..functions.arrays import size0
+from ..functions import industry, lists, urls
+from ..functions.arrays import let, size0
 from ..functions.text import blank_to_null
 from ..operators.joins import lookup_join
 from ..operators.leaders import lookup_leaders
@@ -74,6 +74,23 @@ def find_competitors(
     )
 
 
+def suggested_competitors(rows: DataFrame, max_results: int = rules.COMPETITORS_DEFAULT) -> DataFrame:
+    """Add `competitor_urls` from landed suggestion texts.
+
+    `response` is about the brand. Where it names no store, `industry_response` counts, provided
+    that the brand has any `industry_keywords`.
+    """
+    defaults = F.when(
+        size0(F.col("industry_keywords")) > 0,
+        F.coalesce(lists.industry_default_urls(F.col("industry_response"), max_results), _no_urls()),
+    ).otherwise(_no_urls())
+    chosen = let(
+        lists.competitor_urls(F.col("response")),
+        lambda found: F.when(size0(found) > 0, found).otherwise(defaults),
+    )
+    return rows.withColumn("competitor_urls", F.slice(chosen, 1, max_results))
+
+
 def cache_rows(found: DataFrame, at: Column) -> DataFrame:
     """Rows for the competitor cache, URLs reduced to hosts."""
     return found.where(

@@ -116,6 +116,27 @@ SELECT brand_name, true, 1, 'https://b.example.com' FROM led WHERE s_acctbal < 0
 """
 
 
+def suggested_competitors(spark: SparkSession, d: str) -> DataFrame:
+    """Pages as suggestion texts: some name stores, some do not, some brands have no keywords."""
+    site = F.regexp_extract(F.replace("url", F.lit("example"), F.lit("shopsite")), "^[a-z]+://[^/?#]*", 0)
+    english, french = F.col("url").contains("/en/"), F.col("url").contains("/fr/")
+    rows = roles.table(spark, d, "pages").select(
+        "page_id",
+        F.when(english, F.to_json(F.array(site, F.lit("https://b.org/")))).otherwise(F.lit("None known.")).alias("response"),
+        F.concat(F.lit("Look at "), site, F.lit(", https://c.org, https://d.org.")).alias("industry_response"),
+        F.when(french, F.array(F.lit("home"))).otherwise(F.array().cast("array<string>")).alias("industry_keywords"),
+    )
+    found = competitors.suggested_competitors(rows, 2)
+    return found.select("page_id", F.array_join("competitor_urls", " ").alias("competitor_urls"))
+
+
+SUGGESTED_COMPETITORS = """
+SELECT page_id, CASE WHEN contains(url, '/en/') THEN site || ' https://b.org'
+  WHEN contains(url, '/fr/') THEN site || ' https://c.org' ELSE '' END AS competitor_urls
+FROM (SELECT *, regexp_extract(replace(url, 'example', 'shopsite'), '^[a-z]+://[^/?#]*') AS site FROM pages)
+"""
+
+
 def _page_cache(spark: SparkSession, d: str) -> DataFrame:
     """Each page as a cache row of its host, the later page being the newer row."""
     host = urls.host(F.col("url"))
@@ -288,6 +309,7 @@ FROM counts c LEFT JOIN means ON c.s = means.s
 QUERIES = {
     "industry_lookup": (industry_lookup, INDUSTRY_LOOKUP),
     "competitor_rank": (competitor_rank, COMPETITOR_RANK),
+    "suggested_competitors": (suggested_competitors, SUGGESTED_COMPETITORS),
     "cache_lookup": (cache_lookup, CACHE_LOOKUP),
     "cache_upsert": (cache_upsert, CACHE_UPSERT),
     "competitor_report": (competitor_report, COMPETITOR_REPORT),

@@ -142,6 +142,46 @@ SELECT p_brand AS store, unnest(string_split(p_name, ' ')) AS category, p_partke
 """
 
 
+def categorize_by_response(spark: SparkSession, d: str) -> DataFrame:
+    """Blocks of 20 parts with a category list in JSON; some lists are broken."""
+    parts = roles.table(spark, d, "part").select(
+        F.floor(F.col("p_partkey") / roles.BLOCK).alias("store"), "p_partkey", F.col("p_name").alias("name"),
+        F.when(F.col("p_type") != "PROMO", F.col("p_type")).alias("product_type"),
+    )
+    names = parts.groupBy("store").agg(F.collect_set("name").alias("names"), F.min("product_type").alias("least"))
+    listed = F.to_json(
+        F.create_map(
+            F.lit("Small"), F.filter("names", lambda n: n.startswith("small")),
+            F.lit("Rings"), F.filter("names", lambda n: n.endswith("ring")),
+            F.lit("Reds"), F.filter("names", lambda n: n.startswith("red")),
+        )
+    )
+    responses = names.select(
+        "store",
+        F.when(F.array_contains("names", F.lit("hot bolt")), F.lit("Sorry, no list."))
+        .when(F.array_contains("names", F.lit("old gear")), F.concat(F.lit("```json\n"), listed, F.lit("\n```")))
+        .otherwise(listed)
+        .alias("response"),
+    )
+    return products.categorize(parts, responses).select("store", "category", "p_partkey", "name")
+
+
+CATEGORIZE_BY_RESPONSE = f"""
+WITH parts AS (SELECT p_partkey // {roles.BLOCK} AS store, p_partkey, p_name AS name, p_type FROM part),
+broken AS (SELECT DISTINCT store FROM parts WHERE name = 'hot bolt'),
+marks AS (
+  SELECT store, p_partkey, name, unnest([
+    CASE WHEN starts_with(name, 'small') THEN 'Small' END, CASE WHEN ends_with(name, 'ring') THEN 'Rings' END,
+    CASE WHEN starts_with(name, 'red') THEN 'Reds' END]) AS category
+  FROM parts WHERE store NOT IN (SELECT store FROM broken)
+)
+SELECT store, category, p_partkey, name FROM marks WHERE category IS NOT NULL
+UNION ALL
+SELECT store, CASE WHEN p_type = 'PROMO' THEN 'Other' ELSE p_type END, p_partkey, name FROM parts
+WHERE store IN (SELECT store FROM broken)
+"""
+
+
 def product_type_keywords(spark: SparkSession, d: str) -> DataFrame:
     parts = roles.table(spark, d, "part").select(
         F.col("p_brand").alias("store"), "p_partkey", roles.shown_type().alias("product_type")
@@ -228,6 +268,7 @@ QUERIES = {
     "categorize_by_type": (categorize_by_type, CATEGORIZE_BY_TYPE),
     "category_sizes": (category_sizes, CATEGORY_SIZES),
     "categorize_by_list": (categorize_by_list, CATEGORIZE_BY_LIST),
+    "categorize_by_response": (categorize_by_response, CATEGORIZE_BY_RESPONSE),
     "product_type_keywords": (product_type_keywords, PRODUCT_TYPE_KEYWORDS),
     "industry_from_names": (industry_from_names, INDUSTRY_FROM_NAMES),
 }

@@ -96,3 +96,19 @@ def test_industries(value):
     assert value(industry.keyword_from_names, t="leather bag") == "accessories"
     assert value(lambda c: industry.of_keywords(F.array(c)), t="accessories") is None
     assert value(lambda c: industry.of_keywords(F.array(c)), t="Home Tech") == "electronics"
+
+
+def test_category_lists(value):
+    assert value(lists.category_lists, t='```json\n{"A": ["x", "y"], "B": []}\n```') == {"A": ["x", "y"], "B": []}
+    assert value(lists.category_lists, t='{"A": ["x"]}') == {"A": ["x"]}
+    assert value(lists.category_lists, t="no list") is None
+
+
+def test_suggestions(spark):
+    rows = spark.createDataFrame(
+        [("a", '["https://a.com/"]', "https://z.com", ["k"]), ("b", "none", "https://z.com https://y.com", ["k"]),
+         ("c", "none", "https://z.com", []), ("d", None, None, ["k"])],
+        "id string, response string, industry_response string, industry_keywords array<string>",
+    )
+    found = {r["id"]: r["competitor_urls"] for r in competitors.suggested_competitors(rows, 1).collect()}
+    assert found == {"a": ["https://a.com"], "b": ["https://z.com"], "c": [], "d": []}
