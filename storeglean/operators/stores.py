@@ -115,10 +115,11 @@ def search(
         stores = stores.where(F.col("country") == country)
     if min_quality_score:
         stores = stores.where(F.col("quality_score") >= min_quality_score)
+    kind = stores.schema["extraction_timestamp"].dataType
     if start_date:
-        stores = stores.where(F.col("extraction_timestamp") >= F.lit(start_date))
+        stores = stores.where(F.col("extraction_timestamp") >= F.lit(str(start_date)).cast(kind))
     if end_date:
-        stores = stores.where(F.col("extraction_timestamp") <= F.lit(end_date))
+        stores = stores.where(F.col("extraction_timestamp") <= F.lit(str(end_date)).cast(kind))
     return most_recent(stores, "extraction_timestamp", "website_url", limit)
 
 

@@ -8,6 +8,7 @@ from ..functions import industry, lists, urls
 from ..functions.arrays import let, size0
 from ..functions.text import blank_to_null
 from ..operators.joins import lookup_join
+from ..operators.keyed import top_n
 from ..operators.leaders import lookup_leaders
 from ..sources.landed import search_candidates
 
@@ -22,14 +23,15 @@ def _as_urls(hosts: Column) -> Column:
     )
 
 
-def search_links(results: DataFrame) -> DataFrame:
-    """Usable links per brand in rank order.
+def search_links(results: DataFrame, n: int) -> DataFrame:
+    """The first `n` different usable links per brand in rank order.
 
-    A brand's list has one entry per rank at most: repeated landings of a search are reduced
-    before they are gathered.
+    Links are made distinct and cut to the first `n` before they are gathered, so that repeated
+    landings of a search cannot make a brand's list grow.
     """
-    one_per_rank = search_candidates(results).groupBy("brand_name", "rank").agg(F.min("link").alias("link"))
-    gathered = one_per_rank.groupBy("brand_name").agg(
+    links = search_candidates(results).groupBy("brand_name", "link").agg(F.min("rank").alias("place"))
+    first = top_n(links, ["brand_name"], [F.col("place"), F.col("link")], n)
+    gathered = first.groupBy("brand_name").agg(
         F.array_sort(F.collect_list(F.struct("rank", "link"))).alias("_found")
     )
     return gathered.select("brand_name", F.transform("_found", lambda r: r["link"]).alias("search_urls"))
@@ -61,7 +63,8 @@ def find_competitors(
     else:
         found = found.withColumn("cached_domains", F.lit(None).cast("array<string>"))
     if results is not None:
-        found = lookup_join(found, search_links(results), ["brand_name"], "left")
+        # Links may repeat leaders, of which there are fewer than `max_results`.
+        found = lookup_join(found, search_links(results, 2 * max_results), ["brand_name"], "left")
     else:
         found = found.withColumn("search_urls", F.lit(None).cast("array<string>"))
     more = F.when(F.size("_leaders") < max_results, F.coalesce("search_urls", _no_urls())).otherwise(_no_urls())

@@ -14,6 +14,7 @@ from ..functions.arrays import empty, keep_first_by, or_empty, size0
 from ..functions.text import (
     blank_to_null, clean, has_text, head, longer_than, one_of, sql_text, strip, text_array,
 )
+from ..operators.stores import seconds_between
 from ..sources import feed as feeds
 from ..sources.dom import page_facts
 
@@ -70,8 +71,9 @@ def _with_scores(stores: DataFrame) -> DataFrame:
 
 
 def _seconds_read() -> Column:
-    span = F.max(F.unix_micros("fetched_at")) - F.min(F.unix_micros("fetched_at"))
-    return (span / F.lit(1e6)).alias("extraction_duration_seconds")
+    """Time from the first to the last read of a store's pages."""
+    span = seconds_between(F.min("fetched_at"), F.max("fetched_at"))
+    return span.alias("extraction_duration_seconds")
 
 
 def extract_stores(pages: DataFrame, feed: DataFrame, run_ts: Column) -> DataFrame:
