@@ -33,7 +33,7 @@ _PLACEHOLDERS = ["mail1.example.com", "mail7"]
 
 
 def clean_emails(spark: SparkSession, d: str) -> DataFrame:
-    raw = F.regexp_extract_all("text", F.lit(rules.EMAIL_PATTERN), F.lit(0))
+    raw = contact.find_emails(F.col("text"))
     upper = F.concat(F.transform(raw, F.upper), raw)
     return (
         _documents(spark, d)
