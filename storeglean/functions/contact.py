@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from .arrays import keep_first_by
-from .text import SPACE, contains_any, one_of, strip
+from .text import SPACE, any_of, contains_any, one_of, strip
 
 # Same matches as the plain pattern. It is tried only where a run of address characters starts
 # or the last match ended, because inside such a run no other starting point can succeed.
@@ -18,6 +18,10 @@ def _with_at(text: Column, found: Column) -> Column:
     return F.when(text.contains("@"), found).otherwise(F.array().cast("array<string>"))
 
 
+def _endings(suffixes: list[str]) -> str:
+    return f"({any_of(suffixes)})$"
+
+
 def digits(c: Column) -> Column:
     return F.regexp_replace(c, "[^0-9]", "")
 
@@ -33,7 +37,7 @@ def find_emails_bounded(text: Column) -> Column:
     kept = F.filter(
         found,
         lambda e: ~one_of(F.lower(F.element_at(F.split(e, "@"), -1)), rules.PLACEHOLDER_EMAIL_DOMAINS)
-        & ~e.rlike(r"\.(png|jpg)$"),
+        & ~e.rlike(_endings(rules.PLACEHOLDER_EMAIL_SUFFIXES)),
     )
     return _with_at(text, F.array_distinct(F.transform(kept, F.lower)))
 
@@ -48,12 +52,11 @@ def clean_emails(emails: Column, placeholders: list[str] | None = None) -> Colum
 
 def clean_emails_strict(emails: Column) -> Column:
     """As `clean_emails`, with the longer domain and extension lists."""
-    suffixes = "|".join(s.replace(".", r"\.") for s in rules.PLACEHOLDER_EMAIL_SUFFIXES_ALL)
     plain = F.transform(emails, lambda e: strip(F.lower(e)))
     kept = F.filter(
         plain,
         lambda e: ~one_of(F.element_at(F.split(e, "@"), -1), rules.PLACEHOLDER_EMAIL_DOMAINS_ALL)
-        & ~e.rlike(f"({suffixes})$"),
+        & ~e.rlike(_endings(rules.PLACEHOLDER_EMAIL_SUFFIXES_ALL)),
     )
     return F.slice(F.array_distinct(kept), 1, rules.EMAILS_MAX)
 

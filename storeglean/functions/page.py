@@ -24,7 +24,7 @@ def embedded_settings(html: Column) -> Column:
 
 def brand_from_title(title: Column) -> Column:
     """Text before the earliest separator."""
-    return strip(F.get(F.split(title, "[" + "".join(rules.TITLE_SEPARATORS[:1]) + "–-]"), F.lit(0)))
+    return strip(F.get(F.split(title, any_of(rules.TITLE_SEPARATORS)), F.lit(0)))
 
 
 def brand_from_title_crawl(title: Column) -> Column:

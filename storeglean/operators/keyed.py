@@ -19,13 +19,6 @@ def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(best.alias("_row")).select(*keys, "_row.*").select(*df.columns)
 
 
-def keep_last(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The last row of each key by `order`."""
-    rest = [c for c in df.columns if c not in keys]
-    best = F.max_by(F.struct(*rest), F.struct(*order))
-    return df.groupBy(*keys).agg(best.alias("_row")).select(*keys, "_row.*").select(*df.columns)
-
-
 def top_n(df: DataFrame, keys: list[str], order: list[Column], n: int, rank: str = "rank") -> DataFrame:
     """The first `n` rows of each key, numbered from 1."""
     if n > TOP_N_LIMIT:

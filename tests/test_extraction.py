@@ -8,6 +8,7 @@ from storeglean import schemas
 from storeglean.functions import scoring
 from storeglean.operators import stores
 from storeglean.plans import competitors, extraction
+from storeglean.sources import landed
 
 NOW = dt.datetime(2024, 1, 1)
 HOME = """<html><head><title>Acme | x</title></head><body><ul>
@@ -16,6 +17,13 @@ HOME = """<html><head><title>Acme | x</title></head><body><ul>
 <script>cdn.shopify.com "currency":"USD","country":"US"</script></body></html>"""
 
 
+def test_landed_tables_are_read_with_their_schemas(spark, tmp_path):
+    for name, ddl in (("product_feed", schemas.PRODUCT_FEED), ("search_results", schemas.SEARCH_RESULTS)):
+        spark.createDataFrame([], ddl).write.parquet(str(tmp_path / name))
+        read = getattr(landed, f"read_{name}")(spark, str(tmp_path / name))
+        assert read.columns == spark.createDataFrame([], ddl).columns and read.count() == 0
+
+
 def page(path, html, status=200, minute=0, store="https://a.com"):
     return (store, path, store + path, status, NOW + dt.timedelta(minutes=minute), html)
 

@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from storeglean import rules
 from storeglean.functions import faq, links, page, social
 from storeglean.sources.dom import page_facts
 
@@ -177,3 +178,14 @@ def test_platform_and_settings(value):
     row = value(page.embedded_settings, html='"currency":"USD","country":"US","shop_name":"Acme"')
     assert row.asDict() == {"currency": "USD", "country": "US", "shop_name": "Acme"}
     assert value(page.embedded_settings, html="x").asDict() == {"currency": None, "country": None, "shop_name": None}
+
+
+def test_closed_lists_and_other_marker_lists(value):
+    assert value(social.normalize_platform, p="TikTok") == "tiktok"
+    assert value(social.normalize_platform, p="myspace") == "other"
+    assert value(links.stored_category, c="HELP") == "help"
+    assert value(links.stored_category, c="shopping") == "other"
+    assert value(lambda h: page.has_platform_marker(h, rules.PLATFORM_MARKERS_LONG), h="powered by SHOPIFY") is True
+    assert value(lambda h: page.has_platform_marker(h, rules.PLATFORM_MARKERS_LONG), h="shopify") is False
+    made = lambda t: links.raw_category(t, F.lit("/x"), rules.LINK_KEYWORDS_STORED)
+    assert value(made, t="Our posts") == "blog" and value(made, t="Shop all") is None
