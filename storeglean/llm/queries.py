@@ -1,5 +1,5 @@
 """The queries of the operators, each with the SQL statement that checks it or None."""
 
-from storeglean.llm import decontamination, sharding
+from storeglean.llm import decontamination, packing, sharding
 
-QUERIES = {name: pair for module in (sharding, decontamination) for name, pair in module.QUERIES.items()}
+QUERIES = {name: pair for module in (sharding, packing, decontamination) for name, pair in module.QUERIES.items()}
