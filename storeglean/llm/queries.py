@@ -1,5 +1,5 @@
 """The queries of the operators, each with the SQL statement that checks it or None."""
 
-from storeglean.llm import decontamination, neardup, packing, sharding
+from storeglean.llm import decontamination, linededup, neardup, packing, sharding
 
-QUERIES = {name: pair for module in (sharding, packing, decontamination, neardup) for name, pair in module.QUERIES.items()}
+QUERIES = {name: pair for module in (sharding, linededup, packing, decontamination, neardup) for name, pair in module.QUERIES.items()}
