@@ -1,5 +1,5 @@
 """The queries of the operators, each with the SQL statement that checks it or None."""
 
-from storeglean.llm import decontamination, linededup, neardup, packing, sharding, toxicity
+from storeglean.llm import anomaly, decontamination, linededup, neardup, packing, sharding, toxicity
 
-QUERIES = {name: pair for module in (sharding, linededup, packing, decontamination, neardup, toxicity) for name, pair in module.QUERIES.items()}
+QUERIES = {name: pair for module in (sharding, linededup, packing, anomaly, decontamination, neardup, toxicity) for name, pair in module.QUERIES.items()}
