@@ -50,6 +50,13 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, what: str) -> tuple[DataFrame, str]:
+    """The rows, written as Parquet in the shared folder and read again, and the path for `discard`."""
+    path = scratch(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name like `name` that no column of `df` has, upper and lower case alike."""
     taken = {c.lower() for c in df.columns}

@@ -8,10 +8,12 @@ is its template. A template that recurs across documents is dropped from all of
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storeglean.llm.common import fresh, kept, table
+from storeglean.llm.common import discard, fresh, kept, stored, table
 
 #: Leading tokens that make a leaf; lines with fewer tokens than MIN_TOKENS are not looked at.
 DEPTH, MIN_TOKENS = 4, 8
@@ -22,12 +24,14 @@ MAX_CHILDREN = 16
 #: A document with this share of its tokens in lines to drop is a copy; that is for near-duplicate removal to judge.
 COPY_SHARE = 0.8
 FIELD = "<*>"
+#: Size of the map of hashes that is sent to all tasks, as a power of two of bits: 1 MB.
+SIEVE_BITS = 23
 _NOBODY = -(1 << 63)
 
 
-def identity(doc_id: str = "doc_id", text: str = "text") -> Column:
-    """What tells documents apart: the id (the smallest long for none), then a hash of the text."""
-    return F.struct(F.coalesce(F.col(doc_id), F.lit(_NOBODY)).alias("id"), F.xxhash64(text).alias("hash"))
+def _doc() -> Column:
+    """The id of a document, the smallest long for none."""
+    return F.coalesce(F.col("doc_id"), F.lit(_NOBODY))
 
 
 def tokens(line: Column) -> Column:
@@ -38,26 +42,44 @@ def tokens(line: Column) -> Column:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(doc, at, n, leaf, line): each line with enough tokens as hashes. at counts from 0."""
-    split = docs.select(identity().alias("doc"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    parts = split.select("doc", "at", tokens(F.col("line")).alias("t")).withColumn("n", F.size("t"))
+    """(doc, text_hash, at, n, leaf, line, t): each line with enough tokens t, and its hashes. at counts from 0."""
+    split = docs.select(
+        _doc().alias("doc"), F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n")).alias("at", "line")
+    )
+    parts = split.select("doc", "text_hash", "at", tokens(F.col("line")).alias("t")).withColumn("n", F.size("t"))
     return parts.where(F.col("n") >= MIN_TOKENS).select(
-        "doc", "at", "n", F.xxhash64("n", F.slice("t", 1, DEPTH)).alias("leaf"), F.xxhash64("t").alias("line")
+        "doc", "text_hash", "at", "n", F.xxhash64("n", F.slice("t", 1, DEPTH)).alias("leaf"), F.xxhash64("t").alias("line"), "t"
     )
 
 
-def _templates(docs: DataFrame, kinds: DataFrame) -> DataFrame:
-    """(leaf, line, exact, wide, exact_literal, wide_literal, fields): the two templates of each kind of line of leaves
-    that hold several kinds, as hashes, and their shares of literals.
+def _sieve(keys: DataFrame, bits: int = SIEVE_BITS):
+    """A column function: whether a hash may be one of `keys`. A map of 2^bits bits, whatever their number: it spares the
+    shuffle rows that cannot match, and the join that follows decides."""
+    at = F.pmod(F.col(keys.columns[0]), F.lit(1 << bits))
+    words = keys.groupBy(F.shiftright(at, 5).cast("int").alias("word")).agg(
+        F.bit_or(F.expr(f"shiftleft(1L, cast(pmod({keys.columns[0]}, 32) as int))")).alias("held")
+    )
+    found = words.toPandas()  # 2^(bits - 5) rows at most
+    held = np.zeros(1 << (bits - 5), np.uint32)
+    held[found["word"].to_numpy(np.int64)] = found["held"].to_numpy(np.int64).astype(np.uint32)
 
-    kinds: leaf, line, n_docs and the place `doc`, `at` of one such line.
-    """
-    wanted = kinds.groupBy("doc").agg(F.collect_list(F.struct("at", "leaf", "line", "n_docs")).alias("wanted"))
-    texts = docs.select(identity().alias("doc"), F.split("text", "\n").alias("lines"))
+    @F.arrow_udf("boolean")
+    def may(hashes: pa.Array) -> pa.Array:
+        h = hashes.to_numpy(zero_copy_only=False) & ((1 << bits) - 1)
+        return pa.array((held[h >> 5] >> (h & 31).astype(np.uint32)) & 1 == 1)
+
+    return may
+
+
+def _templates(docs: DataFrame, kinds: DataFrame) -> DataFrame:
+    """(leaf, line, exact, wide, exact_literal, wide_literal): the two templates of each kind of line, as hashes, and
+    their shares of literals. kinds: leaf, line, n_docs."""
+    may = _sieve(kinds.select("leaf"))
     found = (
-        texts.join(wanted, "doc")
-        .select("lines", F.inline("wanted"))
-        .select("leaf", "line", "n_docs", tokens(F.get("lines", F.col("at"))).alias("t"))
+        _lines(docs)
+        .where(may(F.col("leaf")))
+        .join(kinds, ["leaf", "line"])
+        .select("leaf", "line", "n_docs", "t")
         .dropDuplicates(["leaf", "line"])
     )
     each = kept(found.select("leaf", "line", "n_docs", F.posexplode("t").alias("i", "token")))
@@ -82,18 +104,17 @@ def _templates(docs: DataFrame, kinds: DataFrame) -> DataFrame:
 
 
 def recurring(docs: DataFrame) -> DataFrame:
-    """(doc, at, n, n_all): lines to drop, their number of tokens, and the tokens of all lines looked at of the document.
-
-    doc is the document's `identity`.
-    """
-    lines = kept(_lines(docs))
-    held = lines.groupBy("leaf", "line", "doc").agg(F.min("at").alias("at"))
-    kinds = kept(
-        held.groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("n_docs"), F.min(F.struct("doc", "at")).alias("first"))
-    ).select("leaf", "line", "n_docs", "first.doc", "first.at")
+    """(doc, text_hash, gone, share): places of the lines to drop from a document, and their share of the tokens of all
+    lines looked at. doc is the smallest long for rows without id."""
+    lines, lines_path = stored(_lines(docs).drop("t"), "lines")
+    held = lines.select("leaf", "line", "doc").distinct()
+    kinds, kinds_path = stored(
+        held.groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("n_docs"), F.min("doc").alias("first")), "kinds"
+    )
     leaves = kinds.groupBy("leaf").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n_docs").alias("docs"))
     several = leaves.where((F.col("kinds") > 1) & (F.col("docs") >= TEMPLATE_DOCS)).select("leaf")
-    shapes = kept(_templates(docs, kinds.join(several, "leaf", "left_semi")))
+    mixed = kept(kinds.drop("first").join(several, "leaf", "left_semi"))
+    shapes = kept(_templates(docs, mixed))
 
     def general(name: str) -> DataFrame:
         """(leaf, line, first): kinds whose template `name` recurs, and the first document with it."""
@@ -103,12 +124,23 @@ def recurring(docs: DataFrame) -> DataFrame:
         sizes = sizes.where(F.col("n_docs") >= TEMPLATE_DOCS)
         return able.join(sizes, ["leaf", "shape"]).select("leaf", "line", "first")
 
-    verbatim = kinds.where(F.col("n_docs") >= VERBATIM_DOCS).select("leaf", "line", F.col("doc").alias("first"))
+    verbatim = kinds.where(F.col("n_docs") >= VERBATIM_DOCS).select("leaf", "line", "first")
     drop = verbatim.unionByName(general("exact")).unionByName(general("wide"))
     drop = drop.groupBy("leaf", "line").agg(F.min("first").alias("first"))
-    gone = lines.join(drop, ["leaf", "line"]).where("doc > first").select("doc", "at", "n")
-    whole = lines.groupBy("doc").agg(F.sum("n").alias("n_all"))
-    return gone.join(whole, "doc")
+    gone = (
+        lines.join(drop.withColumnRenamed("first", "stays"), ["leaf", "line"], "left")
+        .withColumn("goes", F.coalesce(F.col("doc") > F.col("stays"), F.lit(False)))
+        .groupBy("doc", "text_hash")
+        .agg(
+            F.array_distinct(F.collect_list(F.when(F.col("goes"), F.col("at")))).alias("gone"),
+            (F.sum(F.when(F.col("goes"), F.col("n"))) / F.sum("n")).alias("share"),
+        )
+        .where("share > 0")
+    )
+    found = kept(gone)
+    for path in (lines_path, kinds_path):
+        discard(docs.sparkSession, path)
+    return found
 
 
 def dedup_lines(docs: DataFrame, copy_share: float = COPY_SHARE, out: str = "n_dropped") -> DataFrame:
@@ -116,17 +148,15 @@ def dedup_lines(docs: DataFrame, copy_share: float = COPY_SHARE, out: str = "n_d
 
     A template's lines stay in the first document (smallest doc_id) that has them. A document with at least `copy_share`
     of its tokens in such lines is a copy of others and stays as it is; 1.1 leaves out lines everywhere. Null and empty
-    texts stay. Lines of fewer than MIN_TOKENS tokens stay. Rows that share id and text are
-    one document, others are not, nor are rows without id that differ in text. Other columns go through; a column called
+    texts stay. Lines of fewer than MIN_TOKENS tokens stay. Rows that share an id, and all rows
+    without id, count as one document: what recurs only among them stays. Other columns go through; a column called
     like `out` is replaced.
     """
-    doc, gone = fresh(docs, "_doc"), fresh(docs, "_gone")
-    found = recurring(docs.select("doc_id", "text"))
-    per = found.groupBy("doc").agg(
-        F.array_distinct(F.collect_list("at")).alias(gone), (F.sum("n") / F.first("n_all")).alias("share")
-    )
-    per = per.where(F.col("share") < copy_share).select(F.col("doc").alias(doc), gone)
-    joined = docs.withColumn(doc, identity()).join(per, doc, "left")
+    doc, text_hash, gone = (fresh(docs, n) for n in ("_doc", "_hash", "_gone"))
+    found = recurring(docs.select("doc_id", "text")).where(F.col("share") < copy_share)
+    per = found.select(F.col("doc").alias(doc), F.col("text_hash").alias(text_hash), F.col("gone").alias(gone))
+    keyed = docs.withColumns({doc: _doc(), text_hash: F.xxhash64("text")})
+    joined = keyed.join(per, [doc, text_hash], "left")
     lines = F.split("text", "\n")
     stay = F.filter(lines, lambda line, i: ~F.array_contains(F.col(gone), i))
     text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(stay, "\n"))

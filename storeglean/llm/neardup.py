@@ -35,6 +35,8 @@ COORDINATES = 64
 MISS = 1e-5
 #: Documents of a block of a long list, and of a block that is confirmed against another.
 LIST_BLOCK, TEXT_BLOCK = 1024, 256
+#: Posts and pairs that a task counts at a time.
+ROWS_AT_ONCE, PAIRS_AT_ONCE = 20_000, 1_000_000
 REMEMBERED = 300_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _SKETCH = pa.struct([("n", pa.int64()), ("fp", pa.string()), ("sig", pa.list_(pa.int32()))])
@@ -151,48 +153,70 @@ def _confirm(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     )
 
 
-def _across(members: DataFrame, percent: int, matches: int) -> DataFrame:
-    """(a, b) across components that may be linked. members: coordinate, value, node, n, mask, sig, component, head, hub, distance."""
+def _across(members: DataFrame, sets: DataFrame, percent: int, matches: int) -> DataFrame:
+    """(a, b) across components that may be linked. members: coordinate, value, node, n, mask, component, hub, distance."""
     lists = members.groupBy("coordinate", "value").agg(
         F.count(F.lit(1)).alias("often"), F.min("component").alias("low"), F.max("component").alias("high")
     )
     blocks = F.ceil(F.col("often") / LIST_BLOCK).cast("int")
-    dealt = (
-        members.join(lists.where("low < high").select("coordinate", "value", blocks.alias("blocks")), ["coordinate", "value"])
+    mixed = lists.where("low < high").select("coordinate", "value", blocks.alias("blocks"))
+    dealt = kept(
+        members.join(mixed, ["coordinate", "value"])
         .withColumn("block", F.shiftright(hash32(F.col("node")) * F.col("blocks"), 32).cast("int"))
         .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
         .withColumn("i", F.least("block", "other"))
         .withColumn("j", F.greatest("block", "other"))
+        .drop("blocks", "other")
     )
+    # lists, or pairs of blocks of one, that are counted by one task at a time
+    parts = max(1, math.ceil(dealt.count() / ROWS_AT_ONCE))
+    unit = ["coordinate", "value", "i", "j"]
+    with_sig = dealt.join(sets.select("node", "sig"), "node").withColumn("part", F.pmod(F.xxhash64(*unit), F.lit(parts)))
 
     def count(held: pd.DataFrame) -> pd.DataFrame:
-        coordinate, i, j = (int(held[c].iloc[0]) for c in ("coordinate", "i", "j"))
-        left, right = held[held["block"] == i], held[held["block"] == j]
-        out = []
-        for at in range(0, len(left), 256):
-            part = left.iloc[at : at + 256]
-            get = lambda c, part=part: (part[c].to_numpy()[:, None], right[c].to_numpy()[None, :])
-            (a, b), (na, nb), (ca, cb), (ma, mb) = get("node"), get("n"), get("component"), get("mask")
-            (ha, hb), (da, db) = get("hub"), get("distance")
-            able = (a != b) & (ca != cb) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb))
-            able &= ~((ha == hb) & (np.abs(da - db) > 1 - percent / 100 + 1e-9))
-            if i == j:
-                able &= a < b
-            if not able.any():
-                continue
-            sa, sb = np.stack(part["sig"].to_list()), np.stack(right["sig"].to_list())
-            hits = np.zeros(able.shape, np.int16)
-            for c in range(COORDINATES):
-                same = sa[:, c][:, None] == sb[:, c][None, :]
-                hits += same
-                if c < coordinate:  # counted in an earlier list that both are in
-                    able &= ~(same & ((ma & mb) >> c & 1).astype(bool))
-            x, y = np.nonzero(able & (hits >= matches))
-            out.append(np.stack([part["node"].to_numpy()[x], right["node"].to_numpy()[y]], 1))
-        found = np.concatenate(out) if out else np.empty((0, 2), np.int64)
-        return pd.DataFrame({"a": found.min(1), "b": found.max(1)} if len(found) else {"a": [], "b": []}).astype("int64")
-
-    return dealt.groupBy("coordinate", "value", "i", "j").applyInPandas(count, "a long, b long")
+        held = held.sort_values(unit, ignore_index=True)
+        get = {c: held[c].to_numpy() for c in ("node", "n", "mask", "component", "hub", "distance", "coordinate", "block", "i", "j")}
+        sig = np.stack(held["sig"].to_list())
+        change = np.flatnonzero(np.any([np.diff(held[c].to_numpy()) != 0 for c in unit], axis=0)) + 1
+        found, pairs, size = [], [], 0
+
+        def settle() -> None:
+            x, y = (np.concatenate([p[k] for p in pairs]) for k in (0, 1))
+            fits = (get["node"][x] != get["node"][y]) & (get["component"][x] != get["component"][y])
+            low, high = np.minimum(get["n"][x], get["n"][y]), np.maximum(get["n"][x], get["n"][y])
+            fits &= 100 * low >= percent * high
+            apart = np.abs(get["distance"][x] - get["distance"][y]) > 1 - percent / 100 + 1e-9
+            fits &= ~((get["hub"][x] == get["hub"][y]) & apart)
+            x, y = x[fits], y[fits]
+            for at in range(0, len(x), 20_000):
+                a, b = x[at : at + 20_000], y[at : at + 20_000]
+                same = sig[a] == sig[b]
+                good = same.sum(1) >= matches
+                a, b, same = a[good], b[good], same[good]
+                # the first list that both are in
+                bits = ((get["mask"][a] & get["mask"][b])[:, None] >> np.arange(COORDINATES)) & 1
+                first = (same & (bits == 1)).argmax(1) == get["coordinate"][a]
+                found.append(np.stack([get["node"][a[first]], get["node"][b[first]]], 1))
+
+        for start, end in zip([0, *change], [*change, len(held)], strict=True):
+            if get["i"][start] == get["j"][start]:
+                x, y = np.triu_indices(end - start, 1)
+                x, y = x + start, y + start
+            else:
+                at = np.arange(start, end)
+                left, right = (at[get["block"][start:end] == get[k][start]] for k in ("i", "j"))
+                x, y = np.repeat(left, len(right)), np.tile(right, len(left))
+            pairs.append((x, y))
+            size += len(x)
+            if size > PAIRS_AT_ONCE:
+                settle()
+                pairs, size = [], 0
+        if pairs:
+            settle()
+        every = np.concatenate(found) if found else np.empty((0, 2), np.int64)
+        return pd.DataFrame({"a": every.min(1), "b": every.max(1)} if len(every) else {"a": [], "b": []}).astype("int64")
+
+    return with_sig.groupBy("part").applyInPandas(count, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -265,10 +289,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
             }
         )
     )
-    # lists in one component go before the signatures are fetched
-    mixed = members.groupBy("coordinate", "value").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    members = members.join(mixed.where("low < high").select("coordinate", "value"), ["coordinate", "value"], "left_semi")
-    across = _across(members.join(sets.select("node", "sig"), "node"), percent, matches)
+    across = _across(members, sets, percent, matches)
     across = kept(across.join(tried, ["a", "b"], "left_anti"))
     more = kept(linked(_confirm(with_blocks(across), texts, words)))
     whole = kept(components(links.unionByName(more)))

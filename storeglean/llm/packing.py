@@ -7,8 +7,7 @@ piece then takes a planned slot: its rank within its length, joined with the pla
 
 from __future__ import annotations
 
-import os
-import re
+import json
 import zlib
 from collections import defaultdict
 from functools import lru_cache
@@ -16,56 +15,39 @@ from functools import lru_cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
 from storeglean.llm.common import fresh, kept, ranked, table
 
 CAPACITY = 2048
 TOKENIZER = "byte_bpe_50k.json"
 SEPARATOR = 0
-#: Units of text whose ids a Python worker remembers, and the longest such unit in characters.
-REMEMBERED, LONGEST = 300_000, 100
-#: Characters of text that are tokenised at once.
-AT_ONCE = 2_000_000
-#: Where units cannot be told apart by single spaces and line ends alone.
-_ODD = re.compile(r"[^\S \n]|\s\s|\x01")
+#: How a byte-level text falls into parts.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PIECES = "array<struct<start:bigint,length:bigint,ids_crc32:bigint>>"
 _PIECES = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]))
 PLAN = "length long, rank_from long, rank_to long, per_sequence long, sequence_from long, offset_from long"
 
 
 @lru_cache(maxsize=2)
-def _tokenizer(path: str) -> tuple[Tokenizer, dict[str, bytes]]:
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    made = Tokenizer.from_file(path)
-    made.encode_special_tokens = True  # such strings in a text are text
-    return made, {}
-
-
-def _units(text: str) -> list[str]:
-    """Parts whose ids, joined, are those of the text: the byte-level pattern never joins across a single space, which
-    goes with what follows it, or a single line end. Other white space: the whole text is one unit."""
-    if _ODD.search(text):
-        return [text]
-    return text.replace(" ", "\x01 ").replace("\n", "\x01\n\x01").split("\x01")
-
-
-def _ids(texts: list[str], path: str) -> list[bytes]:
-    """The ids of each text as little-endian unsigned 32-bit numbers. Ids of words seen before are looked up."""
-    tokenizer, known = _tokenizer(path)
-    if len(known) > REMEMBERED:
-        known.clear()
-    split = [_units(t) for t in texts]
-    new = list({u for units in split for u in units if u not in known})
-    for unit, made in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-        known[unit] = np.array(made.ids, "<u4").tobytes()
-    out = [b"".join(map(known.__getitem__, units)) for units in split]
-    for unit in new:
-        if len(unit) > LONGEST:
-            del known[unit]
-    return out
+def encoder(path: str) -> tiktoken.Encoding:
+    """The byte-level vocabulary of a `tokenizers` file for `tiktoken`: the same ids in half the time.
+
+    That holds where ids follow the order of merges, which is checked. Special tokens in a text are text.
+    """
+    with open(path, encoding="utf-8") as file:
+        model = json.load(file)["model"]
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that are written as they are
+    rest = [b for b in range(256) if b not in plain]
+    byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+    merged = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+    for rank, (a, b) in enumerate(merged, 256):
+        if model["vocab"][a + b] != rank:
+            raise ValueError(f"the ids of {path} do not follow its merges")
+    ranks = {bytes(byte[c] for c in token): i for token, i in model["vocab"].items() if i < 256 + len(merged)}
+    return tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 def _cut(ids: bytes, capacity: int) -> list[dict]:
@@ -83,16 +65,10 @@ def cut(text: Column, tokenizer: str, capacity: int = CAPACITY) -> Column:
 
     @F.arrow_udf(PIECES)
     def pieces(texts: pa.Array) -> pa.Array:
-        out, block, size = [], [], 0
+        made = encoder(tokenizer)
         end = np.array([SEPARATOR], "<u4").tobytes()
-        for t in [*texts, None]:
-            if t is not None:
-                block.append(t.as_py() or "")
-                size += len(block[-1])
-            if block and (t is None or size >= AT_ONCE):
-                out += [_cut(ids + end, capacity) for ids in _ids(block, tokenizer)]
-                block, size = [], 0
-        return pa.array(out, _PIECES)
+        ids = (made.encode_to_numpy(t.as_py() or "").astype("<u4").tobytes() + end for t in texts)
+        return pa.array([_cut(i, capacity) for i in ids], _PIECES)
 
     return pieces(text)
 
