@@ -1,5 +1,5 @@
 """The queries of the operators, each with the SQL statement that checks it or None."""
 
-from storeglean.llm import anomaly, decontamination, langid, linededup, neardup, ordinal, packing, sharding, toxicity
+from storeglean.llm import anomaly, decontamination, langid, linededup, neardup, ordinal, packing, sharding, toxicity, warc
 
-QUERIES = {name: pair for module in (sharding, linededup, ordinal, packing, anomaly, langid, decontamination, neardup, toxicity) for name, pair in module.QUERIES.items()}
+QUERIES = {name: pair for module in (sharding, linededup, ordinal, packing, anomaly, langid, decontamination, neardup, toxicity, warc) for name, pair in module.QUERIES.items()}
