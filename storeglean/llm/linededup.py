@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from storeglean.llm.common import discard, fresh, kept, stored, table
 
 #: Leading tokens that make a leaf; lines with fewer tokens than MIN_TOKENS are not looked at.
-DEPTH, MIN_TOKENS = 4, 8
+DEPTH, MIN_TOKENS = 3, 8
 #: Documents in which a verbatim line, or a template with fields found in the leaf, recurs; literal share of the latter.
 VERBATIM_DOCS, TEMPLATE_DOCS, LITERAL_SHARE = 2, 8, 0.7
 #: Different tokens at a position above which the general template has a field there.
@@ -35,10 +35,12 @@ def _doc() -> Column:
 
 
 def tokens(line: Column) -> Column:
-    """The tokens of a line between ASCII white space, those with a digit as fields."""
+    """The tokens of a line between ASCII white space, those with a digit as fields. A line that would have too few
+    literals left, such as a row of numbers, is taken as it is."""
     parts = F.array_remove(F.split(line, "[ \\t\\x0B\\f\\r]+"), "")
     masked = F.transform(parts, lambda t: F.when(t.rlike("[0-9]"), FIELD).otherwise(t))
-    return F.when(line.rlike("[0-9]"), masked).otherwise(parts)
+    literal = F.size(F.filter(masked, lambda t: t != FIELD))
+    return F.when(line.rlike("[0-9]") & (literal >= F.size(parts) * LITERAL_SHARE), masked).otherwise(parts)
 
 
 def _lines(docs: DataFrame) -> DataFrame:
