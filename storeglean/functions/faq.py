@@ -94,7 +94,7 @@ def default_pairs() -> Column:
     rows = ", ".join(
         f"named_struct('question', {sql_text(q)}, 'answer', {sql_text(a)}, 'category', {sql_text(c)},"
         " 'is_default', true)"
-        for q, a, c in rules.DEFAULT_FAQS[:3]
+        for q, a, c in rules.DEFAULT_FAQS
     )
     return F.expr(f"array({rows})")
 

@@ -8,8 +8,9 @@ from . import urls
 from .text import any_of, blank_to_null, has_text, strip
 
 
-def has_platform_marker(html: Column, markers: list[str] | None = None) -> Column:
-    words = [m.lower() for m in (markers or rules.PLATFORM_MARKERS)]
+def has_platform_marker(html: Column, markers: list[str]) -> Column:
+    """Whether the page holds one of the markers, upper and lower case alike."""
+    words = [m.lower() for m in markers]
     return F.coalesce(F.lower(html).rlike(any_of(words)), F.lit(False))
 
 

@@ -18,5 +18,6 @@ def lookup_join(rows: DataFrame, table: DataFrame, keys: list[str], how: str = "
     """
     mark = F.xxhash64(*keys)
     keyless = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
-    marked = rows.withColumn("_mark", F.when(keyless, F.xxhash64(*rows.columns)).otherwise(mark))
+    plain = [c for c, kind in rows.dtypes if "map<" not in kind and "variant" not in kind]
+    marked = rows.withColumn("_mark", F.when(keyless, F.xxhash64(*plain)).otherwise(mark))
     return marked.join(table.withColumn("_mark", mark), [*keys, "_mark"], how).drop("_mark")

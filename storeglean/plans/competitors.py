@@ -134,14 +134,16 @@ def report(
     cache: DataFrame | None = None,
     results: DataFrame | None = None,
     max_competitors: int = rules.COMPETITORS_DEFAULT,
+    reported: int | None = None,
 ) -> DataFrame:
-    """One competitor analysis per store.
+    """One competitor analysis per store, with up to `max_competitors` URLs and the records of the first `reported` of
+    them (all by default).
 
     `stores` are the main brands, `known` the records that competitors are looked up in (often
     the same table). A URL that very many brands name is one hot key on the brand side of a
     many-to-one join, which the adaptive skew join splits; the rows go on to another grouping.
     """
-    wanted = min(max_competitors, rules.COMPETITORS_CAP)
+    wanted = max_competitors
     catalog = F.col("product_catalog")
     main = stores.select(
         F.col("website_url").alias("main_brand_url"),
@@ -149,18 +151,20 @@ def report(
         industry.product_types(catalog, rules.KEYWORDS_SAVED).alias("industry_keywords"),
         industry.of_keywords(industry.keywords(catalog)).alias("industry"),
         urls.netloc(F.col("website_url")).alias("domain"),
+        "total_products",
     ).withColumn("brand_name", F.coalesce(blank_to_null(F.col("main_brand_name")), "domain"))
     found = find_competitors(main, leaders, cache, results, wanted)
     others = F.filter(
         "competitor_urls", lambda u: urls.canonical(u) != F.col("main_brand_url")
     )
-    kept = ["main_brand_name", "competitor_urls", "industry_keywords"]
+    kept = ["main_brand_name", "competitor_urls", "industry_keywords", "total_products"]
+    shown = F.slice("competitor_urls", 1, reported) if reported else F.col("competitor_urls")
     looked_up = (
         found.withColumn("competitor_urls", F.slice(others, 1, wanted))
         .select(
             "main_brand_url",
             F.struct(*kept).alias("main"),
-            F.posexplode_outer(F.slice("competitor_urls", 1, rules.COMPETITORS_REPORTED)).alias("pos", "competitor_url"),
+            F.posexplode_outer(shown).alias("pos", "competitor_url"),
         )
         .withColumn("_key", urls.canonical(F.col("competitor_url")))
     )
@@ -169,7 +173,7 @@ def report(
         F.col("competitor_url").alias("website_url"),
         *[F.col(f"other.{n}").alias(n) for n in ("brand_name", "total_products", "has_faqs", "social_platforms")],
     )
-    # At most three rows per main brand are gathered here.
+    # A row for each reported competitor of a main brand is gathered here.
     row = F.when(F.col("other").isNotNull(), F.struct("pos", competitor.alias("row")))
     gathered = lookup_join(looked_up, facts, ["_key"], "left").groupBy("main_brand_url").agg(
         F.max("main").alias("main"), F.array_sort(F.collect_list(row)).alias("_rows")
@@ -178,6 +182,7 @@ def report(
     return gathered.select(
         "main_brand_url",
         "main.main_brand_name",
+        "main.total_products",
         count.alias("competitors_found"),
         "main.competitor_urls",
         F.transform("_rows", lambda r: r["row"]).alias("competitors"),

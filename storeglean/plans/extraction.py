@@ -44,13 +44,26 @@ def _fact_of(path: Column, candidates: dict[str, list[str]]) -> tuple[Column, Co
     return fact, place
 
 
+def _store_key() -> Column:
+    """One spelling of a store's URL, without the last slash."""
+    return F.regexp_replace(urls.canonical(F.col("store_url")), "/+$", "")
+
+
+def _all_stores(pages: DataFrame, feed: DataFrame, stores: DataFrame | None) -> DataFrame:
+    """Every store that anything was landed of or that is asked for. `feed` has keys already."""
+    keys = pages.select(_store_key().alias("store_url")).unionByName(feed.select("store_url"))
+    if stores is not None:
+        keys = keys.unionByName(stores.select(_store_key().alias("store_url")))
+    return keys.where("store_url is not null").distinct()
+
+
 def _candidate_pages(pages: DataFrame, candidates: dict[str, list[str]]) -> DataFrame:
     """Pages on candidate paths, with html only where the page was delivered."""
     wanted = [p for paths in candidates.values() for p in paths]
     fact, place = _fact_of(F.col("path"), candidates)
     listed = ", ".join(sql_text(p) for p in wanted)
     return pages.where(f"path IN ({listed})").select(
-        urls.normalize(F.col("store_url")).alias("store_url"),
+        _store_key().alias("store_url"),
         "url",
         "status",
         "fetched_at",
@@ -76,8 +89,14 @@ def _seconds_read() -> Column:
     return span.alias("extraction_duration_seconds")
 
 
-def extract_stores(pages: DataFrame, feed: DataFrame, run_ts: Column) -> DataFrame:
-    """One brand_insights record per store, not yet enriched."""
+def extract_stores(
+    pages: DataFrame, feed: DataFrame, run_ts: Column, markers: list[str], stores: DataFrame | None = None
+) -> DataFrame:
+    """One brand_insights record per store, not yet enriched.
+
+    A store is any canonical URL in `pages`, in `feed` or in `stores` (store_url), whatever was found of it. `markers`
+    tell a store of the platform.
+    """
     candidates = {"home": [rules.HOME_PATH, ""], **rules.CANDIDATE_PATHS}
     html, is_home = F.col("html"), F.col("fact") == "home"
     raw = _candidate_pages(pages, candidates).select(
@@ -85,7 +104,7 @@ def extract_stores(pages: DataFrame, feed: DataFrame, run_ts: Column) -> DataFra
         F.when(
             is_home & html.isNotNull(),
             F.struct(
-                page.has_platform_marker(html).alias("is_platform"),
+                page.has_platform_marker(html, markers).alias("is_platform"),
                 page.embedded_settings(html).alias("settings"),
                 social.find_handles(html).alias("socials"),
                 F.slice(contact.find_emails(html), 1, rules.EMAILS_MAX).alias("emails"),
@@ -141,10 +160,9 @@ def extract_stores(pages: DataFrame, feed: DataFrame, run_ts: Column) -> DataFra
         _first(F.col("pairs"), "faq", size0(F.col("pairs")) > 0).alias("pairs"),
         _seconds_read(),
     )
-    catalogs = feeds.store_catalogs(
-        feed.withColumn("store_url", urls.normalize(F.col("store_url")))
-    )
-    joined = per_store.join(catalogs, "store_url", "left")
+    feed = feed.withColumn("store_url", _store_key())
+    joined = _all_stores(pages, feed, stores).join(per_store, "store_url", "left")
+    joined = joined.join(feeds.store_catalogs(feed), "store_url", "left")
     home, inline, ok = F.col("home"), F.col("home.inline"), F.col("home").isNotNull()
     none = F.lit(None).cast("string")
     return _with_scores(
@@ -174,7 +192,7 @@ def extract_stores(pages: DataFrame, feed: DataFrame, run_ts: Column) -> DataFra
             inline["settings"]["currency"].alias("currency"),
             inline["settings"]["country"].alias("country"),
             none.alias("language"),
-            F.coalesce(inline["is_platform"], F.lit(True)).alias("is_shopify_store"),
+            F.coalesce(inline["is_platform"], F.lit(True)).alias("is_platform_store"),
             run_ts.alias("extraction_timestamp"),
             ok.alias("extraction_success"),
             F.when(ok, F.array().cast("array<string>"))
@@ -251,10 +269,12 @@ def to_table(stores: DataFrame) -> DataFrame:
 # ---- the other extraction profile
 
 
-def extract_stores_crawl(pages: DataFrame, feed: DataFrame, run_ts: Column) -> DataFrame:
+def extract_stores_crawl(
+    pages: DataFrame, feed: DataFrame, run_ts: Column, markers: list[str], stores: DataFrame | None = None
+) -> DataFrame:
     """Records by the crawler's rules: other path lists, selectors, lengths and patterns.
 
-    Where several pages could fill one fact the first path in the list counts.
+    Stores and markers are those of `extract_stores`. Where several pages could fill one fact the first path in the list counts.
     """
     candidates = {"home": [rules.HOME_PATH, ""]}
     for path in rules.CRAWL_POLICY_PATHS + rules.CRAWL_CONTENT_PATHS:
@@ -266,7 +286,7 @@ def extract_stores_crawl(pages: DataFrame, feed: DataFrame, run_ts: Column) -> D
         F.when(
             html.isNotNull() & (fact == "home"),
             F.struct(
-                page.has_platform_marker(html, rules.PLATFORM_MARKERS_SHORT).alias("is_platform"),
+                page.has_platform_marker(html, markers).alias("is_platform"),
                 social.find_handles_crawl(html).alias("socials"),
             ),
         ).alias("inline"),
@@ -329,16 +349,15 @@ def extract_stores_crawl(pages: DataFrame, feed: DataFrame, run_ts: Column) -> D
         _first(F.col("reach"), "contact", F.col("reach").isNotNull()).alias("reach"),
         _seconds_read(),
     )
-    catalogs = feeds.first_page_products(
-        feed.withColumn("store_url", urls.normalize(F.col("store_url")))
-    )
-    joined = per_store.join(catalogs, "store_url", "left")
+    feed = feed.withColumn("store_url", _store_key())
+    joined = _all_stores(pages, feed, stores).join(per_store, "store_url", "left")
+    joined = joined.join(feeds.first_page_products(feed), "store_url", "left")
     home, inline, reach = F.col("home"), F.col("home.inline"), F.col("reach")
     ok = F.coalesce(inline["is_platform"], F.lit(False))
     none = F.lit(None).cast("string")
     error = (
         F.when(ok, None)
-        .when(home.isNotNull(), F.lit("Not a Shopify store"))
+        .when(home.isNotNull(), F.lit("Not a store of the platform"))
         .when(F.col("missing"), F.concat(F.lit("Website not found: "), base))
         .otherwise(F.lit("Failed to fetch homepage"))
     )
@@ -369,7 +388,7 @@ def extract_stores_crawl(pages: DataFrame, feed: DataFrame, run_ts: Column) -> D
             none.alias("currency"),
             none.alias("country"),
             none.alias("language"),
-            ok.alias("is_shopify_store"),
+            ok.alias("is_platform_store"),
             run_ts.alias("extraction_timestamp"),
             ok.alias("extraction_success"),
             F.when(error.isNull(), F.array().cast("array<string>")).otherwise(F.array(error)).alias("error_messages"),

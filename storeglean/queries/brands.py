@@ -245,11 +245,12 @@ kinds AS (
     CAST(n % 4 AS INT) AS platforms
   FROM sites
 ), looked AS (
-  SELECT o.s_suppkey, o.pos, k.* FROM others o JOIN known k ON o.u = k.u WHERE o.pos < {rules.COMPETITORS_REPORTED}
+  SELECT o.s_suppkey, o.pos, k.* FROM others o JOIN known k ON o.u = k.u
 ), firsts_known AS (
   SELECT * FROM looked QUALIFY row_number() OVER (PARTITION BY s_suppkey ORDER BY pos) = 1
 ), report AS (
   SELECT b.s_suppkey, b.base, b.brand_name, b.saved,
+    (SELECT count(*) FROM part p WHERE p.p_partkey // {roles.BLOCK} = b.s_suppkey) AS total,
     (SELECT count(*) FROM others o WHERE o.s_suppkey = b.s_suppkey) AS found,
     coalesce((SELECT string_agg(u, ' ' ORDER BY pos) FROM others o WHERE o.s_suppkey = b.s_suppkey), '') AS urls,
     (SELECT count(*) FROM looked k WHERE k.s_suppkey = b.s_suppkey) AS reported,
@@ -270,7 +271,7 @@ FROM report r LEFT JOIN firsts_known f ON r.s_suppkey = f.s_suppkey
 def comparison_text(spark: SparkSession, d: str) -> DataFrame:
     reports = _reports(spark, d)
     text = competitors.comparison_text(
-        F.col("main_brand_name"), F.col("main_brand_url"), F.col("competitors_found"), F.col("competitors")
+        F.col("main_brand_name"), F.col("main_brand_url"), F.col("total_products"), F.col("competitors")
     )
     return reports.select("main_brand_url", text.alias("comparison"))
 
@@ -278,12 +279,36 @@ def comparison_text(spark: SparkSession, d: str) -> DataFrame:
 COMPARISON_TEXT = f"""
 WITH {_REPORT}
 SELECT base || '/' AS main_brand_url, 'Main Brand: ' || brand_name || chr(10) || 'Website: ' || base || '/' || chr(10)
-  || 'Products: ' || found || CASE WHEN reported > 0
+  || 'Products: ' || total || CASE WHEN reported > 0
     THEN chr(10) || chr(10) || 'Found ' || reported || ' Competitors' || chr(10) || lines ELSE '' END AS comparison
 FROM report
 """
 
 
+def analyses_saved(spark: SparkSession, d: str) -> DataFrame:
+    """The rows for the analysis table: brands with a competitor."""
+    saved = competitors.analyses_to_save(_reports(spark, d))
+    return saved.select(
+        "main_brand_url",
+        "main_brand_name",
+        F.array_join(F.transform("competitors", lambda c: c["website_url"]), " ").alias("reported_urls"),
+        "analysis_summary",
+        F.date_format("analysis_timestamp", "yyyy-MM-dd HH:mm:ss").alias("analysed"),
+        (F.col("created_at") == F.col("analysis_timestamp")).alias("created_then"),
+        F.array_join("industry_keywords", ",").alias("industry_keywords"),
+    )
+
+
+ANALYSES_SAVED = f"""
+WITH {_REPORT}
+SELECT base || '/' AS main_brand_url, brand_name AS main_brand_name,
+  coalesce((SELECT string_agg(k.u, ' ' ORDER BY pos) FROM looked k WHERE k.s_suppkey = report.s_suppkey), '') AS reported_urls,
+  'Found ' || found || ' competitors' AS analysis_summary, '2024-02-01 00:00:00' AS analysed, true AS created_then,
+  saved AS industry_keywords
+FROM report WHERE found > 0
+"""
+
+
 def competitive_position(spark: SparkSession, d: str) -> DataFrame:
     """Line items per supplier as product counts; the next three suppliers are competitors."""
     counts = roles.table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("total_products"))
@@ -314,5 +339,6 @@ QUERIES = {
     "cache_upsert": (cache_upsert, CACHE_UPSERT),
     "competitor_report": (competitor_report, COMPETITOR_REPORT),
     "comparison_text": (comparison_text, COMPARISON_TEXT),
+    "analyses_saved": (analyses_saved, ANALYSES_SAVED),
     "competitive_position": (competitive_position, COMPETITIVE_POSITION),
 }

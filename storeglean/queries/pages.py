@@ -26,7 +26,7 @@ FROM pages WHERE NOT contains(url, 'spam-farm') AND NOT contains(url, 'cheap-pil
 
 def page_features(spark: SparkSession, d: str) -> DataFrame:
     facts = page_facts(
-        roles.texts(spark, d, "pages", "page_id").drop("url"), ["title", "anchors", "link_regions", "jsonld"]
+        roles.table(spark, d, "pages").drop("url"), ["title", "anchors", "link_regions", "jsonld"]
     )
     return facts.select(
         "page_id",
@@ -50,7 +50,7 @@ FROM pages p JOIN titles t ON p.page_id = t.page_id
 
 
 def brand_name(spark: SparkSession, d: str) -> DataFrame:
-    facts = page_facts(roles.texts(spark, d, "pages", "page_id"), ["title", "og_site_name", "logo_alt"])
+    facts = page_facts(roles.table(spark, d, "pages"), ["title", "og_site_name", "logo_alt"])
     og, title, url = F.col("og_site_name"), F.col("title"), F.col("url")
     return facts.select(
         "page_id",
@@ -81,7 +81,7 @@ FROM hosts
 
 
 def main_text(spark: SparkSession, d: str) -> DataFrame:
-    facts = page_facts(roles.texts(spark, d, "pages", "page_id").drop("url"), ["main_text"])
+    facts = page_facts(roles.table(spark, d, "pages").drop("url"), ["main_text"])
     text = F.col("main_text")
     return facts.select(
         "page_id",
@@ -114,11 +114,11 @@ FROM texts
 """
 
 
-_MARKERS = ["TRACK(1", "spam-farm"]
+_MARKERS, _OTHER_MARKERS = ["TRACK(1", "spam-farm"], ["Cheap-Pills", "<article", "ad 7 -->"]
 
 
 def platform_detect(spark: SparkSession, d: str) -> DataFrame:
-    pages = roles.texts(spark, d, "pages", "page_id")
+    pages = roles.table(spark, d, "pages")
     html = F.col("html")
     body = F.when(
         F.col("url").contains("/en/"), F.format_string('{"products":[{"title":"%d"}]}', "page_id")
@@ -129,20 +129,20 @@ def platform_detect(spark: SparkSession, d: str) -> DataFrame:
     marked = pages.select(
         "page_id",
         F.col("url").alias("store_url"),
-        page.has_platform_marker(html).alias("default_markers"),
+        page.has_platform_marker(html, _OTHER_MARKERS).alias("other_markers"),
         page.has_platform_marker(html, _MARKERS).alias("given_markers"),
     )
     with_feed = feeds.feed_has_products(feed).withColumn("has_feed", F.lit(True))
     return marked.join(with_feed, "store_url", "left").select(
         "page_id",
-        "default_markers",
+        "other_markers",
         "given_markers",
         (F.col("given_markers") | F.coalesce("has_feed", F.lit(False))).alias("is_platform"),
     )
 
 
 PLATFORM_DETECT = f"""
-SELECT page_id, {words_in('lower(html)', [m.lower() for m in rules.PLATFORM_MARKERS])} AS default_markers,
+SELECT page_id, {words_in('lower(html)', [m.lower() for m in _OTHER_MARKERS])} AS other_markers,
   {words_in('lower(html)', [m.lower() for m in _MARKERS])} AS given_markers,
   {words_in('lower(html)', [m.lower() for m in _MARKERS])} OR contains(url, '/en/') AS is_platform
 FROM pages
@@ -153,7 +153,7 @@ _HANDLES = [r"^/(th@?[\w\-\.]+)", r"^/(@?[\w\-\.]+)"]
 
 
 def href_links(spark: SparkSession, d: str) -> DataFrame:
-    found = roles.texts(spark, d, "pages", "page_id").select(
+    found = roles.table(spark, d, "pages").select(
         "page_id", F.explode(social.find_links(F.col("html"), _HOSTS)).alias("link")
     )
     return found.select(
@@ -179,7 +179,7 @@ FROM marked WHERE platform IS NOT NULL
 
 
 def resolve_links(spark: SparkSession, d: str) -> DataFrame:
-    found = roles.texts(spark, d, "pages", "page_id").select(
+    found = roles.table(spark, d, "pages").select(
         "page_id", "url", F.posexplode(social.hrefs(F.col("html"))).alias("pos", "href")
     )
     parent = F.concat(F.lit("../"), F.substring("href", 2, 1_000_000))
@@ -217,7 +217,7 @@ _STORED = "CASE WHEN raw_category IN ({}) THEN raw_category ELSE 'other' END".fo
 
 
 def link_categories(spark: SparkSession, d: str) -> DataFrame:
-    facts = page_facts(roles.texts(spark, d, "pages", "page_id").drop("url"), ["anchors"])
+    facts = page_facts(roles.table(spark, d, "pages").drop("url"), ["anchors"])
     found = facts.select("page_id", F.posexplode("anchors").alias("pos", "a"))
     raw = links.raw_category(F.col("a.text"), F.col("a.href"), _LADDER)
     return found.select("page_id", "pos", "a.href", raw.alias("raw_category")).withColumn(
@@ -234,7 +234,7 @@ SELECT page_id, pos, href, raw_category, {_STORED} AS category FROM marked
 
 
 def _page_links(spark: SparkSession, d: str) -> DataFrame:
-    facts = page_facts(roles.store_pages(roles.texts(spark, d, "pages", "page_id")).drop("path", "status", "url"), ["anchors", "link_regions"])
+    facts = page_facts(roles.store_pages(roles.table(spark, d, "pages")).drop("path", "status", "url"), ["anchors", "link_regions"])
     return facts.select(
         "page_id",
         "store_url",
@@ -305,7 +305,7 @@ FROM counts
 
 def hero_links(spark: SparkSession, d: str) -> DataFrame:
     facts = page_facts(
-        roles.store_pages(roles.texts(spark, d, "pages", "page_id")).drop("path", "status", "url"), ["anchors"], product_pattern="^/t"
+        roles.store_pages(roles.table(spark, d, "pages")).drop("path", "status", "url"), ["anchors"], product_pattern="^/t"
     )
     found = facts.select(
         "page_id",
@@ -335,7 +335,7 @@ _SOCIAL = {
 
 def social_handles(spark: SparkSession, d: str) -> DataFrame:
     text = F.concat_ws(" ", "url", "html")
-    found = roles.texts(spark, d, "pages", "page_id").select(
+    found = roles.table(spark, d, "pages").select(
         "page_id", F.explode(social.dedup_handles(social.find_handles(text, _SOCIAL))).alias("s")
     )
     return found.select("page_id", "s.platform", "s.handle", "s.url")
@@ -480,7 +480,7 @@ def direct_text(spark: SparkSession, d: str) -> DataFrame:
         F.lit("<body><nav>n</nav><article>"), roles.escape(F.col("text")), F.lit("<b>"), "source",
         F.lit('</b></article><p class="shop-address"> '), "source", F.lit(" Road </p></body>"),
     )
-    docs = roles.texts(spark, d, "documents", "doc_id").select("doc_id", html.alias("html"))
+    docs = roles.table(spark, d, "documents").select("doc_id", html.alias("html"))
     facts = page_facts(docs, ["main_text_direct", "address"])
     return facts.select(
         "doc_id",

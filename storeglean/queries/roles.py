@@ -15,23 +15,6 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
-def texts(spark: SparkSession, directory: str, name: str, key: str) -> DataFrame:
-    """A table of long texts, spread over all cores where few files would keep them idle.
-
-    Texts cost far more to work on than to move. A table of many files is read as it is.
-    """
-    rows = table(spark, directory, name)
-    return spread(rows, key) if few_files(rows) else rows
-
-
-def few_files(rows: DataFrame) -> bool:
-    return len(rows.inputFiles()) < rows.sparkSession.sparkContext.defaultParallelism
-
-
-def spread(rows: DataFrame, *keys: str) -> DataFrame:
-    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism, *keys)
-
-
 # ---- pages
 
 
@@ -230,7 +213,7 @@ def _home_pages(spark: SparkSession, directory: str) -> DataFrame:
         F.format_string("Shop %d | Home - Deals", number),
         F.lit("</title>"),
         F.when(low, F.concat(F.lit('<meta property="og:site_name" content=" '), "s_name", F.lit(' ">'))).otherwise(F.lit("")),
-        F.when(nation < 20, F.lit('<script src="//cdn.shopify.com/t.js"></script>')).otherwise(F.lit("")),
+        F.when(nation < 20, F.lit('<script src="//cdn.shop-kit.example/t.js"></script>')).otherwise(F.lit("")),
         F.format_string('<script>var s={"currency":"USD","country":"C%s"};</script>', F.char(F.lit(65) + nation)),
         F.lit('</head><body><header><a href="/account/login">Sign in</a>'),
         F.when(low, F.format_string(" Call (212) 555-%04d.", number % 10000)).otherwise(F.lit("")),
@@ -313,8 +296,6 @@ def supplier_pages(spark: SparkSession, directory: str) -> DataFrame:
         .unionByName(documents)
         .unionByName(_faq_pages(spark, directory))
     )
-    if few_files(documents):
-        pages = spread(pages, "store_url", "path")
     return pages.select(
         "store_url",
         "path",
@@ -325,6 +306,9 @@ def supplier_pages(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
+#: What marks the pages of a store of the (invented) platform.
+MARKERS = ["cdn.shop-kit.example", "shop-kit-section"]
+
 # ---- brands and competitors
 
 TYPE_NAMES = {

@@ -16,7 +16,7 @@ def _now() -> Column:
 
 def _extracted(spark: SparkSession, d: str) -> DataFrame:
     return extraction.extract_stores(
-        roles.supplier_pages(spark, d), roles.supplier_feed(spark, d), _now()
+        roles.supplier_pages(spark, d), roles.supplier_feed(spark, d), _now(), roles.MARKERS
     )
 
 
@@ -51,7 +51,7 @@ def _flat(stores: DataFrame) -> DataFrame:
         ).alias("links"),
         "currency",
         "country",
-        "is_shopify_store",
+        "is_platform_store",
         "extraction_success",
         F.array_join("error_messages", ";").alias("errors"),
         "extraction_duration_seconds",
@@ -78,6 +78,7 @@ def _policy(first: int, second: int, name: str, limit: int) -> str:
 _FACTS = f"""
 {PAIRS}, keys AS (
   SELECT s_suppkey AS k FROM supplier UNION SELECT doc_id // {_N} FROM documents UNION SELECT conv_id FROM pairs
+  UNION SELECT p_partkey // {roles.BLOCK} FROM part
 ), items AS (
   SELECT p_partkey // {roles.BLOCK} AS k, p_partkey, p_name, p_size, printf('%.2f', p_retailprice) AS price FROM part
 ), heroes AS (
@@ -166,7 +167,7 @@ SELECT url || '/' AS website_url,
   CASE WHEN ok AND low THEN printf('(212) 555-%04d', b.k % 10000) ELSE '' END AS phones,
   CASE WHEN NOT ok THEN '' WHEN {_EVEN} THEN '{_LINKS_EVEN}' ELSE '{odd}' END AS links,
   CASE WHEN ok THEN 'USD' END AS currency, CASE WHEN ok THEN 'C' || chr(65 + nation) END AS country,
-  CASE WHEN ok THEN nation < 20 ELSE true END AS is_shopify_store, ok AS extraction_success,
+  CASE WHEN ok THEN nation < 20 ELSE true END AS is_platform_store, ok AS extraction_success,
   CASE WHEN ok THEN '' ELSE 'Failed to fetch homepage' END AS errors,
   CASE WHEN ok THEN CAST(t.span AS DOUBLE) END AS extraction_duration_seconds,
   CASE WHEN ok THEN CAST({score} AS DOUBLE) ELSE 0.0::DOUBLE END AS quality_score
@@ -187,10 +188,15 @@ STORE_ENRICHED = _document_sql(True)
 def store_crawl(spark: SparkSession, d: str) -> DataFrame:
     """The other extraction profile over the same landed inputs."""
     crawled = extraction.extract_stores_crawl(
-        roles.supplier_pages(spark, d), roles.supplier_feed(spark, d), _now()
+        roles.supplier_pages(spark, d), roles.supplier_feed(spark, d), _now(), roles.MARKERS
     )
-    flat = _flat(crawled).withColumn("address", F.lit(None).cast("string"))
-    return flat.drop("address", "currency", "country", "hero_url")
+    reached = crawled.select(
+        F.col("website_url"),
+        F.col("contact_info.address").alias("address"),
+        F.col("privacy_policy_url").alias("privacy_url"),
+        F.col("return_refund_policy_url").alias("return_url"),
+    )
+    return _flat(crawled).drop("currency", "country", "hero_url").join(reached, "website_url")
 
 
 _CRAWL_SCORE = _SCORE.format(
@@ -202,7 +208,8 @@ _CRAWL_SCORE = _SCORE.format(
 def _crawl_policy(first: int, second: int, name: str, limit: int, least: int = 100) -> str:
     return f"""
     {name} AS (
-      SELECT doc_id // {_N} AS k, arg_min(substr({strip('text')}, 1, {limit}), doc_id % {_N}) AS t FROM documents
+      SELECT doc_id // {_N} AS k, arg_min(substr({strip('text')}, 1, {limit}), doc_id % {_N}) AS t,
+        ['{"', '".join(roles.DOC_PATHS)}'][min(doc_id % {_N}) + 1] AS path FROM documents
       WHERE doc_id % {_N} IN ({first}, {second}) AND lang <> 'de' AND length({strip('text')}) > {least} GROUP BY 1
     )"""
 
@@ -231,7 +238,8 @@ SELECT url || '/' AS website_url,
   CASE WHEN ok THEN coalesce(c.n, 0) ELSE 0 END AS total_products,
   CASE WHEN ok THEN md5(p.t) END AS privacy_md5, CASE WHEN ok THEN md5(r.t) END AS return_md5,
   CASE WHEN ok THEN md5(sh.t) END AS shipping_md5, CASE WHEN ok THEN md5(te.t) END AS terms_md5,
-  CASE WHEN ok THEN md5(a.t) END AS context_md5,
+  CASE WHEN ok THEN md5(a.t) END AS context_md5, CASE WHEN ok THEN b.k || ' Road' END AS address,
+  CASE WHEN ok THEN url || p.path END AS privacy_url, CASE WHEN ok THEN url || r.path END AS return_url,
   CASE WHEN ok THEN least(coalesce(f.n, 0), 20) ELSE 0 END AS n_faqs,
   CASE WHEN ok THEN f.question END AS first_question,
   CASE WHEN ok THEN 'https://instagram.com/shop' || b.k || '">Instagram< https://facebook.com/sharer">Share< '
@@ -240,8 +248,8 @@ SELECT url || '/' AS website_url,
   CASE WHEN ok THEN printf('+1 212-555-%04d', b.k % 10000) ELSE '' END AS phones,
   CASE WHEN NOT ok THEN '' WHEN {_EVEN} THEN 'other:Contact us|tracking:Track order|legal:Terms|blog:News'
     ELSE 'blog:News' END AS links,
-  ok AS is_shopify_store, ok AS extraction_success,
-  CASE WHEN ok THEN '' WHEN nation = 24 THEN 'Website not found: ' || url WHEN nation IS NOT NULL THEN 'Not a Shopify store'
+  ok AS is_platform_store, ok AS extraction_success,
+  CASE WHEN ok THEN '' WHEN nation = 24 THEN 'Website not found: ' || url WHEN nation IS NOT NULL THEN 'Not a store of the platform'
     ELSE 'Failed to fetch homepage' END AS errors,
   CASE WHEN ok THEN CAST(t.crawl_span AS DOUBLE) END AS extraction_duration_seconds,
   CASE WHEN ok THEN CAST({_CRAWL_SCORE} AS DOUBLE) ELSE 0.0::DOUBLE END AS quality_score

@@ -11,7 +11,7 @@ from .sqltext import PAIRS, ladder, q, strip, words_in
 
 
 def _documents(spark: SparkSession, d: str) -> DataFrame:
-    return roles.texts(spark, d, "documents", "doc_id")
+    return roles.table(spark, d, "documents")
 
 
 def extract_emails(spark: SparkSession, d: str) -> DataFrame:
@@ -230,21 +230,22 @@ _LANGS = ["en", "fr", "de", "es"]
 
 
 def first_valid_path(spark: SparkSession, d: str) -> DataFrame:
-    tried = _documents(spark, d).select(
+    docs = _documents(spark, d)
+    tried = docs.where(F.col("lang").isin(_LANGS)).select(
         "source",
         F.array_position(F.lit(_LANGS), F.col("lang")).alias("place"),
         "doc_id",
         "lang",
-        F.substring("text", 1, rules.POLICY_MAX).alias("text"),
-        "n_chars",
+        F.length("text").alias("length"),
     )
-    chosen = first_valid(tried, ["source"], ["place", "doc_id"], F.length("text") > rules.POLICY_MIN)
-    return chosen.select("source", "lang", "doc_id", F.md5("text").alias("text_md5"))
+    chosen = first_valid(tried, ["source"], ["place", "doc_id"], F.col("length") > rules.POLICY_MIN)
+    texts = docs.select("doc_id", F.md5("text").alias("text_md5"))
+    return chosen.join(texts, "doc_id").select("source", "lang", "doc_id", "text_md5")
 
 
 FIRST_VALID_PATH = f"""
-SELECT source, lang, doc_id, md5(substr(text, 1, {rules.POLICY_MAX})) AS text_md5
-FROM documents WHERE length(text) > {rules.POLICY_MIN}
+SELECT source, lang, doc_id, md5(text) AS text_md5
+FROM documents WHERE length(text) > {rules.POLICY_MIN} AND lang IN ({', '.join(q(x) for x in _LANGS)})
 QUALIFY row_number() OVER (PARTITION BY source
   ORDER BY list_position([{', '.join(q(x) for x in _LANGS)}], lang), doc_id) = 1
 """
@@ -269,7 +270,7 @@ def url_list_parse(spark: SparkSession, d: str) -> DataFrame:
         .when(F.col("url").contains("/de/"), F.lit('{"stores": []}'))
         .otherwise(F.concat(F.lit("Try "), site, F.lit(" or https://www.example.org!")))
     )
-    rows = roles.texts(spark, d, "pages", "page_id").select("page_id", response.alias("response"))
+    rows = roles.table(spark, d, "pages").select("page_id", response.alias("response"))
     return rows.select(
         "page_id",
         F.array_join(lists.competitor_urls(F.col("response")), " ").alias("urls"),

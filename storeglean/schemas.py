@@ -39,7 +39,7 @@ shipping_policy STRING, terms_of_service STRING,
 brand_context STRING, brand_description STRING,
 faqs ARRAY<{FAQ}>, social_handles ARRAY<{SOCIAL}>, contact_info {CONTACT},
 important_links ARRAY<{LINK}>,
-currency STRING, country STRING, language STRING, is_shopify_store BOOLEAN,
+currency STRING, country STRING, language STRING, is_platform_store BOOLEAN,
 extraction_timestamp TIMESTAMP, extraction_success BOOLEAN, error_messages ARRAY<STRING>,
 extraction_duration_seconds DOUBLE, quality_score DOUBLE,
 created_at TIMESTAMP, updated_at TIMESTAMP

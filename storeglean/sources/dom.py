@@ -41,6 +41,7 @@ class _Page(HTMLParser):
         self.last, self.first_piece, self.end_piece = [], [], []
         self.pieces, self.owners = [], []
         self._open = []
+        self._anchor = None
         self._fresh = True
         self.feed(html)
         self.close()
@@ -51,6 +52,10 @@ class _Page(HTMLParser):
 
     def handle_starttag(self, tag, attrs):
         self._fresh = True
+        if tag == "a":  # ends one that was not closed
+            if self._anchor is not None:
+                self._pop_to(self._anchor)
+            self._anchor = len(self._open)
         i = len(self.tags)
         self.tags.append(tag)
         self.attrs.append({k: v or "" for k, v in attrs})
@@ -86,6 +91,8 @@ class _Page(HTMLParser):
 
     def _pop_to(self, depth):
         self._fresh = True
+        if self._anchor is not None and depth <= self._anchor:
+            self._anchor = None
         for i in self._open[depth:]:
             self.last[i] = len(self.tags) - 1
             self.end_piece[i] = len(self.pieces)
@@ -109,6 +116,13 @@ class _Page(HTMLParser):
     def first(self, *args, **kwargs):
         return next(iter(self.find(*args, **kwargs)), None)
 
+    def within(self, i, chosen: list[int]) -> Iterator[int]:
+        """Those of the elements `chosen`, in document order, that lie inside an element."""
+        for at in range(bisect_right(chosen, i), len(chosen)):
+            if chosen[at] > self.last[i]:
+                return
+            yield chosen[at]
+
     def classes(self, i) -> list[str]:
         return self.attrs[i].get("class", "").split()
 
@@ -164,6 +178,10 @@ def _direct_text(page: _Page) -> str:
 
 def _anchors(page: _Page, product: str) -> list[dict]:
     footers, tops = page.find("footer"), page.find("header") + page.find("nav")
+    images, marked = page.find("img"), page.find()
+    prices = [k for k in marked if page.class_like(k, _PRICE)]
+    shown = [k for k in marked if _price_like(page, k)]
+    price_text: dict[int, str] = {}
     rows = []
     for i in page.find("a"):
         attrs, href = page.attrs[i], page.attrs[i].get("href")
@@ -182,13 +200,14 @@ def _anchors(page: _Page, product: str) -> list[dict]:
             "in_header_nav": any(t < i <= page.last[t] for t in tops),
         }
         if href and re.search(product, href):
-            image = page.first("img", within=i)
+            image = next(page.within(i, images), None)
             row["img_src"] = page.attrs[image].get("src") if image is not None else None
-            inner = [t for k in page.find(within=i) if _price_like(page, k) for t in page.own_texts(k)]
-            row["inner_price"] = inner[0] if inner else None
-            if page.parents[i] >= 0:
-                near = [k for k in page.find(within=page.parents[i]) if page.class_like(k, _PRICE)]
-                row["parent_price"] = page.text(near[0]) if near else None
+            row["inner_price"] = next((t for k in page.within(i, shown) for t in page.own_texts(k)), None)
+            near = next(page.within(page.parents[i], prices), None) if page.parents[i] >= 0 else None
+            if near is not None:
+                if near not in price_text:
+                    price_text[near] = page.text(near)
+                row["parent_price"] = price_text[near]
         rows.append(row)
     return rows
 

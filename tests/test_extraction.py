@@ -14,7 +14,9 @@ NOW = dt.datetime(2024, 1, 1)
 HOME = """<html><head><title>Acme | x</title></head><body><ul>
 <li><a href="/products/mug" title="Mug"></a></li></ul>
 <footer><a href="/pages/faq">FAQ</a> A@B.co a@b.co x@example.com 212-555-0199 instagram.com/acme </footer>
-<script>cdn.shopify.com "currency":"USD","country":"US"</script></body></html>"""
+<script>cdn.shop-kit.example "currency":"USD","country":"US"</script></body></html>"""
+
+MARKERS = ["cdn.shop-kit.example"]
 
 
 def test_landed_tables_are_read_with_their_schemas(spark, tmp_path):
@@ -51,6 +53,7 @@ def records(spark):
         spark.createDataFrame(pages, schemas.STORE_PAGES),
         spark.createDataFrame(feed, schemas.PRODUCT_FEED),
         F.lit(NOW),
+        MARKERS,
     )
     return made.cache()
 
@@ -92,14 +95,14 @@ def test_crawl_profile(spark):
     ]
     feed = spark.createDataFrame([], schemas.PRODUCT_FEED)
     rows = by_url(
-        extraction.extract_stores_crawl(spark.createDataFrame(pages, schemas.STORE_PAGES), feed, F.lit(NOW))
+        extraction.extract_stores_crawl(spark.createDataFrame(pages, schemas.STORE_PAGES), feed, F.lit(NOW), MARKERS)
     )
     a = rows["https://a.com/"]
     assert len(a["return_refund_policy"]) == 2000
     assert a["return_refund_policy_url"] == "https://a.com/pages/refund-policy"
     assert a["brand_context"] == "a" * 60 and a["contact_info"]["address"] == "1 Road"
     assert a["contact_info"]["emails"] == ["z@shop.org"] and a["faqs"] == []
-    assert rows["https://c.com/"]["error_messages"] == ["Not a Shopify store"]
+    assert rows["https://c.com/"]["error_messages"] == ["Not a store of the platform"]
     assert rows["https://d.com/"]["error_messages"] == ["Website not found: https://d.com"]
 
 

@@ -1,10 +1,12 @@
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from storeglean import rules
 from storeglean.functions import faq, links, page, social
+from storeglean.sources import dom
 from storeglean.sources.dom import page_facts
 
 
@@ -173,19 +175,26 @@ def test_links_of_platforms(value):
 
 
 def test_platform_and_settings(value):
-    assert value(page.has_platform_marker, html="... SHOPIFY.theme ...") is True
-    assert value(page.has_platform_marker, html="plain") is False
+    marked = lambda html: page.has_platform_marker(html, ["Shop-Kit.theme", "cdn.kit"])
+    assert value(marked, html="... SHOP-KIT.theme ...") is True
+    assert value(marked, html="plain") is False
     row = value(page.embedded_settings, html='"currency":"USD","country":"US","shop_name":"Acme"')
     assert row.asDict() == {"currency": "USD", "country": "US", "shop_name": "Acme"}
     assert value(page.embedded_settings, html="x").asDict() == {"currency": None, "country": None, "shop_name": None}
 
 
-def test_closed_lists_and_other_marker_lists(value):
+@pytest.mark.parametrize("link", ['<a href="/products/{0}">{0}</a>', '<a href="/products/{0}">{0}'])
+def test_very_many_links_are_read_in_a_moment(link):
+    html = "<body>" + "".join(link.format(i) for i in range(20_000)) + "<span class=price>1</span></body>"
+    start = time.perf_counter()
+    rows = dom._anchors(dom._Page(html), "/products/")
+    assert time.perf_counter() - start < 5
+    assert [r["text"] for r in rows[:3]] == ["0", "1", "2"] and len(rows) == 20_000
+    assert rows[0]["parent_price"] == "1"
+
+
+def test_closed_lists(value):
     assert value(social.normalize_platform, p="TikTok") == "tiktok"
     assert value(social.normalize_platform, p="myspace") == "other"
     assert value(links.stored_category, c="HELP") == "help"
     assert value(links.stored_category, c="shopping") == "other"
-    assert value(lambda h: page.has_platform_marker(h, rules.PLATFORM_MARKERS_LONG), h="powered by SHOPIFY") is True
-    assert value(lambda h: page.has_platform_marker(h, rules.PLATFORM_MARKERS_LONG), h="shopify") is False
-    made = lambda t: links.raw_category(t, F.lit("/x"), rules.LINK_KEYWORDS_STORED)
-    assert value(made, t="Our posts") == "blog" and value(made, t="Shop all") is None

@@ -24,7 +24,7 @@ def plan(df):
 
 @given
 def test_python_runs_in_the_parser_only(spark):
-    for name, query in entry.queries().items():
+    for name, (query, _) in entry.BASE.items():
         text = plan(query(spark, DIRECTORY))
         assert ("MapInArrow" in text) == (name in PARSES), name
         for word in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython", "FlatMapGroups"):
@@ -49,10 +49,10 @@ def test_path_filter_reaches_the_scan(spark, tmp_path):
     location = str(tmp_path / "pages")
     spark.createDataFrame([], schemas.STORE_PAGES).write.parquet(location)
     feed = spark.createDataFrame([], schemas.PRODUCT_FEED)
-    text = plan(extraction.extract_stores(landed.read_store_pages(spark, location), feed, F.current_timestamp()))
+    text = plan(extraction.extract_stores(landed.read_store_pages(spark, location), feed, F.current_timestamp(), ["kit"]))
     assert "In(path" in text.replace("PushedFilters: [", "")
-    # One shuffle of page facts by store; the join with the catalogs reuses it.
-    assert text.count("Exchange hashpartitioning(store_url") == 2
+    # One shuffle of page facts, one of feed pages and one of the keys of stores; the joins use them.
+    assert text.count("Exchange hashpartitioning(store_url") == 3
 
 
 def test_enrichment_has_no_shuffle(spark):
