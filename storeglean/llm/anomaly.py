@@ -22,6 +22,7 @@ STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 #: Trees of the forest, rows of a tree, and the share of good labelled rows that may go.
 TREES, TREE_ROWS, GOOD_LOSS = 100, 256, 0.01
 STEPS = 1000
+SHRINK, USUAL_CHARS = 50, 5
 _UPPER, _BANG = bytes(range(65, 91)), b"!"
 
 
@@ -79,16 +80,10 @@ def statistics(text: str) -> Column:
 
 
 def shares() -> list[Column]:
-    """What the forest looks at: statistics that do not grow with the text."""
-    words, chars = F.greatest("n_words", F.lit(1)), F.greatest("word_chars", F.lit(1))
-    return [
-        F.col("word_chars") / words,
-        F.col("n_symbols") / words,
-        F.col("n_dup_lines") / F.greatest("n_lines", F.lit(1)),
-        F.col("n_repeat_words") / words,
-        F.col("n_upper") / chars,
-        F.col("n_bangs") / words,
-    ]
+    """What the forest looks at: statistics that do not grow with the text, as if it had SHRINK more words of the usual
+    kind, so that short texts do not stand out by chance. Repetition is left to the rules: clean documents have some."""
+    words, chars = F.col("n_words") + SHRINK, F.col("word_chars") + SHRINK * USUAL_CHARS
+    return [chars / words, F.col("n_symbols") / words, F.col("n_upper") / chars, F.col("n_bangs") / words]
 
 
 def _usual_path(n: np.ndarray | int) -> np.ndarray | float:
@@ -180,7 +175,9 @@ def base_failed() -> Column:
     return (F.col("n_words") < 20) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 30)
 
 
-def judge(docs: DataFrame, labels: DataFrame, trees: int = TREES, tree_rows: int = TREE_ROWS) -> DataFrame:
+def judge(
+    docs: DataFrame, labels: DataFrame, trees: int = TREES, tree_rows: int = TREE_ROWS, good_loss: float = GOOD_LOSS
+) -> DataFrame:
     """One row per document: doc_id, STATS, base_failed, score, kept.
 
     The forest grows on the first trees * tree_rows documents by a hash of their id, of those that pass the base rules;
@@ -194,7 +191,7 @@ def judge(docs: DataFrame, labels: DataFrame, trees: int = TREES, tree_rows: int
     forest = grow(sample, trees, tree_rows)
     scored = stats.withColumn("score", _scored(forest))
     marked = labels.where("quality in (0, 1)").select("doc_id", (F.col("quality") == 1).alias("good"))
-    limit = threshold(scored.where(~F.col("base_failed")).join(marked, "doc_id").select("score", "good"))
+    limit = threshold(scored.where(~F.col("base_failed")).join(marked, "doc_id").select("score", "good"), good_loss)
     return scored.withColumn("kept", ~F.col("base_failed") & (F.col("score") < limit))
 
 
