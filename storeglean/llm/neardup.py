@@ -9,9 +9,9 @@ only those are posted. Pairs that one document has alone are no posts at all, an
 has no partner.
 Skip: equal sets are one class with one representative. A first round only confirms each document against the
 smallest one of its lists (one pair a document); lists whose documents are by then in one component are skipped, and in
-the others only pairs across components are counted. Collisions of a pair are counted once, in the first list that
-the two share. A long list is counted block by block. Pairs go on if sizes, collisions and (Jaccard distance is a
-metric) their distances from a common partner allow a link.
+the others only pairs across components are counted. A long list is counted part by part. Pairs go on if sizes,
+collisions and (Jaccard distance is a metric) their distances from a common partner allow a link. What goes on is the pair
+of blocks they are in, not each pair: a task confirms the pairs of two blocks and returns links that connect them.
 """
 
 from __future__ import annotations
@@ -108,22 +108,31 @@ def _sketch(words: int):
 
 
 def _posts(sets: DataFrame, matches: int) -> DataFrame:
-    """(node, n, coordinate, value, mask) for the rarest shared coordinate-value pairs of each node; mask has a bit for each."""
-    each = sets.select("node", "n", F.posexplode("sig").alias("coordinate", "value"))
-    common = each.groupBy("coordinate", "value").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
-    shared = each.join(common, ["coordinate", "value"])
+    """(node, mask, coordinate, value, head) for the rarest shared coordinate-value pairs of each node; mask has a bit for
+    each of them, head is the smallest node of the list."""
+    # one long for a pair
+    pair = F.transform("sig", lambda v, i: F.shiftleft(i.cast("long"), 32).bitwiseOR(v.cast("long").bitwiseAND(0xFFFFFFFF)))
+    each = sets.select("node", F.explode(pair).alias("pair"))
+    common = each.groupBy("pair").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
     room = COORDINATES - matches + 1
-    chosen = (
-        shared.groupBy("node", "n")
-        .agg(F.array_sort(F.collect_list(F.struct("often", "coordinate", "value"))).alias("held"))
+    chosen = kept(
+        each.join(common, "pair")
+        .groupBy("node")
+        .agg(F.array_sort(F.collect_list(F.struct("often", "pair"))).alias("held"))
         .where(F.size("held") >= matches)
-        # the coordinates that are not shared come first in the order of rarity
-        .withColumn("held", F.expr(f"slice(held, 1, {room} - ({COORDINATES} - size(held)))"))
-        .withColumn("mask", F.expr("aggregate(held, 0L, (m, x) -> m | shiftleft(1L, x.coordinate))"))
+        # the pairs that are not shared come first in the order of rarity
+        .select("node", F.expr(f"slice(held, 1, {room} - ({COORDINATES} - size(held))).pair").alias("held"))
+    )
+    mask = F.expr("aggregate(held, 0L, (m, p) -> m | shiftleft(1L, int(shiftright(p, 32))))")
+    posts = chosen.select("node", mask.alias("mask"), F.explode("held").alias("pair"))
+    lists = posts.groupBy("pair").agg(F.min("node").alias("head"), F.max("node").alias("tail"))
+    return posts.join(lists.where("head < tail"), "pair").select(
+        "node",
+        "mask",
+        F.shiftright("pair", 32).cast("int").alias("coordinate"),
+        "pair",
+        "head",
     )
-    posts = chosen.select("node", "n", "mask", F.inline("held")).drop("often")
-    lists = posts.groupBy("coordinate", "value").agg(F.min("node").alias("head"), F.max("node").alias("tail"))
-    return posts.join(lists.where("head < tail"), ["coordinate", "value"]).drop("tail")
 
 
 def _confirm(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
@@ -153,58 +162,65 @@ def _confirm(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     )
 
 
-def _across(members: DataFrame, sets: DataFrame, percent: int, matches: int) -> DataFrame:
-    """(a, b) across components that may be linked. members: coordinate, value, node, n, mask, component, hub, distance."""
-    lists = members.groupBy("coordinate", "value").agg(
+def _able(a: dict, b: dict, x: np.ndarray, y: np.ndarray, percent: int, matches: int) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the pairs of rows x of a and y of b that may be links across components, by sizes, by distances from a
+    common partner and by collisions."""
+    fits = (a["node"][x] != b["node"][y]) & (a["component"][x] != b["component"][y])
+    low, high = np.minimum(a["n"][x], b["n"][y]), np.maximum(a["n"][x], b["n"][y])
+    apart = np.abs(a["distance"][x] - b["distance"][y]) > 1 - percent / 100 + 1e-9
+    fits &= (100 * low >= percent * high) & ~((a["hub"][x] == b["hub"][y]) & apart)
+    x, y = x[fits], y[fits]
+    good = [np.count_nonzero(a["sig"][x[i : i + 20_000]] == b["sig"][y[i : i + 20_000]], 1) >= matches for i in range(0, len(x), 20_000)]
+    good = np.concatenate(good) if good else np.zeros(0, bool)
+    return x[good], y[good]
+
+
+def _columns(held: pd.DataFrame, names: tuple[str, ...]) -> dict:
+    return {c: held[c].to_numpy() for c in names} | {"sig": np.stack(held["sig"].to_list())}
+
+
+_FACTS = ("node", "n", "component", "hub", "distance")
+
+
+def _across(members: DataFrame, facts: DataFrame, percent: int, matches: int) -> DataFrame:
+    """(x, y): pairs of blocks that hold a pair of documents in different components which collide often enough.
+
+    members: pair, node, component; facts: a row per node with its block, size, signature, component, and distance from
+    a partner.
+    """
+    lists = members.groupBy("pair").agg(
         F.count(F.lit(1)).alias("often"), F.min("component").alias("low"), F.max("component").alias("high")
     )
-    blocks = F.ceil(F.col("often") / LIST_BLOCK).cast("int")
-    mixed = lists.where("low < high").select("coordinate", "value", blocks.alias("blocks"))
+    parts = F.ceil(F.col("often") / LIST_BLOCK).cast("int")
+    mixed = lists.where("low < high").select("pair", parts.alias("parts"))
     dealt = kept(
-        members.join(mixed, ["coordinate", "value"])
-        .withColumn("block", F.shiftright(hash32(F.col("node")) * F.col("blocks"), 32).cast("int"))
-        .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-        .withColumn("i", F.least("block", "other"))
-        .withColumn("j", F.greatest("block", "other"))
-        .drop("blocks", "other")
+        members.select("pair", "node")
+        .join(mixed, "pair")
+        .withColumn("part", F.shiftright(hash32(F.col("node")) * F.col("parts"), 32).cast("int"))
+        .withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
+        .select("pair", "node", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
     )
-    # lists, or pairs of blocks of one, that are counted by one task at a time
-    parts = max(1, math.ceil(dealt.count() / ROWS_AT_ONCE))
-    unit = ["coordinate", "value", "i", "j"]
-    with_sig = dealt.join(sets.select("node", "sig"), "node").withColumn("part", F.pmod(F.xxhash64(*unit), F.lit(parts)))
+    # lists, or pairs of parts of one, that are counted by one task at a time
+    tasks = max(1, math.ceil(dealt.count() / ROWS_AT_ONCE))
+    unit = ["pair", "i", "j"]
+    full = dealt.join(facts, "node").withColumn("task", F.pmod(F.xxhash64(*unit), F.lit(tasks)))
 
     def count(held: pd.DataFrame) -> pd.DataFrame:
         held = held.sort_values(unit, ignore_index=True)
-        get = {c: held[c].to_numpy() for c in ("node", "n", "mask", "component", "hub", "distance", "coordinate", "block", "i", "j")}
-        sig = np.stack(held["sig"].to_list())
+        get = _columns(held, (*_FACTS, "block", "part", "i", "j"))
         change = np.flatnonzero(np.any([np.diff(held[c].to_numpy()) != 0 for c in unit], axis=0)) + 1
-        found, pairs, size = [], [], 0
+        found, pairs, size = set(), [], 0
 
         def settle() -> None:
-            x, y = (np.concatenate([p[k] for p in pairs]) for k in (0, 1))
-            fits = (get["node"][x] != get["node"][y]) & (get["component"][x] != get["component"][y])
-            low, high = np.minimum(get["n"][x], get["n"][y]), np.maximum(get["n"][x], get["n"][y])
-            fits &= 100 * low >= percent * high
-            apart = np.abs(get["distance"][x] - get["distance"][y]) > 1 - percent / 100 + 1e-9
-            fits &= ~((get["hub"][x] == get["hub"][y]) & apart)
-            x, y = x[fits], y[fits]
-            for at in range(0, len(x), 20_000):
-                a, b = x[at : at + 20_000], y[at : at + 20_000]
-                same = sig[a] == sig[b]
-                good = same.sum(1) >= matches
-                a, b, same = a[good], b[good], same[good]
-                # the first list that both are in
-                bits = ((get["mask"][a] & get["mask"][b])[:, None] >> np.arange(COORDINATES)) & 1
-                first = (same & (bits == 1)).argmax(1) == get["coordinate"][a]
-                found.append(np.stack([get["node"][a[first]], get["node"][b[first]]], 1))
+            x, y = _able(get, get, *(np.concatenate([p[k] for p in pairs]) for k in (0, 1)), percent, matches)
+            found.update(tuple(sorted(p)) for p in set(zip(get["block"][x], get["block"][y], strict=True)))
 
         for start, end in zip([0, *change], [*change, len(held)], strict=True):
+            at = np.arange(start, end)
             if get["i"][start] == get["j"][start]:
-                x, y = np.triu_indices(end - start, 1)
-                x, y = x + start, y + start
+                x, y = (at[k] for k in np.triu_indices(len(at), 1))
             else:
-                at = np.arange(start, end)
-                left, right = (at[get["block"][start:end] == get[k][start]] for k in ("i", "j"))
+                left, right = (at[get["part"][start:end] == get[k][start]] for k in ("i", "j"))
                 x, y = np.repeat(left, len(right)), np.tile(right, len(left))
             pairs.append((x, y))
             size += len(x)
@@ -213,10 +229,44 @@ def _across(members: DataFrame, sets: DataFrame, percent: int, matches: int) ->
                 pairs, size = [], 0
         if pairs:
             settle()
-        every = np.concatenate(found) if found else np.empty((0, 2), np.int64)
-        return pd.DataFrame({"a": every.min(1), "b": every.max(1)} if len(every) else {"a": [], "b": []}).astype("int64")
+        return pd.DataFrame(sorted(found), columns=["x", "y"], dtype=object)
+
+    return full.groupBy("task").applyInPandas(count, "x string, y string").distinct()
+
 
-    return with_sig.groupBy("part").applyInPandas(count, "a long, b long")
+def _links_between(blocks: DataFrame, facts: DataFrame, texts: DataFrame, words: int, percent: int, matches: int) -> DataFrame:
+    """(a, b): links across components between each two blocks (x, y), as many as connect what they connect."""
+    ends = blocks.select(F.concat_ws("|", "x", "y").alias("k"), F.explode(F.array_distinct(F.array("x", "y"))).alias("block"))
+    full = ends.join(facts, "block").join(texts, "node")
+
+    def confirm(held: pd.DataFrame) -> pd.DataFrame:
+        sets = [shingles(t.encode(), words) for t in held["text"]]
+        filled = [len(s) > 0 for s in sets]  # rows that share an id may have texts without words
+        held, sets = held[filled], [s for s in sets if len(s)]
+        get = _columns(held, _FACTS)
+        x, y = _able(get, get, *np.triu_indices(len(held), 1), percent, matches)
+        root: dict[int, int] = {}
+
+        def top(c: int) -> int:
+            while (up := root.get(c, c)) != c:
+                c = up
+            return c
+
+        rows = []
+        for start, end in zip(*(np.searchsorted(x, np.unique(x), side) for side in ("left", "right")), strict=True):
+            one, others = x[start], y[start:end]
+            lengths = np.array([len(sets[o]) for o in others])
+            joined = np.concatenate([sets[o] for o in others])
+            at = np.minimum(np.searchsorted(sets[one], joined), len(sets[one]) - 1)
+            both = np.add.reduceat((sets[one][at] == joined).astype(np.int64), np.concatenate(([0], np.cumsum(lengths)[:-1])))
+            for o in others[100 * both >= percent * (len(sets[one]) + lengths - both)]:
+                a, b = sorted((top(get["component"][one]), top(get["component"][o])))
+                if a != b:
+                    root[b] = a
+                    rows.append((get["node"][one], get["node"][o]))
+        return pd.DataFrame(rows, columns=["a", "b"]).astype("int64")
+
+    return full.groupBy("k").applyInPandas(confirm, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -278,8 +328,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
 
     # second round: pairs across components
     distance = stars.select(F.col("b").alias("node"), F.col("a").alias("hub"), (1 - F.col("n_both") / F.col("n_any")).alias("distance"))
-    members = (
-        posts.join(so_far, "node", "left")
+    facts = kept(
+        block_of.join(so_far, "node", "left")
         .join(distance, "node", "left")
         .withColumns(
             {
@@ -288,10 +338,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
                 "distance": F.coalesce("distance", F.lit(0.0)),
             }
         )
+        .join(sets.select("node", "n", "sig"), "node")
     )
-    across = _across(members, sets, percent, matches)
-    across = kept(across.join(tried, ["a", "b"], "left_anti"))
-    more = kept(linked(_confirm(with_blocks(across), texts, words)))
+    members = posts.select("pair", "node").join(facts.select("node", "component"), "node")
+    across = kept(_across(members, facts, percent, matches))
+    more = kept(_links_between(across, facts, texts, words, percent, matches))
     whole = kept(components(links.unionByName(more)))
     discard(spark, path)
 
