@@ -1,7 +1,6 @@
 """First-seen rules on arrays that are already nested in a row.
 
-All arrays here are bounded by a stated limit (at most 1,250 feed products, 50 links, ...), so
-these rules need no shuffle at all.
+The arrays are those of one page or of one store's record, so these rules need no shuffle at all.
 """
 
 from collections.abc import Callable
@@ -15,6 +14,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def cut(arr: Column, n: int | None) -> Column:
+    """The first `n` elements; all of them for None."""
+    return arr if n is None else F.slice(arr, 1, n)
+
+
 def keep_first_by(arr: Column, key: Callable[[Column], Column]) -> Column:
     """Drop elements whose key was seen before; order is kept."""
     return let(

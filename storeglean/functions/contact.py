@@ -4,7 +4,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import rules
-from .arrays import keep_first_by
+from .arrays import cut, keep_first_by
 from .text import SPACE, any_of, contains_any, one_of, strip
 
 # Same matches as the plain pattern. It is tried only where a run of address characters starts
@@ -42,15 +42,17 @@ def find_emails_bounded(text: Column) -> Column:
     return _with_at(text, F.array_distinct(F.transform(kept, F.lower)))
 
 
-def clean_emails(emails: Column, placeholders: list[str] | None = None) -> Column:
-    """Lower-case, drop placeholders, keep first of each, at most three."""
+def clean_emails(
+    emails: Column, placeholders: list[str] | None = None, limits: rules.Limits = rules.KEEP_ALL
+) -> Column:
+    """Lower-case, drop placeholders, keep first of each."""
     words = rules.PLACEHOLDER_EMAIL_PARTS if placeholders is None else placeholders
     plain = F.transform(emails, lambda e: strip(F.lower(e)))
     kept = F.filter(plain, lambda e: ~contains_any(e, words)) if words else plain
-    return F.slice(F.array_distinct(kept), 1, rules.EMAILS_MAX)
+    return cut(F.array_distinct(kept), limits.emails)
 
 
-def clean_emails_strict(emails: Column) -> Column:
+def clean_emails_strict(emails: Column, limits: rules.Limits = rules.KEEP_ALL) -> Column:
     """As `clean_emails`, with the longer domain and extension lists."""
     plain = F.transform(emails, lambda e: strip(F.lower(e)))
     kept = F.filter(
@@ -58,15 +60,15 @@ def clean_emails_strict(emails: Column) -> Column:
         lambda e: ~one_of(F.element_at(F.split(e, "@"), -1), rules.PLACEHOLDER_EMAIL_DOMAINS_ALL)
         & ~e.rlike(_endings(rules.PLACEHOLDER_EMAIL_SUFFIXES_ALL)),
     )
-    return F.slice(F.array_distinct(kept), 1, rules.EMAILS_MAX)
+    return cut(F.array_distinct(kept), limits.emails)
 
 
-def find_phones(text: Column) -> Column:
-    """Of the first five number-like matches, up to three with ten digits or more."""
+def find_phones(text: Column, limits: rules.Limits = rules.KEEP_ALL) -> Column:
+    """Number-like matches with ten digits or more."""
     found = F.regexp_extract_all(text, F.lit(_PHONE), F.lit(0))
-    looked_at = F.slice(found, 1, rules.PHONES_SCANNED)
+    looked_at = cut(found, limits.phones_scanned)
     kept = F.filter(looked_at, lambda p: F.length(digits(p)) >= rules.PHONE_MIN_DIGITS)
-    return F.slice(kept, 1, rules.PHONES_MAX)
+    return cut(kept, limits.phones)
 
 
 def find_phones_grouped(text: Column) -> Column:
@@ -81,7 +83,7 @@ def find_phones_grouped(text: Column) -> Column:
     return F.array_distinct(kept)
 
 
-def clean_phones(phones: Column) -> Column:
-    """First number of each digit sequence, written as found, at most three."""
+def clean_phones(phones: Column, limits: rules.Limits = rules.KEEP_ALL) -> Column:
+    """First number of each digit sequence, written as found."""
     kept = F.filter(phones, lambda p: F.length(digits(p)) >= rules.PHONE_MIN_DIGITS)
-    return F.slice(keep_first_by(kept, digits), 1, rules.PHONES_MAX)
+    return cut(keep_first_by(kept, digits), limits.phones)

@@ -4,7 +4,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import rules, schemas
-from .arrays import let
+from .arrays import cut, let
 from .text import blank_to_null, contains_any, has_text, head, longer_than, sql_text, strip
 
 _QUESTION_LINE = r"^(?:Q:|Question:|Q\.)|\?$"
@@ -56,8 +56,10 @@ def from_jsonld(scripts: Column, answer_limit: int | None = None) -> Column:
     return F.transform(valid, pair)
 
 
-def from_elements(candidates: Column) -> Column:
+def from_elements(candidates: Column, limits: rules.Limits = rules.KEEP_ALL) -> Column:
     """Pairs of the first element pattern that gives any."""
+    if limits.faqs is not None:
+        candidates = F.filter(candidates, lambda c: c["pos"] < limits.faqs)
     valid = F.filter(
         candidates,
         lambda c: is_question(c["question"])
@@ -67,26 +69,26 @@ def from_elements(candidates: Column) -> Column:
     best = F.array_min(F.transform(valid, lambda c: c["pattern"]))
     return F.transform(
         F.filter(valid, lambda c: c["pattern"] == best),
-        lambda c: _pair(c["question"], head(c["answer"], rules.FAQ_ANSWER_MAX), _general()),
+        lambda c: _pair(c["question"], head(c["answer"], limits.faq_answer_chars), _general()),
     )
 
 
-def from_items(items: Column) -> Column:
-    """Other form: question and answer inside one item element, ten items looked at."""
-    valid = F.filter(items, lambda c: has_text(c["question"]) & has_text(c["answer"]))
+def from_items(items: Column, limits: rules.Limits = rules.KEEP_ALL) -> Column:
+    """Other form: question and answer inside one item element."""
+    valid = F.filter(cut(items, limits.faq_items), lambda c: has_text(c["question"]) & has_text(c["answer"]))
     return F.transform(
         valid,
         lambda c: _pair(
-            strip(c["question"]), head(strip(c["answer"]), rules.FAQ_ANSWER_MAX), F.lit("General")
+            strip(c["question"]), head(strip(c["answer"]), limits.faq_answer_chars), F.lit("General")
         ),
     )
 
 
-def of_page(jsonld: Column, candidates: Column) -> Column:
+def of_page(jsonld: Column, candidates: Column, limits: rules.Limits = rules.KEEP_ALL) -> Column:
     """JSON-LD pairs, or element pairs where the page has none."""
     return let(
         from_jsonld(jsonld),
-        lambda found: F.when(F.size(found) > 0, found).otherwise(from_elements(candidates)),
+        lambda found: F.when(F.size(found) > 0, found).otherwise(from_elements(candidates, limits)),
     )
 
 
@@ -99,20 +101,16 @@ def default_pairs() -> Column:
     return F.expr(f"array({rows})")
 
 
-def pad_pairs(pairs: Column) -> Column:
-    """Three default pairs where there are none; at most twenty remain."""
-    return F.slice(
-        F.when(F.coalesce(F.size(pairs) > 0, F.lit(False)), pairs).otherwise(default_pairs()),
-        1,
-        rules.FAQ_MAX,
-    )
+def pad_pairs(pairs: Column, limits: rules.Limits = rules.KEEP_ALL) -> Column:
+    """Three default pairs where there are none."""
+    return cut(F.when(F.coalesce(F.size(pairs) > 0, F.lit(False)), pairs).otherwise(default_pairs()), limits.faqs)
 
 
-def from_text(text: Column) -> Column:
+def from_text(text: Column, limits: rules.Limits = rules.KEEP_ALL) -> Column:
     """Pairs in Q:/A: text, one row at a time and without a shuffle.
 
     A question line opens a pair. Answer lines are always added to it, other lines only while
-    it holds fewer than three. Folding keeps at most 20 pairs and 500 answer characters.
+    it holds fewer than three.
     """
     lines = F.filter(F.transform(F.split(text, "\n"), strip), lambda s: s != "")
     start = F.struct(
@@ -123,9 +121,11 @@ def from_text(text: Column) -> Column:
     )
 
     def closed(s: Column) -> Column:
-        ready = has_text(s["question"]) & (s["parts"] > 0) & (F.size(s["pairs"]) < rules.FAQ_MAX)
+        ready = has_text(s["question"]) & (s["parts"] > 0)
+        if limits.faqs is not None:
+            ready = ready & (F.size(s["pairs"]) < limits.faqs)
         pair = F.struct(
-            head(s["question"], rules.FAQ_QUESTION_MAX).alias("question"), s["answer"].alias("answer")
+            head(s["question"], limits.faq_question_chars).alias("question"), s["answer"].alias("answer")
         )
         return F.when(ready, F.concat(s["pairs"], F.array(pair))).otherwise(s["pairs"])
 
@@ -134,7 +134,7 @@ def from_text(text: Column) -> Column:
         return F.struct(
             s["pairs"].alias("pairs"),
             s["question"].alias("question"),
-            head(joined, rules.FAQ_ANSWER_MAX).alias("answer"),
+            head(joined, limits.faq_answer_chars).alias("answer"),
             (s["parts"] + 1).alias("parts"),
         )
 

@@ -4,20 +4,20 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import rules
-from .arrays import size0
+from .arrays import cut, size0
 from .text import blank_to_null, contains_any, first_matching_label
 
 
-def product_types(catalog: Column, n: int) -> Column:
-    """Distinct lower-case types of the first 20 products, first-seen order, at most `n`."""
-    first = F.slice(catalog, 1, rules.PRODUCTS_FOR_INDUSTRY)
+def product_types(catalog: Column, n: int | None = None, limits: rules.Limits = rules.KEEP_ALL) -> Column:
+    """Distinct lower-case types of the products, first-seen order, at most `n`."""
+    first = cut(catalog, limits.products_for_industry)
     types = F.transform(first, lambda p: blank_to_null(F.lower(p["product_type"])))
-    return F.slice(F.array_distinct(F.filter(types, lambda t: t.isNotNull())), 1, n)
+    return cut(F.array_distinct(F.filter(types, lambda t: t.isNotNull())), n)
 
 
-def names_text(catalog: Column) -> Column:
-    """Lower-case names of the first 20 products in one text."""
-    first = F.slice(catalog, 1, rules.PRODUCTS_FOR_INDUSTRY)
+def names_text(catalog: Column, limits: rules.Limits = rules.KEEP_ALL) -> Column:
+    """Lower-case names of the products in one text."""
+    first = cut(catalog, limits.products_for_industry)
     return F.array_join(F.transform(first, lambda p: F.lower(p["name"])), " ")
 
 
@@ -25,10 +25,10 @@ def keyword_from_names(text: Column) -> Column:
     return first_matching_label(text, rules.KEYWORD_FROM_NAMES)
 
 
-def keywords(catalog: Column) -> Column:
+def keywords(catalog: Column, limits: rules.Limits = rules.KEEP_ALL) -> Column:
     """Product types, or one keyword inferred from the names where there are none."""
-    types = product_types(catalog, rules.KEYWORDS_ROUTE)
-    inferred = keyword_from_names(names_text(catalog))
+    types = product_types(catalog, limits.keywords, limits)
+    inferred = keyword_from_names(names_text(catalog, limits))
     return (
         F.when(size0(types) > 0, types)
         .when(inferred.isNotNull(), F.array(inferred))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from . import urls
-from .arrays import keep_first_by, let
+from .arrays import cut, keep_first_by, let
 from .text import contains_any, first_matching_label, has_text, head, longer_than, one_of, sql_text, strip
 
 
@@ -43,13 +43,19 @@ def anchors_in_regions(anchors: Column, regions: Column) -> Column:
 
 
 def important_links(
-    anchors: Column, regions: Column, base: Column, ladder: dict[str, list[str]] | None = None
+    anchors: Column,
+    regions: Column,
+    base: Column,
+    ladder: dict[str, list[str]] | None = None,
+    limits: rules.Limits = rules.KEEP_ALL,
 ) -> Column:
     """Categorised links of footer, nav, header and link containers, each URL once.
 
     A URL counts as seen before social links and uncategorised links are left out.
     """
-    scanned = F.slice(anchors_in_regions(anchors, regions), 1, rules.LINKS_SCANNED)
+    if limits.link_boxes is not None:
+        regions = F.filter(regions, lambda r: r["box"] < limits.link_boxes)
+    scanned = cut(anchors_in_regions(anchors, regions), limits.links_scanned)
     usable = F.filter(
         scanned,
         lambda a: has_text(a["href"]) & longer_than(a["text"], rules.LINK_NAME_MIN),
@@ -65,7 +71,7 @@ def important_links(
     labelled = F.transform(
         own,
         lambda a: _link(
-            head(a["text"], rules.LINK_NAME_MAX),
+            head(a["text"], limits.link_name_chars),
             a["url"],
             raw_category(a["text"], a["href"], ladder),
             False,
@@ -74,20 +80,20 @@ def important_links(
     return F.filter(labelled, lambda k: k["raw_category"].isNotNull())
 
 
-def important_links_crawl(anchors: Column, base: Column) -> Column:
-    """Other form: footer anchors, then header and nav anchors, the first 20 of them."""
+def important_links_crawl(anchors: Column, base: Column, limits: rules.Limits = rules.KEEP_ALL) -> Column:
+    """Other form: footer anchors, then header and nav anchors."""
     pool = F.concat(
         F.filter(anchors, lambda a: a["in_footer"]), F.filter(anchors, lambda a: a["in_header_nav"])
     )
     scanned = F.filter(
-        F.slice(pool, 1, rules.LINKS_CRAWL_SCANNED),
+        cut(pool, limits.links_crawl_scanned),
         lambda a: has_text(a["href"]) & has_text(a["first_text"]),
     )
 
     def labelled(a: Column) -> Column:
         text, url = strip(a["first_text"]), urls.resolve(base, a["href"])
         return _link(
-            head(text, rules.LINK_NAME_MAX),
+            head(text, limits.link_name_chars),
             url,
             raw_category(text, url, rules.LINK_KEYWORDS_CRAWL),
             False,
@@ -106,24 +112,26 @@ def default_links(base: Column) -> Column:
     )
 
 
-def pad_links(links: Column, base: Column) -> Column:
-    """Fewer than five links are filled up with default ones; at most 15 remain."""
+def pad_links(links: Column, base: Column, limits: rules.Limits = rules.KEEP_ALL) -> Column:
+    """Fewer than five links are filled up with default ones."""
     room = F.lit(rules.LINKS_PAD_UNTIL)
 
     def padded(found: Column) -> Column:
         filled = F.concat(found, F.slice(default_links(base), F.lit(1), room - F.size(found)))
         return F.when(F.size(found) < rules.LINKS_PAD_BELOW, filled).otherwise(found)
 
-    return F.slice(let(links, padded), 1, rules.LINKS_MAX)
+    return cut(let(links, padded), limits.links)
 
 
-def dedup_links(links: Column) -> Column:
-    return F.slice(keep_first_by(links, lambda k: k["url"]), 1, rules.LINKS_MAX)
+def dedup_links(links: Column, limits: rules.Limits = rules.KEEP_ALL) -> Column:
+    return cut(keep_first_by(links, lambda k: k["url"]), limits.links)
 
 
-def hero_links(anchors: Column, base: Column, pattern: str = "/products/") -> Column:
-    """Featured products: product anchors among the first ten, the first five kept."""
-    scanned = F.slice(F.filter(anchors, lambda a: a["href"].rlike(pattern)), 1, rules.HERO_SCANNED)
+def hero_links(
+    anchors: Column, base: Column, pattern: str = "/products/", limits: rules.Limits = rules.KEEP_ALL
+) -> Column:
+    """Featured products: the product anchors."""
+    scanned = cut(F.filter(anchors, lambda a: a["href"].rlike(pattern)), limits.heroes_scanned)
 
     def product(a: Column) -> Column:
         title, text = a["title"], a["text"]
@@ -136,14 +144,12 @@ def hero_links(anchors: Column, base: Column, pattern: str = "/products/") -> Co
             urls.resolve(base, a["href"]).alias("product_url"),
         )
 
-    return F.slice(F.transform(scanned, product), 1, rules.HERO_KEPT)
+    return cut(F.transform(scanned, product), limits.heroes)
 
 
-def hero_links_crawl(anchors: Column, base: Column) -> Column:
-    """Other form: unnamed anchors are left out and up to ten products are kept."""
-    scanned = F.slice(
-        F.filter(anchors, lambda a: a["href"].contains("/products/")), 1, rules.HERO_SCANNED
-    )
+def hero_links_crawl(anchors: Column, base: Column, limits: rules.Limits = rules.KEEP_ALL) -> Column:
+    """Other form: unnamed anchors are left out."""
+    scanned = cut(F.filter(anchors, lambda a: a["href"].contains("/products/")), limits.heroes_scanned)
 
     def product(a: Column) -> Column:
         name = (

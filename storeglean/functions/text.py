@@ -3,6 +3,9 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .. import rules
+from .arrays import cut
+
 # The white space characters of Unicode and the four separator controls.
 SPACES = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
@@ -24,8 +27,9 @@ def collapse(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, _RUNS, " "))
 
 
-def head(c: Column, n: int) -> Column:
-    return F.substring(c, 1, n)
+def head(c: Column, n: int | None) -> Column:
+    """The first `n` characters; all of them for None."""
+    return c if n is None else F.substring(c, 1, n)
 
 
 def blank_to_null(c: Column) -> Column:
@@ -41,9 +45,11 @@ def longer_than(c: Column, n: int) -> Column:
     return F.coalesce(F.length(c) > n, F.lit(False))
 
 
-def clean(c: Column, limit: int) -> Column:
-    """Collapse white space; a text over `limit` is cut there and marked with dots."""
+def clean(c: Column, limit: int | None = None) -> Column:
+    """Collapse white space; a text over `limit`, if there is one, is cut there and marked with dots."""
     flat = collapse(F.coalesce(c, F.lit("")))
+    if limit is None:
+        return flat
     return F.when(F.length(flat) > limit, F.concat(head(flat, limit), F.lit("..."))).otherwise(flat)
 
 
@@ -60,14 +66,14 @@ def scrub(c: Column) -> Column:
     return strip(out)
 
 
-def paragraph_head(scrubbed: Column) -> Column:
-    """First three paragraphs of more than 50 characters, 2000 characters in all."""
+def paragraph_head(scrubbed: Column, limits: rules.Limits = rules.KEEP_ALL) -> Column:
+    """Paragraphs of more than 50 characters."""
     paragraphs = F.filter(F.split(scrubbed, "\n\n"), lambda p: F.length(p) > 50)
-    return head(F.array_join(F.slice(paragraphs, 1, 3), "\n\n"), 2000)
+    return head(F.array_join(cut(paragraphs, limits.paragraphs), "\n\n"), limits.paragraph_chars)
 
 
-def leading_paragraphs(c: Column) -> Column:
-    return paragraph_head(scrub(c))
+def leading_paragraphs(c: Column, limits: rules.Limits = rules.KEEP_ALL) -> Column:
+    return paragraph_head(scrub(c), limits)
 
 
 def sql_text(value: str) -> str:

@@ -8,10 +8,6 @@ that holds a third of the table therefore sends at most one row (or n rows) per
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Spark plans a partial group limit for row_number up to spark.sql.optimizer.windowGroupLimitThreshold.
-TOP_N_LIMIT = 1000
-
-
 def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The first row of each key by `order`."""
     rest = [c for c in df.columns if c not in keys]
@@ -20,9 +16,8 @@ def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 
 def top_n(df: DataFrame, keys: list[str], order: list[Column], n: int, rank: str = "rank") -> DataFrame:
-    """The first `n` rows of each key, numbered from 1."""
-    if n > TOP_N_LIMIT:
-        raise ValueError(f"top_n is for n up to {TOP_N_LIMIT}")
+    """The first `n` rows of each key, numbered from 1. Map tasks cut their part for n up to Spark's
+    `spark.sql.optimizer.windowGroupLimitThreshold`."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= n)
 

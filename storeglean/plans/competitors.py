@@ -148,7 +148,7 @@ def report(
     main = stores.select(
         F.col("website_url").alias("main_brand_url"),
         F.coalesce("brand_name", F.lit("")).alias("main_brand_name"),
-        industry.product_types(catalog, rules.KEYWORDS_SAVED).alias("industry_keywords"),
+        industry.product_types(catalog).alias("industry_keywords"),
         industry.of_keywords(industry.keywords(catalog)).alias("industry"),
         urls.netloc(F.col("website_url")).alias("domain"),
         "total_products",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import rules, schemas
 from ..functions import contact, faq, industry, links, page, scoring, social, urls
-from ..functions.arrays import empty, keep_first_by, or_empty, size0
+from ..functions.arrays import cut, empty, keep_first_by, or_empty, size0
 from ..functions.text import (
     blank_to_null, clean, has_text, head, longer_than, one_of, sql_text, strip, text_array,
 )
@@ -90,12 +90,13 @@ def _seconds_read() -> Column:
 
 
 def extract_stores(
-    pages: DataFrame, feed: DataFrame, run_ts: Column, markers: list[str], stores: DataFrame | None = None
+    pages: DataFrame, feed: DataFrame, run_ts: Column, markers: list[str], stores: DataFrame | None = None,
+    limits: rules.Limits = rules.KEEP_ALL,
 ) -> DataFrame:
     """One brand_insights record per store, not yet enriched.
 
     A store is any canonical URL in `pages`, in `feed` or in `stores` (store_url), whatever was found of it. `markers`
-    tell a store of the platform.
+    tell a store of the platform. `limits` cut lists and texts; by default all is kept.
     """
     candidates = {"home": [rules.HOME_PATH, ""], **rules.CANDIDATE_PATHS}
     html, is_home = F.col("html"), F.col("fact") == "home"
@@ -107,8 +108,8 @@ def extract_stores(
                 page.has_platform_marker(html, markers).alias("is_platform"),
                 page.embedded_settings(html).alias("settings"),
                 social.find_handles(html).alias("socials"),
-                F.slice(contact.find_emails(html), 1, rules.EMAILS_MAX).alias("emails"),
-                contact.find_phones(html).alias("phones"),
+                cut(contact.find_emails(html), limits.emails).alias("emails"),
+                contact.find_phones(html, limits).alias("phones"),
             ),
         ).alias("inline"),
     )
@@ -127,17 +128,17 @@ def extract_stores(
     base, text = F.col("store_url"), F.col("main_text")
     home = F.struct(
         page.brand_name(F.col("og_site_name"), F.col("title"), base).alias("brand_name"),
-        F.transform(links.hero_links(F.col("anchors"), base), _hero_product).alias("heroes"),
+        F.transform(links.hero_links(F.col("anchors"), base, limits=limits), _hero_product).alias("heroes"),
         links.pad_links(
-            links.important_links(F.col("anchors"), F.col("link_regions"), base), base
+            links.important_links(F.col("anchors"), F.col("link_regions"), base, limits=limits), base, limits
         ).alias("links"),
         F.when(
             longer_than(F.col("main_text_raw"), rules.HOME_CONTEXT_MIN),
-            head(F.col("main_text_raw"), rules.HOME_CONTEXT_MAX),
+            head(F.col("main_text_raw"), limits.home_chars),
         ).alias("context"),
         "inline",
     )
-    pairs = F.slice(faq.of_page(F.col("jsonld"), F.col("faq_candidates")), 1, rules.FAQ_MAX)
+    pairs = cut(faq.of_page(F.col("jsonld"), F.col("faq_candidates"), limits), limits.faqs)
     page_rows = facts.select(
         "store_url",
         "fact",
@@ -147,9 +148,9 @@ def extract_stores(
         F.when(is_home & F.col("inline").isNotNull(), home).alias("home"),
         F.when(F.col("fact") == "faq", pairs).alias("pairs"),
         F.when(
-            F.col("fact").isin(_POLICIES) & longer_than(text, rules.POLICY_MIN), head(text, rules.POLICY_MAX)
+            F.col("fact").isin(_POLICIES) & longer_than(text, rules.POLICY_MIN), head(text, limits.policy_chars)
         )
-        .when((F.col("fact") == "about") & longer_than(text, rules.ABOUT_MIN), head(text, rules.ABOUT_MAX))
+        .when((F.col("fact") == "about") & longer_than(text, rules.ABOUT_MIN), head(text, limits.about_chars))
         .alias("text"),
     )
     has_text_value = F.col("text").isNotNull()
@@ -162,7 +163,7 @@ def extract_stores(
     )
     feed = feed.withColumn("store_url", _store_key())
     joined = _all_stores(pages, feed, stores).join(per_store, "store_url", "left")
-    joined = joined.join(feeds.store_catalogs(feed), "store_url", "left")
+    joined = joined.join(feeds.store_catalogs(feed, limits=limits), "store_url", "left")
     home, inline, ok = F.col("home"), F.col("home.inline"), F.col("home").isNotNull()
     none = F.lit(None).cast("string")
     return _with_scores(
@@ -180,7 +181,7 @@ def extract_stores(
             F.when(ok, F.col("terms")).alias("terms_of_service"),
             F.when(ok, F.coalesce("about", home["context"])).alias("brand_context"),
             none.alias("brand_description"),
-            F.when(ok, faq.pad_pairs(F.col("pairs"))).otherwise(_no_pairs()).alias("faqs"),
+            F.when(ok, faq.pad_pairs(F.col("pairs"), limits)).otherwise(_no_pairs()).alias("faqs"),
             _when_ok(ok, inline["socials"], schemas.SOCIAL).alias("social_handles"),
             F.struct(
                 _when_ok(ok, inline["emails"], "STRING").alias("emails"),
@@ -211,7 +212,7 @@ def _no_pairs() -> Column:
     return empty("STRUCT<question: STRING, answer: STRING, category: STRING, is_default: BOOLEAN>")
 
 
-def enrich(stores: DataFrame) -> DataFrame:
+def enrich(stores: DataFrame, limits: rules.Limits = rules.KEEP_ALL) -> DataFrame:
     """Clean, de-duplicate and score records. All rules work inside the row: no shuffle."""
 
     def name_key(p: Column) -> Column:
@@ -220,7 +221,7 @@ def enrich(stores: DataFrame) -> DataFrame:
     contact_info = F.col("contact_info")
     cleaned = stores.withColumns(
         {
-            name: F.when(has_text(F.col(name)), clean(F.col(name), rules.CLEAN_TEXT_MAX)).otherwise(F.col(name))
+            name: F.when(has_text(F.col(name)), clean(F.col(name), limits.clean_chars)).otherwise(F.col(name))
             for name in ("privacy_policy", "return_refund_policy")
         }
         | {
@@ -232,13 +233,13 @@ def enrich(stores: DataFrame) -> DataFrame:
             "product_catalog": keep_first_by(F.col("product_catalog"), name_key),
             "hero_products": keep_first_by(F.col("hero_products"), name_key),
             "contact_info": F.struct(
-                contact.clean_emails(contact_info["emails"]).alias("emails"),
-                contact.clean_phones(contact_info["phone_numbers"]).alias("phone_numbers"),
+                contact.clean_emails(contact_info["emails"], limits=limits).alias("emails"),
+                contact.clean_phones(contact_info["phone_numbers"], limits).alias("phone_numbers"),
                 contact_info["address"].alias("address"),
                 contact_info["support_hours"].alias("support_hours"),
             ),
             "social_handles": social.dedup_handles(F.col("social_handles")),
-            "important_links": links.dedup_links(F.col("important_links")),
+            "important_links": links.dedup_links(F.col("important_links"), limits),
         }
     )
     hero_names = F.transform("hero_products", lambda p: F.lower(p["name"]))
@@ -270,7 +271,8 @@ def to_table(stores: DataFrame) -> DataFrame:
 
 
 def extract_stores_crawl(
-    pages: DataFrame, feed: DataFrame, run_ts: Column, markers: list[str], stores: DataFrame | None = None
+    pages: DataFrame, feed: DataFrame, run_ts: Column, markers: list[str], stores: DataFrame | None = None,
+    limits: rules.Limits = rules.KEEP_ALL,
 ) -> DataFrame:
     """Records by the crawler's rules: other path lists, selectors, lengths and patterns.
 
@@ -293,8 +295,8 @@ def extract_stores_crawl(
         F.when(
             html.isNotNull() & (fact == "contact"),
             F.struct(
-                F.slice(contact.find_emails_bounded(html), 1, rules.EMAILS_MAX).alias("emails"),
-                F.slice(contact.find_phones_grouped(html), 1, rules.PHONES_MAX).alias("phones"),
+                cut(contact.find_emails_bounded(html), limits.emails).alias("emails"),
+                cut(contact.find_phones_grouped(html), limits.phones).alias("phones"),
             ),
         ).alias("reach"),
     )
@@ -312,15 +314,15 @@ def extract_stores_crawl(
         },
     )
     base, text = F.col("store_url"), F.col("main_text_direct")
-    structured = faq.from_jsonld(F.col("jsonld"), rules.FAQ_ANSWER_MAX)
-    pairs = F.when(F.size(structured) > 0, structured).otherwise(faq.from_items(F.col("faq_items")))
+    structured = faq.from_jsonld(F.col("jsonld"), limits.faq_answer_chars)
+    pairs = F.when(F.size(structured) > 0, structured).otherwise(faq.from_items(F.col("faq_items"), limits))
     home = F.struct(
         page.brand_name_crawl(F.col("og_site_name"), F.col("title"), F.col("logo_alt"), base).alias("brand_name"),
-        F.transform(links.hero_links_crawl(F.col("anchors"), base), _hero_product).alias("heroes"),
-        links.important_links_crawl(F.col("anchors"), base).alias("links"),
+        F.transform(links.hero_links_crawl(F.col("anchors"), base, limits), _hero_product).alias("heroes"),
+        links.important_links_crawl(F.col("anchors"), base, limits).alias("links"),
         "inline",
     )
-    limit = F.when(fact == "about", F.lit(rules.ABOUT_CRAWL_MAX)).otherwise(F.lit(rules.POLICY_CRAWL_MAX))
+    shown = F.when(fact == "about", head(text, limits.about_crawl_chars)).otherwise(head(text, limits.policy_crawl_chars))
     least = F.when(fact == "about", F.lit(rules.ABOUT_CRAWL_MIN)).otherwise(F.lit(rules.POLICY_MIN))
     rows = facts.select(
         "store_url",
@@ -332,11 +334,11 @@ def extract_stores_crawl(
         F.when(fact == "faq", pairs).alias("pairs"),
         F.when(
             F.length(text) > least,
-            F.struct(F.substring(text, F.lit(1), limit).alias("text"), F.col("url").alias("url")),
+            F.struct(shown.alias("text"), F.col("url").alias("url")),
         ).alias("page_text"),
         F.when(
             F.col("reach").isNotNull(),
-            F.struct("reach.*", head(strip(F.col("address")), rules.ADDRESS_MAX).alias("address")),
+            F.struct("reach.*", head(strip(F.col("address")), limits.address_chars).alias("address")),
         ).alias("reach"),
     )
     has_page_text = F.col("page_text").isNotNull()
@@ -351,7 +353,7 @@ def extract_stores_crawl(
     )
     feed = feed.withColumn("store_url", _store_key())
     joined = _all_stores(pages, feed, stores).join(per_store, "store_url", "left")
-    joined = joined.join(feeds.first_page_products(feed), "store_url", "left")
+    joined = joined.join(feeds.first_page_products(feed, limits), "store_url", "left")
     home, inline, reach = F.col("home"), F.col("home.inline"), F.col("reach")
     ok = F.coalesce(inline["is_platform"], F.lit(False))
     none = F.lit(None).cast("string")

@@ -85,7 +85,7 @@ results AS (
       ELSE 'https://' || replace(replace(p_name, ' ', '-'), 'red', 'reddit') || '.shop.net/' END AS link
   FROM part
 ), usable AS (
-  SELECT * FROM results WHERE rank <= 10 AND NOT {words_in('lower(link)', rules.EXCLUDED_COMPETITOR_SITES)}
+  SELECT * FROM results WHERE NOT {words_in('lower(link)', rules.EXCLUDED_COMPETITOR_SITES)}
 )
 """
 
@@ -227,7 +227,7 @@ kinds AS (
   FROM part WHERE {_TYPE} <> '' GROUP BY p_partkey // {roles.BLOCK}, lower({_TYPE})
 ), types AS (
   SELECT s_suppkey, string_agg(kind, ',' ORDER BY k) AS saved,
-    string_agg(kind, ' ' ORDER BY k) FILTER (WHERE k <= 3) AS words
+    string_agg(kind, ' ' ORDER BY k) AS words
   FROM kinds GROUP BY s_suppkey
 ), brands AS (
   SELECT s.s_suppkey, s_name AS brand_name, 'https://shop-' || s.s_suppkey || '.example.com' AS base,

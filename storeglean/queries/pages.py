@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions import faq, links, page, social, urls
-from ..operators.keyed import top_n
 from ..sources import feed as feeds
 from ..sources.dom import page_facts
 from ..sources.landed import ok_pages, search_candidates
@@ -88,7 +87,6 @@ def main_text(spark: SparkSession, d: str) -> DataFrame:
         F.length(text).alias("n_chars"),
         (F.length(text) > rules.POLICY_MIN).alias("is_policy"),
         F.md5(text).alias("text_md5"),
-        F.md5(F.substring(text, 1, rules.POLICY_MAX)).alias("head_md5"),
     )
 
 
@@ -109,7 +107,7 @@ WITH pieces AS (
   FROM pieces GROUP BY page_id
 )
 SELECT page_id, length(text) AS n_chars, length(text) > {rules.POLICY_MIN} AS is_policy,
-  md5(text) AS text_md5, md5(substr(text, 1, {rules.POLICY_MAX})) AS head_md5
+  md5(text) AS text_md5
 FROM texts
 """
 
@@ -252,11 +250,11 @@ def important_links(spark: SparkSession, d: str) -> DataFrame:
 _IMPORTANT = f"""
 {ANCHORS}, usable AS (
   SELECT page_id, pos, regexp_extract(page_url, '^[a-z]+://[^/?#]*') AS base, href, text
-  FROM anchors WHERE href <> '' AND length(text) > {rules.LINK_NAME_MIN} AND pos < {rules.LINKS_SCANNED}
+  FROM anchors WHERE href <> '' AND length(text) > {rules.LINK_NAME_MIN}
 ), first_seen AS (
   SELECT * FROM usable QUALIFY row_number() OVER (PARTITION BY page_id, href ORDER BY pos) = 1
 ), labelled AS (
-  SELECT page_id, pos, substr(text, 1, {rules.LINK_NAME_MAX}) AS name, base || href AS url,
+  SELECT page_id, pos, text AS name, base || href AS url,
     {ladder("lower(text || chr(10) || href)", _LADDER)} AS raw_category
   FROM first_seen WHERE NOT {words_in('href', rules.SOCIAL_LINK_HOSTS)}
 ), important AS (
@@ -265,7 +263,7 @@ _IMPORTANT = f"""
   FROM labelled WHERE raw_category IS NOT NULL
 )
 """
-IMPORTANT_LINKS = f"WITH {_IMPORTANT} SELECT * FROM important WHERE pos < {rules.LINKS_MAX}"
+IMPORTANT_LINKS = f"WITH {_IMPORTANT} SELECT * FROM important"
 
 
 def pad_defaults(spark: SparkSession, d: str) -> DataFrame:
@@ -274,7 +272,7 @@ def pad_defaults(spark: SparkSession, d: str) -> DataFrame:
         F.size("links").alias("found"),
         links.pad_links(F.col("links"), F.col("store_url")).alias("padded"),
         # Pages with many links stand in for pages with FAQs.
-        faq.pad_pairs(F.when(F.size("links") > 4, faq.default_pairs())).alias("pairs"),
+        faq.pad_pairs(F.when(F.size("links") > 4, F.slice(faq.default_pairs(), 1, 2))).alias("pairs"),
     )
     return padded.select(
         "page_id",
@@ -289,16 +287,16 @@ def pad_defaults(spark: SparkSession, d: str) -> DataFrame:
 PAD_DEFAULTS = f"""
 WITH {_IMPORTANT}, counts AS (
   SELECT p.page_id, regexp_extract(any_value(p.url), '^[a-z]+://[^/?#]*') AS base, count(i.pos) AS found,
-    max(i.url) FILTER (WHERE i.pos = least(m.n, {rules.LINKS_MAX}) - 1) AS last_found
+    max(i.url) FILTER (WHERE i.pos = m.n - 1) AS last_found
   FROM pages p LEFT JOIN important i ON p.page_id = i.page_id
   LEFT JOIN (SELECT page_id, count(*) AS n FROM important GROUP BY page_id) m ON p.page_id = m.page_id
   GROUP BY p.page_id
 )
 SELECT page_id, found,
-  CASE WHEN found < 5 THEN found + 5 ELSE least(found, {rules.LINKS_MAX}) END AS kept,
+  CASE WHEN found < 5 THEN found + 5 ELSE found END AS kept,
   CASE WHEN found < 5 THEN 5 ELSE 0 END AS defaults,
   CASE WHEN found < 5 THEN base || '/pages/support' ELSE last_found END AS last_url,
-  3 AS faqs
+  CASE WHEN found > 4 THEN 2 ELSE 3 END AS faqs
 FROM counts
 """
 
@@ -321,7 +319,7 @@ WITH {ANCHORS}, matched AS (
     regexp_extract(page_url, '^[a-z]+://[^/?#]*') || href AS product_url
   FROM anchors WHERE starts_with(href, '/t')
 )
-SELECT * FROM matched WHERE pos < {rules.HERO_KEPT}
+SELECT * FROM matched
 """
 
 _SOCIAL = {
@@ -405,19 +403,20 @@ FROM paths
 
 def search_candidates_(spark: SparkSession, d: str) -> DataFrame:
     link = F.regexp_replace("url", r"example\.net", "facebook.net")
-    results = roles.table(spark, d, "pages").select("page_id", urls.host(F.col("url")).alias("brand_name"), link.alias("link"))
-    ranked = top_n(results, ["brand_name"], [F.col("page_id")], rules.SEARCH_RESULTS_MAX)
-    return search_candidates(ranked).select("brand_name", "rank", "link")
+    results = roles.table(spark, d, "pages").select(
+        F.col("page_id").alias("rank"), urls.host(F.col("url")).alias("brand_name"), link.alias("link")
+    )
+    return search_candidates(results).select("brand_name", "rank", "link")
 
 
 SEARCH_CANDIDATES = f"""
 WITH results AS (
   SELECT regexp_extract(url, '://([^/?#]*)', 1) AS brand_name, replace(url, 'example.net', 'facebook.net') AS link,
-    row_number() OVER (PARTITION BY regexp_extract(url, '://([^/?#]*)', 1) ORDER BY page_id) AS rank
+    page_id AS rank
   FROM pages
 )
 SELECT brand_name, rank, link FROM results
-WHERE rank <= 10 AND NOT {words_in('lower(link)', rules.EXCLUDED_COMPETITOR_SITES)}
+WHERE NOT {words_in('lower(link)', rules.EXCLUDED_COMPETITOR_SITES)}
 """
 
 
@@ -451,7 +450,7 @@ def faq_elements(spark: SparkSession, d: str) -> DataFrame:
 
 _IS_QUESTION = f"(contains(question, '?') OR {words_in('lower(question)', rules.QUESTION_WORDS)})"
 FAQ_ELEMENTS = f"""
-WITH {PAIRS} SELECT conv_id, turn, {strip('question')} AS question, substr({strip('answer')}, 1, 500) AS answer
+WITH {PAIRS} SELECT conv_id, turn, {strip('question')} AS question, {strip('answer')} AS answer
 FROM pairs WHERE {_IS_QUESTION} AND {strip('question')} <> '' AND length({strip('answer')}) > 10
 """
 
@@ -469,7 +468,7 @@ def faq_items(spark: SparkSession, d: str) -> DataFrame:
 
 
 FAQ_ITEMS = f"""
-WITH {PAIRS} SELECT conv_id, turn, {strip('question')} AS question, substr({strip('answer')}, 1, 500) AS answer
+WITH {PAIRS} SELECT conv_id, turn, {strip('question')} AS question, {strip('answer')} AS answer
 FROM pairs WHERE question <> '' AND answer <> ''
 """
 
@@ -485,7 +484,7 @@ def direct_text(spark: SparkSession, d: str) -> DataFrame:
     return facts.select(
         "doc_id",
         F.md5("main_text_direct").alias("text_md5"),
-        F.substring(F.trim("address"), 1, rules.ADDRESS_MAX).alias("address"),
+        F.trim("address").alias("address"),
     )
 
 

@@ -44,7 +44,7 @@ SELECT store_url, p_partkey % {roles.FEED_BLOCK} AS pos, p_name AS name,
   CASE WHEN p_type <> 'PROMO' THEN printf('%.2f', p_retailprice) END AS price,
   store_url || '/products/' || replace(p_name, ' ', '-') || '-' || p_partkey AS product_url
 FROM (SELECT *, 'https://shop-' || (p_partkey // {roles.FEED_BLOCK}) || '.example.com' AS store_url FROM part)
-WHERE p_partkey % {roles.FEED_BLOCK} < {rules.CATALOG_MAX}
+WHERE p_partkey % {roles.FEED_BLOCK} < {rules.FEED_PAGE_SIZE}
 """
 
 
@@ -80,29 +80,33 @@ def dedup_products(spark: SparkSession, d: str) -> DataFrame:
 DEDUP_PRODUCTS = f"WITH {_PARTS} SELECT * FROM deduped"
 
 
+_HEROES = 5  # the featured products of a store, in the role of `part`
+
+
 def catalog_minus_hero(spark: SparkSession, d: str) -> DataFrame:
     parts = _parts(spark, d)
-    hero = top_n(parts, ["store"], [F.col("pos")], rules.HERO_KEPT).select("store", "name")
+    hero = top_n(parts, ["store"], [F.col("pos")], _HEROES).select("store", "name")
     rest = products.without_featured(products.dedup_products(parts), hero)
     heroes = hero.groupBy("store").agg(F.count_distinct(F.trim(F.lower("name"))).alias("heroes"))
     return (
-        rest.groupBy("store")
-        .agg(F.count("*").alias("catalog"), F.min("pos").alias("first_pos"))
-        .join(heroes, "store")
+        heroes.join(
+            rest.groupBy("store").agg(F.count("*").alias("catalog"), F.min("pos").alias("first_pos")), "store", "left"
+        )
+        .withColumn("catalog", F.coalesce("catalog", F.lit(0)))
         .withColumn("total_products", F.col("catalog") + F.col("heroes"))
     )
 
 
 CATALOG_MINUS_HERO = f"""
 WITH {_PARTS}, hero AS (
-  SELECT store, name FROM parts QUALIFY row_number() OVER (PARTITION BY store ORDER BY pos) <= {rules.HERO_KEPT}
+  SELECT store, name FROM parts QUALIFY row_number() OVER (PARTITION BY store ORDER BY pos) <= {_HEROES}
 ), rest AS (
   SELECT * FROM deduped d WHERE NOT EXISTS (
     SELECT 1 FROM hero h WHERE h.store = d.store AND lower(h.name) = lower(d.name))
 ), heroes AS (SELECT store, count(DISTINCT trim(lower(name))) AS heroes FROM hero GROUP BY store)
-SELECT r.store, count(*) AS catalog, min(pos) AS first_pos, any_value(heroes) AS heroes,
-  count(*) + any_value(heroes) AS total_products
-FROM rest r JOIN heroes h ON r.store = h.store GROUP BY r.store
+SELECT h.store, count(r.pos) AS catalog, min(pos) AS first_pos, any_value(heroes) AS heroes,
+  count(r.pos) + any_value(heroes) AS total_products
+FROM heroes h LEFT JOIN rest r ON r.store = h.store GROUP BY h.store
 """
 
 
@@ -184,31 +188,29 @@ WHERE store IN (SELECT store FROM broken)
 
 def product_type_keywords(spark: SparkSession, d: str) -> DataFrame:
     parts = roles.table(spark, d, "part").select(
-        F.col("p_brand").alias("store"), "p_partkey", roles.shown_type().alias("product_type")
+        F.floor(F.col("p_partkey") / roles.BLOCK).alias("store"), "p_partkey", roles.shown_type().alias("product_type")
     )
-    first = top_n(parts, ["store"], [F.col("p_partkey")], rules.PRODUCTS_FOR_INDUSTRY)
-    catalogs = first.groupBy("store").agg(
-        F.array_sort(F.collect_list(F.struct("rank", "product_type"))).alias("catalog")
+    catalogs = parts.groupBy("store").agg(
+        F.array_sort(F.collect_list(F.struct("p_partkey", "product_type"))).alias("catalog")
     )
     return catalogs.select(
         "store",
-        F.array_join(industry.product_types(F.col("catalog"), rules.KEYWORDS_ROUTE), ",").alias("keywords"),
-        F.array_join(industry.product_types(F.col("catalog"), rules.KEYWORDS_SAVED), ",").alias("saved"),
+        F.array_join(industry.product_types(F.col("catalog"), rules.DISPLAY.keywords), ",").alias("keywords"),
+        F.array_join(industry.product_types(F.col("catalog")), ",").alias("saved"),
     )
 
 
 _SHOWN_TYPE = "CASE p_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in roles.TYPE_NAMES.items()) + " ELSE '' END"
 PRODUCT_TYPE_KEYWORDS = f"""
 WITH firsts AS (
-  SELECT p_brand AS store, lower({_SHOWN_TYPE}) AS kind, p_partkey FROM part
-  QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) <= {rules.PRODUCTS_FOR_INDUSTRY}
+  SELECT p_partkey // {roles.BLOCK} AS store, lower({_SHOWN_TYPE}) AS kind, p_partkey FROM part
 ), kinds AS (
   SELECT store, kind, row_number() OVER (PARTITION BY store ORDER BY min(p_partkey)) AS k
   FROM firsts WHERE kind <> '' GROUP BY store, kind
 )
-SELECT store, string_agg(kind, ',' ORDER BY k) FILTER (WHERE k <= 3) AS keywords,
-  string_agg(kind, ',' ORDER BY k) FILTER (WHERE k <= 5) AS saved
-FROM kinds GROUP BY store
+SELECT s.store, coalesce(string_agg(kind, ',' ORDER BY k) FILTER (WHERE k <= 3), '') AS keywords,
+  coalesce(string_agg(kind, ',' ORDER BY k), '') AS saved
+FROM (SELECT DISTINCT store FROM firsts) s LEFT JOIN kinds ON kinds.store = s.store GROUP BY s.store
 """
 
 _SWAPS = {"ring": "rod", "gear": "dress", "anvil": "serum", "bolt": "bag", "gizmo": "lipstick"}
@@ -251,7 +253,7 @@ WITH items AS (
   SELECT block, kind, row_number() OVER (PARTITION BY block ORDER BY min(p_partkey)) AS k
   FROM items WHERE kind <> '' GROUP BY block, kind
 ), types AS (
-  SELECT block, string_agg(kind, ',' ORDER BY k) FILTER (WHERE k <= 3) AS types FROM kinds GROUP BY block
+  SELECT block, string_agg(kind, ',' ORDER BY k) AS types FROM kinds GROUP BY block
 ), texts AS (SELECT block, string_agg(name, ' ' ORDER BY p_partkey) AS text FROM items GROUP BY block),
 words AS (
   SELECT x.block, coalesce(types, {ladder('text', rules.KEYWORD_FROM_NAMES)}, '') AS keywords

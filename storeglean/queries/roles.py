@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import rules
-from ..operators.keyed import top_n
 
 
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
@@ -253,8 +252,8 @@ def _document_pages(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def _faq_pages(spark: SparkSession, directory: str) -> DataFrame:
-    """A FAQ page per supplier that has a conversation: the first twenty pairs in JSON-LD."""
-    pairs = top_n(turn_pairs(spark, directory), ["conv_id"], [F.col("turn")], rules.FAQ_MAX)
+    """A FAQ page per supplier that has a conversation: its pairs in JSON-LD."""
+    pairs = turn_pairs(spark, directory)
     script = jsonld_script(jsonld(F.col("question"), F.col("answer")))
     return (
         pairs.groupBy("conv_id")

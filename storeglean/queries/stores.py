@@ -66,11 +66,11 @@ def store_document(spark: SparkSession, d: str) -> DataFrame:
 _N = len(roles.DOC_PATHS)
 
 
-def _policy(first: int, second: int, name: str, limit: int) -> str:
+def _policy(first: int, second: int, name: str) -> str:
     """The valid candidate that is tried first."""
     return f"""
     {name} AS (
-      SELECT doc_id // {_N} AS k, arg_min(substr({strip('text')}, 1, {limit}), doc_id % {_N}) AS t FROM documents
+      SELECT doc_id // {_N} AS k, arg_min({strip('text')}, doc_id % {_N}) AS t FROM documents
       WHERE doc_id % {_N} IN ({first}, {second}) AND lang <> 'de' AND length({strip('text')}) > 100 GROUP BY 1
     )"""
 
@@ -83,7 +83,6 @@ _FACTS = f"""
   SELECT p_partkey // {roles.BLOCK} AS k, p_partkey, p_name, p_size, printf('%.2f', p_retailprice) AS price FROM part
 ), heroes AS (
   SELECT * FROM items WHERE p_size > {roles.HERO_SIZE}
-  QUALIFY row_number() OVER (PARTITION BY k ORDER BY p_partkey) <= 5
 ), hero AS (
   SELECT k, count(*) AS n, count(DISTINCT p_name) AS n_names, min(p_partkey) AS first_key,
     arg_min(p_name, p_partkey) AS name, arg_min(price, p_partkey) AS price FROM heroes GROUP BY k
@@ -101,8 +100,8 @@ _FACTS = f"""
     UNION ALL SELECT doc_id // {_N}, doc_id % {_N}, CASE WHEN doc_id % {_N} <> 7 THEN doc_id % {_N} END FROM documents
     UNION ALL SELECT conv_id, 30, 30 FROM pairs
   ) GROUP BY k
-), {_policy(0, 1, 'privacy', 5000)}, {_policy(2, 3, 'returns', 5000)}, {_policy(4, 5, 'shipping', 5000)},
-{_policy(6, 7, 'terms', 5000)}, {_policy(8, 9, 'about', 2000)},
+), {_policy(0, 1, 'privacy')}, {_policy(2, 3, 'returns')}, {_policy(4, 5, 'shipping')},
+{_policy(6, 7, 'terms')}, {_policy(8, 9, 'about')},
 base AS (
   SELECT keys.k, 'https://shop-' || keys.k || '.example.com' AS url, s.s_name, s.s_nationkey AS nation,
     s.s_acctbal < 2000 AS low, s.s_suppkey IS NOT NULL AND s.s_nationkey <> 24 AS ok
@@ -125,7 +124,7 @@ FROM base b LEFT JOIN hero h ON b.k = h.k LEFT JOIN catalog c ON b.k = c.k LEFT
 LEFT JOIN times t ON b.k = t.k LEFT JOIN privacy p ON b.k = p.k LEFT JOIN returns r ON b.k = r.k
 LEFT JOIN shipping sh ON b.k = sh.k LEFT JOIN terms te ON b.k = te.k LEFT JOIN about a ON b.k = a.k
 """
-_FAQS = "CASE WHEN f.n IS NULL THEN 3 ELSE least(f.n, 20) END"
+_FAQS = "coalesce(f.n, 3)"
 
 
 def _document_sql(enriched: bool) -> str:
@@ -147,7 +146,7 @@ def _document_sql(enriched: bool) -> str:
         if not enriched:
             return f"md5({x})"
         flat = rf"trim(regexp_replace({x}, '\s+', ' ', 'g'))"
-        return f"md5(CASE WHEN length({flat}) > 5000 THEN substr({flat}, 1, 5000) || '...' ELSE {flat} END)"
+        return f"md5({flat})"
 
     return f"""
 WITH {_FACTS}
@@ -200,27 +199,26 @@ def store_crawl(spark: SparkSession, d: str) -> DataFrame:
 
 
 _CRAWL_SCORE = _SCORE.format(
-    catalog="coalesce(c.n, 0)", hero="coalesce(h.n_all, 0)", faqs="least(coalesce(f.n, 0), 20)", social="6",
+    catalog="coalesce(c.n, 0)", hero="coalesce(h.n_all, 0)", faqs="coalesce(f.n, 0)", social="6",
     phone="true", links=f"CASE WHEN {_EVEN} THEN 4 ELSE 1 END",
 )
 
 
-def _crawl_policy(first: int, second: int, name: str, limit: int, least: int = 100) -> str:
+def _crawl_policy(first: int, second: int, name: str, least: int = 100) -> str:
     return f"""
     {name} AS (
-      SELECT doc_id // {_N} AS k, arg_min(substr({strip('text')}, 1, {limit}), doc_id % {_N}) AS t,
+      SELECT doc_id // {_N} AS k, arg_min({strip('text')}, doc_id % {_N}) AS t,
         ['{"', '".join(roles.DOC_PATHS)}'][min(doc_id % {_N}) + 1] AS path FROM documents
       WHERE doc_id % {_N} IN ({first}, {second}) AND lang <> 'de' AND length({strip('text')}) > {least} GROUP BY 1
     )"""
 
 
 _CRAWL_FACTS = f"""
-{_FACTS.split(', ' + _policy(0, 1, 'privacy', 5000))[0]},
-{_crawl_policy(0, 1, 'privacy', 2000)}, {_crawl_policy(2, 3, 'returns', 2000)}, {_crawl_policy(4, 5, 'shipping', 2000)},
-{_crawl_policy(6, 6, 'terms', 2000)}, {_crawl_policy(8, 9, 'about', 1000, 50)},
+{_FACTS.split(', ' + _policy(0, 1, 'privacy'))[0]},
+{_crawl_policy(0, 1, 'privacy')}, {_crawl_policy(2, 3, 'returns')}, {_crawl_policy(4, 5, 'shipping')},
+{_crawl_policy(6, 6, 'terms')}, {_crawl_policy(8, 9, 'about', 50)},
 all_heroes AS (
   SELECT * FROM items WHERE p_size > {roles.HERO_SIZE}
-  QUALIFY row_number() OVER (PARTITION BY k ORDER BY p_partkey) <= 10
 ), hero_counts AS (SELECT k, count(*) AS n_all FROM all_heroes GROUP BY k),
 base AS (
   SELECT keys.k, 'https://shop-' || keys.k || '.example.com' AS url, s.s_name, s.s_nationkey AS nation,
@@ -240,7 +238,7 @@ SELECT url || '/' AS website_url,
   CASE WHEN ok THEN md5(sh.t) END AS shipping_md5, CASE WHEN ok THEN md5(te.t) END AS terms_md5,
   CASE WHEN ok THEN md5(a.t) END AS context_md5, CASE WHEN ok THEN b.k || ' Road' END AS address,
   CASE WHEN ok THEN url || p.path END AS privacy_url, CASE WHEN ok THEN url || r.path END AS return_url,
-  CASE WHEN ok THEN least(coalesce(f.n, 0), 20) ELSE 0 END AS n_faqs,
+  CASE WHEN ok THEN coalesce(f.n, 0) ELSE 0 END AS n_faqs,
   CASE WHEN ok THEN f.question END AS first_question,
   CASE WHEN ok THEN 'https://instagram.com/shop' || b.k || '">Instagram< https://facebook.com/sharer">Share< '
     || 'https://youtube.com/c/tube' || b.k ELSE '' END AS socials,

@@ -59,14 +59,12 @@ WITH found AS (
     split_part(lower(email), '@', 2) NOT IN ({', '.join(q(x) for x in rules.PLACEHOLDER_EMAIL_DOMAINS_ALL)})
       AND NOT regexp_matches(lower(email), '\\.(png|jpg|jpeg|gif|svg|webp)$') AS strict
   FROM found GROUP BY doc_id, lower(email)
-), ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY doc_id, given ORDER BY i) AS rn FROM firsts
 )
 SELECT doc_id,
-  coalesce(string_agg(email, ',' ORDER BY i) FILTER (WHERE given AND rn <= 3), '') AS kept,
-  least(count(*) FILTER (WHERE dflt), 3) AS kept_by_default,
-  least(count(*) FILTER (WHERE strict), 3) AS kept_strict
-FROM ranked GROUP BY doc_id
+  coalesce(string_agg(email, ',' ORDER BY i) FILTER (WHERE given), '') AS kept,
+  count(*) FILTER (WHERE dflt) AS kept_by_default,
+  count(*) FILTER (WHERE strict) AS kept_strict
+FROM firsts GROUP BY doc_id
 """
 
 
@@ -89,9 +87,9 @@ found AS (
 EXTRACT_PHONES = f"""
 WITH {_PHONES}, kept AS (
   SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS pos, phone
-  FROM found WHERE i <= {rules.PHONES_SCANNED} AND length(digits) >= {rules.PHONE_MIN_DIGITS}
+  FROM found WHERE length(digits) >= {rules.PHONE_MIN_DIGITS}
 )
-SELECT * FROM kept WHERE pos < {rules.PHONES_MAX}
+SELECT * FROM kept
 """
 
 
@@ -112,7 +110,7 @@ WITH {_PHONES}, firsts AS (
 ), kept AS (
   SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS pos, phone FROM firsts
 )
-SELECT * FROM kept WHERE pos < {rules.PHONES_MAX}
+SELECT * FROM kept
 """
 
 
@@ -136,16 +134,15 @@ FROM events
 
 
 def clean_text(spark: SparkSession, d: str) -> DataFrame:
-    cleaned = text.clean(F.col("text"), rules.CLEAN_TEXT_MAX)
+    cleaned = text.clean(F.col("text"))
     return _documents(spark, d).select("doc_id", cleaned.alias("t")).select(
         "doc_id", F.length("t").alias("n_chars"), F.md5("t").alias("text_md5")
     )
 
 
 CLEAN_TEXT = rf"""
-WITH flat AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents),
-cut AS (SELECT doc_id, CASE WHEN length(t) > 5000 THEN substr(t, 1, 5000) || '...' ELSE t END AS t FROM flat)
-SELECT doc_id, length(t) AS n_chars, md5(t) AS text_md5 FROM cut
+WITH flat AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents)
+SELECT doc_id, length(t) AS n_chars, md5(t) AS text_md5 FROM flat
 """
 
 
@@ -166,7 +163,7 @@ WITH scrubbed AS (
   FROM documents
 )
 SELECT doc_id, md5(t) AS text_md5,
-  md5(CASE WHEN length(t) > 50 THEN substr(t, 1, 2000) ELSE '' END) AS head_md5
+  md5(CASE WHEN length(t) > 50 THEN t ELSE '' END) AS head_md5
 FROM scrubbed
 """
 
@@ -205,10 +202,10 @@ WITH texts AS (
   FROM numbered WHERE block > 0 GROUP BY doc_id, block
 ), kept AS (
   SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY block) - 1 AS pos,
-    substr(question, 1, 200) AS question, substr(answer, 1, 500) AS answer
+    question, answer
   FROM pairs WHERE question <> '' AND answer IS NOT NULL
 )
-SELECT * FROM kept WHERE pos < 20
+SELECT * FROM kept
 """
 
 
@@ -216,13 +213,11 @@ def faq_pairs(spark: SparkSession, d: str) -> DataFrame:
     pairs = roles.turn_pairs(spark, d).where(
         faq.is_question(F.col("question")) & (F.length("answer") > rules.FAQ_ANSWER_MIN)
     )
-    return pairs.select(
-        "conv_id", "turn", "question", F.substring("answer", 1, rules.FAQ_ANSWER_MAX).alias("answer")
-    )
+    return pairs.select("conv_id", "turn", "question", "answer")
 
 
 FAQ_PAIRS = f"""
-WITH {PAIRS} SELECT conv_id, turn, question, substr(answer, 1, 500) AS answer FROM pairs
+WITH {PAIRS} SELECT conv_id, turn, question, answer FROM pairs
 WHERE (contains(question, '?') OR {words_in('lower(question)', rules.QUESTION_WORDS)}) AND length(answer) > 10
 """
 

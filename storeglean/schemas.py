@@ -70,7 +70,7 @@ PAGE_ANCHOR = (
     " aria_label: STRING, img_src: STRING, parent_price: STRING, inner_price: STRING,"
     " in_footer: BOOLEAN, in_header_nav: BOOLEAN>"
 )
-PAGE_REGION = "STRUCT<start: INT, stop: INT>"
+PAGE_REGION = "STRUCT<start: INT, stop: INT, box: INT>"
 FAQ_CANDIDATE = "STRUCT<pattern: INT, pos: INT, question: STRING, answer: STRING>"
 PAGE_FACTS = {
     "title": "STRING",

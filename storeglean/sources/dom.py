@@ -219,16 +219,16 @@ def _price_like(page: _Page, i: int) -> bool:
 def _link_regions(page: _Page) -> list[dict]:
     heads = [page.first(tag) for tag in ("footer", "nav", "header")]
     boxes = [i for i in page.find("div") if page.class_like(i, _CONTAINER)]
-    found = [i for i in heads if i is not None] + boxes[: rules.LINK_CONTAINERS]
-    return [{"start": i, "stop": page.last[i]} for i in found]
+    found = [(i, -1) for i in heads if i is not None] + [(i, k) for k, i in enumerate(boxes)]
+    return [{"start": i, "stop": page.last[i], "box": k} for i, k in found]
 
 
 def _faq_candidates(page: _Page) -> list[dict]:
-    """For each element pair: the first twenty questions and the next answer element of each."""
+    """For each element pair: the questions and the next answer element of each."""
     rows = []
     for n, (question, answer) in enumerate(rules.FAQ_ELEMENT_PAIRS):
         answers = page.select(answer)
-        for pos, i in enumerate(page.select(question)[: rules.FAQ_MAX]):
+        for pos, i in enumerate(page.select(question)):
             k = bisect_right(answers, i)
             if k < len(answers):
                 rows.append(
@@ -238,7 +238,7 @@ def _faq_candidates(page: _Page) -> list[dict]:
 
 
 def _faq_items(page: _Page) -> list[dict]:
-    chosen = sorted({i for s in rules.FAQ_CRAWL_ITEMS for i in page.select(s)})[: rules.FAQ_CRAWL_MAX]
+    chosen = sorted({i for s in rules.FAQ_CRAWL_ITEMS for i in page.select(s)})
     questions = {i for s in rules.FAQ_CRAWL_QUESTIONS for i in page.select(s)}
     answers = {i for s in rules.FAQ_CRAWL_ANSWERS for i in page.select(s)}
 

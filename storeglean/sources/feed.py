@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import rules, schemas
+from ..functions.arrays import cut
 from ..functions.text import has_text
 
 
@@ -34,66 +35,64 @@ def product(p: Column, base: Column) -> Column:
     )
 
 
-def _parsed_pages(feed: DataFrame, max_pages: int) -> DataFrame:
+def _parsed_pages(feed: DataFrame, max_pages: int | None) -> DataFrame:
     body = F.from_json("body", schemas.FEED_BODY)
+    in_reach = F.col("page") >= 1 if max_pages is None else F.col("page").between(1, max_pages)
     return (
-        feed.where((F.col("status") == 200) & F.col("page").between(1, max_pages))
+        feed.where((F.col("status") == 200) & in_reach)
         .select("store_url", "page", body["products"].alias("raw"))
         .where(F.size("raw") > 0)
     )
 
 
 def store_catalogs(
-    feed: DataFrame,
-    max_pages: int = rules.FEED_PAGES,
-    page_size: int = rules.FEED_PAGE_SIZE,
-    keep: int | None = rules.CATALOG_MAX,
+    feed: DataFrame, page_size: int = rules.FEED_PAGE_SIZE, limits: rules.Limits = rules.KEEP_ALL
 ) -> DataFrame:
-    """One row per store: `product_count` and the first `keep` products in feed order.
+    """One row per store: `product_count` and the products in feed order.
 
     Reading stops after a page that is not full. A store's group holds one value per page
     number, so repeated landings of a page cannot make it grow.
     """
-    pages = _parsed_pages(feed, max_pages)
-    kept = F.slice("raw", 1, keep) if keep else F.col("raw")
-    items = F.transform(kept, lambda p: product(p, F.col("store_url")))
+    pages = _parsed_pages(feed, limits.feed_pages)
+    items = F.transform(cut(F.col("raw"), limits.catalog), lambda p: product(p, F.col("store_url")))
     pages = pages.select("store_url", "page", F.struct(F.size("raw").alias("n"), items.alias("items")).alias("part"))
-    slots = [F.max(F.when(F.col("page") == n, F.col("part"))).alias(f"p{n}") for n in range(1, max_pages + 1)]
-    per_store = pages.groupBy("store_url").agg(*slots)
-    numbered = F.array(*[F.col(f"p{n}") for n in range(1, max_pages + 1)])
-    # A page counts only if every page before it was full.
+    once = pages.groupBy("store_url", "page").agg(F.max("part").alias("part"))
+    per_store = once.groupBy("store_url").agg(F.array_sort(F.collect_list(F.struct("page", "part.*"))).alias("held"))
+    # A page counts only if every page before it was there and full.
+    full = F.filter(
+        F.transform("held", lambda p, i: F.when((p["page"] != i + 1) | (p["n"] < page_size), i)), lambda i: i.isNotNull()
+    )
+    per_store = per_store.withColumn("stop", F.array_min(full))
     read = F.filter(
-        numbered,
-        lambda p, i: p.isNotNull()
-        & ((i == 0) | F.forall(F.slice(numbered, F.lit(1), i), lambda q: F.coalesce(q["n"] >= page_size, F.lit(False)))),
+        "held",
+        lambda p, i: F.col("stop").isNull() | (i < F.col("stop")) | ((i == F.col("stop")) & (p["page"] == i + 1)),
     )
     per_store = per_store.select("store_url", read.alias("read"))
     products = F.flatten(F.transform("read", lambda p: p["items"]))
-    return per_store.select(
+    counted = per_store.select(
         "store_url",
         F.aggregate("read", F.lit(0), lambda acc, p: acc + p["n"]).alias("product_count"),
-        (F.slice(products, 1, keep) if keep else products).alias("products"),
+        cut(products, limits.catalog).alias("products"),
     )
+    return counted.where(F.col("product_count") > 0)
 
 
 def feed_products(
-    feed: DataFrame,
-    max_pages: int = rules.FEED_PAGES,
-    page_size: int = rules.FEED_PAGE_SIZE,
+    feed: DataFrame, page_size: int = rules.FEED_PAGE_SIZE, limits: rules.Limits = rules.KEEP_ALL
 ) -> DataFrame:
     """One row per product that belongs to the catalog, with its position in the store's feed."""
-    catalogs = store_catalogs(feed, max_pages, page_size, keep=None)
+    catalogs = store_catalogs(feed, page_size, limits)
     return catalogs.select("store_url", F.posexplode("products").alias("pos", "product")).select(
         "store_url", "pos", "product.*"
     )
 
 
-def first_page_products(feed: DataFrame, n: int = rules.CATALOG_MAX) -> DataFrame:
-    """Other form: only the first feed page counts, and its first `n` products."""
+def first_page_products(feed: DataFrame, limits: rules.Limits = rules.KEEP_ALL) -> DataFrame:
+    """Other form: only the first feed page counts."""
     return (
         _parsed_pages(feed, 1)
         .groupBy("store_url")
-        .agg(F.max(F.slice("raw", 1, n)).alias("raw"))
+        .agg(F.max(cut(F.col("raw"), limits.catalog)).alias("raw"))
         .select(
             "store_url",
             F.transform("raw", lambda p: product(p, F.col("store_url"))).alias("products"),

@@ -23,9 +23,8 @@ def ok_pages(pages: DataFrame) -> DataFrame:
     return pages.where(F.col("status") == 200)
 
 
-def search_candidates(results: DataFrame) -> DataFrame:
-    """Usable links among the first ten results of each search."""
-    return results.where(
-        (F.col("rank") <= rules.SEARCH_RESULTS_MAX)
-        & urls.is_competitor_candidate(F.col("link"), rules.EXCLUDED_COMPETITOR_SITES)
-    )
+def search_candidates(results: DataFrame, limits: rules.Limits = rules.KEEP_ALL) -> DataFrame:
+    """Usable links among the results of each search."""
+    if limits.search_results is not None:
+        results = results.where(F.col("rank") <= limits.search_results)
+    return results.where(urls.is_competitor_candidate(F.col("link"), rules.EXCLUDED_COMPETITOR_SITES))

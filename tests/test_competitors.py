@@ -33,7 +33,7 @@ def test_sources_in_order(spark):
     seeded = leaders.seed_leaders(spark)
     six = {r["brand_name"]: r["competitor_urls"] for r in competitors.find_competitors(brand_rows(spark), seeded, None, results, 6).collect()}
     assert six["A"][0] == "https://tiffany.com" and six["A"][5] == "https://z.com" and len(six["A"]) == 6
-    assert six["B"] == ["https://y.com"] and six["C"] == []
+    assert six["B"] == ["https://y.com", "https://late.com"] and six["C"] == []
     five = {r["brand_name"]: r["competitor_urls"] for r in competitors.find_competitors(brand_rows(spark), seeded, None, results, 5).collect()}
     assert "https://z.com" not in five["A"]
 

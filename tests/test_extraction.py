@@ -4,7 +4,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from storeglean import schemas
+from storeglean import rules, schemas
 from storeglean.functions import scoring
 from storeglean.operators import stores
 from storeglean.plans import competitors, extraction
@@ -67,7 +67,7 @@ def test_extraction(records):
     a, b = rows["https://a.com/"], rows["https://b.com/"]
     assert a["brand_name"] == "Acme" and a["total_products"] == 5
     assert a["privacy_policy"] == "y" * 101 and a["return_refund_policy"] is None
-    assert len(a["shipping_policy"]) == 5000 and a["brand_context"] == "a" * 200
+    assert len(a["shipping_policy"]) == 6000 and a["brand_context"] == "a" * 200
     assert len(a["faqs"]) == 3 and a["currency"] == "USD" and a["country"] == "US"
     assert a["contact_info"]["emails"] == ["A@B.co", "a@b.co", "x@example.com"]
     assert a["extraction_success"] and a["extraction_duration_seconds"] == 420.0
@@ -94,11 +94,12 @@ def test_crawl_profile(spark):
         page("/", None, 404, store="https://d.com"),
     ]
     feed = spark.createDataFrame([], schemas.PRODUCT_FEED)
-    rows = by_url(
-        extraction.extract_stores_crawl(spark.createDataFrame(pages, schemas.STORE_PAGES), feed, F.lit(NOW), MARKERS)
-    )
+    landed_pages = spark.createDataFrame(pages, schemas.STORE_PAGES)
+    rows = by_url(extraction.extract_stores_crawl(landed_pages, feed, F.lit(NOW), MARKERS))
     a = rows["https://a.com/"]
-    assert len(a["return_refund_policy"]) == 2000
+    assert len(a["return_refund_policy"]) == 3000
+    short = by_url(extraction.extract_stores_crawl(landed_pages, feed, F.lit(NOW), MARKERS, limits=rules.DISPLAY))
+    assert len(short["https://a.com/"]["return_refund_policy"]) == 2000
     assert a["return_refund_policy_url"] == "https://a.com/pages/refund-policy"
     assert a["brand_context"] == "a" * 60 and a["contact_info"]["address"] == "1 Road"
     assert a["contact_info"]["emails"] == ["z@shop.org"] and a["faqs"] == []
@@ -106,6 +107,18 @@ def test_crawl_profile(spark):
     assert rows["https://d.com/"]["error_messages"] == ["Website not found: https://d.com"]
 
 
+def test_one_record_for_every_store_whatever_was_landed(spark):
+    pages = [page("/", HOME, store="https://A.com"), page("/", "<title>Late</title>", minute=-9), page("/blogs/z", text(9), store="https://z.com")]
+    feed = [("https://FEED.com/", 1, 200, json.dumps({"products": [{"title": "Mug"}]})), ("https://a.com", 1, 200, "{")]
+    asked = spark.createDataFrame([("asked.com",), ("https://a.com//",), (None,)], "store_url string")
+    landed_pages, landed_feed = spark.createDataFrame(pages, schemas.STORE_PAGES), spark.createDataFrame(feed, schemas.PRODUCT_FEED)
+    for extract in (extraction.extract_stores, extraction.extract_stores_crawl):
+        found = extract(landed_pages, landed_feed, F.lit(NOW), MARKERS, asked).collect()
+        assert sorted(r["website_url"] for r in found) == [f"https://{h}.com/" for h in ("a", "asked", "feed", "z")]
+        assert {r["website_url"] for r in found if r["extraction_success"]} == {"https://a.com/"}
+        assert all(r["error_messages"] == ["Failed to fetch homepage"] for r in found if r["website_url"] != "https://a.com/")
+
+
 def test_scores(spark):
     counts = "40 p, 5 h, 4 q, 10 f, true c, 5 s, true e, true t, 10 l"
     row = spark.sql(f"SELECT {counts}")

@@ -7,6 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from storeglean.functions.faq import from_text
+from storeglean.rules import DISPLAY
 
 
 def sequential(text):
@@ -39,7 +40,7 @@ line = st.sampled_from(
 @given(st.lists(st.lists(line, max_size=40).map("\n".join), min_size=50, max_size=50))
 def test_from_text(spark, texts):
     rows = spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1)
-    found = [[(p["question"], p["answer"]) for p in r[0]] for r in rows.select(from_text(F.col("t"))).collect()]
+    found = [[(p["question"], p["answer"]) for p in r[0]] for r in rows.select(from_text(F.col("t"), DISPLAY)).collect()]
     assert found == [sequential(t) for t in texts]
 
 

@@ -2,7 +2,7 @@ import json
 
 import pytest
 
-from storeglean import schemas
+from storeglean import rules, schemas
 from storeglean.sources import feed
 
 
@@ -48,18 +48,22 @@ def test_broken_empty_and_failed_pages_give_nothing(landed):
 
 def test_pages_are_read_until_one_is_short(landed):
     df = landed((1, 200, titles(250)), (2, 200, titles(10, 250)), (3, 200, titles(250, 900)))
-    row = feed.store_catalogs(df).first()
+    row = feed.store_catalogs(df, limits=rules.DISPLAY).first()
     assert (row["product_count"], len(row["products"])) == (260, 100)
     assert row["products"][99]["name"] == "t99"
+    assert len(feed.store_catalogs(df).first()["products"]) == 260
+    assert feed.store_catalogs(landed((2, 200, titles(5)))).count() == 0
     assert [r["name"] for r in feed.feed_products(df).orderBy("pos").collect()] == [f"t{i}" for i in range(260)]
 
 
-def test_sixth_page_is_ignored_and_repeats_do_not_add_up(landed):
+def test_limits_are_asked_for_and_repeats_do_not_add_up(landed):
     pages = [(p, 200, titles(250, 250 * p)) for p in range(1, 7)]
-    row = feed.store_catalogs(landed(*pages, *pages)).first()
+    row = feed.store_catalogs(landed(*pages, *pages), limits=rules.DISPLAY).first()
     assert row["product_count"] == 1250
+    assert feed.store_catalogs(landed(*pages, *pages)).first()["product_count"] == 1500
 
 
 def test_first_page_only(landed):
     df = landed((1, 200, titles(120)), (2, 200, titles(5)))
-    assert len(feed.first_page_products(df).first()["products"]) == 100
+    assert len(feed.first_page_products(df).first()["products"]) == 120
+    assert len(feed.first_page_products(df, rules.DISPLAY).first()["products"]) == 100

@@ -52,11 +52,12 @@ def test_hero_links(facts):
     assert [h["name"] for h in crawl] == ["X"]
 
 
-def test_only_five_heroes_of_ten_anchors(facts):
+def test_all_heroes_or_those_of_the_profile(facts):
     html = "".join(f'<a href="/products/{i}">n{i}</a>' for i in range(12))
     df = facts(html, "anchors")
-    assert len(df.select(links.hero_links(F.col("anchors"), F.col("base"))).first()[0]) == 5
-    assert len(df.select(links.hero_links_crawl(F.col("anchors"), F.col("base"))).first()[0]) == 10
+    for make, few in ((links.hero_links, 5), (links.hero_links_crawl, 10)):
+        assert len(df.select(make(F.col("anchors"), F.col("base"))).first()[0]) == 12
+        assert len(df.select(make(F.col("anchors"), F.col("base"), limits=rules.DISPLAY)).first()[0]) == few
 
 
 def test_main_text(facts):

@@ -51,9 +51,9 @@ def test_scrub_matches_sequential_rules(spark, values):
 
 
 def test_leading_paragraph(spark):
-    assert column(spark, ["x" * 60 + "\n\n" + "y" * 2100, "short"], text.leading_paragraphs) == [
-        ("x" * 60 + " " + "y" * 2100)[:2000], ""
-    ]
+    rows, whole = ["x" * 60 + "\n\n" + "y" * 2100, "short"], "x" * 60 + " " + "y" * 2100
+    assert column(spark, rows, text.leading_paragraphs) == [whole, ""]
+    assert column(spark, rows, lambda c: text.leading_paragraphs(c, rules.DISPLAY)) == [whole[:2000], ""]
 
 
 pieces = st.sampled_from(["a", "b.c", "@", "@x.com", ".co", "5", "%", " ", "é", "-", "_z@q.org", ".png"])
@@ -76,12 +76,13 @@ def test_find_phones_matches_sequential_rules(spark, values):
         first = re.findall(rules.PHONE_PATTERN, v)[:5]
         return [p for p in first if len(re.sub(r"\D", "", p)) >= 10][:3]
 
-    assert column(spark, values, find_phones) == [sequential(v) for v in values]
+    assert column(spark, values, lambda c: find_phones(c, rules.DISPLAY)) == [sequential(v) for v in values]
 
 
-def test_only_first_five_numbers_are_looked_at(spark):
+def test_all_numbers_are_looked_at_or_the_first_five(spark):
     t = "1111 x 2222 x 3333 x 4444 x 5555 x 212-555-0199"
-    assert column(spark, [t], find_phones) == [[]]
+    assert column(spark, [t], find_phones) == [["212-555-0199"]]
+    assert column(spark, [t], lambda c: find_phones(c, rules.DISPLAY)) == [[]]
 
 
 def test_grouped_phone_pattern_gives_whole_matches(spark):
@@ -98,7 +99,7 @@ def test_clean_emails_and_phones(spark):
         clean_emails(F.expr("array(' A@B.co', 'a@b.co', 'x@example.com', 'c@d.e', 'f@g.h', 'i@j.k')")).alias("e"),
         clean_phones(F.expr("array('(212) 555-0199', '212.555.0199', '12', '+44 20 7946 0958')")).alias("p"),
     ).first()
-    assert row["e"] == ["a@b.co", "c@d.e", "f@g.h"]
+    assert row["e"] == ["a@b.co", "c@d.e", "f@g.h", "i@j.k"]
     assert row["p"] == ["(212) 555-0199", "+44 20 7946 0958"]
 
 
