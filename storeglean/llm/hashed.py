@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterable
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,50 +18,64 @@ BITS = 20
 MAX_ROWS, MAX_FEATURES = 8000, 4096
 #: Documents of the sample that a feature must be in, and the least chi-square of feature and label.
 LEAST_DOCS, LEAST_CHI = 5, 12.0
-REMEMBERED, LONGEST = 200_000, 64
-_WORD = re.compile(r"\w+")
-NGRAMS = (4, 5)
+#: Bytes of a letter group within a word, the spaces around it included.
+GROUPS = (4, 5)
+_TO_SPACE = bytes(32 if c < 128 and not chr(c).isalnum() else c for c in range(256))
+_ROOT = 0x9E3779B97F4A7C15
 
 
-def bucket(feature: str) -> int:
-    """The place of a feature in the hashed space."""
-    return xxhash.xxh32_intdigest(feature.encode("utf-8", "surrogatepass")) & ((1 << BITS) - 1)
-
+@lru_cache(maxsize=4)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of an odd number and of its inverse, modulo 2^64."""
+    steps = np.full((2, n), [[_ROOT], [pow(_ROOT, -1, 1 << 64)]], np.uint64)
+    steps[:, 0] = 1
+    return tuple(np.cumprod(steps, axis=1, dtype=np.uint64))
 
-def words(text: str) -> set[str]:
-    """The different words of a text, lower-cased."""
-    return set(_WORD.findall(text.lower()))
 
+def slots(text: str) -> np.ndarray:
+    """The places in the hashed space of the words and of the letter groups within words of a lower-cased text.
 
-def of_word(word: str) -> list[int]:
-    """A word and the letter groups within it, so that forms of one stem share features."""
-    marked = f"^{word}$"
-    return [bucket(word), *(bucket(f"{n}:{marked[i : i + n]}") for n in NGRAMS for i in range(len(marked) - n + 1))]
+    A word is a run of ASCII letters and digits and characters beyond ASCII. Forms of one stem share letter groups.
+    Places may repeat.
+    """
+    raw = b" " + text.lower().encode("utf-8", "replace").translate(_TO_SPACE) + b" "
+    b = np.frombuffer(raw, np.uint8)
+    space = b == 32
+    starts, ends = np.flatnonzero(space[:-1] & ~space[1:]) + 1, np.flatnonzero(~space[:-1] & space[1:]) + 1
+    power, inverse = _powers(1 << len(b).bit_length())
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(b * power[: len(b)], dtype=np.uint64)))
+    words = (sums[ends] - sums[starts]) * inverse[starts]  # the same wherever the word stands
+    words ^= words >> np.uint64(32)
+    found = [(words * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - BITS)]
+    spaces = np.concatenate(([0], np.cumsum(space)))
+    wide = b.astype(np.uint64)
+    for n in GROUPS:
+        if len(b) < n:
+            continue
+        code = np.full(len(b) - n + 1, n, np.uint64)
+        for i in range(n):
+            code = (code << np.uint64(8)) | wide[i : len(b) - n + 1 + i]
+        whole = spaces[n - 1 : len(b)] == spaces[1 : len(b) - n + 2]  # no space but at the ends
+        found.append((code[whole] * np.uint64(_ROOT)) >> np.uint64(64 - BITS))
+    return np.concatenate(found).astype(np.int32)
 
 
-class Remembered(dict):
-    """What a function gives for words seen before; forgets all when it is full, long words at once."""
+def bucket(feature: str) -> int:
+    """The place of any other feature."""
+    return xxhash.xxh32_intdigest(feature) & ((1 << BITS) - 1)
 
-    def __init__(self, make: Callable[[str], tuple]):
-        super().__init__()
-        self.make = make
 
-    def __missing__(self, word: str) -> tuple:
-        value = self.make(word)
-        if len(word) <= LONGEST:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[word] = value
-        return value
+def chosen_slots(text: str, chosen: np.ndarray) -> np.ndarray:
+    """The different ones of the sorted `chosen` places that a text has."""
+    return np.intersect1d(slots(text), chosen)
 
 
 def features(text: str) -> Column:
-    """The different features of the words of a text column."""
+    """The different features of a text column."""
 
     @F.arrow_udf("array<int>")
     def found(texts: pa.Array) -> pa.Array:
-        known = Remembered(lambda w: tuple(of_word(w)))
-        return pa.array([sorted({f for w in words(t.as_py() or "") for f in known[w]}) for t in texts], pa.list_(pa.int32()))
+        return pa.array([np.unique(slots(t.as_py() or "")) for t in texts], pa.list_(pa.int32()))
 
     return found(text)
 
@@ -145,19 +159,25 @@ def minimise(gradient: Callable[[np.ndarray], np.ndarray], start: np.ndarray, st
     return x
 
 
-def logit(text: Column, weights: dict[int, float], bias: float, features_of: Callable[[str], list[int]] = of_word) -> Column:
+class Weights:
+    """The weights of features as a table over the hashed space."""
+
+    def __init__(self, weights: dict[int, float]):
+        self.table = np.zeros(1 << BITS)
+        self.table[list(weights)] = list(weights.values())
+        self.held = self.table != 0
+
+    def sum(self, places: np.ndarray) -> float:
+        """Over the different places."""
+        return float(self.table[np.unique(places[self.held[places]])].sum())
+
+
+def logit(text: Column, weights: dict[int, float], bias: float) -> Column:
     """bias plus the weights of the different features of a whole text; null and empty texts have none."""
 
     @F.arrow_udf("double")
     def scored(texts: pa.Array) -> pa.Array:
-        active = Remembered(lambda w: tuple(f for f in features_of(w) if f in weights))
-        out = []
-        for t in texts:
-            found: set[int] = set()
-            for w in words(t.as_py() or ""):
-                if a := active[w]:
-                    found.update(a)
-            out.append(bias + sum(weights[f] for f in sorted(found)))
-        return pa.array(out, pa.float64())
+        held = Weights(weights)
+        return pa.array([bias + held.sum(slots(t.as_py() or "")) for t in texts], pa.float64())
 
     return scored(text)

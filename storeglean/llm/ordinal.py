@@ -45,21 +45,18 @@ def shapes(text: str) -> list[str]:
     return [*found, f"length={min(8, len(tokens).bit_length() // 2)}"]
 
 
-def of_text(text: str, known: dict[str, tuple]) -> list[int]:
-    """The different features of a text. known: the features of a word."""
-    found = {f for w in hashed.words(text) for f in known[w]}
-    return sorted(found.union(hashed.bucket(f"shape:{s}") for s in shapes(text)))
+def of_text(text: str) -> np.ndarray:
+    """The features of a text; they may repeat."""
+    return np.concatenate((hashed.slots(text), np.array([hashed.bucket(f"shape:{s}") for s in shapes(text)], np.int32)))
 
 
 def features(text: str, chosen: np.ndarray | None = None) -> Column:
-    """The features of a text column, or those of them that are chosen."""
-    allowed = None if chosen is None else set(chosen.tolist())
+    """The different features of a text column, or those of them that are chosen."""
 
     @F.arrow_udf("array<int>")
     def found(texts: pa.Array) -> pa.Array:
-        known = hashed.Remembered(lambda w: tuple(f for f in hashed.of_word(w) if allowed is None or f in allowed))
-        rows = (of_text(t.as_py() or "", known) for t in texts)
-        return pa.array([r if allowed is None else [f for f in r if f in allowed] for r in rows], pa.list_(pa.int32()))
+        rows = (of_text(t.as_py() or "") for t in texts)
+        return pa.array([np.unique(r) if chosen is None else np.intersect1d(r, chosen) for r in rows], pa.list_(pa.int32()))
 
     return found(text)
 
@@ -117,8 +114,8 @@ def sums(text: Column, weights: dict[int, float]) -> Column:
 
     @F.arrow_udf("double")
     def total(texts: pa.Array) -> pa.Array:
-        known = hashed.Remembered(lambda w: tuple(f for f in hashed.of_word(w) if f in weights))
-        return pa.array([sum(weights.get(f, 0.0) for f in of_text(t.as_py() or "", known)) for t in texts], pa.float64())
+        held = hashed.Weights(weights)
+        return pa.array([held.sum(of_text(t.as_py() or "")) for t in texts], pa.float64())
 
     return total(text)
 

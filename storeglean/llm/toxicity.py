@@ -67,23 +67,18 @@ def swapped(sentence: str, by: int) -> str:
 
 def _examples(chosen: np.ndarray):
     """The chosen features of a text; those of its sentences with an identity term before and after each swap."""
-    allowed = set(chosen.tolist())
-
-    def features(text: str, known: dict) -> list[int]:
-        return sorted({f for w in hashed.words(text) for f in known[w]})
-
     @F.arrow_udf("struct<x:array<int>,before:array<array<int>>,after:array<array<int>>>")
     def examples(texts: pa.Array) -> pa.Array:
-        known, out = hashed.Remembered(lambda w: tuple(f for f in hashed.of_word(w) if f in allowed)), []
+        out = []
         for t in texts:
             text = t.as_py() or ""
             before, after = [], []
             if _TERM.search(text):
                 for sentence in sorted(set(filter(_TERM.search, _SENTENCE.findall(text)))):
                     for by in range(1, SWAPS + 1):
-                        before.append(features(sentence, known))
-                        after.append(features(swapped(sentence, by), known))
-            out.append({"x": features(text, known), "before": before, "after": after})
+                        before.append(hashed.chosen_slots(sentence, chosen))
+                        after.append(hashed.chosen_slots(swapped(sentence, by), chosen))
+            out.append({"x": hashed.chosen_slots(text, chosen), "before": before, "after": after})
         return pa.array(out, _PAIRS)
 
     return examples
