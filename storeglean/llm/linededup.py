@@ -21,8 +21,8 @@ DEPTH, MIN_TOKENS = 3, 8
 VERBATIM_DOCS, TEMPLATE_DOCS, LITERAL_SHARE = 2, 8, 0.7
 #: Different tokens at a position above which the general template has a field there.
 MAX_CHILDREN = 16
-#: A document with this share of its tokens in lines to drop is a copy; that is for near-duplicate removal to judge.
-COPY_SHARE = 0.8
+#: Share of a text that must be that of one earlier document for it to be a copy: all of it, to the letter.
+COPY_SHARE = 1.0
 FIELD = "<*>"
 #: Size of the map of hashes that is sent to all tasks, as a power of two of bits: 1 MB.
 SIEVE_BITS = 23
@@ -105,10 +105,11 @@ def _templates(docs: DataFrame, kinds: DataFrame) -> DataFrame:
     return marked.groupBy("leaf", "line").agg(joined("exact"), joined("wide"), literal("exact"), literal("wide"))
 
 
-def recurring(docs: DataFrame) -> DataFrame:
-    """(doc, text_hash, gone, share): places of the lines to drop from a document, and their share of the tokens of all
-    lines looked at. doc is the smallest long for rows without id."""
-    lines, lines_path = stored(_lines(docs).drop("t"), "lines")
+def recurring(docs: DataFrame, copies: bool = True) -> DataFrame:
+    """(doc, text_hash, gone): places of the lines to drop from a document. doc is the smallest long for rows without id.
+
+    With `copies`, only the first document with a text loses lines; the others with the same text are copies of it."""
+    lines, lines_path = stored(_lines(docs).drop("t", "n"), "lines")
     held = lines.select("leaf", "line", "doc").distinct()
     kinds, kinds_path = stored(
         held.groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("n_docs"), F.min("doc").alias("first")), "kinds"
@@ -128,17 +129,14 @@ def recurring(docs: DataFrame) -> DataFrame:
 
     verbatim = kinds.where(F.col("n_docs") >= VERBATIM_DOCS).select("leaf", "line", "first")
     drop = verbatim.unionByName(general("exact")).unionByName(general("wide"))
-    drop = drop.groupBy("leaf", "line").agg(F.min("first").alias("first"))
-    gone = (
-        lines.join(drop.withColumnRenamed("first", "stays"), ["leaf", "line"], "left")
-        .withColumn("goes", F.coalesce(F.col("doc") > F.col("stays"), F.lit(False)))
-        .groupBy("doc", "text_hash")
-        .agg(
-            F.array_distinct(F.collect_list(F.when(F.col("goes"), F.col("at")))).alias("gone"),
-            (F.sum(F.when(F.col("goes"), F.col("n"))) / F.sum("n")).alias("share"),
-        )
-        .where("share > 0")
-    )
+    drop = kept(drop.groupBy("leaf", "line").agg(F.min("first").alias("stays")))
+    may = _sieve(drop.select("line"))
+    goes = lines.where(may(F.col("line"))).join(drop, ["leaf", "line"]).where(F.col("doc") > F.col("stays"))
+    if copies:
+        texts = docs.groupBy(F.xxhash64("text").alias("text_hash")).agg(F.min(_doc()).alias("original"), F.max(_doc()).alias("last"))
+        texts = texts.where(F.col("original") < F.col("last")).drop("last")
+        goes = goes.join(texts, "text_hash", "left").where(F.coalesce("original", "doc") == F.col("doc"))
+    gone = goes.groupBy("doc", "text_hash").agg(F.collect_set("at").alias("gone"))
     found = kept(gone)
     for path in (lines_path, kinds_path):
         discard(docs.sparkSession, path)
@@ -148,14 +146,17 @@ def recurring(docs: DataFrame) -> DataFrame:
 def dedup_lines(docs: DataFrame, copy_share: float = COPY_SHARE, out: str = "n_dropped") -> DataFrame:
     """The documents with the lines of recurring templates left out, and `out`, the number of lines left out.
 
-    A template's lines stay in the first document (smallest doc_id) that has them. A document with at least `copy_share`
-    of its tokens in such lines is a copy of others and stays as it is; 1.1 leaves out lines everywhere. Null and empty
-    texts stay. Lines of fewer than MIN_TOKENS tokens stay. Rows that share an id, and all rows
+    A template's lines stay in the first document (smallest doc_id) that has them. A document whose whole text is that
+    of an earlier one is a copy and stays as it is, for near-duplicate removal to judge; a `copy_share` over 1 leaves out
+    lines in copies as well. Less than the whole text makes no copy, so a share under 1 is refused. Null and empty texts
+    stay. Lines of fewer than MIN_TOKENS tokens stay. Rows that share an id, and all rows
     without id, count as one document: what recurs only among them stays. Other columns go through; a column called
     like `out` is replaced.
     """
     doc, text_hash, gone = (fresh(docs, n) for n in ("_doc", "_hash", "_gone"))
-    found = recurring(docs.select("doc_id", "text")).where(F.col("share") < copy_share)
+    if copy_share < 1:
+        raise ValueError("copy_share: only a whole text makes a copy")
+    found = recurring(docs.select("doc_id", "text"), copies=copy_share == 1)
     per = found.select(F.col("doc").alias(doc), F.col("text_hash").alias(text_hash), F.col("gone").alias(gone))
     keyed = docs.withColumns({doc: _doc(), text_hash: F.xxhash64("text")})
     joined = keyed.join(per, [doc, text_hash], "left")
@@ -168,9 +169,9 @@ def dedup_lines(docs: DataFrame, copy_share: float = COPY_SHARE, out: str = "n_d
 
 
 def op2_line_dedup(spark: SparkSession, directory: str) -> DataFrame:
-    """All documents without their recurring lines: doc_id, n_dropped, text."""
+    """All documents, copies too, without their recurring lines: doc_id, n_dropped, text."""
     docs = table(spark, directory, "documents").select("doc_id", "text")
-    return dedup_lines(docs).select("doc_id", "n_dropped", "text")
+    return dedup_lines(docs, copy_share=1.1).select("doc_id", "n_dropped", "text")
 
 
 QUERIES = {"op2_line_dedup": (op2_line_dedup, None)}

@@ -102,3 +102,22 @@ def test_a_common_line_in_very_many_documents(docs, prose):
     rows = [(i, f"this line stands in every document of the whole table\n{own(prose, i)}") for i in range(400)]
     got = {r["doc_id"]: r["n_dropped"] for r in ld.dedup_lines(docs(rows)).collect()}
     assert got == {i: int(i > 0) for i in range(400)}
+
+
+def test_only_a_whole_text_makes_a_copy(docs, prose):
+    passage, long = prose(1, 60), [prose(20 + k, 60) for k in range(4)]
+    verse = "\n".join(prose(40 + k, 6) for k in range(30))
+    short = prose(80, 10)
+    rows = [(1, f"{own(prose, 1)}\n{passage}")] + [(10 + k, f"{own(prose, 10 + k)}\n{long[k]}") for k in range(4)]
+    rows += [(20, f"{verse}\n{passage}"), (21, "\n".join([*long, short])), (22, f"{passage}\n{prose(90, 9)}")]
+    rows += [(30, f"{verse}\n{passage}"), (31, passage)]
+    found = {r["doc_id"]: r["text"] for r in ld.dedup_lines(docs(rows)).collect()}
+    assert {i for i, t in found.items() if passage in t} == {1, 30}  # the whole text of 30 is that of 20
+    assert found[20] == verse and found[21] == short and found[22] == prose(90, 9) and found[31] == ""
+    everywhere = {r["doc_id"]: r["text"] for r in ld.dedup_lines(docs(rows), 1.1).collect()}
+    assert everywhere == found | {30: verse}
+
+
+def test_the_query_drops_lines_in_copies(docs, spark, prose, tmp_path):
+    docs([(1, own(prose, 1)), (2, own(prose, 1))]).write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r["doc_id"]: r["text"] for r in ld.op2_line_dedup(spark, str(tmp_path)).collect()} == {1: own(prose, 1), 2: ""}
