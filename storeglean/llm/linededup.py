@@ -3,7 +3,9 @@
 A line's place in the tree is fixed: its number of tokens, then its leading tokens, tokens with a digit being a field
 `<*>`. In a leaf each further token is literal if it stands at its position in enough documents, and a field otherwise;
 where a position has many different tokens, a second, more general template has a field too. The line with its fields
-is its template. A template that recurs across documents is dropped from all of them but the first.
+is its template. Lines of a leaf that share a stretch of tokens are also held against the most frequent token of each
+position among them, so that neither the values of a field nor other lines in the leaf decide what is literal. A template
+that recurs across documents is dropped from all of them but the first.
 """
 
 from __future__ import annotations
@@ -73,17 +75,55 @@ def _sieve(keys: DataFrame, bits: int = SIEVE_BITS):
     return may
 
 
-def _templates(docs: DataFrame, kinds: DataFrame) -> DataFrame:
-    """(leaf, line, exact, wide, exact_literal, wide_literal): the two templates of each kind of line, as hashes, and
-    their shares of literals. kinds: leaf, line, n_docs."""
+def _kinds(docs: DataFrame, kinds: DataFrame) -> DataFrame:
+    """(leaf, line, n_docs, t): the tokens of each kind of line. kinds: leaf, line, n_docs."""
     may = _sieve(kinds.select("leaf"))
-    found = (
+    return (
         _lines(docs)
         .where(may(F.col("leaf")))
         .join(kinds, ["leaf", "line"])
         .select("leaf", "line", "n_docs", "t")
         .dropDuplicates(["leaf", "line"])
     )
+
+
+def _clusters(found: DataFrame) -> DataFrame:
+    """(leaf, line, shape): the clusters of kinds of line that are alike; a line may be in several. found: see _kinds.
+
+    With at most n (1 - LITERAL_SHARE) fields, one of so many stretches and one more after the leading tokens has none, so
+    all lines of a template share it. The lines that share a stretch are a block; its centre is the most frequent token at
+    each position, and the lines that have the centre's token at LITERAL_SHARE of their positions are the cluster. A block
+    of the same lines as another one is left out.
+    """
+    n = F.size("t")
+    fields = F.floor(n * (1 - LITERAL_SHARE)).cast("int")
+
+    def start(k: Column) -> Column:
+        return F.floor(k * (n - DEPTH) / (fields + 1)).cast("int") + DEPTH + 1
+
+    stretches = F.transform(
+        F.sequence(F.lit(0), fields), lambda k: F.xxhash64("leaf", k, F.slice("t", start(k), start(k + 1) - start(k)))
+    )
+    parts = kept(found.select("leaf", "line", "n_docs", F.explode(stretches).alias("shape")))
+    blocks = (
+        parts.groupBy("leaf", "shape")
+        .agg(F.count(F.lit(1)).alias("kinds"), F.sum("n_docs").alias("docs"), F.bit_xor("line").alias("lines"))
+        .where((F.col("kinds") > 1) & (F.col("docs") >= TEMPLATE_DOCS))
+        .groupBy("leaf", "kinds", "docs", "lines")
+        .agg(F.min("shape").alias("shape"))
+        .select("shape")
+    )
+    inside = kept(parts.join(blocks, "shape").join(found.select("leaf", "line", "t"), ["leaf", "line"]))
+    often = inside.select("shape", "n_docs", F.posexplode("t").alias("i", "token")).groupBy("shape", "i", "token").agg(F.sum("n_docs").alias("often"))
+    modes = often.groupBy("shape", "i").agg(F.max(F.struct("often", "token")).getField("token").alias("token"))
+    centres = modes.groupBy("shape").agg(F.array_sort(F.collect_list(F.struct("i", "token"))).getField("token").alias("centre"))
+    alike = F.filter(F.zip_with("t", "centre", lambda a, b: (a == b) & (a != FIELD)), lambda same: same)
+    return inside.join(centres, "shape").where(F.size(alike) >= n * LITERAL_SHARE).select("leaf", "line", "shape")
+
+
+def _templates(found: DataFrame) -> DataFrame:
+    """(leaf, line, exact, wide, exact_literal, wide_literal): the two templates of each kind of line, as hashes, and
+    their shares of literals. found: see _kinds."""
     each = kept(found.select("leaf", "line", "n_docs", F.posexplode("t").alias("i", "token")))
     often = each.groupBy("leaf", "i", "token").agg(F.sum("n_docs").alias("often"))
     children = often.groupBy("leaf", "i").agg(F.count(F.lit(1)).alias("children"))
@@ -117,25 +157,28 @@ def recurring(docs: DataFrame, copies: bool = True) -> DataFrame:
     leaves = kinds.groupBy("leaf").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n_docs").alias("docs"))
     several = leaves.where((F.col("kinds") > 1) & (F.col("docs") >= TEMPLATE_DOCS)).select("leaf")
     mixed = kept(kinds.drop("first").join(several, "leaf", "left_semi"))
-    shapes = kept(_templates(docs, mixed))
+    texts = kept(_kinds(docs, mixed))
+    shapes = kept(_templates(texts))
+
+    def shaped(name: str) -> DataFrame:
+        return shapes.where(F.col(f"{name}_literal") >= LITERAL_SHARE).select("leaf", "line", F.col(name).alias("shape"))
 
-    def general(name: str) -> DataFrame:
-        """(leaf, line, first): kinds whose template `name` recurs, and the first document with it."""
-        able = shapes.where(F.col(f"{name}_literal") >= LITERAL_SHARE).select("leaf", "line", F.col(name).alias("shape"))
+    def general(able: DataFrame) -> DataFrame:
+        """(leaf, line, first): kinds whose template recurs, and the first document with it. able: leaf, line, shape."""
         where = held.join(able, ["leaf", "line"]).select("leaf", "shape", "doc").distinct()
         sizes = where.groupBy("leaf", "shape").agg(F.count(F.lit(1)).alias("n_docs"), F.min("doc").alias("first"))
         sizes = sizes.where(F.col("n_docs") >= TEMPLATE_DOCS)
         return able.join(sizes, ["leaf", "shape"]).select("leaf", "line", "first")
 
     verbatim = kinds.where(F.col("n_docs") >= VERBATIM_DOCS).select("leaf", "line", "first")
-    drop = verbatim.unionByName(general("exact")).unionByName(general("wide"))
+    drop = verbatim.unionByName(general(shaped("exact"))).unionByName(general(shaped("wide"))).unionByName(general(kept(_clusters(texts))))
     drop = kept(drop.groupBy("leaf", "line").agg(F.min("first").alias("stays")))
     may = _sieve(drop.select("line"))
     goes = lines.where(may(F.col("line"))).join(drop, ["leaf", "line"]).where(F.col("doc") > F.col("stays"))
     if copies:
-        texts = docs.groupBy(F.xxhash64("text").alias("text_hash")).agg(F.min(_doc()).alias("original"), F.max(_doc()).alias("last"))
-        texts = texts.where(F.col("original") < F.col("last")).drop("last")
-        goes = goes.join(texts, "text_hash", "left").where(F.coalesce("original", "doc") == F.col("doc"))
+        same = docs.groupBy(F.xxhash64("text").alias("text_hash")).agg(F.min(_doc()).alias("original"), F.max(_doc()).alias("last"))
+        same = same.where(F.col("original") < F.col("last")).drop("last")
+        goes = goes.join(same, "text_hash", "left").where(F.coalesce("original", "doc") == F.col("doc"))
     gone = goes.groupBy("doc", "text_hash").agg(F.collect_set("at").alias("gone"))
     found = kept(gone)
     for path in (lines_path, kinds_path):

@@ -121,3 +121,17 @@ def test_only_a_whole_text_makes_a_copy(docs, prose):
 def test_the_query_drops_lines_in_copies(docs, spark, prose, tmp_path):
     docs([(1, own(prose, 1)), (2, own(prose, 1))]).write.parquet(f"{tmp_path}/documents.parquet")
     assert {r["doc_id"]: r["text"] for r in ld.op2_line_dedup(spark, str(tmp_path)).collect()} == {1: own(prose, 1), 2: ""}
+
+
+def test_templates_with_many_values_among_other_lines(docs, prose):
+    names, cities = prose(1, 300).split(" ")[:10], prose(2, 300).split(" ")[:10]
+    rows = []
+    for i in range(160):
+        line = f"this page was written by {names[i % 10]} who lives in {cities[i // 10 % 10]} and likes to hear from readers"
+        rows.append((i, f"{own(prose, i)}\n{line}"))
+    other = {500 + i: f"this page was {prose(5000 + i, 13)}" for i in range(20)}
+    rows += [(i, f"{own(prose, i)}\n{line}") for i, line in other.items()]
+    assert {len(t.split(" ")) for t in other.values()} == {len(line.split(" "))}
+    found = {r["doc_id"]: r["text"] for r in ld.dedup_lines(docs(rows)).collect()}
+    assert [i for i, t in found.items() if "who lives in" in t] == [0]
+    assert all(line in found[i] for i, line in other.items())
