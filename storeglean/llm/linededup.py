@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from storeglean.llm.common import discard, fresh, kept, stored, table
 
-#: Leading tokens that make a leaf; lines with fewer tokens than MIN_TOKENS are not looked at.
+#: Leading tokens that make a leaf; least tokens of a line, or of a run of consecutive lines for shorter ones.
 DEPTH, MIN_TOKENS = 3, 8
 #: Documents in which a verbatim line, or a template with fields found in the leaf, recurs; literal share of the latter.
 VERBATIM_DOCS, TEMPLATE_DOCS, LITERAL_SHARE = 2, 8, 0.7
@@ -45,14 +45,49 @@ def tokens(line: Column) -> Column:
     return F.when(line.rlike("[0-9]") & (literal >= F.size(parts) * LITERAL_SHARE), masked).otherwise(parts)
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """(doc, text_hash, at, n, leaf, line, t): each line with enough tokens t, and its hashes. at counts from 0."""
-    split = docs.select(
-        _doc().alias("doc"), F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n")).alias("at", "line")
-    )
-    parts = split.select("doc", "text_hash", "at", tokens(F.col("line")).alias("t")).withColumn("n", F.size("t"))
+def short_runs(text: bytes) -> list[tuple[int, int, bytes]]:
+    """(first, last, tokens): the shortest runs of lines that start or end with a line of under MIN_TOKENS tokens and have
+    MIN_TOKENS or more together. Each line of a recurring passage of so many tokens is in such a run, or long enough itself,
+    within the passage. Lines without a token do not count."""
+    held = [(at, len(line.split(None, MIN_TOKENS - 1)), line) for at, line in enumerate(text.split(b"\n"))]
+    held = [x for x in held if x[1]]
+    found = set()
+    for k in range(len(held)):
+        if held[k][1] >= MIN_TOKENS:
+            continue
+        for step in (1, -1):
+            n, at = held[k][1], k
+            while n < MIN_TOKENS and 0 <= at + step < len(held):
+                at += step
+                n += held[at][1]
+            if n >= MIN_TOKENS:
+                found.add((min(k, at), max(k, at)))
+    return [(held[a][0], held[b][0], b" ".join(x[2] for x in held[a : b + 1])) for a, b in sorted(found)]
+
+
+_RUNS = pa.list_(pa.struct([("at", pa.int32()), ("upto", pa.int32()), ("line", pa.string())]))
+
+
+def _short_runs(text: str) -> Column:
+    @F.arrow_udf("array<struct<at:int,upto:int,line:string>>")
+    def runs(texts: pa.Array) -> pa.Array:
+        found = ([dict(zip(("at", "upto", "line"), run, strict=True)) for run in short_runs(t.as_py() or b"")] for t in texts.cast(pa.binary()))
+        return pa.array(found, _RUNS)
+
+    return runs(text)
+
+
+def _lines(docs: DataFrame, runs: bool) -> DataFrame:
+    """(doc, text_hash, at, upto, n, leaf, line, t): each line with enough tokens t, and its hashes; with `runs` also the
+    runs of short lines at to upto, each as one line. at and upto count from 0."""
+    keyed = docs.select(_doc().alias("doc"), F.xxhash64("text").alias("text_hash"), "text")
+    split = keyed.select("doc", "text_hash", F.posexplode(F.split("text", "\n")).alias("at", "line")).withColumn("upto", F.col("at"))
+    if runs:
+        more = keyed.select("doc", "text_hash", F.explode(_short_runs("text")).alias("run")).select("doc", "text_hash", "run.*")
+        split = split.unionByName(more)
+    parts = split.select("doc", "text_hash", "at", "upto", tokens(F.col("line")).alias("t")).withColumn("n", F.size("t"))
     return parts.where(F.col("n") >= MIN_TOKENS).select(
-        "doc", "text_hash", "at", "n", F.xxhash64("n", F.slice("t", 1, DEPTH)).alias("leaf"), F.xxhash64("t").alias("line"), "t"
+        "doc", "text_hash", "at", "upto", "n", F.xxhash64("n", F.slice("t", 1, DEPTH)).alias("leaf"), F.xxhash64("t").alias("line"), "t"
     )
 
 
@@ -75,11 +110,11 @@ def _sieve(keys: DataFrame, bits: int = SIEVE_BITS):
     return may
 
 
-def _kinds(docs: DataFrame, kinds: DataFrame) -> DataFrame:
+def _kinds(docs: DataFrame, kinds: DataFrame, runs: bool) -> DataFrame:
     """(leaf, line, n_docs, t): the tokens of each kind of line. kinds: leaf, line, n_docs."""
     may = _sieve(kinds.select("leaf"))
     return (
-        _lines(docs)
+        _lines(docs, runs)
         .where(may(F.col("leaf")))
         .join(kinds, ["leaf", "line"])
         .select("leaf", "line", "n_docs", "t")
@@ -145,11 +180,12 @@ def _templates(found: DataFrame) -> DataFrame:
     return marked.groupBy("leaf", "line").agg(joined("exact"), joined("wide"), literal("exact"), literal("wide"))
 
 
-def recurring(docs: DataFrame, copies: bool = True) -> DataFrame:
+def recurring(docs: DataFrame, copies: bool = True, runs: bool = False) -> DataFrame:
     """(doc, text_hash, gone): places of the lines to drop from a document. doc is the smallest long for rows without id.
 
-    With `copies`, only the first document with a text loses lines; the others with the same text are copies of it."""
-    lines, lines_path = stored(_lines(docs).drop("t", "n"), "lines")
+    With `copies`, only the first document with a text loses lines; the others with the same text are copies of it.
+    With `runs`, short lines are looked at too, in runs."""
+    lines, lines_path = stored(_lines(docs, runs).drop("t", "n"), "lines")
     held = lines.select("leaf", "line", "doc").distinct()
     kinds, kinds_path = stored(
         held.groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("n_docs"), F.min("doc").alias("first")), "kinds"
@@ -157,7 +193,7 @@ def recurring(docs: DataFrame, copies: bool = True) -> DataFrame:
     leaves = kinds.groupBy("leaf").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n_docs").alias("docs"))
     several = leaves.where((F.col("kinds") > 1) & (F.col("docs") >= TEMPLATE_DOCS)).select("leaf")
     mixed = kept(kinds.drop("first").join(several, "leaf", "left_semi"))
-    texts = kept(_kinds(docs, mixed))
+    texts = kept(_kinds(docs, mixed, runs))
     shapes = kept(_templates(texts))
 
     def shaped(name: str) -> DataFrame:
@@ -179,27 +215,30 @@ def recurring(docs: DataFrame, copies: bool = True) -> DataFrame:
         same = docs.groupBy(F.xxhash64("text").alias("text_hash")).agg(F.min(_doc()).alias("original"), F.max(_doc()).alias("last"))
         same = same.where(F.col("original") < F.col("last")).drop("last")
         goes = goes.join(same, "text_hash", "left").where(F.coalesce("original", "doc") == F.col("doc"))
-    gone = goes.groupBy("doc", "text_hash").agg(F.collect_set("at").alias("gone"))
+    gone = goes.groupBy("doc", "text_hash").agg(
+        F.array_distinct(F.flatten(F.collect_set(F.sequence("at", "upto")))).alias("gone")
+    )
     found = kept(gone)
     for path in (lines_path, kinds_path):
         discard(docs.sparkSession, path)
     return found
 
 
-def dedup_lines(docs: DataFrame, copy_share: float = COPY_SHARE, out: str = "n_dropped") -> DataFrame:
+def dedup_lines(docs: DataFrame, copy_share: float = COPY_SHARE, out: str = "n_dropped", runs: bool = False) -> DataFrame:
     """The documents with the lines of recurring templates left out, and `out`, the number of lines left out.
 
     A template's lines stay in the first document (smallest doc_id) that has them. A document whose whole text is that
     of an earlier one is a copy and stays as it is, for near-duplicate removal to judge; a `copy_share` over 1 leaves out
     lines in copies as well. Less than the whole text makes no copy, so a share under 1 is refused. Null and empty texts
-    stay. Lines of fewer than MIN_TOKENS tokens stay. Rows that share an id, and all rows
+    stay. Lines of fewer than MIN_TOKENS tokens stay, unless `runs`: then a run of consecutive
+    lines, empty ones between them included, goes like one line if it has MIN_TOKENS tokens or more together. Rows that share an id, and all rows
     without id, count as one document: what recurs only among them stays. Other columns go through; a column called
     like `out` is replaced.
     """
     doc, text_hash, gone = (fresh(docs, n) for n in ("_doc", "_hash", "_gone"))
     if copy_share < 1:
         raise ValueError("copy_share: only a whole text makes a copy")
-    found = recurring(docs.select("doc_id", "text"), copies=copy_share == 1)
+    found = recurring(docs.select("doc_id", "text"), copies=copy_share == 1, runs=runs)
     per = found.select(F.col("doc").alias(doc), F.col("text_hash").alias(text_hash), F.col("gone").alias(gone))
     keyed = docs.withColumns({doc: _doc(), text_hash: F.xxhash64("text")})
     joined = keyed.join(per, [doc, text_hash], "left")
@@ -214,7 +253,7 @@ def dedup_lines(docs: DataFrame, copy_share: float = COPY_SHARE, out: str = "n_d
 def op2_line_dedup(spark: SparkSession, directory: str) -> DataFrame:
     """All documents, copies too, without their recurring lines: doc_id, n_dropped, text."""
     docs = table(spark, directory, "documents").select("doc_id", "text")
-    return dedup_lines(docs, copy_share=1.1).select("doc_id", "n_dropped", "text")
+    return dedup_lines(docs, copy_share=1.1, runs=True).select("doc_id", "n_dropped", "text")
 
 
 QUERIES = {"op2_line_dedup": (op2_line_dedup, None)}

@@ -135,3 +135,15 @@ def test_templates_with_many_values_among_other_lines(docs, prose):
     found = {r["doc_id"]: r["text"] for r in ld.dedup_lines(docs(rows)).collect()}
     assert [i for i, t in found.items() if "who lives in" in t] == [0]
     assert all(line in found[i] for i, line in other.items())
+
+
+def test_passages_of_short_lines_go_whole(docs, prose):
+    verse = [prose(300 + k, 5 + k % 3) for k in range(12)]
+    stanzas = "\n".join([*verse[:6], "", *verse[6:]])
+    passage, name = prose(1, 60), prose(2, 2)
+    rows = [(1, f"{own(prose, 1)}\n{stanzas}\n{prose(3, 4)}"), (2, f"{stanzas}\n{own(prose, 2)}"), (3, f"{prose(4, 3)}\n{stanzas}\n{own(prose, 3)}")]
+    rows += [(4, f"{own(prose, 4)}\n{name}\n{passage}\n{name}"), (5, f"{name}\n{passage}\n{name}\n{own(prose, 5)}"), (6, f"{own(prose, 6)}\n{name}")]
+    found = {r["doc_id"]: r["text"] for r in ld.dedup_lines(docs(rows), runs=True).collect()}
+    assert found == {1: rows[0][1], 2: own(prose, 2), 3: f"{prose(4, 3)}\n{own(prose, 3)}", 4: rows[3][1], 5: own(prose, 5), 6: rows[5][1]}
+    assert ld.short_runs(b"") == ld.short_runs(b"a b\n \nc") == []
+    assert ld.short_runs(b"a b c d\n\n1 2 3 4\r\n" + b"w " * 9) == [(0, 2, b"a b c d 1 2 3 4\r"), (2, 3, b"1 2 3 4\r " + b"w " * 9)]
