@@ -84,7 +84,8 @@ def labelled_sample(labels: DataFrame, docs: DataFrame, max_rows: int = MAX_ROWS
     """(label, text, weight) of at most `max_rows` labelled documents, as many of each label if there are.
 
     labels: doc_id, label. The rows are the first by a hash of the id, so the sample is the same on every run; weight is
-    the number of labelled rows that a row stands for. Labels of null, or of no document, are left out. Labels have few
+    the number of labelled rows that a row stands for. Of several documents with one id the one with the least hash of its
+    text is taken, so that no id outweighs others. Labels of null, or of no document, are left out. Labels have few
     different values.
     """
     able = labels.where("label is not null and doc_id is not null")
@@ -102,8 +103,14 @@ def labelled_sample(labels: DataFrame, docs: DataFrame, max_rows: int = MAX_ROWS
     chosen = parts[0]
     for p in parts[1:]:
         chosen = chosen.unionByName(p)
-    # max_rows rows at most
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("label", "text", "weight")
+    chosen = kept(chosen)  # max_rows rows at most
+    texts = (
+        docs.select("doc_id", "text")
+        .join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id")
+        .groupBy("doc_id")
+        .agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).getField("text").alias("text"))
+    )
+    return texts.join(F.broadcast(chosen), "doc_id").select("label", "text", "weight")
 
 
 def choose_features(sample: DataFrame, max_features: int = MAX_FEATURES) -> np.ndarray:

@@ -91,3 +91,12 @@ def test_the_sample_is_bounded_and_weighted(docs, spark):
     labels = spark.createDataFrame([(i, int(i < 90)) for i in range(100)], "doc_id long, label int")
     rows = hashed.labelled_sample(labels, table, 20).collect()
     assert sorted((r["label"], r["weight"]) for r in rows) == [(0, 1.0)] * 10 + [(1, 9.0)] * 10
+
+
+def test_a_repeated_id_is_one_row_of_the_sample(docs, spark):
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, label int")
+    rows = [(1, f"text {i % 7}") for i in range(300)] + [(2, "two"), (3, None), (4, "four")]
+    found = hashed.labelled_sample(labels, docs(rows)).collect()
+    assert sorted((r["label"], r["weight"]) for r in found) == [(0, 1.0), (0, 1.0), (1, 1.0)]
+    again = hashed.labelled_sample(labels, docs(rows[::-1])).collect()
+    assert {r["text"] for r in found} == {r["text"] for r in again} and {"two", None} < {r["text"] for r in found}
