@@ -175,24 +175,31 @@ def base_failed() -> Column:
     return (F.col("n_words") < 20) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 30)
 
 
+def sampled(stats: DataFrame, rows: int) -> DataFrame:
+    """The first `rows` documents by a hash of id and text, so that no id, nor rows without one, fill the sample. Rows equal
+    in both count once. stats: doc_id, text_hash, STATS."""
+    once = stats.dropDuplicates(["doc_id", "text_hash"])
+    return once.orderBy(hash32(F.col("doc_id"), F.col("text_hash")), "doc_id", "text_hash").limit(rows)
+
+
 def judge(
     docs: DataFrame, labels: DataFrame, trees: int = TREES, tree_rows: int = TREE_ROWS, good_loss: float = GOOD_LOSS
 ) -> DataFrame:
     """One row per document: doc_id, STATS, base_failed, score, kept.
 
-    The forest grows on the first trees * tree_rows documents by a hash of their id, of those that pass the base rules;
-    the threshold uses all labelled ones of these. labels: doc_id, quality (0 or 1; others are left out). A null or empty
+    The forest grows on the first trees * tree_rows documents by a hash of their id and text, of those that pass the base
+    rules, rows equal in both once; the threshold uses all labelled ones of these. labels: doc_id, quality (0 or 1; others are left out). A null or empty
     text has no words and fails. Without usable labels only the base rules decide. Other columns are not read.
     """
-    stats = kept(docs.select("doc_id", statistics("text").alias("s")).select("doc_id", "s.*")).withColumn("base_failed", base_failed())
-    able = stats.where(~F.col("base_failed"))
-    first = able.orderBy(hash32(F.col("doc_id")), "doc_id", *STATS).limit(trees * tree_rows)
+    described = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), statistics("text").alias("s"))
+    stats = kept(described.select("doc_id", "text_hash", "s.*")).withColumn("base_failed", base_failed())
+    first = sampled(stats.where(~F.col("base_failed")), trees * tree_rows)
     sample = np.array([list(r) for r in first.select(*shares()).collect()], float).reshape(-1, len(shares()))
     forest = grow(sample, trees, tree_rows)
     scored = stats.withColumn("score", _scored(forest))
     marked = labels.where("quality in (0, 1)").select("doc_id", (F.col("quality") == 1).alias("good"))
     limit = threshold(scored.where(~F.col("base_failed")).join(marked, "doc_id").select("score", "good"), good_loss)
-    return scored.withColumn("kept", ~F.col("base_failed") & (F.col("score") < limit))
+    return scored.drop("text_hash").withColumn("kept", ~F.col("base_failed") & (F.col("score") < limit))
 
 
 def op6_quality_rules(spark: SparkSession, directory: str) -> DataFrame:

@@ -61,3 +61,12 @@ def test_without_labels_or_rows(docs, spark, prose):
     none = spark.createDataFrame([], LABELS)
     assert [r["kept"] for r in anomaly.judge(docs([(1, prose(1, 30)), (2, "short")]), none).orderBy("doc_id").collect()] == [True, False]
     assert anomaly.judge(docs([]), none).collect() == []
+
+
+def test_rows_without_id_do_not_fill_the_sample(docs, prose):
+    rows = [(None, prose(i, 25)) for i in range(60)] + [(None, prose(100 + i, 90)) for i in range(60)] + [(i, prose(200 + i, 50)) for i in range(60)]
+    rows += [(None, prose(1, 25))] * 40
+    stats = docs(rows).select("doc_id", F.xxhash64("text").alias("text_hash"), anomaly.statistics("text").alias("s")).select("doc_id", "text_hash", "s.*")
+    words = [r["n_words"] for r in anomaly.sampled(stats, 60).collect()]
+    assert len(words) == 60 and min(words.count(n) for n in (25, 50, 90)) >= 8
+    assert anomaly.sampled(stats, 1000).count() == 180
