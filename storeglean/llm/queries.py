@@ -1,5 +1,7 @@
 """The queries of the operators, each with the SQL statement that checks it or None."""
 
-from storeglean.llm import anomaly, decontamination, langid, linededup, neardup, ordinal, packing, sharding, toxicity, warc
+from storeglean.llm import anomaly, decontamination, hardneg, langid, linededup, neardup, ordinal
+from storeglean.llm import packing, sharding, toxicity, vptree, warc, whitening
 
-QUERIES = {name: pair for module in (sharding, linededup, ordinal, packing, anomaly, langid, decontamination, neardup, toxicity, warc) for name, pair in module.QUERIES.items()}
+_MODULES = (sharding, linededup, ordinal, packing, anomaly, langid, decontamination, neardup, toxicity, warc, hardneg, whitening, vptree)
+QUERIES = {name: pair for module in _MODULES for name, pair in module.QUERIES.items()}
