@@ -20,14 +20,32 @@ def cut(arr: Column, n: int | None) -> Column:
 
 
 def keep_first_by(arr: Column, key: Callable[[Column], Column]) -> Column:
-    """Drop elements whose key was seen before; order is kept."""
-    return let(
-        F.struct(arr.alias("items"), F.transform(arr, key).alias("keys")),
-        lambda s: F.filter(
-            s["items"],
-            lambda x, i: F.array_position(s["keys"], F.get(s["keys"], i)) == i + 1,
-        ),
-    )
+    """Drop elements whose key is null or was seen before; order is kept.
+
+    Keys are sorted with their places and compared with the one before, so the time grows as that of a sort.
+    """
+
+    def firsts(s: Column) -> Column:
+        places = F.filter(s, lambda k, i: k["key"].isNotNull() & ((i == 0) | ~F.get(s, i - 1)["key"].eqNullSafe(k["key"])))
+        return F.sort_array(F.transform(places, lambda k: k["at"]))
+
+    def kept(items: Column) -> Column:
+        keyed = F.sort_array(F.transform(items, lambda x, i: F.struct(key(x).alias("key"), i.alias("at"))))
+        return F.transform(let(keyed, firsts), lambda i: F.get(items, i))
+
+    return let(arr, kept)
+
+
+def without(arr: Column, key: Callable[[Column], Column], others: Column) -> Column:
+    """The elements whose key is none of `others` (keys); of elements with one key the first, and none without a key."""
+
+    def kept(items: Column) -> Column:
+        before = F.transform(others, lambda k: F.struct(k.alias("key"), F.lit(-1).alias("at")))
+        own = F.transform(items, lambda x, i: F.struct(key(x).alias("key"), i.alias("at")))
+        first = F.filter(keep_first_by(F.concat(before, own), lambda k: k["key"]), lambda k: k["at"] >= 0)
+        return F.transform(first, lambda k: F.get(items, k["at"]))
+
+    return let(arr, kept)
 
 
 def empty(ddl: str) -> Column:

@@ -107,52 +107,41 @@ def pad_pairs(pairs: Column, limits: rules.Limits = rules.KEEP_ALL) -> Column:
 
 
 def from_text(text: Column, limits: rules.Limits = rules.KEEP_ALL) -> Column:
-    """Pairs in Q:/A: text, one row at a time and without a shuffle.
+    """Pairs in Q:/A: text, in one pass over its lines and without a shuffle.
 
-    A question line opens a pair. Answer lines are always added to it, other lines only while
-    it holds fewer than three.
+    A question line opens a block that ends before the next one. The first three lines of a block are its answer, and answer
+    lines wherever they stand in it. Blocks without a question or an answer give no pair.
     """
     lines = F.filter(F.transform(F.split(text, "\n"), strip), lambda s: s != "")
-    start = F.struct(
-        F.array().cast("array<struct<question:string,answer:string>>").alias("pairs"),
-        F.lit(None).cast("string").alias("question"),
-        F.lit("").alias("answer"),
-        F.lit(0).alias("parts"),
-    )
 
-    def closed(s: Column) -> Column:
-        ready = has_text(s["question"]) & (s["parts"] > 0)
-        if limits.faqs is not None:
-            ready = ready & (F.size(s["pairs"]) < limits.faqs)
-        pair = F.struct(
-            head(s["question"], limits.faq_question_chars).alias("question"), s["answer"].alias("answer")
+    def pair(block: Column) -> Column:
+        parts = F.transform(
+            F.filter(block["body"], lambda line, i: (i < 3) | line.rlike(_ANSWER_LINE)),
+            lambda line: F.when(line.rlike(_ANSWER_LINE), F.regexp_replace(line, _ANSWER_LABEL, "")).otherwise(line),
         )
-        return F.when(ready, F.concat(s["pairs"], F.array(pair))).otherwise(s["pairs"])
-
-    def with_answer(s: Column, part: Column) -> Column:
-        joined = F.when(s["parts"] > 0, F.concat(s["answer"], F.lit(" "), part)).otherwise(part)
         return F.struct(
-            s["pairs"].alias("pairs"),
-            s["question"].alias("question"),
-            head(joined, limits.faq_answer_chars).alias("answer"),
-            (s["parts"] + 1).alias("parts"),
+            head(block["question"], limits.faq_question_chars).alias("question"),
+            head(F.array_join(parts, " "), limits.faq_answer_chars).alias("answer"),
         )
 
-    def step(s: Column, line: Column) -> Column:
-        opened = F.struct(
-            closed(s).alias("pairs"),
-            F.regexp_replace(line, _QUESTION_LABEL, "").alias("question"),
-            F.lit("").alias("answer"),
-            F.lit(0).alias("parts"),
-        )
-        return (
-            F.when(line.rlike(_QUESTION_LINE), opened)
-            .when(line.rlike(_ANSWER_LINE), with_answer(s, F.regexp_replace(line, _ANSWER_LABEL, "")))
-            .when(has_text(s["question"]) & (s["parts"] < 3), with_answer(s, line))
-            .otherwise(s)
-        )
+    def pairs(s: Column) -> Column:
+        starts, held = s["starts"], s["lines"]
+
+        def block(at: Column, k: Column) -> Column:
+            end = F.coalesce(F.get(starts, k + 1), F.size(held))
+            return F.struct(
+                F.regexp_replace(F.get(held, at), _QUESTION_LABEL, "").alias("question"),
+                F.slice(held, at + 2, F.greatest(end - at - 1, F.lit(0))).alias("body"),
+            )
+
+        ready = F.filter(F.transform(starts, block), lambda b: has_text(b["question"]) & (F.size(b["body"]) > 0))
+        return F.transform(cut(ready, limits.faqs), pair)
+
+    def opened(held: Column) -> Column:
+        places = F.transform(held, lambda line, i: F.when(line.rlike(_QUESTION_LINE), i))
+        return F.struct(held.alias("lines"), F.filter(places, lambda i: i.isNotNull()).alias("starts"))
 
-    return F.aggregate(lines, start, step, closed)
+    return let(let(lines, opened), pairs)
 
 
 def or_general(category: Column) -> Column:

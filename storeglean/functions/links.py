@@ -30,16 +30,31 @@ def _link(name: Column, url: Column, raw: Column, is_default: bool) -> Column:
     )
 
 
+def _anchors_up_to(anchors: Column, borders: Column) -> Column:
+    """For each border, in their order, how many anchors stand up to it. Anchors and borders are sorted together once: what
+    stands before a border and is no border is an anchor."""
+    marked = F.transform(anchors, lambda a: F.struct(a["idx"].alias("at"), F.lit(-1).alias("region")))
+    own = F.transform(borders, lambda b, r: F.struct(b.alias("at"), r.alias("region")))
+    placed = F.transform(F.sort_array(F.concat(marked, own)), lambda m, i: F.struct(m["region"].alias("region"), i.alias("place")))
+    counted = F.transform(
+        F.filter(placed, lambda m: m["region"] >= 0), lambda m, j: F.struct(m["region"], (m["place"] - j).alias("n"))
+    )
+    return F.transform(F.sort_array(counted), lambda c: c["n"])
+
+
 def anchors_in_regions(anchors: Column, regions: Column) -> Column:
-    """Anchors of each region in turn; one in two regions comes twice."""
-    return F.flatten(
-        F.transform(
-            regions,
-            lambda r: F.filter(
-                anchors, lambda a: (a["idx"] > r["start"]) & (a["idx"] <= r["stop"])
-            ),
+    """Anchors of each region in turn; one in two regions comes twice. Anchors are in the order of their places, so those of
+    a region are a stretch of them."""
+
+    def stretches(found: Column) -> Column:
+        before = _anchors_up_to(found, F.transform(regions, lambda r: r["start"]))
+        upto = _anchors_up_to(found, F.transform(regions, lambda r: r["stop"]))
+        spans = F.arrays_zip(before.alias("before"), upto.alias("upto"))
+        return F.flatten(
+            F.transform(spans, lambda s: F.slice(found, s["before"] + 1, F.greatest(s["upto"] - s["before"], F.lit(0))))
         )
-    )
+
+    return let(anchors, stretches)
 
 
 def important_links(

@@ -1,6 +1,6 @@
 """Product tables: de-duplication, featured products, categories."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lists import category_lists
@@ -39,15 +39,11 @@ def category_sizes(products: DataFrame, store: str = "store", product_type: str
 def by_list(products: DataFrame, lists: DataFrame, store: str = "store", name: str = "name"):
     """Products of each named category; a product may be in several.
 
-    `lists` has (store, category, name). It is reduced to one row per name first, so the join
-    is many-to-one: a name that many products share is split by the adaptive skew join.
+    `lists` has (store, category, name), an inverted index from names to categories: an equality join finds them, and the
+    rows of a name that many products share are split by the adaptive skew join. A name that a category has twice counts once.
     """
-    groups = lists.groupBy(store, name).agg(F.collect_set("category").alias("_categories"))
-    return (
-        lookup_join(products, groups, [store, name])
-        .withColumn("category", F.explode("_categories"))
-        .drop("_categories")
-    )
+    index = lists.select(store, name, "category").distinct()
+    return lookup_join(products, index, [store, name])
 
 
 def categorize(
@@ -60,13 +56,53 @@ def categorize(
     """Products by the category lists of their store, or by type where there is no valid list.
 
     `responses` has one (store, response) row per store. A product may be in several categories
-    or, with a valid list, in none.
+    or, with a valid list, in none. The lists never go to the products' rows: a flag for each store tells
+    which way its products go, and names are looked up in the lists in long form.
+    """
+    parsed = responses.select(store, category_lists(F.col("response")).alias("_lists")).where(F.col("_lists").isNotNull())
+    listed = lookup_join(products, parsed.select(store, F.lit(True).alias("_listed")), [store], "left")
+    by_name = parsed.select(store, F.explode("_lists").alias("category", "_names")).select(
+        store, "category", F.explode("_names").alias(name)
+    )
+    named = by_list(listed.where("_listed").drop("_listed"), by_name, store, name)
+    typed = by_type(listed.where("_listed is null").drop("_listed"), product_type)
+    return named.unionByName(typed)
+
+
+# ---- products grouped by category
+
+CHUNK = 500  # products of a chunk
+
+
+def positions(rows: DataFrame, group: list[str], pos: str, out: str, width: int = CHUNK) -> DataFrame:
+    """Add `out`: the gapless position from 0 of each row in its group, in the order of `pos`.
+
+    `pos` is a whole number that differs among the rows of a group. A group is cut into stretches of `width` values of
+    `pos`, which hold as many rows at most; a row's position is that in its stretch and the number of rows in the stretches
+    before. So a group of any size meets in no task: only the counts of its stretches do.
+    """
+    dealt = rows.withColumn("_stretch", F.floor(F.col(pos) / width))
+    counts = dealt.groupBy(*group, "_stretch").agg(F.count("*").alias("_held"))
+    before = Window.partitionBy(*group).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = counts.select(*group, "_stretch", F.coalesce(F.sum("_held").over(before), F.lit(0)).alias("_first"))
+    inside = F.row_number().over(Window.partitionBy(*group, "_stretch").orderBy(pos)) - 1
+    placed = dealt.withColumn("_inside", inside).join(firsts, [*group, "_stretch"])
+    return placed.withColumn(out, (F.col("_first") + F.col("_inside")).cast("long")).select(*rows.columns, out)
+
+
+def grouped(
+    categorized: DataFrame, store: str = "store", name: str = "name", pos: str = "pos", chunk: int = CHUNK
+) -> DataFrame:
+    """The products of each category of a store, in feed order, as lists of `chunk` products at most.
+
+    One row per (store, category, chunk): chunk counts from 0, `first` is the position of its first product in the category,
+    `products` are (pos, name). All chunks but the last of a category are full. `pos` is a product's place in its store.
     """
-    parsed = responses.select(store, category_lists(F.col("response")).alias("_lists"))
-    named = F.map_keys(F.map_filter("_lists", lambda _, names: F.array_contains(names, F.col(name))))
-    own = F.array(F.coalesce(blank_to_null(F.col(product_type)), F.lit("Other")))
+    placed = positions(categorized.where(F.col(store).isNotNull()), [store, "category"], pos, "_place", chunk)
+    dealt = placed.withColumn("chunk", F.floor(F.col("_place") / chunk))
+    item = F.struct(F.col(pos).alias("pos"), F.col(name).alias("name"))
     return (
-        lookup_join(products, parsed, [store], "left")
-        .withColumn("category", F.explode(F.when(F.col("_lists").isNull(), own).otherwise(named)))
-        .drop("_lists")
+        dealt.groupBy(store, "category", "chunk")
+        .agg(F.array_sort(F.collect_list(item)).alias("products"))
+        .select(store, "category", "chunk", (F.col("chunk") * chunk).alias("first"), "products")
     )

@@ -1,6 +1,7 @@
 """The table of store records: upsert, log, look-ups, searches, statistics, export."""
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from ..functions import faq, urls
 from ..functions.arrays import or_empty, size0
 from ..functions.scoring import policies_present
 from ..functions.text import blank_to_null
+from . import bucketed
 from .keyed import most_recent
 
 # ---- writing
@@ -40,15 +42,22 @@ def upsert(
     )
 
 
-def create_tables(spark: SparkSession, location: str) -> None:
-    """Create the tables that are appended to or looked up, where absent."""
-    for name, ddl in {
-        "competitor_analyses": schemas.COMPETITOR_ANALYSES,
-        "extraction_logs": schemas.EXTRACTION_LOGS,
-        "industry_leaders": schemas.INDUSTRY_LEADERS,
-        "competitors": schemas.COMPETITORS,
-    }.items():
-        spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({ddl}) USING parquet LOCATION '{location}/{name}'")
+_APPENDED = {"competitor_analyses": schemas.COMPETITOR_ANALYSES, "extraction_logs": schemas.EXTRACTION_LOGS}
+_LOOKED_UP = {"industry_leaders": schemas.INDUSTRY_LEADERS, "competitors": schemas.COMPETITORS}
+
+
+def create_tables(spark: SparkSession, location: str, prefix: str = "") -> None:
+    """Create the tables that are appended to or looked up, where absent; their names begin with `prefix`.
+
+    A table that is appended to has a partition for each run, which a repetition of the run replaces as a whole.
+    """
+    for name, ddl in _APPENDED.items():
+        spark.sql(
+            f"CREATE TABLE IF NOT EXISTS {prefix}{name} ({ddl}, run_id STRING) USING parquet"
+            f" OPTIONS (partitionOverwriteMode 'dynamic') PARTITIONED BY (run_id) LOCATION '{location}/{name}'"
+        )
+    for name, ddl in _LOOKED_UP.items():
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {prefix}{name} ({ddl}) USING parquet LOCATION '{location}/{name}'")
 
 
 def publish(spark: SparkSession, df: DataFrame, location: str, run_id: str, name: str = "brand_insights"):
@@ -64,8 +73,12 @@ def publish(spark: SparkSession, df: DataFrame, location: str, run_id: str, name
     return spark.table(name)
 
 
-def append(df: DataFrame, table: str) -> None:
-    df.select(*df.sparkSession.table(table).columns).write.mode("append").insertInto(table)
+def append(df: DataFrame, table: str, run_id: str | None = None) -> None:
+    """Add rows to a table of `create_tables` as those of a run. The rows that a run of that id has added before, whole or
+    in part, are replaced when the job commits; without an id the run is a new one."""
+    columns = df.sparkSession.table(table).columns
+    marked = df.withColumn("run_id", F.lit(run_id or uuid.uuid4().hex))
+    marked.select(*columns).write.mode("overwrite").insertInto(table)
 
 
 def run_log(records: DataFrame, at: Column) -> DataFrame:
@@ -83,6 +96,20 @@ def run_log(records: DataFrame, at: Column) -> DataFrame:
     )
 
 
+def upsert_buckets(
+    spark: SparkSession, location: str, incoming: DataFrame, run_ts: Column, run_id: str,
+    key: str = "website_url", order: list[str] | None = None, buckets: int = bucketed.BUCKETS,
+) -> DataFrame:
+    """`upsert` into a table of buckets at `location`: only buckets with an incoming store are read and written, and a run
+    that is repeated changes nothing. The new state of the table."""
+
+    def combine(stored: DataFrame, rows: DataFrame) -> DataFrame:
+        times = [c for c in ("created_at", "updated_at") if c not in stored.columns]
+        return upsert(stored.withColumns({c: run_ts for c in times}), rows, run_ts, key, order)
+
+    return bucketed.merge(spark, location, incoming, run_id, key, combine, buckets)
+
+
 def seconds_between(start: Column, stop: Column) -> Column:
     return (F.unix_micros(stop) - F.unix_micros(start)) / F.lit(1e6)
 
@@ -95,6 +122,12 @@ def lookup(stores: DataFrame, url: str) -> DataFrame:
     return stores.where(F.col("website_url") == urls.canonical(F.lit(url)))
 
 
+def lookup_bucket(spark: SparkSession, location: str, url: str) -> DataFrame:
+    """The record of one store in a table of buckets: one bucket is read."""
+    key = spark.range(1).select(urls.canonical(F.lit(url)).alias("key")).first()["key"]
+    return bucketed.lookup(spark, location, "website_url", key)
+
+
 def recent(stores: DataFrame, n: int = 10) -> DataFrame:
     return most_recent(stores, "extraction_timestamp", "website_url", n)
 

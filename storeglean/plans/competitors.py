@@ -1,12 +1,13 @@
 """Competitors of many brands at once: find, cache, report, compare."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions import industry, lists, urls
 from ..functions.arrays import let, size0
 from ..functions.text import blank_to_null
+from ..operators import bucketed
 from ..operators.joins import lookup_join
 from ..operators.keyed import top_n
 from ..operators.leaders import lookup_leaders
@@ -115,6 +116,13 @@ def update_cache(cache: DataFrame, rows: DataFrame) -> DataFrame:
     return both.groupBy("domain").agg(newest.alias("_row")).select("domain", "_row.*").select(*both.columns)
 
 
+def update_cache_buckets(
+    spark: SparkSession, location: str, rows: DataFrame, run_id: str, buckets: int = bucketed.BUCKETS
+) -> DataFrame:
+    """`update_cache` into a table of buckets at `location`; the new state of the cache."""
+    return bucketed.merge(spark, location, rows, run_id, "domain", update_cache, buckets)
+
+
 def mini_rows(stores: DataFrame) -> DataFrame:
     """What a report says about one competitor."""
     return stores.select(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import rules, schemas
 from ..functions import contact, faq, industry, links, page, scoring, social, urls
-from ..functions.arrays import cut, empty, keep_first_by, or_empty, size0
+from ..functions.arrays import cut, empty, keep_first_by, or_empty, size0, without
 from ..functions.text import (
     blank_to_null, clean, has_text, head, longer_than, one_of, sql_text, strip, text_array,
 )
@@ -243,15 +243,10 @@ def enrich(stores: DataFrame, limits: rules.Limits = rules.KEEP_ALL) -> DataFram
         }
     )
     hero_names = F.transform("hero_products", lambda p: F.lower(p["name"]))
-    without_heroes = cleaned.withColumn("_hero_names", hero_names).withColumn(
-        "product_catalog",
-        F.filter(
-            "product_catalog", lambda p: ~F.array_contains(F.col("_hero_names"), F.lower(p["name"]))
-        ),
-    )
-    counted = without_heroes.drop("_hero_names").withColumn(
-        "total_products", F.size("product_catalog") + F.size("hero_products")
+    without_heroes = cleaned.withColumn(
+        "product_catalog", without(F.col("product_catalog"), lambda p: F.lower(p["name"]), hero_names)
     )
+    counted = without_heroes.withColumn("total_products", F.size("product_catalog") + F.size("hero_products"))
     return _with_scores(counted)
 
 

@@ -7,6 +7,7 @@ from .. import rules
 from ..functions import urls
 from ..operators import leaders
 from ..plans import competitors
+from ..sources.workspace import scratch
 from . import roles
 from .sqltext import ladder, q, words_in
 
@@ -177,6 +178,17 @@ def cache_upsert(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def cache_buckets(spark: SparkSession, d: str) -> DataFrame:
+    """The same by a cache of buckets that each run changes in place; the first run is repeated."""
+    rows, location = _page_cache(spark, d), scratch(spark, "cache")
+    known = F.col("industry") == "home"
+    for some, run in ((rows.where(known), "1"), (rows.where("industry IS NULL"), "2"), (rows.where(known), "1")):
+        cache = competitors.update_cache_buckets(spark, location, some, run, buckets=8)
+    return cache.select(
+        "domain", "brand_name", "industry", F.array_join("competitor_domains", ",").alias("competitor_domains")
+    )
+
+
 CACHE_UPSERT = """
 WITH rows AS (
   SELECT page_id, regexp_extract(url, '://([^/?#]*)', 1) AS domain,
@@ -337,6 +349,7 @@ QUERIES = {
     "suggested_competitors": (suggested_competitors, SUGGESTED_COMPETITORS),
     "cache_lookup": (cache_lookup, CACHE_LOOKUP),
     "cache_upsert": (cache_upsert, CACHE_UPSERT),
+    "cache_buckets": (cache_buckets, CACHE_UPSERT),
     "competitor_report": (competitor_report, COMPETITOR_REPORT),
     "comparison_text": (comparison_text, COMPARISON_TEXT),
     "analyses_saved": (analyses_saved, ANALYSES_SAVED),

@@ -186,6 +186,31 @@ WHERE store IN (SELECT store FROM broken)
 """
 
 
+def category_lists(spark: SparkSession, d: str) -> DataFrame:
+    """The parts of each brand by type, in lists of at most 100."""
+    rows = products.by_type(_typed(spark, d).withColumnRenamed("p_partkey", "pos"))
+    found = products.grouped(rows, chunk=_CHUNK)
+    names = F.array_join(F.transform("products", lambda p: p["name"]), "|")
+    return found.select(
+        "store", "category", "chunk", "first", F.size("products").alias("held"), F.get("products", F.lit(0))["pos"].alias("first_pos"),
+        F.element_at("products", -1)["pos"].alias("last_pos"), F.md5(F.encode(names, "UTF-8")).alias("names_md5"),
+    )
+
+
+_CHUNK = 100
+CATEGORY_LISTS = f"""
+WITH placed AS (
+  SELECT p_brand AS store, p_partkey AS pos, p_name AS name, CASE WHEN p_type IN ('PROMO', 'SMALL') THEN 'Other' ELSE p_type END AS category
+  FROM part
+), numbered AS (
+  SELECT *, (row_number() OVER (PARTITION BY store, category ORDER BY pos) - 1) // {_CHUNK} AS chunk FROM placed
+)
+SELECT store, category, chunk, chunk * {_CHUNK} AS first, CAST(count(*) AS INT) AS held, min(pos) AS first_pos,
+  max(pos) AS last_pos, md5(string_agg(name, '|' ORDER BY pos)) AS names_md5
+FROM numbered GROUP BY store, category, chunk
+"""
+
+
 def product_type_keywords(spark: SparkSession, d: str) -> DataFrame:
     parts = roles.table(spark, d, "part").select(
         F.floor(F.col("p_partkey") / roles.BLOCK).alias("store"), "p_partkey", roles.shown_type().alias("product_type")
@@ -270,6 +295,7 @@ QUERIES = {
     "categorize_by_type": (categorize_by_type, CATEGORIZE_BY_TYPE),
     "category_sizes": (category_sizes, CATEGORY_SIZES),
     "categorize_by_list": (categorize_by_list, CATEGORIZE_BY_LIST),
+    "category_lists": (category_lists, CATEGORY_LISTS),
     "categorize_by_response": (categorize_by_response, CATEGORIZE_BY_RESPONSE),
     "product_type_keywords": (product_type_keywords, PRODUCT_TYPE_KEYWORDS),
     "industry_from_names": (industry_from_names, INDUSTRY_FROM_NAMES),

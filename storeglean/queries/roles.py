@@ -153,7 +153,19 @@ def _feed(parts: DataFrame) -> DataFrame:
 
 
 def large_feed(spark: SparkSession, directory: str) -> DataFrame:
-    """Four pages of 250 products per store."""
+    """Four pages of 250 products per store, landed at noon, and stale landings: every third page in the morning with other
+    (and larger) products, every fourth page later, but not delivered, every fifth one later, but broken."""
+    newest = _large_feed(spark, directory).withColumn("fetched_at", F.timestamp_seconds(F.lit(1704110400)))
+    mark = F.pmod(F.xxhash64("store_url", "page"), F.lit(60))
+    early = newest.where(mark % 3 == 0).withColumns(
+        {"fetched_at": F.timestamp_seconds(F.lit(1704096000)), "body": F.replace("body", F.lit("title"), F.lit('handle":"zz","title'))}
+    )
+    failed = newest.where(mark % 4 == 0).withColumns({"fetched_at": F.timestamp_seconds(F.lit(1704114000)), "status": F.lit(503)})
+    broken = newest.where(mark % 5 == 0).withColumns({"fetched_at": F.timestamp_seconds(F.lit(1704117600)), "body": F.lit("{broken")})
+    return newest.unionByName(early).unionByName(failed).unionByName(broken)
+
+
+def _large_feed(spark: SparkSession, directory: str) -> DataFrame:
     key = F.col("p_partkey")
     parts = table(spark, directory, "part").select(
         "*",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring
 from ..operators import stores
+from ..sources.workspace import scratch
 from . import roles
 from .sqltext import LATEST, RUNS
 
@@ -41,6 +42,44 @@ FROM latest l JOIN spans s ON l.website_url = s.website_url
 """
 
 
+def upsert_buckets(spark: SparkSession, d: str) -> DataFrame:
+    """The same by a table of buckets that each run changes in place; the second run is repeated."""
+    runs = roles.runs(spark, d).select(
+        "website_url", "event_id", "extraction_timestamp", "extraction_success", "quality_score"
+    )
+    early, order = F.col("extraction_timestamp") < F.lit(_SPLIT).cast("timestamp_ntz"), ["extraction_timestamp", "event_id"]
+    location = scratch(spark, "stores")
+    for rows, at in ((runs.where(early), _SPLIT), (runs.where(~early), _RUN_TS), (runs.where(~early), _RUN_TS)):
+        state = stores.upsert_buckets(spark, location, rows, F.lit(at).cast("timestamp_ntz"), at, order=order, buckets=8)
+    return state.select(
+        "website_url", "event_id", "extraction_timestamp", "extraction_success", "quality_score", "created_at", "updated_at"
+    )
+
+
+def append_once(spark: SparkSession, d: str) -> DataFrame:
+    """The run log as three jobs append it by kind of result; the first is repeated, and one ran before with fewer rows."""
+    log = stores.run_log(roles.runs(spark, d), F.col("extraction_timestamp").cast("timestamp"))
+    location = scratch(spark, "logs")
+    prefix = f"t{location.rpartition('-')[2]}_"
+    stores.create_tables(spark, location, prefix)
+    failed, name = F.col("status") == "failed", f"{prefix}extraction_logs"
+    for rows, run in ((failed, "failed"), (~failed & (F.col("quality_score") > 50), "good"), (~failed, "good"), (failed, "failed")):
+        stores.append(log.where(rows), name, run)
+    added = spark.read.schema(spark.table(name).schema).parquet(f"{location}/extraction_logs")
+    for table in ("competitor_analyses", "extraction_logs", "industry_leaders", "competitors"):
+        spark.sql(f"DROP TABLE {prefix}{table}")  # the files stay
+    return added.select("run_id", "website_url", "status", "error_message", "duration_seconds", "quality_score", F.col("timestamp").cast("timestamp_ntz").alias("timestamp"))
+
+
+APPEND_ONCE = f"""
+WITH {RUNS}
+SELECT CASE WHEN extraction_success THEN 'good' ELSE 'failed' END AS run_id, website_url,
+  CASE WHEN extraction_success THEN 'success' ELSE 'failed' END AS status, error_message,
+  extraction_duration_seconds AS duration_seconds, quality_score, extraction_timestamp AS timestamp
+FROM runs
+"""
+
+
 def run_log(spark: SparkSession, d: str) -> DataFrame:
     log = stores.run_log(roles.runs(spark, d), F.col("extraction_timestamp"))
     return log.select("website_url", "status", "error_message", "duration_seconds", "quality_score", "timestamp")
@@ -181,6 +220,8 @@ FROM counts
 
 QUERIES = {
     "upsert_latest": (upsert_latest, UPSERT_LATEST),
+    "upsert_buckets": (upsert_buckets, UPSERT_LATEST),
+    "append_once": (append_once, APPEND_ONCE),
     "run_log": (run_log, RUN_LOG),
     "lookup_store": (lookup_store, LOOKUP_STORE),
     "search_stores": (search_stores, SEARCH_STORES),

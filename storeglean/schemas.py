@@ -4,6 +4,7 @@ STORE_PAGES = (
     "store_url STRING, path STRING, url STRING, status INT, fetched_at TIMESTAMP, html STRING"
 )
 PRODUCT_FEED = "store_url STRING, page INT, status INT, body STRING"
+FEED_LANDINGS = f"{PRODUCT_FEED}, fetched_at TIMESTAMP"
 SEARCH_RESULTS = "brand_name STRING, rank INT, link STRING"
 
 FEED_BODY = (

@@ -8,6 +8,7 @@ parsed in Arrow batches, in whatever partitions the scan produced, without a shu
 import re
 import sys
 from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 from itertools import repeat
@@ -41,14 +42,17 @@ class _Page(HTMLParser):
         self.last, self.first_piece, self.end_piece = [], [], []
         self.pieces, self.owners = [], []
         self._open = []
+        self._held = Counter()  # open elements by tag
         self._anchor = None
         self._fresh = True
         self.feed(html)
         self.close()
         self._pop_to(0)
-        self._of_tag = {}
+        self._of_tag, self._owned = {}, {}
         for i, tag in enumerate(self.tags):
             self._of_tag.setdefault(tag, []).append(i)
+        for k, owner in enumerate(self.owners):
+            self._owned.setdefault(owner, []).append(k)
 
     def handle_starttag(self, tag, attrs):
         self._fresh = True
@@ -65,6 +69,7 @@ class _Page(HTMLParser):
         self.end_piece.append(len(self.pieces))
         if tag not in _VOID:
             self._open.append(i)
+            self._held[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -73,6 +78,8 @@ class _Page(HTMLParser):
 
     def handle_endtag(self, tag):
         self._fresh = True
+        if not self._held[tag]:
+            return
         for depth in range(len(self._open) - 1, -1, -1):
             if self.tags[self._open[depth]] == tag:
                 self._pop_to(depth)
@@ -94,6 +101,7 @@ class _Page(HTMLParser):
         if self._anchor is not None and depth <= self._anchor:
             self._anchor = None
         for i in self._open[depth:]:
+            self._held[self.tags[i]] -= 1
             self.last[i] = len(self.tags) - 1
             self.end_piece[i] = len(self.pieces)
         del self._open[depth:]
@@ -140,7 +148,16 @@ class _Page(HTMLParser):
         return "".join(self.texts(i)).strip()
 
     def own_texts(self, i) -> list[str]:
-        return [self.pieces[k] for k in range(self.first_piece[i], self.end_piece[i]) if self.owners[k] == i]
+        return [self.pieces[k] for k in self._owned.get(i, ())]
+
+    def covered(self, chosen) -> bytearray:
+        """For each element whether it lies inside one of the elements `chosen`."""
+        marks, reach, out = set(chosen), -1, bytearray(len(self.tags))
+        for i, last in enumerate(self.last):
+            out[i] = i <= reach
+            if i in marks:
+                reach = max(reach, last)
+        return out
 
 
 def _joined(parts) -> str:
@@ -148,26 +165,19 @@ def _joined(parts) -> str:
 
 
 def _main_text(page: _Page, drop: bool) -> str | None:
-    gone = set()
-    if drop:
-        for i, tag in enumerate(page.tags):
-            if tag in _DROPPED:
-                gone.update(range(page.first_piece[i], page.end_piece[i]))
+    gone, upto = set(), 0
     alive = [i for i in page.find("main") + page.find("div", "page-content")]
     if drop:
-        alive = [i for i in alive if not _inside_dropped(page, i)]
+        dropped = [i for i, tag in enumerate(page.tags) if tag in _DROPPED]
+        for i in dropped:  # a part inside another one is in its range already
+            gone.update(range(max(upto, page.first_piece[i]), page.end_piece[i]))
+            upto = max(upto, page.end_piece[i])
+        covered = page.covered(dropped)
+        alive = [i for i in alive if not covered[i]]
         alive += page.find("body")[:1]
     return _joined(page.texts(alive[0], gone)) if alive else None
 
 
-def _inside_dropped(page: _Page, i: int) -> bool:
-    while i >= 0:
-        if page.tags[i] in _DROPPED:
-            return True
-        i = page.parents[i]
-    return False
-
-
 def _direct_text(page: _Page) -> str:
     for selector in rules.CONTENT_SELECTORS + ["body"]:
         parts = [t for i in page.select(selector) for t in page.own_texts(i)]
@@ -177,7 +187,7 @@ def _direct_text(page: _Page) -> str:
 
 
 def _anchors(page: _Page, product: str) -> list[dict]:
-    footers, tops = page.find("footer"), page.find("header") + page.find("nav")
+    in_footer, in_top = page.covered(page.find("footer")), page.covered(page.find("header") + page.find("nav"))
     images, marked = page.find("img"), page.find()
     prices = [k for k in marked if page.class_like(k, _PRICE)]
     shown = [k for k in marked if _price_like(page, k)]
@@ -196,8 +206,8 @@ def _anchors(page: _Page, product: str) -> list[dict]:
             "img_src": None,
             "parent_price": None,
             "inner_price": None,
-            "in_footer": any(f < i <= page.last[f] for f in footers),
-            "in_header_nav": any(t < i <= page.last[t] for t in tops),
+            "in_footer": bool(in_footer[i]),
+            "in_header_nav": bool(in_top[i]),
         }
         if href and re.search(product, href):
             image = next(page.within(i, images), None)
@@ -239,15 +249,17 @@ def _faq_candidates(page: _Page) -> list[dict]:
 
 def _faq_items(page: _Page) -> list[dict]:
     chosen = sorted({i for s in rules.FAQ_CRAWL_ITEMS for i in page.select(s)})
-    questions = {i for s in rules.FAQ_CRAWL_QUESTIONS for i in page.select(s)}
-    answers = {i for s in rules.FAQ_CRAWL_ANSWERS for i in page.select(s)}
+    told = [
+        sorted({i for s in selectors for i in page.select(s) if page.own_texts(i)})
+        for selectors in (rules.FAQ_CRAWL_QUESTIONS, rules.FAQ_CRAWL_ANSWERS)
+    ]
 
     def first_text(item, wanted):
-        inside = (k for k in range(item, page.last[item] + 1) if k in wanted)
-        return next((t for k in inside for t in page.own_texts(k)), None)
+        at = bisect_left(wanted, item)
+        return page.own_texts(wanted[at])[0] if at < len(wanted) and wanted[at] <= page.last[item] else None
 
     return [
-        {"pattern": 0, "pos": p, "question": first_text(i, questions), "answer": first_text(i, answers)}
+        {"pattern": 0, "pos": p, "question": first_text(i, told[0]), "answer": first_text(i, told[1])}
         for p, i in enumerate(chosen)
     ]
 

@@ -1,11 +1,12 @@
 """Product feed: JSON pages of products per store."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import rules, schemas
 from ..functions.arrays import cut
 from ..functions.text import has_text
+from ..operators.keyed import top_n
 
 
 def tag_list(tags: Column) -> Column:
@@ -35,69 +36,84 @@ def product(p: Column, base: Column) -> Column:
     )
 
 
-def _parsed_pages(feed: DataFrame, max_pages: int | None) -> DataFrame:
-    body = F.from_json("body", schemas.FEED_BODY)
-    in_reach = F.col("page") >= 1 if max_pages is None else F.col("page").between(1, max_pages)
+def _landed(feed: DataFrame) -> DataFrame:
+    """Feed pages that were delivered, `raw` being their products; pages that do not parse are not delivered."""
+    at = F.unix_micros(F.col("fetched_at").cast("timestamp")) if "fetched_at" in feed.columns else F.lit(0)
+    raw = F.from_json("body", schemas.FEED_BODY)["products"]
     return (
-        feed.where((F.col("status") == 200) & in_reach)
-        .select("store_url", "page", body["products"].alias("raw"))
-        .where(F.size("raw") > 0)
+        feed.where((F.col("status") == 200) & (F.col("page") >= 1))
+        .select("store_url", "page", F.coalesce(at, F.lit(0)).alias("_at"), F.xxhash64("body").alias("_tie"), raw.alias("raw"))
+        .where(F.col("raw").isNotNull())
     )
 
 
-def store_catalogs(
-    feed: DataFrame, page_size: int = rules.FEED_PAGE_SIZE, limits: rules.Limits = rules.KEEP_ALL
-) -> DataFrame:
-    """One row per store: `product_count` and the products in feed order.
+def newest_landings(feed: DataFrame) -> DataFrame:
+    """(store_url, page, raw): the newest landing of each feed page, by `fetched_at` where the feed has it; an empty one is
+    newest too. Of landings of one time the one with the least hash of its body counts. Map tasks send one landing of a page."""
+    return top_n(_landed(feed), ["store_url", "page"], [F.desc("_at"), F.asc("_tie")], 1).select("store_url", "page", "raw")
+
 
-    Reading stops after a page that is not full. A store's group holds one value per page
-    number, so repeated landings of a page cannot make it grow.
+def _paged(pages: DataFrame, page_size: int, max_pages: int | None) -> DataFrame:
+    """The feed pages that count, with `start`, the number of products before. pages: one row each, with n, its products.
+
+    Paging begins at page 1 and goes on as long as pages are there and full; the last page read may be a shorter one.
     """
-    pages = _parsed_pages(feed, limits.feed_pages)
-    items = F.transform(cut(F.col("raw"), limits.catalog), lambda p: product(p, F.col("store_url")))
-    pages = pages.select("store_url", "page", F.struct(F.size("raw").alias("n"), items.alias("items")).alias("part"))
-    once = pages.groupBy("store_url", "page").agg(F.max("part").alias("part"))
-    per_store = once.groupBy("store_url").agg(F.array_sort(F.collect_list(F.struct("page", "part.*"))).alias("held"))
-    # A page counts only if every page before it was there and full.
-    full = F.filter(
-        F.transform("held", lambda p, i: F.when((p["page"] != i + 1) | (p["n"] < page_size), i)), lambda i: i.isNotNull()
+    in_order = Window.partitionBy("store_url").orderBy("page")
+    before = in_order.rowsBetween(Window.unboundedPreceding, -1)
+    run = pages.where(F.col("n") > 0).withColumns(
+        {
+            "_ended": F.coalesce(F.max((F.col("n") < page_size).cast("int")).over(before), F.lit(0)),
+            "_gapless": F.col("page") == F.row_number().over(in_order),  # false from the first gap on
+            "start": F.coalesce(F.sum("n").over(before), F.lit(0)),
+        }
     )
-    per_store = per_store.withColumn("stop", F.array_min(full))
-    read = F.filter(
-        "held",
-        lambda p, i: F.col("stop").isNull() | (i < F.col("stop")) | ((i == F.col("stop")) & (p["page"] == i + 1)),
+    read = run.where(F.col("_gapless") & (F.col("_ended") == 0)).drop("_gapless", "_ended")
+    return read if max_pages is None else read.where(F.col("page") <= max_pages)
+
+
+def pages_read(
+    feed: DataFrame, page_size: int = rules.FEED_PAGE_SIZE, max_pages: int | None = None
+) -> DataFrame:
+    """(store_url, page, n, start): the feed pages that count, how many products they have, and how many come before.
+    Found on narrow rows: no products are moved for it."""
+    sizes = _landed(feed).select("store_url", "page", "_at", "_tie", F.size("raw").alias("n"))
+    newest = top_n(sizes, ["store_url", "page"], [F.desc("_at"), F.asc("_tie")], 1)
+    return _paged(newest.select("store_url", "page", "n"), page_size, max_pages)
+
+
+def _items(limits: rules.Limits) -> Column:
+    return F.transform(cut(F.col("raw"), limits.catalog), lambda p: product(p, F.col("store_url")))
+
+
+def store_catalogs(
+    feed: DataFrame, page_size: int = rules.FEED_PAGE_SIZE, limits: rules.Limits = rules.KEEP_ALL
+) -> DataFrame:
+    """One row per store: `product_count` and the products in feed order, for records that hold a store's catalog.
+    `feed_products` is the form without such rows."""
+    pages = newest_landings(feed).select("store_url", "page", F.size("raw").alias("n"), _items(limits).alias("items"))
+    per_store = _paged(pages, page_size, limits.feed_pages).groupBy("store_url").agg(
+        F.sum("n").cast("int").alias("product_count"), F.array_sort(F.collect_list(F.struct("page", "items"))).alias("read")
     )
-    per_store = per_store.select("store_url", read.alias("read"))
     products = F.flatten(F.transform("read", lambda p: p["items"]))
-    counted = per_store.select(
-        "store_url",
-        F.aggregate("read", F.lit(0), lambda acc, p: acc + p["n"]).alias("product_count"),
-        cut(products, limits.catalog).alias("products"),
-    )
-    return counted.where(F.col("product_count") > 0)
+    return per_store.select("store_url", "product_count", cut(products, limits.catalog).alias("products"))
 
 
 def feed_products(
     feed: DataFrame, page_size: int = rules.FEED_PAGE_SIZE, limits: rules.Limits = rules.KEEP_ALL
 ) -> DataFrame:
-    """One row per product that belongs to the catalog, with its position in the store's feed."""
-    catalogs = store_catalogs(feed, page_size, limits)
-    return catalogs.select("store_url", F.posexplode("products").alias("pos", "product")).select(
-        "store_url", "pos", "product.*"
-    )
+    """One row per product that belongs to the catalog, with its position in the store's feed. No row or group holds more
+    than the products of one page."""
+    read = pages_read(feed, page_size, limits.feed_pages)
+    rows = newest_landings(feed).join(read, ["store_url", "page"])
+    each = rows.select("store_url", "start", F.posexplode(_items(limits)).alias("_at", "product"))
+    placed = each.select("store_url", (F.col("start") + F.col("_at")).cast("int").alias("pos"), "product.*")
+    return placed if limits.catalog is None else placed.where(F.col("pos") < limits.catalog)
 
 
 def first_page_products(feed: DataFrame, limits: rules.Limits = rules.KEEP_ALL) -> DataFrame:
-    """Other form: only the first feed page counts."""
-    return (
-        _parsed_pages(feed, 1)
-        .groupBy("store_url")
-        .agg(F.max(cut(F.col("raw"), limits.catalog)).alias("raw"))
-        .select(
-            "store_url",
-            F.transform("raw", lambda p: product(p, F.col("store_url"))).alias("products"),
-        )
-    )
+    """Other form: only the newest landing of the first feed page counts."""
+    first = newest_landings(feed.where("page = 1")).where(F.size("raw") > 0)
+    return first.select("store_url", _items(limits).alias("products"))
 
 
 def feed_has_products(feed: DataFrame) -> DataFrame:

@@ -12,7 +12,8 @@ def read_store_pages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_product_feed(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.PRODUCT_FEED).parquet(path)
+    """Feed pages with the time of their landing; it is null in files that do not have it."""
+    return spark.read.schema(schemas.FEED_LANDINGS).parquet(path)
 
 
 def read_search_results(spark: SparkSession, path: str) -> DataFrame:

@@ -67,3 +67,35 @@ def test_first_page_only(landed):
     df = landed((1, 200, titles(120)), (2, 200, titles(5)))
     assert len(feed.first_page_products(df).first()["products"]) == 120
     assert len(feed.first_page_products(df, rules.DISPLAY).first()["products"]) == 100
+
+
+def stamped(spark, *rows):
+    import datetime as dt
+
+    made = [("https://a.com", p, s, b, None if h is None else dt.datetime(2024, 1, 1, h)) for p, s, b, h in rows]
+    return spark.createDataFrame(made, schemas.FEED_LANDINGS)
+
+
+def test_the_newest_landing_of_a_page_counts(spark):
+    full = titles(250)
+    df = stamped(spark, (1, 200, full, 5), (1, 200, titles(251, 7), 4), (1, 500, titles(3), 9), (1, 200, "{broken", 9), (2, 200, titles(2, 250), 6), (2, 200, titles(9, 300), None))
+    assert [r["name"] for r in feed.feed_products(df).orderBy("pos").collect()] == [f"t{i}" for i in range(252)]
+    assert feed.store_catalogs(df).first()["product_count"] == 252
+    assert [p["name"] for p in feed.first_page_products(df).first()["products"]][:2] == ["t0", "t1"]
+    emptied = df.unionByName(stamped(spark, (1, 200, body(), 8)))
+    assert feed.feed_products(emptied).count() == 0 and feed.store_catalogs(emptied).count() == 0
+    twice = df.unionByName(df)
+    assert feed.feed_products(twice).count() == 252 and feed.store_catalogs(twice).first()["product_count"] == 252
+
+
+def test_paging_stops_at_gaps_and_short_pages(landed):
+    df = landed((1, 200, titles(250)), (3, 200, titles(250, 900)), (4, 200, titles(1, 1200)), (0, 200, titles(5)))
+    assert [tuple(r) for r in feed.pages_read(df).collect()] == [("https://a.com", 1, 250, 0)]
+    assert feed.feed_products(landed((1, 200, titles(3)), (2, 200, titles(4))), page_size=3).count() == 7
+    limited = feed.feed_products(landed((1, 200, titles(250)), (2, 200, titles(250, 250))), limits=rules.DISPLAY)
+    assert limited.count() == rules.DISPLAY.catalog
+
+
+def test_products_of_a_feed_are_not_gathered_by_store(landed):
+    text = feed.feed_products(landed((1, 200, titles(3))))._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in text and "Aggregate" not in text
