@@ -26,6 +26,13 @@ TOKENIZER = "byte_bpe_50k.json"
 SEPARATOR = 0
 #: How a byte-level text falls into parts.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The settings of a file that these ids hold for; kinds of added tokens that they do not hold for.
+_BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+_PLAIN = {
+    "type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": None,
+    "byte_fallback": None, "ignore_merges": None,
+}
+_ODD = ("single_word", "lstrip", "rstrip", "normalized")
 PIECES = "array<struct<start:bigint,length:bigint,ids_crc32:bigint>>"
 _PIECES = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]))
 PLAN = "length long, rank_from long, rank_to long, per_sequence long, sequence_from long, offset_from long"
@@ -35,10 +42,20 @@ PLAN = "length long, rank_from long, rank_to long, per_sequence long, sequence_f
 def encoder(path: str) -> tiktoken.Encoding:
     """The byte-level vocabulary of a `tokenizers` file for `tiktoken`: the same ids in half the time.
 
-    That holds where ids follow the order of merges, which is checked. Special tokens in a text are text.
+    That holds where ids follow the order of merges and the file asks for nothing but byte-level parts; a file with other
+    settings is refused. Its added tokens are one id wherever they stand in a text, as in that library.
     """
     with open(path, encoding="utf-8") as file:
-        model = json.load(file)["model"]
+        asked = json.load(file)
+    model = asked["model"]
+    for name, (found, wanted) in {
+        "normalizer": (asked.get("normalizer"), [None]),
+        "pre_tokenizer": ({k: v for k, v in (asked.get("pre_tokenizer") or {}).items() if k != "trim_offsets"}, [_BYTE_LEVEL]),
+        **{k: (model.get(k) or None, [wanted]) for k, wanted in _PLAIN.items()},
+        **{f"added_tokens.{k}": (any(t.get(k) for t in asked.get("added_tokens", [])), [False]) for k in _ODD},
+    }.items():
+        if found not in wanted:
+            raise ValueError(f"{path}: {name} is {found!r}, which is not built")
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that are written as they are
     rest = [b for b in range(256) if b not in plain]
     byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
@@ -47,15 +64,21 @@ def encoder(path: str) -> tiktoken.Encoding:
         if model["vocab"][a + b] != rank:
             raise ValueError(f"the ids of {path} do not follow its merges")
     ranks = {bytes(byte[c] for c in token): i for token, i in model["vocab"].items() if i < 256 + len(merged)}
-    return tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    added = {t["content"]: t["id"] for t in asked.get("added_tokens", [])}
+    return tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=added)
 
 
-def _cut(ids: bytes, capacity: int) -> list[dict]:
+def ids(made: tiktoken.Encoding, text: str) -> np.ndarray:
+    """The ids of a text; added tokens in it are ids of their own."""
+    return made.encode_to_numpy(text, allowed_special="all")
+
+
+def _cut(encoded: bytes, capacity: int) -> list[dict]:
     """Pieces of `capacity` ids; the first takes what is over."""
-    n = len(ids) // 4
+    n = len(encoded) // 4
     starts = [0, *range(n % capacity or capacity, n, capacity)]
     return [
-        {"start": a, "length": b - a, "ids_crc32": zlib.crc32(ids[4 * a : 4 * b])}
+        {"start": a, "length": b - a, "ids_crc32": zlib.crc32(encoded[4 * a : 4 * b])}
         for a, b in zip(starts, [*starts[1:], n], strict=True)
     ]
 
@@ -67,8 +90,8 @@ def cut(text: Column, tokenizer: str, capacity: int = CAPACITY) -> Column:
     def pieces(texts: pa.Array) -> pa.Array:
         made = encoder(tokenizer)
         end = np.array([SEPARATOR], "<u4").tobytes()
-        ids = (made.encode_to_numpy(t.as_py() or "").astype("<u4").tobytes() + end for t in texts)
-        return pa.array([_cut(i, capacity) for i in ids], _PIECES)
+        found = (ids(made, t.as_py() or "").astype("<u4").tobytes() + end for t in texts)
+        return pa.array([_cut(i, capacity) for i in found], _PIECES)
 
     return pieces(text)
 

@@ -1,3 +1,4 @@
+import json
 import random
 import zlib
 from collections import Counter
@@ -53,10 +54,32 @@ def test_ids_are_those_of_the_tokenizers_library():
     kinds = [(32, 127), (1, 0x3000), (0x3000, 0xD7FF), (0x1F000, 0x1FFFF), (32, 33), (10, 11)]
     texts = ["".join(chr(rng.randrange(*rng.choice(kinds))) for _ in range(60)) for _ in range(800)]
     texts += ["", " ", "a  b", "\n", "don't I'M he'll", "x\ty", "<|endoftext|> z", "²½ Ⅷ", "a" * 50_000, " " * 5000 + "x", "🙂🙂 🙂"]
+    added = "<|endoftext|>"
+    texts += [f"hello {added} x", added, added * 3, f"a{added}b", f"{added}\n", f" {added[:-1]} {added} {added[1:]}", f"<|{added}|>"]
+    texts += ["".join(rng.choice([added, "<|", "end", "|>", " ", "of", "x"]) for _ in range(30)) for _ in range(200)]
     theirs = Tokenizer.from_file(PATH)
-    theirs.encode_special_tokens = True
     for text in texts:
-        assert list(packing.encoder(PATH).encode_to_numpy(text)) == theirs.encode(text, add_special_tokens=False).ids
+        assert list(packing.ids(packing.encoder(PATH), text)) == theirs.encode(text, add_special_tokens=False).ids
+
+
+def test_files_with_other_settings_are_refused(tmp_path):
+    with open(PATH, encoding="utf-8") as file:
+        asked = json.load(file)
+    token = asked["added_tokens"][0]
+    for change in (
+        {"normalizer": {"type": "NFC"}},
+        {"pre_tokenizer": asked["pre_tokenizer"] | {"add_prefix_space": True}},
+        {"pre_tokenizer": None},
+        {"added_tokens": [token | {"lstrip": True}]},
+        {"model": asked["model"] | {"dropout": 0.1}},
+        {"model": asked["model"] | {"vocab": asked["model"]["vocab"] | {"!": 1, '"': 0}, "merges": asked["model"]["merges"][::-1]}},
+    ):
+        path = tmp_path / "t.json"
+        path.write_text(json.dumps(asked | change))
+        packing.encoder.cache_clear()
+        with pytest.raises(ValueError, match="not built|do not follow"):
+            packing.encoder(str(path))
+    packing.encoder.cache_clear()
 
 
 def test_pieces_and_places(docs, prose):
