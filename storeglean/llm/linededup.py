@@ -10,8 +10,13 @@ that recurs across documents is dropped from all of them but the first.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,10 +30,11 @@ VERBATIM_DOCS, TEMPLATE_DOCS, LITERAL_SHARE = 2, 8, 0.7
 MAX_CHILDREN = 16
 #: Share of a text that must be that of one earlier document for it to be a copy: all of it, to the letter.
 COPY_SHARE = 1.0
-FIELD = "<*>"
+FIELD, _BYTES = "<*>", b"<*>"
 #: Size of the map of hashes that is sent to all tasks, as a power of two of bits: 1 MB.
 SIEVE_BITS = 23
 _NOBODY = -(1 << 63)
+_DIGIT = re.compile(rb"[0-9]")
 
 
 def _doc() -> Column:
@@ -36,13 +42,14 @@ def _doc() -> Column:
     return F.coalesce(F.col("doc_id"), F.lit(_NOBODY))
 
 
-def tokens(line: Column) -> Column:
+def tokens(line: bytes) -> list[bytes]:
     """The tokens of a line between ASCII white space, those with a digit as fields. A line that would have too few
     literals left, such as a row of numbers, is taken as it is."""
-    parts = F.array_remove(F.split(line, "[ \\t\\x0B\\f\\r]+"), "")
-    masked = F.transform(parts, lambda t: F.when(t.rlike("[0-9]"), FIELD).otherwise(t))
-    literal = F.size(F.filter(masked, lambda t: t != FIELD))
-    return F.when(line.rlike("[0-9]") & (literal >= F.size(parts) * LITERAL_SHARE), masked).otherwise(parts)
+    parts = line.split()
+    if not _DIGIT.search(line):
+        return parts
+    masked = [_BYTES if _DIGIT.search(t) else t for t in parts]
+    return masked if len(parts) - masked.count(_BYTES) >= len(parts) * LITERAL_SHARE else parts
 
 
 def short_runs(text: bytes) -> list[tuple[int, int, bytes]]:
@@ -65,34 +72,51 @@ def short_runs(text: bytes) -> list[tuple[int, int, bytes]]:
     return [(held[a][0], held[b][0], b" ".join(x[2] for x in held[a : b + 1])) for a, b in sorted(found)]
 
 
-_RUNS = pa.list_(pa.struct([("at", pa.int32()), ("upto", pa.int32()), ("line", pa.string())]))
+def _candidates(text: bytes, runs: bool) -> Iterator[tuple[int, int, list[bytes], int, int]]:
+    """(at, upto, tokens, leaf, line) of each line with enough tokens, and with `runs` of the runs of short lines."""
+    whole = ((at, at, line) for at, line in enumerate(text.split(b"\n")))
+    for at, upto, line in chain(whole, short_runs(text) if runs else ()):
+        if len(line) >= 2 * MIN_TOKENS - 1:
+            t = tokens(line)
+            if len(t) >= MIN_TOKENS:
+                leaf = xxhash.xxh64_intdigest(b" ".join(t[:DEPTH]), len(t))
+                yield at, upto, t, leaf, xxhash.xxh64_intdigest(b" ".join(t))
+
+
+def _lists(sizes: list[int], columns: dict[str, pa.Array]) -> pa.Array:
+    """A list of structs for each row: the rows' parts of the columns, of so many values each."""
+    offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
+    return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(list(columns.values()), list(columns)))
+
 
+def _longs(hashes: list[int]) -> pa.Array:
+    return pa.array(np.array(hashes, np.uint64).view(np.int64))
 
-def _short_runs(text: str) -> Column:
-    @F.arrow_udf("array<struct<at:int,upto:int,line:string>>")
-    def runs(texts: pa.Array) -> pa.Array:
-        found = ([dict(zip(("at", "upto", "line"), run, strict=True)) for run in short_runs(t.as_py() or b"")] for t in texts.cast(pa.binary()))
-        return pa.array(found, _RUNS)
 
-    return runs(text)
+def _keys(runs: bool):
+    @F.arrow_udf("array<struct<at:int,upto:int,leaf:bigint,line:bigint>>")
+    def keys(texts: pa.Array) -> pa.Array:
+        sizes, rows = [], []
+        for t in texts.cast(pa.binary()):
+            before = len(rows)
+            rows.extend((at, upto, leaf, line) for at, upto, _, leaf, line in _candidates(t.as_py() or b"", runs))
+            sizes.append(len(rows) - before)
+        at, upto, leaf, line = zip(*rows, strict=True) if rows else ((),) * 4
+        places = {"at": pa.array(at, pa.int32()), "upto": pa.array(upto, pa.int32())}
+        return _lists(sizes, places | {"leaf": _longs(leaf), "line": _longs(line)})
+
+    return keys("text")
 
 
 def _lines(docs: DataFrame, runs: bool) -> DataFrame:
-    """(doc, text_hash, at, upto, n, leaf, line, t): each line with enough tokens t, and its hashes; with `runs` also the
-    runs of short lines at to upto, each as one line. at and upto count from 0."""
-    keyed = docs.select(_doc().alias("doc"), F.xxhash64("text").alias("text_hash"), "text")
-    split = keyed.select("doc", "text_hash", F.posexplode(F.split("text", "\n")).alias("at", "line")).withColumn("upto", F.col("at"))
-    if runs:
-        more = keyed.select("doc", "text_hash", F.explode(_short_runs("text")).alias("run")).select("doc", "text_hash", "run.*")
-        split = split.unionByName(more)
-    parts = split.select("doc", "text_hash", "at", "upto", tokens(F.col("line")).alias("t")).withColumn("n", F.size("t"))
-    return parts.where(F.col("n") >= MIN_TOKENS).select(
-        "doc", "text_hash", "at", "upto", "n", F.xxhash64("n", F.slice("t", 1, DEPTH)).alias("leaf"), F.xxhash64("t").alias("line"), "t"
-    )
+    """(doc, text_hash, at, upto, leaf, line): each line with enough tokens, and its hashes; with `runs` also the runs of short
+    lines at to upto, each as one line. at and upto count from 0."""
+    keyed = docs.select(_doc().alias("doc"), F.xxhash64("text").alias("text_hash"), _keys(runs).alias("held"))
+    return keyed.select("doc", "text_hash", F.inline("held"))
 
 
 def _sieve(keys: DataFrame, bits: int = SIEVE_BITS):
-    """A column function: whether a hash may be one of `keys`. A map of 2^bits bits, whatever their number: it spares the
+    """A column function: whether a hash may be one of `keys`, and the map that tells. A map of 2^bits bits, whatever their number: it spares the
     shuffle rows that cannot match, and the join that follows decides."""
     at = F.pmod(F.col(keys.columns[0]), F.lit(1 << bits))
     words = keys.groupBy(F.shiftright(at, 5).cast("int").alias("word")).agg(
@@ -107,19 +131,38 @@ def _sieve(keys: DataFrame, bits: int = SIEVE_BITS):
         h = hashes.to_numpy(zero_copy_only=False) & ((1 << bits) - 1)
         return pa.array((held[h >> 5] >> (h & 31).astype(np.uint32)) & 1 == 1)
 
-    return may
+    return may, held
+
+
+def _tokens_of(wanted: np.ndarray, runs: bool):
+    """The tokens of the lines whose leaves may be wanted. wanted: the map of _sieve."""
+    last = 32 * len(wanted) - 1
+
+    @F.arrow_udf("array<struct<leaf:bigint,line:bigint,t:array<string>>>")
+    def tokens_of(texts: pa.Array) -> pa.Array:
+        sizes, leaves, lines, held, ends = [], [], [], [], [0]
+        for t in texts.cast(pa.binary()):
+            before, seen = len(leaves), set()
+            for _, _, parts, leaf, line in _candidates(t.as_py() or b"", runs):
+                at = leaf & last
+                if (int(wanted[at >> 5]) >> (at & 31)) & 1 and (leaf, line) not in seen:
+                    seen.add((leaf, line))
+                    leaves.append(leaf)
+                    lines.append(line)
+                    held.extend(parts)
+                    ends.append(len(held))
+            sizes.append(len(leaves) - before)
+        words = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(held, pa.binary()).cast(pa.string()))
+        return _lists(sizes, {"leaf": _longs(leaves), "line": _longs(lines), "t": words})
+
+    return tokens_of("text")
 
 
 def _kinds(docs: DataFrame, kinds: DataFrame, runs: bool) -> DataFrame:
     """(leaf, line, n_docs, t): the tokens of each kind of line. kinds: leaf, line, n_docs."""
-    may = _sieve(kinds.select("leaf"))
-    return (
-        _lines(docs, runs)
-        .where(may(F.col("leaf")))
-        .join(kinds, ["leaf", "line"])
-        .select("leaf", "line", "n_docs", "t")
-        .dropDuplicates(["leaf", "line"])
-    )
+    _, wanted = _sieve(kinds.select("leaf"))
+    found = docs.select(F.inline(_tokens_of(wanted, runs)))
+    return found.join(kinds, ["leaf", "line"]).select("leaf", "line", "n_docs", "t").dropDuplicates(["leaf", "line"])
 
 
 def _clusters(found: DataFrame) -> DataFrame:
@@ -185,7 +228,7 @@ def recurring(docs: DataFrame, copies: bool = True, runs: bool = False) -> DataF
 
     With `copies`, only the first document with a text loses lines; the others with the same text are copies of it.
     With `runs`, short lines are looked at too, in runs."""
-    lines, lines_path = stored(_lines(docs, runs).drop("t", "n"), "lines")
+    lines, lines_path = stored(_lines(docs, runs), "lines")
     held = lines.select("leaf", "line", "doc").distinct()
     kinds, kinds_path = stored(
         held.groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("n_docs"), F.min("doc").alias("first")), "kinds"
@@ -209,7 +252,7 @@ def recurring(docs: DataFrame, copies: bool = True, runs: bool = False) -> DataF
     verbatim = kinds.where(F.col("n_docs") >= VERBATIM_DOCS).select("leaf", "line", "first")
     drop = verbatim.unionByName(general(shaped("exact"))).unionByName(general(shaped("wide"))).unionByName(general(kept(_clusters(texts))))
     drop = kept(drop.groupBy("leaf", "line").agg(F.min("first").alias("stays")))
-    may = _sieve(drop.select("line"))
+    may, _ = _sieve(drop.select("line"))
     goes = lines.where(may(F.col("line"))).join(drop, ["leaf", "line"]).where(F.col("doc") > F.col("stays"))
     if copies:
         same = docs.groupBy(F.xxhash64("text").alias("text_hash")).agg(F.min(_doc()).alias("original"), F.max(_doc()).alias("last"))
@@ -242,12 +285,20 @@ def dedup_lines(docs: DataFrame, copy_share: float = COPY_SHARE, out: str = "n_d
     per = found.select(F.col("doc").alias(doc), F.col("text_hash").alias(text_hash), F.col("gone").alias(gone))
     keyed = docs.withColumns({doc: _doc(), text_hash: F.xxhash64("text")})
     joined = keyed.join(per, [doc, text_hash], "left")
-    lines = F.split("text", "\n")
-    stay = F.filter(lines, lambda line, i: ~F.array_contains(F.col(gone), i))
-    text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(stay, "\n"))
-    dropped = F.when(F.col(gone).isNull() | F.col("text").isNull(), 0).otherwise(F.size(lines) - F.size(stay))
+
+
+    def without(lines: Column) -> Column:
+        # places are taken out by hash, and the text is split once
+        stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
+        rest = F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
+        return F.struct(rest.alias("text"), (F.size(lines) - F.size(stay)).cast("long").alias("n"))
+
+    left = F.get(F.transform(F.array(F.split("text", "\n")), without), F.lit(0))
+    changed = F.col(gone).isNotNull() & F.col("text").isNotNull()
     others = [c for c in docs.columns if c != out]
-    return joined.withColumns({out: dropped.cast("long"), "text": text}).select(*others, out)
+    done = joined.withColumn(gone, F.when(changed, left))
+    text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.col(gone)["text"])
+    return done.withColumns({out: F.coalesce(F.col(gone)["n"], F.lit(0).cast("long")), "text": text}).select(*others, out)
 
 
 def op2_line_dedup(spark: SparkSession, directory: str) -> DataFrame:
