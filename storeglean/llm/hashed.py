@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -24,14 +24,33 @@ _TO_SPACE = bytes(32 if c < 128 and not chr(c).isalnum() else c for c in range(2
 _ROOT = 0x9E3779B97F4A7C15
 
 
-@lru_cache(maxsize=4)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+#: Bytes of a text that are hashed at a time, so that the memory for a text does not grow with it: what is needed for a byte of
+#: a part is some 80 bytes, for a byte of the text 9 at most.
+PART = 1 << 16
+
+
+def _grown(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of an odd number and of its inverse, modulo 2^64."""
     steps = np.full((2, n), [[_ROOT], [pow(_ROOT, -1, 1 << 64)]], np.uint64)
     steps[:, 0] = 1
     return tuple(np.cumprod(steps, axis=1, dtype=np.uint64))
 
 
+#: Those of a part are kept; a part with one very long word needs more.
+_powers = lru_cache(maxsize=1)(lambda: _grown(PART + 2))
+
+
+def _parts(raw: bytes) -> Iterator[bytes]:
+    """The text, cut at spaces into parts that begin and end with one; a part is longer than PART only by a word that is."""
+    at = 0
+    while len(raw) - at > PART + 2:
+        end = raw.rfind(b" ", at + 1, at + PART)
+        end = end if end > at else raw.find(b" ", at + PART)
+        yield raw[at : end + 1]
+        at = end
+    yield raw[at:]
+
+
 def slots(text: str) -> np.ndarray:
     """The places in the hashed space of the words and of the letter groups within words of a lower-cased text.
 
@@ -39,10 +58,16 @@ def slots(text: str) -> np.ndarray:
     Places may repeat.
     """
     raw = b" " + text.lower().encode("utf-8", "replace").translate(_TO_SPACE) + b" "
+    if len(raw) <= PART + 2:
+        return _slots(raw)
+    return np.concatenate([np.unique(_slots(part)) for part in _parts(raw)])
+
+
+def _slots(raw: bytes) -> np.ndarray:
     b = np.frombuffer(raw, np.uint8)
     space = b == 32
     starts, ends = np.flatnonzero(space[:-1] & ~space[1:]) + 1, np.flatnonzero(~space[:-1] & space[1:]) + 1
-    power, inverse = _powers(1 << len(b).bit_length())
+    power, inverse = _powers() if len(b) <= PART + 2 else _grown(len(b))
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(b * power[: len(b)], dtype=np.uint64)))
     words = (sums[ends] - sums[starts]) * inverse[starts]  # the same wherever the word stands
     words ^= words >> np.uint64(32)
