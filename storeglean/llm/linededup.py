@@ -267,6 +267,26 @@ def recurring(docs: DataFrame, copies: bool = True, runs: bool = False) -> DataF
     return found
 
 
+def _without(text: Column, gone: Column) -> Column:
+    """The text without the lines at the places `gone`, and how many these are; null where either is null."""
+
+    @F.arrow_udf("struct<text:string,n:bigint>")
+    def left(texts: pa.Array, places: pa.Array) -> pa.Array:
+        rest, n = [], []
+        for t, held in zip(texts, places, strict=True):
+            if not held.is_valid or not t.is_valid:
+                rest.append(None)
+                n.append(None)
+                continue
+            drop, lines = set(held.as_py()), t.as_py().split("\n")
+            rest.append("\n".join(line for at, line in enumerate(lines) if at not in drop))
+            n.append(len(drop))
+        known = pa.array([x is None for x in n], pa.bool_())
+        return pa.StructArray.from_arrays([pa.array(rest, pa.string()), pa.array(n, pa.int64())], ["text", "n"], mask=known)
+
+    return left(text, gone)
+
+
 def dedup_lines(docs: DataFrame, copy_share: float = COPY_SHARE, out: str = "n_dropped", runs: bool = False) -> DataFrame:
     """The documents with the lines of recurring templates left out, and `out`, the number of lines left out.
 
@@ -286,17 +306,8 @@ def dedup_lines(docs: DataFrame, copy_share: float = COPY_SHARE, out: str = "n_d
     keyed = docs.withColumns({doc: _doc(), text_hash: F.xxhash64("text")})
     joined = keyed.join(per, [doc, text_hash], "left")
 
-
-    def without(lines: Column) -> Column:
-        # places are taken out by hash, and the text is split once
-        stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
-        rest = F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
-        return F.struct(rest.alias("text"), (F.size(lines) - F.size(stay)).cast("long").alias("n"))
-
-    left = F.get(F.transform(F.array(F.split("text", "\n")), without), F.lit(0))
-    changed = F.col(gone).isNotNull() & F.col("text").isNotNull()
     others = [c for c in docs.columns if c != out]
-    done = joined.withColumn(gone, F.when(changed, left))
+    done = joined.withColumn(gone, _without(F.col("text"), F.col(gone)))
     text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.col(gone)["text"])
     return done.withColumns({out: F.coalesce(F.col(gone)["n"], F.lit(0).cast("long")), "text": text}).select(*others, out)
 
