@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storeglean.llm.common import hash32, kept, table
+from storeglean.llm.common import kept, least_by_hash, table
 
 SYMBOLS = b"#*$%&|<>"
 BLANKS = b" \t\n\x0b\x0c\r"
@@ -178,8 +178,7 @@ def base_failed() -> Column:
 def sampled(stats: DataFrame, rows: int) -> DataFrame:
     """The first `rows` documents by a hash of id and text, so that no id, nor rows without one, fill the sample. Rows equal
     in both count once. stats: doc_id, text_hash, STATS."""
-    once = stats.dropDuplicates(["doc_id", "text_hash"])
-    return once.orderBy(hash32(F.col("doc_id"), F.col("text_hash")), "doc_id", "text_hash").limit(rows)
+    return least_by_hash(kept(stats.dropDuplicates(["doc_id", "text_hash"])), ["doc_id", "text_hash"], rows)
 
 
 def judge(

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-import atexit
 import math
-import shutil
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from storeglean.sources.workspace import remove as discard
+from storeglean.sources.workspace import scratch, shared_dir
+
+__all__ = ["discard", "fresh", "hash32", "kept", "least_by_hash", "ranked", "scratch", "shared_dir", "stored", "table"]
+
 HASH_SPACE = 1 << 32
 
 
@@ -20,30 +21,6 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: `spark.checkpoint.dir`, or a local one where it is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        held = spark.sparkContext.getCheckpointDir()
-        if held:
-            return held
-        named = tempfile.mkdtemp(prefix="shared-")
-        atexit.register(shutil.rmtree, named, True)
-        spark.sparkContext.setCheckpointDir(named)
-    return named
-
-
-def scratch(spark: SparkSession, what: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
-
-
-def discard(spark: SparkSession, path: str) -> None:
-    """Deletes a path that `scratch` named."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def kept(df: DataFrame) -> DataFrame:
     """The rows, computed once and read from the shared folder from now on; cuts the lineage."""
     shared_dir(df.sparkSession)
@@ -70,6 +47,17 @@ def hash32(*columns: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*columns), 32)
 
 
+def least_by_hash(df: DataFrame, key: list[str], rows: int) -> DataFrame:
+    """The first `rows` rows by a hash of `key`, then `key`. Far larger tables are cut to the rows under a hash that twice as
+    many are expected under, so that a task does not send `rows` rows of its own to where the first ones are chosen."""
+    hashed, n, about = hash32(*map(F.col, key)), df.count(), 2 * rows + 1000
+    if n > about:
+        under = df.where(hashed < HASH_SPACE * about // n)
+        if under.count() >= rows:  # else a few keys have most rows
+            df = under
+    return df.orderBy(hashed, *key).limit(rows)
+
+
 def ranked(df: DataFrame, group: list[str], key: list[str], out: str, rows_per_bucket: int = 50_000) -> DataFrame:
     """Adds `out`: the gapless rank from 0 of each row within its `group`, ordered by a hash of `key`, then `key`.
 

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from storeglean.llm.common import hash32, kept
+from storeglean.llm.common import kept, least_by_hash
 
 BITS = 20
 #: Labelled rows that a classifier is fitted on at most, and features that it weighs at most.
@@ -36,8 +36,10 @@ def _grown(n: int) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.cumprod(steps, axis=1, dtype=np.uint64))
 
 
-#: Those of a part are kept; a part with one very long word needs more.
-_powers = lru_cache(maxsize=1)(lambda: _grown(PART + 2))
+@lru_cache(maxsize=1)
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Those of a part; a part with one very long word needs more."""
+    return _grown(PART + 2)
 
 
 def _parts(raw: bytes) -> Iterator[bytes]:
@@ -117,9 +119,7 @@ def labelled_sample(labels: DataFrame, docs: DataFrame, max_rows: int = MAX_ROWS
     able = kept(able.join(docs.select("doc_id").distinct(), "doc_id", "left_semi"))
     sizes = {r["label"]: r["count"] for r in able.groupBy("label").count().collect()}
     parts = [
-        able.where(F.col("label") == value)
-        .orderBy(hash32(F.col("doc_id")), "doc_id")
-        .limit(max_rows // len(sizes))
+        least_by_hash(able.where(F.col("label") == value), ["doc_id"], max_rows // len(sizes))
         .withColumn("weight", F.lit(size / min(size, max_rows // len(sizes))))
         for value, size in sorted(sizes.items())
     ]
