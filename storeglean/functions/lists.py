@@ -30,7 +30,7 @@ def _urls(payload: Column) -> Column:
 def competitor_urls(text: Column) -> Column:
     """Web addresses in list order without trailing slashes; example addresses left out."""
     payload = _payload(text)
-    payload = F.when(payload.startswith("json"), strip(F.substring(payload, 5, 2_000_000_000))).otherwise(
+    payload = F.when(payload.startswith("json"), strip(F.substr(payload, F.lit(5)))).otherwise(
         payload
     )
     real = F.filter(

@@ -49,12 +49,12 @@ def canonical(u: Column) -> Column:
 def brand_from_url(u: Column) -> Column:
     """First label of the host without `www.`, capitalised."""
     label = F.split_part(F.replace(netloc(u), F.lit("www."), F.lit("")), F.lit("."), F.lit(1))
-    return F.concat(F.upper(F.left(label, F.lit(1))), F.lower(F.substring(label, 2, 1_000_000)))
+    return F.concat(F.upper(F.left(label, F.lit(1))), F.lower(F.substr(label, F.lit(2))))
 
 
 def _drop_dots(path: Column) -> Column:
     """Remove `.` and `..` segments from a rooted path."""
-    segments = F.split(F.substring(path, 2, 1_000_000), "/")
+    segments = F.split(F.substr(path, F.lit(2)), "/")
     last = F.element_at(segments, -1)
     folded = F.aggregate(
         segments,

@@ -82,6 +82,16 @@ def read(spark: SparkSession, location: str) -> DataFrame:
     return _rows(spark, location, held, list(held.runs))
 
 
+def read_before(spark: SparkSession, location: str, run_id: str) -> DataFrame | None:
+    """The state before a run if it is in the table already, else the newest one; None where there is none."""
+    versions, run = _versions(spark, location), _run_name(run_id)
+    earlier = versions[: next((i for i, v in enumerate(versions) if v[1] == run), len(versions))]
+    if not earlier:
+        return None
+    held = state(spark, location, earlier[-1][2])
+    return _rows(spark, location, held, list(held.runs))
+
+
 def lookup(spark: SparkSession, location: str, key: str, value: str) -> DataFrame:
     """The rows of one key: one bucket is read, in which the statistics of the files, sorted by key, leave out the rest."""
     held = state(spark, location)

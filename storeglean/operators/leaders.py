@@ -20,42 +20,50 @@ def seed_leaders(spark: SparkSession, at: Column | None = None) -> DataFrame:
     return table.withColumn("last_updated", stamp)
 
 
+#: Longest run of letters that the index of names has; longer words are found by their first letters and then compared.
+GRAM = 3
+
+
+def name_index(leaders: DataFrame) -> DataFrame:
+    """(gram, name): each run of up to GRAM characters of each industry's name, so that rows grow with the names' length."""
+    n = F.length("industry")
+
+    def runs(k: int) -> Column:
+        starts = F.when(n >= k, F.sequence(F.lit(1), n - (k - 1))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.substring("industry", i, F.lit(k)))
+
+    grams = F.array_distinct(F.concat(*[runs(k) for k in range(1, GRAM + 1)]))
+    return leaders.select(F.explode(grams).alias("gram"), F.col("industry").alias("name"))
+
+
+def containing(words: DataFrame, leaders: DataFrame) -> DataFrame:
+    """(word, name): for each different `word` the first name, in their order, of an industry that contains it. Only names that
+    share the first letters of a word are compared with it."""
+    asked = words.where(blank_to_null(F.col("word")).isNotNull()).select("word").distinct()
+    near = asked.withColumn("gram", F.left("word", F.lit(GRAM))).join(name_index(leaders), "gram")
+    return near.where(F.contains("name", "word")).groupBy("word").agg(F.min("name").alias("name"))
+
+
 def lookup_leaders(brands: DataFrame, leaders: DataFrame) -> DataFrame:
     """Add `leaders` (hosts) to rows with an `industry`.
 
     Tried in order: the industry by name; the first (by name) industry that contains the first
-    word of it; the static word list. Containment is an equality join on the parts of the
-    dimension's names, so that no pairs are compared; both look-ups are many-to-one.
+    word of it; the static word list. It is done once for each different industry text; names move without
+    their lists. The joins to the rows and to the lists are many-to-one.
     """
-    exact = leaders.select(
-        F.col("industry").alias("_exact"), F.col("top_brands").alias("_exact_brands")
-    ).where(F.size("_exact_brands") > 0)
-    n = F.length("industry")
-    parts = leaders.where(F.size("top_brands") > 0).select(
-        "industry",
-        "top_brands",
-        F.explode(
-            F.array_distinct(
-                F.flatten(
-                    F.transform(
-                        F.sequence(F.lit(1), n),
-                        lambda i: F.transform(
-                            F.sequence(F.lit(1), n - i + 1), lambda k: F.substring("industry", i, k)
-                        ),
-                    )
-                )
-            )
-        ).alias("_part"),
-    )
-    by_part = parts.groupBy("_part").agg(F.min_by("top_brands", "industry").alias("_part_brands"))
+    able = leaders.where(F.size("top_brands") > 0)
     low = F.lower("industry")
-    keyed = brands.withColumn("_exact", low).withColumn(
-        "_part", blank_to_null(F.get(F.split(F.trim(low), r"\s+"), F.lit(0)))
+    asked = (
+        brands.where(blank_to_null(F.col("industry")).isNotNull())
+        .select("industry")
+        .distinct()
+        .select("industry", low.alias("_low"), blank_to_null(F.get(F.split(F.trim(low), r"\s+"), F.lit(0))).alias("word"))
     )
-    found = lookup_join(lookup_join(keyed, exact, ["_exact"], "left"), by_part, ["_part"], "left")
+    names = lookup_join(asked, containing(asked.select("word"), able), ["word"], "left")
+    exact = able.select(F.col("industry").alias("_low"), F.col("top_brands").alias("_exact"))
+    part = able.select(F.col("industry").alias("name"), F.col("top_brands").alias("_part"))
+    found = lookup_join(lookup_join(names, exact, ["_low"], "left"), part, ["name"], "left")
+    table = found.select("industry", F.coalesce("_exact", "_part", fallback_leaders(F.col("industry"))).alias("leaders"))
     # No industry, no look-up.
-    hosts = F.when(
-        blank_to_null(F.col("industry")).isNotNull(),
-        F.coalesce("_exact_brands", "_part_brands", fallback_leaders(F.col("industry"))),
-    ).otherwise(F.array().cast("array<string>"))
-    return found.withColumn("leaders", hosts).drop("_exact", "_part", "_exact_brands", "_part_brands")
+    none = F.array().cast("array<string>")
+    return lookup_join(brands, table, ["industry"], "left").withColumn("leaders", F.coalesce("leaders", none))

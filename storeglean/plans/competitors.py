@@ -12,6 +12,7 @@ from ..operators.joins import lookup_join
 from ..operators.keyed import top_n
 from ..operators.leaders import lookup_leaders
 from ..sources.landed import search_candidates
+from ..sources.workspace import remove, scratch
 
 
 def _no_urls() -> Column:
@@ -46,36 +47,46 @@ def with_cached(brands: DataFrame, cache: DataFrame) -> DataFrame:
     return lookup_join(brands, cached, ["domain"], "left")
 
 
-def find_competitors(
-    brands: DataFrame,
-    leaders: DataFrame,
-    cache: DataFrame | None = None,
-    results: DataFrame | None = None,
-    max_results: int = rules.COMPETITORS_DEFAULT,
+def fresh_competitors(
+    brands: DataFrame, leaders: DataFrame, results: DataFrame | None = None, max_results: int = rules.COMPETITORS_DEFAULT
 ) -> DataFrame:
-    """Add `competitor_urls` to rows of (brand_name, domain, industry).
-
-    A cached list ends the search. Otherwise industry leaders come first, then search results
-    where leaders alone do not fill the list; each URL counts once.
-    """
+    """Add `competitor_urls` from a search: industry leaders come first, then search results where leaders alone do not fill
+    the list; each URL counts once."""
     found = lookup_leaders(brands, leaders).withColumn("_leaders", _as_urls(F.col("leaders"))).drop("leaders")
-    if cache is not None:
-        found = with_cached(found, cache)
-    else:
-        found = found.withColumn("cached_domains", F.lit(None).cast("array<string>"))
     if results is not None:
         # Links may repeat leaders, of which there are fewer than `max_results`.
         found = lookup_join(found, search_links(results, 2 * max_results), ["brand_name"], "left")
     else:
         found = found.withColumn("search_urls", F.lit(None).cast("array<string>"))
     more = F.when(F.size("_leaders") < max_results, F.coalesce("search_urls", _no_urls())).otherwise(_no_urls())
-    fresh = F.filter(F.array_distinct(F.concat("_leaders", more)), lambda u: F.coalesce(u != "", F.lit(False)))
-    urls_ = F.when(size0(F.col("cached_domains")) > 0, _as_urls(F.col("cached_domains"))).otherwise(fresh)
+    urls_ = F.filter(F.array_distinct(F.concat("_leaders", more)), lambda u: F.coalesce(u != "", F.lit(False)))
     return (
-        found.withColumn("from_cache", size0(F.col("cached_domains")) > 0)
+        found.withColumn("from_cache", F.lit(False))
         .withColumn("competitor_urls", F.slice(urls_, 1, max_results))
-        .drop("_leaders", "search_urls", "cached_domains")
+        .drop("_leaders", "search_urls")
+    )
+
+
+def find_competitors(
+    brands: DataFrame,
+    leaders: DataFrame,
+    cache: DataFrame | None = None,
+    results: DataFrame | None = None,
+    max_results: int = rules.COMPETITORS_DEFAULT,
+) -> DataFrame:
+    """Add `from_cache` and `competitor_urls` to rows of (brand_name, domain, industry).
+
+    A cached list ends the search; only brands without one are searched for. `brands` is read for both parts and should be
+    narrow.
+    """
+    if cache is None:
+        return fresh_competitors(brands, leaders, results, max_results)
+    looked, hit = with_cached(brands, cache), size0(F.col("cached_domains")) > 0
+    known = looked.where(hit).withColumns(
+        {"from_cache": F.lit(True), "competitor_urls": F.slice(_as_urls(F.col("cached_domains")), 1, max_results)}
     )
+    searched = fresh_competitors(looked.where(~hit).drop("cached_domains"), leaders, results, max_results)
+    return known.drop("cached_domains").unionByName(searched)
 
 
 def suggested_competitors(rows: DataFrame, max_results: int = rules.COMPETITORS_DEFAULT) -> DataFrame:
@@ -134,6 +145,20 @@ def mini_rows(stores: DataFrame) -> DataFrame:
     )
 
 
+def main_rows(stores: DataFrame) -> DataFrame:
+    """What a search for competitors and a report need of the main brands."""
+    catalog = F.col("product_catalog")
+    main = stores.select(
+        F.col("website_url").alias("main_brand_url"),
+        F.coalesce("brand_name", F.lit("")).alias("main_brand_name"),
+        industry.product_types(catalog).alias("industry_keywords"),
+        industry.of_keywords(industry.keywords(catalog)).alias("industry"),
+        urls.netloc(F.col("website_url")).alias("domain"),
+        "total_products",
+    )
+    return main.withColumn("brand_name", F.coalesce(blank_to_null(F.col("main_brand_name")), "domain"))
+
+
 def report(
     stores: DataFrame,
     leaders: DataFrame,
@@ -148,27 +173,27 @@ def report(
     them (all by default).
 
     `stores` are the main brands, `known` the records that competitors are looked up in (often
-    the same table). A URL that very many brands name is one hot key on the brand side of a
-    many-to-one join, which the adaptive skew join splits; the rows go on to another grouping.
+    the same table).
+    """
+    found = find_competitors(main_rows(stores), leaders, cache, results, max_competitors)
+    return reports_of(found, known, run_ts, max_competitors, reported)
+
+
+def reports_of(
+    found: DataFrame, known: DataFrame, run_ts: Column, max_competitors: int = rules.COMPETITORS_DEFAULT, reported: int | None = None
+) -> DataFrame:
+    """The analyses of main brands whose competitors are found.
+
+    A URL that very many brands name is one hot key on the brand side of a many-to-one join, which the adaptive skew join
+    splits; the rows go on to another grouping.
     """
-    wanted = max_competitors
-    catalog = F.col("product_catalog")
-    main = stores.select(
-        F.col("website_url").alias("main_brand_url"),
-        F.coalesce("brand_name", F.lit("")).alias("main_brand_name"),
-        industry.product_types(catalog).alias("industry_keywords"),
-        industry.of_keywords(industry.keywords(catalog)).alias("industry"),
-        urls.netloc(F.col("website_url")).alias("domain"),
-        "total_products",
-    ).withColumn("brand_name", F.coalesce(blank_to_null(F.col("main_brand_name")), "domain"))
-    found = find_competitors(main, leaders, cache, results, wanted)
     others = F.filter(
         "competitor_urls", lambda u: urls.canonical(u) != F.col("main_brand_url")
     )
     kept = ["main_brand_name", "competitor_urls", "industry_keywords", "total_products"]
     shown = F.slice("competitor_urls", 1, reported) if reported else F.col("competitor_urls")
     looked_up = (
-        found.withColumn("competitor_urls", F.slice(others, 1, wanted))
+        found.withColumn("competitor_urls", F.slice(others, 1, max_competitors))
         .select(
             "main_brand_url",
             F.struct(*kept).alias("main"),
@@ -208,6 +233,41 @@ def analyses_to_save(reports: DataFrame) -> DataFrame:
     )
 
 
+def pipeline(
+    spark: SparkSession,
+    location: str,
+    stores: DataFrame,
+    leaders: DataFrame,
+    known: DataFrame,
+    run_ts: Column,
+    run_id: str,
+    results: DataFrame | None = None,
+    max_competitors: int = rules.COMPETITORS_DEFAULT,
+    buckets: int = bucketed.BUCKETS,
+) -> DataFrame:
+    """A run of the whole competitor job on extracted records; returns the analyses that it has saved.
+
+    Main brands with a list in the cache at `location`/competitors take it, leaders and search results are looked up for the
+    others only. Their analyses are the run's part of `location`/competitor_analyses, and what was searched for goes into the
+    cache. Each step is computed once, from what the step before wrote. A repeated run sees the cache as it was before the
+    run and replaces its own part, so that it leaves the same.
+    """
+    cache_at, work = f"{location}/competitors", scratch(spark, "competitors")
+
+    def once(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{work}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{work}/{name}")
+
+    main = once(main_rows(stores), "main")
+    found = once(find_competitors(main, leaders, bucketed.read_before(spark, cache_at, run_id), results, max_competitors), "found")
+    rows = analyses_to_save(reports_of(found, known, run_ts, max_competitors)).withColumn("run_id", F.lit(run_id))
+    saved_at = f"{location}/competitor_analyses"
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(saved_at)
+    update_cache_buckets(spark, cache_at, cache_rows(found, run_ts), run_id, buckets)
+    remove(spark, work)
+    return spark.read.schema(rows.schema).parquet(saved_at).where(F.col("run_id") == run_id)
+
+
 def comparison_text(
     brand_name: Column, website_url: Column, total_products: Column, competitors: Column
 ) -> Column:

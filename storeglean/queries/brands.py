@@ -5,8 +5,8 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions import urls
-from ..operators import leaders
-from ..plans import competitors
+from ..operators import bucketed, leaders
+from ..plans import competitors, extraction
 from ..sources.workspace import scratch
 from . import roles
 from .sqltext import ladder, q, words_in
@@ -101,8 +101,8 @@ candidates AS (
   WHERE len(l.sites) < {limit}
 ), firsts AS (SELECT s_suppkey, u, min(k) AS k FROM candidates GROUP BY s_suppkey, u
 ), ranked AS (
-  SELECT s_suppkey, u, row_number() OVER (PARTITION BY s_suppkey ORDER BY k) - 1 AS pos FROM firsts
-), fresh AS (SELECT * FROM ranked WHERE pos < {limit})
+  SELECT s_suppkey, u, row_number() OVER (PARTITION BY s_suppkey ORDER BY k) AS place FROM firsts
+), fresh AS (SELECT s_suppkey, u, place - 1 AS pos FROM ranked WHERE place <= {limit})
 """
 
 
@@ -231,6 +231,22 @@ def competitor_report(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+_LOOKED = f"""
+others AS (
+  SELECT f.s_suppkey, f.u, row_number() OVER (PARTITION BY f.s_suppkey ORDER BY f.pos) - 1 AS pos
+  FROM fresh f JOIN brands b ON f.s_suppkey = b.s_suppkey WHERE f.u <> b.base
+), sites AS (
+  SELECT [{', '.join(q(s) for s in roles.LEADER_SITES)}][p_partkey % {len(roles.LEADER_SITES)} + 1] AS site,
+    count(*) AS n, max(p_size) AS top
+  FROM part GROUP BY 1
+), known AS (
+  SELECT 'https://' || site AS u, upper(site) AS name, CAST(n AS INT) AS total, top > 49 AS has_faqs,
+    CAST(n % 4 AS INT) AS platforms
+  FROM sites
+), looked AS (
+  SELECT o.s_suppkey, o.pos, k.* FROM others o JOIN known k ON o.u = k.u
+
+"""
 _TYPE = "CASE p_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in roles.TYPE_NAMES.items()) + " ELSE '' END"
 _REPORT = f"""
 kinds AS (
@@ -245,20 +261,7 @@ kinds AS (
   SELECT s.s_suppkey, s_name AS brand_name, 'https://shop-' || s.s_suppkey || '.example.com' AS base,
     {ladder('words', rules.INDUSTRY_FROM_KEYWORDS)} AS industry, coalesce(saved, '') AS saved
   FROM supplier s LEFT JOIN types t ON s.s_suppkey = t.s_suppkey
-), {_LEADERS}, {_RESULTS}, {_ranked(8)}, others AS (
-  SELECT f.s_suppkey, f.u, row_number() OVER (PARTITION BY f.s_suppkey ORDER BY f.pos) - 1 AS pos
-  FROM fresh f JOIN brands b ON f.s_suppkey = b.s_suppkey WHERE f.u <> b.base
-), sites AS (
-  SELECT [{', '.join(q(s) for s in roles.LEADER_SITES)}][p_partkey % {len(roles.LEADER_SITES)} + 1] AS site,
-    count(*) AS n, max(p_size) AS top
-  FROM part GROUP BY 1
-), known AS (
-  SELECT 'https://' || site AS u, upper(site) AS name, CAST(n AS INT) AS total, top > 49 AS has_faqs,
-    CAST(n % 4 AS INT) AS platforms
-  FROM sites
-), looked AS (
-  SELECT o.s_suppkey, o.pos, k.* FROM others o JOIN known k ON o.u = k.u
-), firsts_known AS (
+), {_LEADERS}, {_RESULTS}, {_ranked(8)}, {_LOOKED}), firsts_known AS (
   SELECT * FROM looked QUALIFY row_number() OVER (PARTITION BY s_suppkey ORDER BY pos) = 1
 ), report AS (
   SELECT b.s_suppkey, b.base, b.brand_name, b.saved,
@@ -321,6 +324,70 @@ FROM report WHERE found > 0
 """
 
 
+def competitor_pipeline(spark: SparkSession, d: str) -> DataFrame:
+    """The job from landed pages to saved analyses and the cache, for a third of the stores first, then for all, then again."""
+    location = scratch(spark, "competitor-job")
+    feed = roles.supplier_feed(spark, d, roles.shown_type())
+    extracted = extraction.extract_stores(roles.supplier_pages(spark, d), feed, _now(), roles.MARKERS)
+    extraction.to_table(extraction.enrich(extracted)).write.parquet(f"{location}/stores")
+    stores = spark.read.parquet(f"{location}/stores")
+    third = F.regexp_extract("website_url", "shop-([0-9]+)", 1).cast("long") % 3 == 0
+    for rows, run, day in ((stores.where(third), "first", 1), (stores, "second", 2), (stores, "second", 2)):
+        competitors.pipeline(
+            spark, location, rows, leaders.seed_leaders(spark), roles.leader_records(spark, d),
+            F.lit(f"2024-02-0{day} 00:00:00").cast("timestamp"), run, roles.search_results(spark, d), 8, buckets=8,
+        )
+    cache = bucketed.read(spark, f"{location}/competitors").select(
+        F.concat(F.lit("https://"), "domain", F.lit("/")).alias("main_brand_url"),
+        F.array_join("competitor_domains", " ").alias("cached"),
+        F.dayofmonth("last_updated").alias("cached_on"),
+    )
+    saved = spark.read.parquet(f"{location}/competitor_analyses")
+    return saved.join(cache, "main_brand_url", "left").select(
+        F.col("run_id").cast("string").alias("run_id"),
+        "main_brand_url",
+        "main_brand_name",
+        F.array_join(F.transform("competitors", lambda c: c["website_url"]), " ").alias("reported_urls"),
+        "analysis_summary",
+        F.dayofmonth("analysis_timestamp").alias("analysed_on"),
+        F.array_join("industry_keywords", ",").alias("industry_keywords"),
+        "cached",
+        "cached_on",
+    )
+
+
+COMPETITOR_PIPELINE = f"""
+WITH heroes AS (
+  SELECT DISTINCT p_partkey // {roles.BLOCK} AS k, p_name FROM part WHERE p_size > {roles.HERO_SIZE}
+), first_parts AS (
+  SELECT p_partkey // {roles.BLOCK} AS k, p_partkey, p_name, lower({_TYPE}) AS kind FROM part
+  QUALIFY row_number() OVER (PARTITION BY p_partkey // {roles.BLOCK}, p_name ORDER BY p_partkey) = 1
+), items AS (
+  SELECT * FROM first_parts f WHERE NOT EXISTS (SELECT 1 FROM heroes h WHERE h.k = f.k AND h.p_name = f.p_name)
+), kinds AS (
+  SELECT k, kind, min(p_partkey) AS place FROM items WHERE kind <> '' GROUP BY k, kind
+), types AS (
+  SELECT k, string_agg(kind, ',' ORDER BY place) AS saved, string_agg(kind, ' ' ORDER BY place) AS words FROM kinds GROUP BY k
+), texts AS (SELECT k, string_agg(p_name, ' ' ORDER BY p_partkey) AS text FROM items GROUP BY k), named AS (
+  SELECT x.k, saved, coalesce(words, {ladder('text', rules.KEYWORD_FROM_NAMES)}) AS words FROM texts x LEFT JOIN types t ON x.k = t.k
+), brands AS (
+  SELECT s_suppkey, s_acctbal < 2000 AS low, CASE WHEN s_acctbal < 2000 THEN s_name ELSE 'Shop ' || s_suppkey END AS brand_name,
+    'https://shop-' || s_suppkey || '.example.com' AS base, {ladder('words', rules.INDUSTRY_FROM_KEYWORDS)} AS industry,
+    coalesce(saved, '') AS saved
+  FROM supplier LEFT JOIN named ON k = s_suppkey WHERE s_nationkey <> 24
+), {_LEADERS}, {_RESULTS}, {_ranked(8).replace("WHERE len(l.sites)", "WHERE l.low AND len(l.sites)")}, {_LOOKED}), report AS (
+  SELECT b.*, (SELECT count(*) FROM others o WHERE o.s_suppkey = b.s_suppkey) AS found,
+    coalesce((SELECT string_agg(k.u, ' ' ORDER BY pos) FROM looked k WHERE k.s_suppkey = b.s_suppkey), '') AS reported_urls,
+    (SELECT string_agg(regexp_extract(u, '://([^/]*)', 1), ' ' ORDER BY pos) FROM fresh f WHERE f.s_suppkey = b.s_suppkey) AS cached
+  FROM brands b
+)
+SELECT run_id, base || '/' AS main_brand_url, brand_name AS main_brand_name, reported_urls,
+  'Found ' || found || ' competitors' AS analysis_summary, CASE run_id WHEN 'first' THEN 1 ELSE 2 END AS analysed_on,
+  saved AS industry_keywords, cached, CASE WHEN s_suppkey % 3 = 0 THEN 1 ELSE 2 END AS cached_on
+FROM report, (VALUES ('first'), ('second')) r(run_id) WHERE found > 0 AND (run_id = 'second' OR s_suppkey % 3 = 0)
+"""
+
+
 def competitive_position(spark: SparkSession, d: str) -> DataFrame:
     """Line items per supplier as product counts; the next three suppliers are competitors."""
     counts = roles.table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("total_products"))
@@ -351,6 +418,7 @@ QUERIES = {
     "cache_upsert": (cache_upsert, CACHE_UPSERT),
     "cache_buckets": (cache_buckets, CACHE_UPSERT),
     "competitor_report": (competitor_report, COMPETITOR_REPORT),
+    "competitor_pipeline": (competitor_pipeline, COMPETITOR_PIPELINE),
     "comparison_text": (comparison_text, COMPARISON_TEXT),
     "analyses_saved": (analyses_saved, ANALYSES_SAVED),
     "competitive_position": (competitive_position, COMPETITIVE_POSITION),

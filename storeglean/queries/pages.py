@@ -180,7 +180,7 @@ def resolve_links(spark: SparkSession, d: str) -> DataFrame:
     found = roles.table(spark, d, "pages").select(
         "page_id", "url", F.posexplode(social.hrefs(F.col("html"))).alias("pos", "href")
     )
-    parent = F.concat(F.lit("../"), F.substring("href", 2, 1_000_000))
+    parent = F.concat(F.lit("../"), F.substr(F.col("href"), F.lit(2)))
     return found.select(
         "page_id",
         "pos",

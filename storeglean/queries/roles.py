@@ -116,8 +116,8 @@ def _price(c: Column) -> Column:
     return F.format_string("%.2f", c)
 
 
-def feed_item() -> Column:
-    """A part as a feed product. Promo parts have no variants, small ones list their tags."""
+def feed_item(shown: Column | None = None) -> Column:
+    """A part as a feed product, of its own type or the one `shown`. Promo parts have no variants, small ones list their tags."""
     kind, name = F.col("p_type"), F.col("p_name")
     tags = F.split(name, " ")
     variant = F.struct(
@@ -130,7 +130,7 @@ def feed_item() -> Column:
         name.alias("title"),
         F.concat(F.lit("<p>"), name, F.lit("</p>")).alias("body_html"),
         F.col("p_brand").alias("vendor"),
-        kind.alias("product_type"),
+        (kind if shown is None else shown).alias("product_type"),
         F.when(kind == "SMALL", F.to_json(tags)).when(kind != "ECONOMY", F.array_join(tags, ", ")).alias("tags"),
         F.concat_ws("-", F.translate(name, " ", "-"), F.col("p_partkey").cast("string")).alias("handle"),
         F.when(kind != "PROMO", F.array(variant)).alias("variants"),
@@ -138,11 +138,11 @@ def feed_item() -> Column:
     )
 
 
-def _feed(parts: DataFrame) -> DataFrame:
+def _feed(parts: DataFrame, shown: Column | None = None) -> DataFrame:
     """Feed pages from rows of (store_url, page, pos, part columns), at most 250 rows a page."""
     return (
         parts.groupBy("store_url", "page")
-        .agg(F.array_sort(F.collect_list(F.struct("pos", feed_item().alias("item")))).alias("rows"))
+        .agg(F.array_sort(F.collect_list(F.struct("pos", feed_item(shown).alias("item")))).alias("rows"))
         .select(
             "store_url",
             F.col("page").cast("int").alias("page"),
@@ -180,8 +180,8 @@ def supplier_url(key: Column) -> Column:
     return F.format_string("https://shop-%d.example.com", key)
 
 
-def supplier_feed(spark: SparkSession, directory: str) -> DataFrame:
-    """One short feed page per supplier."""
+def supplier_feed(spark: SparkSession, directory: str, shown: Column | None = None) -> DataFrame:
+    """One short feed page per supplier, with the parts' own types or those `shown`."""
     key = F.col("p_partkey")
     parts = table(spark, directory, "part").select(
         "*",
@@ -189,7 +189,7 @@ def supplier_feed(spark: SparkSession, directory: str) -> DataFrame:
         F.lit(1).alias("page"),
         key.alias("pos"),
     )
-    return _feed(parts)
+    return _feed(parts, shown)
 
 
 # ---- supplier stores
