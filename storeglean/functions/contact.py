@@ -5,12 +5,13 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from .arrays import cut, keep_first_by
-from .text import SPACE, any_of, contains_any, one_of, strip
+from .text import SPACE, SPACE_LISTED, any_of, contains_any, one_of, strip
 
 # Same matches as the plain pattern. It is tried only where a run of address characters starts
 # or the last match ended, because inside such a run no other starting point can succeed.
 _EMAIL = r"(?:(?<![a-zA-Z0-9._%+-])|\G)" + rules.EMAIL_PATTERN
-_PHONE = "(?U)" + rules.PHONE_PATTERN.replace(r"\s", SPACE)
+# The look-ahead changes no match; it rules out most starting points.
+_PHONE = "(?=[+(0-9])" + rules.PHONE_PATTERN.replace(r"\s", SPACE_LISTED)
 _PHONE_GROUPED = "(?U)" + rules.PHONE_PATTERN_GROUPED.replace(r"\s", SPACE)
 
 

@@ -1,5 +1,7 @@
 """Social handles in raw page text."""
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,19 +33,37 @@ def find_handles(
     The first match decides: if it is a share button, the platform is left out. With
     `scan_past`, share buttons are skipped and the next match counts.
     """
-    found = []
-    for platform, pattern in (patterns or rules.SOCIAL_PATTERNS).items():
+
+    def handle_of(pattern: str) -> Column:
         if scan_past:
             real = F.filter(
                 F.regexp_extract_all(html, F.lit(_regex(pattern)), F.lit(1)), lambda h: ~one_of(h, rules.PSEUDO_HANDLES)
             )
-            handle = F.get(real, F.lit(0))
-        else:
-            first = blank_to_null(F.regexp_extract(html, _regex(pattern), 1))
-            handle = F.when(~one_of(first, rules.PSEUDO_HANDLES), first)
-        url = F.concat(F.lit(f"https://{platform}.com/"), handle)
-        found.append(F.when(handle.isNotNull(), _handle(platform, url, handle)))
-    return F.filter(F.array(*found), lambda s: s.isNotNull())
+            return F.get(real, F.lit(0))
+        first = blank_to_null(F.regexp_extract(html, _regex(pattern), 1))
+        return F.when(~one_of(first, rules.PSEUDO_HANDLES), first)
+
+    def found(platform: str, pattern: str, low: Column) -> Column:
+        def shown(handle: Column) -> Column:
+            url = F.concat(F.lit(f"https://{platform}.com/"), handle)
+            return F.when(handle.isNotNull(), _handle(platform, url, handle))
+
+        return F.when(_may_match(pattern, low), let(handle_of(pattern), shown))
+
+    return _each_platform(html, [(p, found, (rule,)) for p, rule in (patterns or rules.SOCIAL_PATTERNS).items()])
+
+
+def _may_match(pattern: str, low: Column) -> Column:
+    """Whether a page in lower case has the plain text that the pattern begins with."""
+    plain = re.match(r"(?:[a-z]|\\\.)*", pattern)[0]
+    return low.contains(plain.replace("\\.", "."))
+
+
+def _each_platform(html: Column, platforms: list[tuple]) -> Column:
+    """What is found of each platform; the page is put into lower case once, to look only for platforms that it names."""
+    return let(
+        F.lower(html), lambda low: F.filter(F.array(*[find(p, *rest, low) for p, find, rest in platforms]), lambda s: s.isNotNull())
+    )
 
 
 def _first_real(html: Column, platform: str, pattern: str, group: int) -> Column:
@@ -63,8 +83,11 @@ def _first_real(html: Column, platform: str, pattern: str, group: int) -> Column
 
 def find_handles_crawl(html: Column) -> Column:
     """Seven platforms, share buttons skipped, URL as it stands on the page."""
-    found = [_first_real(html, name, *rule) for name, rule in rules.SOCIAL_PATTERNS_CRAWL.items()]
-    return F.filter(F.array(*found), lambda s: s.isNotNull())
+
+    def found(platform: str, pattern: str, group: int, low: Column) -> Column:
+        return F.when(_may_match(pattern, low), _first_real(html, platform, pattern, group))
+
+    return _each_platform(html, [(p, found, rule) for p, rule in rules.SOCIAL_PATTERNS_CRAWL.items()])
 
 
 def platform_of_url(url: Column, hosts: dict[str, str] | None = None, exact_host: bool = False):

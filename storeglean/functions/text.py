@@ -4,7 +4,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import rules
-from .arrays import cut
+from .arrays import cut, let
 
 # The white space characters of Unicode and the four separator controls.
 SPACES = (
@@ -15,7 +15,8 @@ SPACE_LISTED = (
     r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 )
 SPACE = r"\s\x1c-\x1f"  # for use inside a class, under the flag (?U)
-_RUNS = rf"(?U)[{SPACE}]+"
+# Runs of white space that are not one plain space already; the listed class is faster than the flag.
+_RUNS = rf"(?:(?! )[{SPACE_LISTED}][{SPACE_LISTED}]*| [{SPACE_LISTED}]+)"
 
 
 def strip(c: Column) -> Column:
@@ -55,15 +56,31 @@ def clean(c: Column, limit: int | None = None) -> Column:
 
 def scrub(c: Column) -> Column:
     """Drop navigation words, URLs and e-mail addresses. Gaps they leave are kept."""
-    out = F.regexp_replace(c, _RUNS, " ")
-    # The look-ahead and look-behind change no match; they only rule out most starting points.
-    out = F.regexp_replace(
-        out, r"(?iu)(?=[mnfhc])(?:Menu|Navigation|Footer|Header|Cookie.*?accept)", ""
-    )
-    out = F.regexp_replace(out, rf"(?U)https?://[^{SPACE}]+", "")
-    word, start = rf"[^{SPACE}]+", rf"(?<![^{SPACE}])"
-    out = F.when(out.contains("@"), F.regexp_replace(out, f"(?U){start}{word}@{word}", "")).otherwise(out)
-    return strip(out)
+    word, start = rf"[^{SPACE_LISTED}]+", rf"(?<![^{SPACE_LISTED}])"
+
+    def without_addresses(out: Column) -> Column:
+        return F.when(out.contains("@"), F.regexp_replace(out, f"{start}{word}@{word}", "")).otherwise(out)
+
+    def without_urls(out: Column) -> Column:
+        return F.when(out.contains("://"), F.regexp_replace(out, f"https?://{word}", "")).otherwise(out)
+
+    # Up to the last "accept" every cookie note has an end, after it none, so no search runs to the end in vain.
+    flat = F.regexp_replace(c, _RUNS, " ")
+
+    def split(text: Column) -> Column:
+        return F.struct(text.alias("all"), F.regexp_extract(text, "(?isu)^.*accept", 0).alias("upto"))
+
+    def without_words(s: Column) -> Column:
+        rest = F.substr(s["all"], F.length(s["upto"]) + 1)
+        return F.concat(F.regexp_replace(s["upto"], _words("|Cookie.*?accept"), ""), F.regexp_replace(rest, _words(), ""))
+
+    plain = let(let(flat, split), without_words)
+    return strip(let(let(plain, without_urls), without_addresses))
+
+
+def _words(more: str = "") -> str:
+    """Navigation words in any case. The look-ahead changes no match; it only rules out most starting points."""
+    return rf"(?=[mM][eE]|[nN][aA]|[fF][oO]|[hH][eE]|[cC][oO])(?iu:Menu|Navigation|Footer|Header{more})"
 
 
 def paragraph_head(scrubbed: Column, limits: rules.Limits = rules.KEEP_ALL) -> Column:

@@ -1,8 +1,8 @@
 """Store extraction: landed pages and feeds to one record per store.
 
-Everything a page can say is worked out where the page is read, and only short facts go into
-the one shuffle by store. There they are reduced by partial aggregation (first valid candidate
-per fact), so a store with a very large share of the pages still sends one row per task.
+Everything a page can say is worked out where the page is read. Of the candidates of a fact each
+task sends the first valid one only, so a store with a very large share of the pages still sends
+a few rows per task, and the texts of the others never move.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -14,6 +14,7 @@ from ..functions.arrays import cut, empty, keep_first_by, or_empty, size0, witho
 from ..functions.text import (
     blank_to_null, clean, has_text, head, longer_than, one_of, sql_text, strip, text_array,
 )
+from ..operators.keyed import top_n
 from ..operators.stores import seconds_between
 from ..sources import feed as feeds
 from ..sources.dom import page_facts
@@ -49,20 +50,31 @@ def _store_key() -> Column:
     return F.regexp_replace(urls.canonical(F.col("store_url")), "/+$", "")
 
 
-def _all_stores(pages: DataFrame, feed: DataFrame, stores: DataFrame | None) -> DataFrame:
-    """Every store that anything was landed of or that is asked for. `feed` has keys already."""
-    keys = pages.select(_store_key().alias("store_url")).unionByName(feed.select("store_url"))
+def _listed(candidates: dict[str, list[str]]) -> str:
+    return ", ".join(sql_text(p) for paths in candidates.values() for p in paths)
+
+
+def _reads(
+    pages: DataFrame, feed: DataFrame, stores: DataFrame | None, candidates: dict[str, list[str]]
+) -> DataFrame:
+    """(store_url, read_at, missing): a narrow row for anything that was landed of a store or asks for it, with the time of the
+    read and whether the home page was not there, of candidate pages. `feed` has keys already."""
+    home = ", ".join(sql_text(p) for p in candidates["home"])
+    none = [F.lit(None).cast("timestamp").alias("read_at"), F.lit(None).cast("boolean").alias("missing")]
+    keys = pages.select(
+        _store_key().alias("store_url"),
+        F.expr(f"CASE WHEN path IN ({_listed(candidates)}) THEN fetched_at END").alias("read_at"),
+        F.expr(f"path IN ({home}) AND status = 404").alias("missing"),
+    ).unionByName(feed.select("store_url", *none))
     if stores is not None:
-        keys = keys.unionByName(stores.select(_store_key().alias("store_url")))
-    return keys.where("store_url is not null").distinct()
+        keys = keys.unionByName(stores.select(_store_key().alias("store_url"), *none))
+    return keys.where("store_url is not null")
 
 
 def _candidate_pages(pages: DataFrame, candidates: dict[str, list[str]]) -> DataFrame:
     """Pages on candidate paths, with html only where the page was delivered."""
-    wanted = [p for paths in candidates.values() for p in paths]
     fact, place = _fact_of(F.col("path"), candidates)
-    listed = ", ".join(sql_text(p) for p in wanted)
-    return pages.where(f"path IN ({listed})").select(
+    return pages.where(f"path IN ({_listed(candidates)})").select(
         _store_key().alias("store_url"),
         "url",
         "status",
@@ -73,20 +85,34 @@ def _candidate_pages(pages: DataFrame, candidates: dict[str, list[str]]) -> Data
     )
 
 
-def _first(value: Column, fact: str, valid: Column) -> Column:
-    """Value of the first valid candidate of a fact; among equals the newest fetch."""
-    order = F.struct("place", (-F.unix_micros("fetched_at")).alias("age"))
-    return F.min_by(value, F.when((F.col("fact") == fact) & valid, order))
+def _chosen(rows: DataFrame, valid: Column, values: list[str]) -> DataFrame:
+    """(store_url, won): the first valid candidate of each fact of a store, among equals the newest fetch. Map tasks send one
+    row of a fact at most, so that texts that lose stay where they are; texts are in no aggregate's order."""
+    order = [F.desc("_valid"), F.asc("place"), F.desc("fetched_at")]
+    first = top_n(rows.withColumn("_valid", valid), ["store_url", "fact"], order, 1).where("_valid AND store_url IS NOT NULL")
+    return first.select("store_url", F.struct("fact", *values).alias("won"))
 
 
-def _with_scores(stores: DataFrame) -> DataFrame:
-    return stores.withColumn("quality_score", scoring.quality_score())
+def _per_store(chosen: DataFrame, reads: DataFrame) -> DataFrame:
+    """One row per store: `won`, the rows of its facts, seven or eight at most, how long reading took, and `missing`."""
+    nothing = F.lit(None)
+    kinds = dict(chosen.dtypes) | dict(reads.dtypes)
+    rows = chosen.withColumns({c: nothing.cast(kinds[c]) for c in ("read_at", "missing")}).unionByName(
+        reads.withColumn("won", nothing.cast(chosen.schema["won"].dataType))
+    )
+    return rows.groupBy("store_url").agg(
+        F.collect_list("won").alias("won"),
+        seconds_between(F.min("read_at"), F.max("read_at")).alias("extraction_duration_seconds"),
+        F.max("missing").alias("missing"),
+    )
 
 
-def _seconds_read() -> Column:
-    """Time from the first to the last read of a store's pages."""
-    span = seconds_between(F.min("fetched_at"), F.max("fetched_at"))
-    return span.alias("extraction_duration_seconds")
+def _won(fact: str, value: str) -> Column:
+    return F.get(F.filter("won", lambda w: w["fact"] == fact), F.lit(0))[value]
+
+
+def _with_scores(stores: DataFrame) -> DataFrame:
+    return stores.withColumn("quality_score", scoring.quality_score())
 
 
 def extract_stores(
@@ -144,7 +170,6 @@ def extract_stores(
         "fact",
         "place",
         "fetched_at",
-        F.col("inline").isNotNull().alias("delivered"),
         F.when(is_home & F.col("inline").isNotNull(), home).alias("home"),
         F.when(F.col("fact") == "faq", pairs).alias("pairs"),
         F.when(
@@ -153,17 +178,20 @@ def extract_stores(
         .when((F.col("fact") == "about") & longer_than(text, rules.ABOUT_MIN), head(text, limits.about_chars))
         .alias("text"),
     )
-    has_text_value = F.col("text").isNotNull()
-    per_store = page_rows.groupBy("store_url").agg(
-        _first(F.col("home"), "home", F.col("home").isNotNull()).alias("home"),
-        *[_first(F.col("text"), name, has_text_value).alias(name) for name in _POLICIES],
-        _first(F.col("text"), "about", has_text_value).alias("about"),
-        _first(F.col("pairs"), "faq", size0(F.col("pairs")) > 0).alias("pairs"),
-        _seconds_read(),
+    valid = (
+        F.when(is_home, F.col("home").isNotNull())
+        .when(F.col("fact") == "faq", size0(F.col("pairs")) > 0)
+        .otherwise(F.col("text").isNotNull())
     )
     feed = feed.withColumn("store_url", _store_key())
-    joined = _all_stores(pages, feed, stores).join(per_store, "store_url", "left")
-    joined = joined.join(feeds.store_catalogs(feed, limits=limits), "store_url", "left")
+    per_store = _per_store(_chosen(page_rows, valid, ["home", "text", "pairs"]), _reads(pages, feed, stores, candidates))
+    per_store = per_store.select(
+        "*",
+        _won("home", "home").alias("home"),
+        *[_won(name, "text").alias(name) for name in (*_POLICIES, "about")],
+        _won("faq", "pairs").alias("pairs"),
+    )
+    joined = per_store.join(feeds.store_catalogs(feed, limits=limits), "store_url", "left")
     home, inline, ok = F.col("home"), F.col("home.inline"), F.col("home").isNotNull()
     none = F.lit(None).cast("string")
     return _with_scores(
@@ -324,7 +352,6 @@ def extract_stores_crawl(
         "fact",
         "place",
         "fetched_at",
-        "status",
         F.when(F.col("inline").isNotNull(), home).alias("home"),
         F.when(fact == "faq", pairs).alias("pairs"),
         F.when(
@@ -336,19 +363,22 @@ def extract_stores_crawl(
             F.struct("reach.*", head(strip(F.col("address")), limits.address_chars).alias("address")),
         ).alias("reach"),
     )
-    has_page_text = F.col("page_text").isNotNull()
-    per_store = rows.groupBy("store_url").agg(
-        _first(F.col("home"), "home", F.col("home").isNotNull()).alias("home"),
-        F.max((F.col("fact") == "home") & (F.col("status") == 404)).alias("missing"),
-        *[_first(F.col("page_text"), name, has_page_text).alias(name) for name in policies],
-        _first(F.col("page_text"), "about", has_page_text).alias("about"),
-        _first(F.col("pairs"), "faq", size0(F.col("pairs")) > 0).alias("pairs"),
-        _first(F.col("reach"), "contact", F.col("reach").isNotNull()).alias("reach"),
-        _seconds_read(),
+    valid = (
+        F.when(fact == "home", F.col("home").isNotNull())
+        .when(fact == "faq", size0(F.col("pairs")) > 0)
+        .when(fact == "contact", F.col("reach").isNotNull())
+        .otherwise(F.col("page_text").isNotNull())
     )
     feed = feed.withColumn("store_url", _store_key())
-    joined = _all_stores(pages, feed, stores).join(per_store, "store_url", "left")
-    joined = joined.join(feeds.first_page_products(feed, limits), "store_url", "left")
+    chosen = _chosen(rows, valid, ["home", "page_text", "pairs", "reach"])
+    per_store = _per_store(chosen, _reads(pages, feed, stores, candidates)).select(
+        "*",
+        _won("home", "home").alias("home"),
+        *[_won(name, "page_text").alias(name) for name in (*policies, "about")],
+        _won("faq", "pairs").alias("pairs"),
+        _won("contact", "reach").alias("reach"),
+    )
+    joined = per_store.join(feeds.first_page_products(feed, limits), "store_url", "left")
     home, inline, reach = F.col("home"), F.col("home.inline"), F.col("reach")
     ok = F.coalesce(inline["is_platform"], F.lit(False))
     none = F.lit(None).cast("string")

@@ -218,11 +218,7 @@ def product_type_keywords(spark: SparkSession, d: str) -> DataFrame:
     catalogs = parts.groupBy("store").agg(
         F.array_sort(F.collect_list(F.struct("p_partkey", "product_type"))).alias("catalog")
     )
-    return catalogs.select(
-        "store",
-        F.array_join(industry.product_types(F.col("catalog"), rules.DISPLAY.keywords), ",").alias("keywords"),
-        F.array_join(industry.product_types(F.col("catalog")), ",").alias("saved"),
-    )
+    return catalogs.select("store", F.array_join(industry.product_types(F.col("catalog")), ",").alias("saved"))
 
 
 _SHOWN_TYPE = "CASE p_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in roles.TYPE_NAMES.items()) + " ELSE '' END"
@@ -233,8 +229,7 @@ WITH firsts AS (
   SELECT store, kind, row_number() OVER (PARTITION BY store ORDER BY min(p_partkey)) AS k
   FROM firsts WHERE kind <> '' GROUP BY store, kind
 )
-SELECT s.store, coalesce(string_agg(kind, ',' ORDER BY k) FILTER (WHERE k <= 3), '') AS keywords,
-  coalesce(string_agg(kind, ',' ORDER BY k), '') AS saved
+SELECT s.store, coalesce(string_agg(kind, ',' ORDER BY k), '') AS saved
 FROM (SELECT DISTINCT store FROM firsts) s LEFT JOIN kinds ON kinds.store = s.store GROUP BY s.store
 """
 

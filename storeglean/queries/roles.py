@@ -203,11 +203,12 @@ DOC_PATHS = [
 
 
 def _home_pages(spark: SparkSession, directory: str) -> DataFrame:
-    """A home page per supplier, with its featured parts."""
+    """A home page per supplier, with its featured parts; every second one has its price inside the link."""
     key = F.col("p_partkey")
-    card = F.format_string(
-        '<li><a href="/products/p%d" title="%s"><img src="/i/%d.png"></a><span class="price">%.2f</span></li>',
-        key, "p_name", key, "p_retailprice",
+    price = F.format_string('<span class="price">%.2f</span>', "p_retailprice")
+    card = F.concat(
+        F.format_string('<li><a href="/products/p%d" title="%s"><img src="/i/%d.png">', key, "p_name", key),
+        F.when(key % 2 == 0, F.concat(price, F.lit("</a></li>"))).otherwise(F.concat(F.lit("</a>"), price, F.lit("</li>"))),
     )
     cards = (
         table(spark, directory, "part")

@@ -232,7 +232,7 @@ SELECT url || '/' AS website_url,
   CASE WHEN ok THEN CASE WHEN low THEN s_name ELSE 'Shop ' || b.k END END AS brand_name,
   CASE WHEN ok THEN coalesce(c.n, 0) ELSE 0 END AS n_catalog,
   CASE WHEN ok THEN coalesce(h.n_all, 0) ELSE 0 END AS n_hero,
-  CASE WHEN ok THEN g.name END AS hero_name, CAST(NULL AS VARCHAR) AS hero_price,
+  CASE WHEN ok THEN g.name END AS hero_name, CASE WHEN ok AND g.first_key % 2 = 0 THEN g.price END AS hero_price,
   CASE WHEN ok THEN coalesce(c.n, 0) ELSE 0 END AS total_products,
   CASE WHEN ok THEN md5(p.t) END AS privacy_md5, CASE WHEN ok THEN md5(r.t) END AS return_md5,
   CASE WHEN ok THEN md5(sh.t) END AS shipping_md5, CASE WHEN ok THEN md5(te.t) END AS terms_md5,
@@ -326,21 +326,58 @@ FROM ({STORE_DOCUMENT})
 
 
 def export_json(spark: SparkSession, d: str) -> DataFrame:
+    """Every field of the exported documents."""
     document = F.col("document")
+
+    def at(path: str) -> Column:
+        return F.get_json_object(document, f"$.{path}")
+
+    def n(path: str) -> Column:
+        return F.json_array_length(at(path))
+
     return tables.export_json(extraction.to_table(_enriched(spark, d))).select(
         "website_url",
-        F.get_json_object(document, "$.brand_name").alias("brand_name"),
-        F.get_json_object(document, "$.extraction_timestamp").alias("extraction_timestamp"),
-        F.get_json_object(document, "$.faqs[0].question").alias("first_question"),
-        F.get_json_object(document, "$.social_handles[1].url").alias("second_social"),
-        F.get_json_object(document, "$.contact_info.emails[0]").alias("email"),
-        F.get_json_object(document, "$.quality_score").cast("double").alias("quality_score"),
+        at("website_url").alias("exported_url"),
+        at("brand_name").alias("brand_name"),
+        n("product_catalog").alias("n_catalog"),
+        n("hero_products").alias("n_hero"),
+        at("hero_products[0].name").alias("hero_name"),
+        at("hero_products[0].price").alias("hero_price"),
+        at("hero_products[0].product_url").alias("hero_url"),
+        at("total_products").cast("int").alias("total_products"),
+        F.md5(at("privacy_policy")).alias("privacy_md5"),
+        F.md5(at("return_refund_policy")).alias("return_md5"),
+        F.md5(at("shipping_policy")).alias("shipping_md5"),
+        F.md5(at("terms_of_service")).alias("terms_md5"),
+        F.md5(at("brand_context")).alias("context_md5"),
+        n("faqs").alias("n_faqs"),
+        at("faqs[0].question").alias("first_question"),
+        at("faqs[0].category").alias("first_category"),
+        at("social_handles[0].url").alias("first_social"),
+        at("social_handles[1].url").alias("second_social"),
+        at("contact_info.emails[0]").alias("email"),
+        at("contact_info.phone_numbers[0]").alias("phone"),
+        n("important_links").alias("n_links"),
+        at("important_links[0].name").alias("first_link"),
+        at("important_links[0].category").alias("first_link_category"),
+        at("extraction_timestamp").alias("extraction_timestamp"),
+        at("extraction_success").alias("extraction_success"),
+        at("error_messages[0]").alias("error"),
+        at("quality_score").cast("double").alias("quality_score"),
     )
 
 
 EXPORT_JSON = f"""
-SELECT website_url, brand_name, '2024-02-01T00:00:00' AS extraction_timestamp, first_question,
-  nullif(split_part(socials, ' ', 2), '') AS second_social, nullif(emails, '') AS email, quality_score
+SELECT website_url, website_url AS exported_url, brand_name, n_catalog, n_hero, hero_name, hero_price, hero_url, total_products,
+  privacy_md5, return_md5, shipping_md5, terms_md5, context_md5, n_faqs, first_question,
+  CASE WHEN NOT extraction_success THEN NULL WHEN first_question = '{rules.DEFAULT_FAQS[0][0]}' THEN '{rules.DEFAULT_FAQS[0][2]}'
+    ELSE 'General' END AS first_category,
+  nullif(split_part(socials, ' ', 1), '') AS first_social, nullif(split_part(socials, ' ', 2), '') AS second_social,
+  nullif(emails, '') AS email, nullif(phones, '') AS phone,
+  CASE WHEN links = '' THEN 0 ELSE len(string_split(links, '|')) END AS n_links,
+  nullif(split_part(split_part(links, '|', 1), ':', 2), '') AS first_link, nullif(split_part(links, ':', 1), '') AS first_link_category,
+  '2024-02-01T00:00:00' AS extraction_timestamp, CAST(extraction_success AS VARCHAR) AS extraction_success,
+  nullif(errors, '') AS error, quality_score
 FROM ({STORE_ENRICHED})
 """
 

@@ -199,7 +199,7 @@ def quality_score(spark: SparkSession, d: str) -> DataFrame:
     )
     score = scoring.score_from_counts(
         F.col("products"), F.col("heroes"), F.col("policies"), F.col("faqs"), F.col("top") > 60,
-        F.col("socials"), F.col("low") > 0.5, F.col("low") <= 0.5, F.col("faqs"),
+        F.col("socials"), F.col("low") > 0.05, F.col("top") > 90, F.col("faqs"),
     )
     return counts.select("user_id", score.alias("quality_score"))
 
@@ -214,7 +214,8 @@ WITH counts AS (
   FROM events GROUP BY user_id
 )
 SELECT user_id, CAST(least(20, products * 0.5) + least(10, heroes * 2) + policies * 5 + least(10, faqs)
-  + CASE WHEN top > 60 THEN 10 ELSE 0 END + least(10, socials * 2) + 5 + least(10, faqs) AS DOUBLE) AS quality_score
+  + CASE WHEN top > 60 THEN 10 ELSE 0 END + least(10, socials * 2) + CASE WHEN low > 0.05 THEN 5 ELSE 0 END
+  + CASE WHEN top > 90 THEN 5 ELSE 0 END + least(10, faqs) AS DOUBLE) AS quality_score
 FROM counts
 """
 

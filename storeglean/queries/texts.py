@@ -154,6 +154,23 @@ def scrub_text(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    """Sentences as paragraphs, of which those of more than 50 characters stay."""
+    split = F.regexp_replace("text", r"[.!?] ", ".\n\n")
+    head = text.paragraph_head(split)
+    return _documents(spark, d).select("doc_id", F.length(head).alias("n_chars"), F.md5(head).alias("head_md5"))
+
+
+PARAGRAPHS = r"""
+WITH kept AS (
+  SELECT doc_id, array_to_string(list_filter(string_split(regexp_replace(text, '[.!?] ', '.' || chr(10) || chr(10), 'g'), chr(10) || chr(10)),
+    lambda p: length(p) > 50), chr(10) || chr(10)) AS head
+  FROM documents
+)
+SELECT doc_id, CAST(length(head) AS INT) AS n_chars, md5(head) AS head_md5 FROM kept
+"""
+
+
 SCRUB_TEXT = r"""
 WITH scrubbed AS (
   SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
@@ -297,6 +314,7 @@ QUERIES = {
     "embedded_metadata": (embedded_metadata, EMBEDDED_METADATA),
     "clean_text": (clean_text, CLEAN_TEXT),
     "scrub_text": (scrub_text, SCRUB_TEXT),
+    "paragraphs": (paragraphs, PARAGRAPHS),
     "faq_lines": (faq_lines, FAQ_LINES),
     "faq_pairs": (faq_pairs, FAQ_PAIRS),
     "first_valid_path": (first_valid_path, FIRST_VALID_PATH),

@@ -12,7 +12,11 @@ def read_store_pages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_product_feed(spark: SparkSession, path: str) -> DataFrame:
-    """Feed pages with the time of their landing; it is null in files that do not have it."""
+    return spark.read.schema(schemas.PRODUCT_FEED).parquet(path)
+
+
+def read_feed_landings(spark: SparkSession, path: str) -> DataFrame:
+    """Feed pages with the time of their landing, of which the newest counts; it is null in files that do not have it."""
     return spark.read.schema(schemas.FEED_LANDINGS).parquet(path)
 
 

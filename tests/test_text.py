@@ -121,3 +121,58 @@ def test_resolve_matches_urljoin(spark):
     rows = spark.createDataFrame(pairs, "b string, r string").coalesce(1)
     found = [x[0] for x in rows.select(urls.resolve(F.col("b"), F.col("r"))).collect()]
     assert dict(zip(pairs, found)) == {(b, r): urljoin(b, r) for b, r in pairs}
+
+
+def test_cheaper_patterns_match_the_plain_ones(spark):
+    """The plain patterns, with flags and without look-aheads, find the same in odd texts."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from storeglean import rules
+    from storeglean.functions import contact, social, text
+
+    rng = random.Random(4)
+    parts = [
+        " ", "  ", "\t", "\n", "\n\n", "\x1c", "\x85", " ", "  ", " ", "Menu", "mENU", "navigatıon", "Footer", "HEADER", "Cookie", "cookies",
+        "Kookie", "cooKie", "accept", "ACCEPT", "x@y", "@", "a@b.c", "http://", "https://a.b/c", "://", "h", "word", "(212) 555-0100", "+1 212 555 0100", "(", "+", "55",
+        "instagram.com/", "Instagram.COM/acme", "facebook.com/sharer", "FaceBook.com/x?y", "youtube.com/c/@", "İnstagram.com/z", "tiktok.com/@t", '"', "pinterest.com/share",
+    ]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 40))) for _ in range(3000)] + ["", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    space, c = r"\s\x1c-\x1f", F.col("t")
+    flat = F.regexp_replace(c, rf"(?U)[{space}]+", " ")
+    plain = F.regexp_replace(flat, r"(?iu)(?:Menu|Navigation|Footer|Header|Cookie.*?accept)", "")
+    plain = F.regexp_replace(plain, rf"(?U)https?://[^{space}]+", "")
+    plain = F.regexp_replace(plain, rf"(?U)[^{space}]+@[^{space}]+", "")
+    phones = F.regexp_extract_all(c, F.lit("(?U)" + rules.PHONE_PATTERN.replace(r"\s", space)), F.lit(0))
+    first = {p: F.regexp_extract(c, social._regex(r), 1) for p, r in rules.SOCIAL_PATTERNS.items()}
+    found = social.find_handles(c)
+    rows = df.select(
+        "t",
+        text.scrub(c).alias("scrub"), text.strip(plain).alias("plain_scrub"),
+        text.collapse(c).alias("collapse"), F.trim(flat).alias("plain_collapse"),
+        contact.find_phones(c).alias("phones"), F.filter(phones, lambda p: F.length(contact.digits(p)) >= rules.PHONE_MIN_DIGITS).alias("plain_phones"),
+        F.transform(found, lambda h: F.concat(h["platform"], F.lit(" "), h["handle"])).alias("handles"), F.struct(*[v.alias(p) for p, v in first.items()]).alias("plain_handles"),
+    ).collect()
+    for r in rows:
+        assert r["scrub"] == r["plain_scrub"], r["t"]
+        assert r["collapse"] == r["plain_collapse"] and r["phones"] == r["plain_phones"], r["t"]
+        if r["t"] is None:
+            continue
+        wanted = {p: h for p, h in r["plain_handles"].asDict().items() if h and h not in rules.PSEUDO_HANDLES}
+        assert r["handles"] == [f"{p} {h}" for p, h in wanted.items()], r["t"]
+
+
+def test_cookie_notes_without_an_end_take_linear_time(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    from storeglean.functions import text
+
+    df = spark.createDataFrame([("cookie note " * 40_000,)], "t string").cache()
+    df.count()
+    start = time.perf_counter()
+    assert df.select(F.length(text.scrub(F.col("t")))).first()[0] == 12 * 40_000 - 1
+    assert time.perf_counter() - start < 5
