@@ -13,11 +13,13 @@ import hashlib
 import re
 import uuid
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,8 +27,8 @@ from storeglean.llm.common import kept, scratch, table
 
 #: Payload of a shard, compressed size of a file, and the least payload whose copies become revisits, in bytes.
 SHARD_BYTES, FILE_BYTES, REVISIT_BYTES = 32 << 20, 8 << 20, 100
-#: Ranges of page ids whose sizes are counted to cut shards; the driver sees a row for each at most.
-RANGES = 1 << 14
+#: Rows of a task that cuts shards, and bytes that a record counts besides its payload.
+ROWS_AT_ONCE, HEAD_BYTES = 500_000, 512
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 FILES = "name string, temporary string, n_bytes long, n_records long, sha256 string"
@@ -138,19 +140,50 @@ def _publish(path: str):
     return rename
 
 
-def _shards(narrow: DataFrame, shard_bytes: int) -> tuple[DataFrame, int, int]:
-    """(range, shard) of ranges of page ids, the width of a range, and the number of shards."""
-    ends = narrow.agg(F.min("page_id").alias("low"), F.max("page_id").alias("high")).first()
-    width = max(1, -(-((ends["high"] or 0) - (ends["low"] or 0) + 1) // RANGES))
-    sizes = narrow.groupBy(_range(width).alias("range")).agg(F.sum("n_bytes").alias("n")).orderBy("range").collect()
-    before = np.cumsum([0, *(r["n"] for r in sizes)])[:-1] // shard_bytes
-    shard = np.unique(before, return_inverse=True)[1]
-    rows = [(r["range"], int(s)) for r, s in zip(sizes, shard, strict=True)]
-    return narrow.sparkSession.createDataFrame(rows, "range long, shard int"), width, int(shard.max(initial=0)) + 1
+def _key(page_id: int | None, digest: str) -> tuple[bool, int, str]:
+    """The place of a row in the order of an archive; rows without id come first."""
+    return (page_id is not None, page_id or 0, digest)
 
 
-def _range(width: int):
-    return F.coalesce(F.expr(f"page_id div {width}L"), F.lit(-(1 << 62)))
+def _borders(narrow: DataFrame, shard_bytes: int) -> list[tuple[bool, int, str]]:
+    """The places at which a new shard begins: all rows in the order of page id and digest, cut after every `shard_bytes`.
+
+    Rows are sorted by ranges, wherever these lie; a row's shard follows from the bytes before it in the whole order, so the
+    same rows give the same borders, and ids that lie close, far out or are missing are cut like others. A row for each range
+    and shard comes to the driver.
+    """
+    sized = narrow.select("page_id", "digest", (F.col("n_bytes") + HEAD_BYTES).alias("n"))
+    parts = max(1, -(-narrow.count() // ROWS_AT_ONCE))
+    order = kept(sized.repartitionByRange(parts, "page_id", "digest").sortWithinPartitions("page_id", "digest"))
+    sums = dict(order.groupBy(F.spark_partition_id().alias("part")).agg(F.sum("n").alias("n")).collect())
+    ahead, total = {}, 0
+    for part in sorted(sums):
+        ahead[part], total = total, total + sums[part]
+
+    def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, last = ahead.get(TaskContext.get().partitionId(), 0), None
+        for batch in batches:
+            sizes = batch["n"].to_numpy()
+            shard = (at + np.cumsum(sizes) - sizes) // shard_bytes
+            at += int(sizes.sum())
+            new = np.flatnonzero(np.diff(shard, prepend=-1 if last is None else last))
+            last = shard[-1] if len(shard) else last
+            yield pa.RecordBatch.from_arrays([pa.array(shard[new]), batch["page_id"].take(new), batch["digest"].take(new)], ["shard", "page_id", "digest"])
+
+    first: dict[int, tuple] = {}
+    for found in order.select(F.col("page_id").cast("long").alias("page_id"), "digest", "n").mapInArrow(firsts, "shard long, page_id long, digest string").collect():
+        key = _key(found["page_id"], found["digest"])
+        first[found["shard"]] = min(first.get(found["shard"], key), key)
+    return [first[s] for s in sorted(first)][1:]
+
+
+def _shard_of(borders: list[tuple[bool, int, str]]):
+    @F.arrow_udf("int")
+    def shard(page_id: pa.Array, digest: pa.Array) -> pa.Array:
+        rows = zip(page_id.to_pylist(), digest.to_pylist(), strict=True)
+        return pa.array([bisect_right(borders, _key(*row)) for row in rows], pa.int32())
+
+    return shard("page_id", "digest")
 
 
 def write(pages: DataFrame, path: str, shard_bytes: int = SHARD_BYTES, file_bytes: int = FILE_BYTES) -> DataFrame:
@@ -159,8 +192,8 @@ def write(pages: DataFrame, path: str, shard_bytes: int = SHARD_BYTES, file_byte
     The payload is the html in UTF-8; null is empty. Of equal payloads of REVISIT_BYTES or more that with the smallest
     page_id is the response and the others revisit it; rows that share the id and the payload are all responses, and so
     are rows without id whose payload no page with an id has. Rows without id come first. An empty table gives an empty
-    manifest. Other columns are not read. A shard holds `shard_bytes` of payload or so, more only where a range of ids
-    does. The path must be one that all executors share.
+    manifest. Other columns are not read. A shard holds `shard_bytes` or so, more only where rows of one id and payload do. The
+    path must be one that all executors share.
     """
     spark = pages.sparkSession
     payload = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
@@ -169,17 +202,18 @@ def write(pages: DataFrame, path: str, shard_bytes: int = SHARD_BYTES, file_byte
     able = narrow.where(F.col("n_bytes") >= REVISIT_BYTES)
     first = able.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1")
     again = able.join(first, "digest").where("page_id is null or page_id <> refers_to").where("refers_to is not null")
-    ranges, width, shards = _shards(narrow, shard_bytes)
+    borders = _borders(narrow, shard_bytes)
+    shards = len(borders) + 1
 
     nothing = {"url": F.lit(None).cast("string"), "payload": F.lit(None).cast("binary")}
-    columns = ["range", "page_id", "digest", "kind", "refers_to", "url", "payload"]
+    columns = ["page_id", "digest", "kind", "refers_to", "url", "payload"]
     marks = again.select("page_id", "digest", "refers_to").distinct()
-    marks = marks.withColumns({"range": _range(width), "kind": F.lit(0), **nothing}).select(columns)
+    marks = marks.withColumns({"kind": F.lit(0), **nothing}).select(columns)
     full = pages.select(
-        _range(width).alias("range"), "page_id", digest.alias("digest"), F.lit(1).alias("kind"),
+        "page_id", digest.alias("digest"), F.lit(1).alias("kind"),
         F.lit(None).cast("long").alias("refers_to"), F.col("url").cast("string").alias("url"), payload.alias("payload"),
     )
-    dealt = marks.unionByName(full).join(F.broadcast(ranges), "range").drop("range")  # RANGES rows at most
+    dealt = marks.unionByName(full).withColumn("shard", _shard_of(borders))
     tasks = dealt.repartitionById(shards, F.col("shard")).sortWithinPartitions("page_id", "digest", "kind", "url")
     system, base = _open(path)
     system.create_dir(f"{base}/_temporary", recursive=True)

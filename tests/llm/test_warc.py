@@ -84,3 +84,19 @@ def test_renaming_can_be_repeated(spark, pages, tmp_path):
 def test_empty_table(spark, pages, tmp_path):
     warc.write(pages([]), f"{tmp_path}/a")
     assert warc.read(spark, f"{tmp_path}/a").collect() == []
+
+
+def test_shards_are_cut_wherever_ids_lie(spark, pages, tmp_path, monkeypatch):
+    """Ids in one place, one far out, a third of the rows without id: shards are of one size, and nothing depends on the tasks."""
+    monkeypatch.setattr(warc, "ROWS_AT_ONCE", 50)
+    rows = [(10**15 + i, "u", f"{i}" * 40) for i in range(300)] + [(None, "n", f"n{i}" * 40) for i in range(200)]
+    rows += [(9 * 10**18, "u", "far"), (-5, "u", "low")] + [(7, "u", f"same id {i}" * 20) for i in range(200)]
+    files = []
+    for k, table in enumerate((pages(rows), pages(rows[::-1]).repartition(7))):
+        warc.write(table, f"{tmp_path}/{k}", 20_000, 1 << 20)
+        files.append({r["name"]: (r["sha256"], r["n_records"]) for r in warc.manifest(spark, f"{tmp_path}/{k}").collect()})
+    assert files[0] == files[1]
+    sizes = [n for _, n in files[0].values()]
+    assert len(sizes) > 15 and max(sizes) <= 20_000 // warc.HEAD_BYTES + 2
+    ids = [r["page_id"] for r in sorted(warc.read(spark, f"{tmp_path}/0").collect(), key=lambda r: (r["page_id"] is not None, r["page_id"] or 0))]
+    assert ids.count(None) == 200 and ids.count(7) == 200 and len(ids) == len(rows)
