@@ -371,7 +371,7 @@ EXPORT_JSON = f"""
 SELECT website_url, website_url AS exported_url, brand_name, n_catalog, n_hero, hero_name, hero_price, hero_url, total_products,
   privacy_md5, return_md5, shipping_md5, terms_md5, context_md5, n_faqs, first_question,
   CASE WHEN NOT extraction_success THEN NULL WHEN first_question = '{rules.DEFAULT_FAQS[0][0]}' THEN '{rules.DEFAULT_FAQS[0][2]}'
-    ELSE 'General' END AS first_category,
+    ELSE 'general' END AS first_category,
   nullif(split_part(socials, ' ', 1), '') AS first_social, nullif(split_part(socials, ' ', 2), '') AS second_social,
   nullif(emails, '') AS email, nullif(phones, '') AS phone,
   CASE WHEN links = '' THEN 0 ELSE len(string_split(links, '|')) END AS n_links,
