@@ -1,6 +1,9 @@
 """From raw documents to packed sequences: toxicity, line dedup, near-duplicates, decontamination, packing.
 
 Each stage takes the documents that the stage before kept, is written as Parquet in the shared folder and read again.
+
+All stages read doc_id and text (and n_chars where it is there) and let other columns through, whatever they are called. Rows
+without id are documents of their own, an empty table stays empty, and texts are used whole, however long.
 """
 
 from __future__ import annotations
@@ -14,12 +17,15 @@ from storeglean.llm.common import fresh, scratch, table
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents whose toxicity is under 0.5."""
+    """The documents whose toxicity is under 0.5. A null or empty text has the score of a text without any known feature; repeated
+    rows have one score. Without usable labels nothing is toxic."""
     return toxicity.keep_harmless(docs, table(spark, sf_dir, "labels"))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents without lines that recur; n_chars is that of the text that is left."""
+    """The documents without lines that recur; n_chars is that of the text that is left. Null and empty texts stay, and so does a
+    document whose whole text is that of an earlier one. Rows that share an id, and all rows without one, count as one
+    document: what recurs only among them stays."""
     n = fresh(docs, "_n")
     changed = linededup.dedup_lines(docs, out=n)
     if "n_chars" in docs.columns:
@@ -29,17 +35,18 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five words, similarity 0.8."""
+    """One document of each group of near-duplicates: five words, similarity 0.8; that with the smallest id. Null, empty and
+    wordless texts and rows without id stay; of rows that share an id the longest does."""
     return neardup.keep_one(docs, 5, 0.8)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that are not contaminated by the benchmark."""
+    """The documents that are not contaminated by the benchmark. Texts without words are not; items without words have no part."""
     return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the documents with their places in sequences."""
+    """The pieces of the documents with their places in sequences; a null or empty text is its separator alone."""
     return packing.pack(docs, public_tokenizers.path(packing.TOKENIZER))
 
 
