@@ -174,7 +174,11 @@ def contaminated(found: Column) -> Column:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that are not contaminated, columns as they are."""
+    """The documents that are not contaminated, columns as they are, whatever they are called.
+
+    Null, empty and wordless texts stay. Each row is judged by itself, whole, so repeated rows and ids share their fate with equal
+    texts only. An empty benchmark, or one without words, contaminates nothing; an empty table stays empty.
+    """
     found = fresh(docs, "_hits")
     return hits(docs, benchmark, found).where(~contaminated(F.col(found))).drop(found)
 

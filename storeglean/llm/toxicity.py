@@ -131,7 +131,12 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def keep_harmless(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents with a score under 0.5, columns as they are."""
+    """The documents with a score under 0.5, columns as they are, whatever they are called.
+
+    A null or empty text has the score of a text without any known feature. Texts are scored whole, in parts if they are long.
+    Repeated rows have one score; ids that labels lack, null ids too, are scored like others. An empty table stays empty, and
+    without usable labels all documents stay.
+    """
     score = fresh(docs, "_score")
     model = train(docs, labels, "toxic")
     return docs.withColumn(score, probability(F.col("text"), model)).where(F.col(score) < 0.5).drop(score)
