@@ -116,15 +116,20 @@ def merge(
     `combine` must work key by key and give one row per key. Stored rows start out with the columns that `combine` gives for
     no stored rows. Incoming rows without a key take no part. A run whose id is in the table already changes nothing; a run
     that failed can be repeated. One run at a time: a manifest that another run wrote meanwhile stops this one. `buckets`
-    counts for a new table only. The touched bucket numbers come to the driver, `buckets` at most.
+    counts for a new table only. Incoming rows are computed once, into a folder of the run that goes when it is done; the
+    touched bucket numbers come to the driver, `buckets` at most.
     """
     run = _run_name(run_id)
+    if "bucket" in map(str.lower, incoming.columns):
+        raise ValueError("a column called bucket cannot be stored")
     versions = _versions(spark, location)
     if any(r == run for _, r, _ in versions):
         return read(spark, location)
     held = state(spark, location)
     count = held.buckets if held else buckets
-    given = incoming.where(F.col(key).isNotNull())
+    staged = f"{location}/staged/run={run}"
+    incoming.where(F.col(key).isNotNull()).write.mode("overwrite").parquet(staged)
+    given = spark.read.schema(incoming.schema).parquet(staged)
     marked = bucket_of(F.col(key), count)
     touched = sorted(r["b"] for r in given.select(marked.alias("b")).distinct().collect())
     if held is None:
@@ -141,6 +146,7 @@ def merge(
     rows = [(b, after.get(b), count, merged.schema.json()) for b in range(count)]
     manifest = spark.createDataFrame(rows, _MANIFEST).coalesce(1)
     manifest.write.mode("overwrite").parquet(f"{location}/manifest/{held.version + 1:012d}-{run}")
+    remove(spark, staged)
     return read(spark, location)
 
 

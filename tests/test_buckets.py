@@ -93,6 +93,8 @@ def test_new_columns_no_keys_and_empty_runs(spark, tmp_path):
     keyless = more.withColumn("website_url", F.lit(None).cast("string"))
     table = stores.upsert_buckets(spark, place, more.unionByName(keyless), at(1), "2")
     assert {r["website_url"]: r["country"] for r in table.collect()} == {"https://s1.com/": None, "https://s2.com/": "US"}
+    with pytest.raises(ValueError, match="called bucket"):
+        stores.upsert_buckets(spark, place, more.withColumn("Bucket", F.lit(1)), at(1), "3")
     with pytest.raises(ValueError, match="run_id"):
         stores.upsert_buckets(spark, place, more, at(1), "")
 
