@@ -147,3 +147,110 @@ def test_passages_of_short_lines_go_whole(docs, prose):
     assert found == {1: rows[0][1], 2: own(prose, 2), 3: f"{prose(4, 3)}\n{own(prose, 3)}", 4: rows[3][1], 5: own(prose, 5), 6: rows[5][1]}
     assert ld.short_runs(b"") == ld.short_runs(b"a b\n \nc") == []
     assert ld.short_runs(b"a b c d\n\n1 2 3 4\r\n" + b"w " * 9) == [(0, 2, b"a b c d 1 2 3 4\r"), (2, 3, b"1 2 3 4\r " + b"w " * 9)]
+
+
+def candidates(text):
+    """(first, last, tokens) of lines with enough tokens, and of the shortest runs from each short line either way."""
+    lines = [(at, tokens(line), line) for at, line in enumerate(text.split("\n"))]
+    out = [(at, at, t) for at, t, _ in lines if len(t) >= ld.MIN_TOKENS]
+    held = [(at, line) for at, t, line in lines if t]
+    spans = set()
+    for k, (at, line) in enumerate(held):
+        if len(line.split()) < ld.MIN_TOKENS:
+            for step in (1, -1):
+                end, n = k, len(line.split())
+                while n < ld.MIN_TOKENS and 0 <= end + step < len(held):
+                    end += step
+                    n += len(held[end][1].split())
+                if n >= ld.MIN_TOKENS:
+                    spans.add((min(k, end), max(k, end)))
+    return out + [(held[a][0], held[b][0], tokens(" ".join(x for _, x in held[a : b + 1]))) for a, b in spans]
+
+
+def brute_whole(rows):
+    """The whole rule, as the query has it: verbatim lines, both templates, clusters of alike lines, and runs."""
+    seen, places = defaultdict(set), []
+    for i, text in rows:
+        for first, last, t in candidates(text):
+            seen[t].add(i)
+            places.append((i, first, last, t))
+    stays = {t: min(d) for t, d in seen.items() if len(d) >= ld.VERBATIM_DOCS}
+
+    def recur(shapes):
+        """shapes: lists of kinds that are one template each."""
+        for kinds in shapes:
+            docs = set().union(*(seen[t] for t in kinds))
+            if len(docs) >= ld.TEMPLATE_DOCS:
+                for t in kinds:
+                    stays[t] = min(stays.get(t, 1 << 62), min(docs))
+
+    leaves = defaultdict(list)
+    for t in seen:
+        leaves[len(t), t[: ld.DEPTH]].append(t)
+    for (n, _), kinds in leaves.items():
+        if len(kinds) < 2 or sum(len(seen[t]) for t in kinds) < ld.TEMPLATE_DOCS:
+            continue
+        often = Counter()
+        for t in kinds:
+            for place in enumerate(t):
+                often[place] += len(seen[t])
+        children = Counter(i for i, _ in often)
+        for wide in (False, True):
+            shapes = defaultdict(list)
+            for t in kinds:
+                general = lambda i, x: i >= ld.DEPTH and (often[i, x] < ld.TEMPLATE_DOCS or (wide and children[i] > ld.MAX_CHILDREN))  # noqa: B023, E731
+                shape = tuple(ld.FIELD if general(i, x) else x for i, x in enumerate(t))
+                if sum(x != ld.FIELD for x in shape) >= ld.LITERAL_SHARE * n:
+                    shapes[shape].append(t)
+            recur(shapes.values())
+        fields = int(n * (1 - ld.LITERAL_SHARE) + 1e-12)
+        cut = [ld.DEPTH + k * (n - ld.DEPTH) // (fields + 1) for k in range(fields + 2)]
+        for k in range(fields + 1):
+            blocks = defaultdict(list)
+            for t in kinds:
+                blocks[t[cut[k] : cut[k + 1]]].append(t)
+            for block in blocks.values():
+                if len(block) < 2 or sum(len(seen[t]) for t in block) < ld.TEMPLATE_DOCS:
+                    continue
+                centre = []
+                for i in range(n):
+                    votes = Counter()
+                    for t in block:
+                        votes[t[i]] += len(seen[t])
+                    centre.append(max(votes, key=lambda x: (votes[x], x)))  # noqa: B023
+                alike = [t for t in block if sum(a == b != ld.FIELD for a, b in zip(t, centre, strict=True)) >= ld.LITERAL_SHARE * n]
+                recur([alike] if alike else [])
+    gone = defaultdict(set)
+    for i, first, last, t in places:
+        if i > stays.get(t, 1 << 62):
+            gone[i] |= set(range(first, last + 1))
+    return {i: "\n".join(x for at, x in enumerate(text.split("\n")) if at not in gone[i]) for i, text in rows}
+
+
+def test_the_whole_rule_against_brute_force(docs, prose):
+    import random
+
+    rng = random.Random(8)
+    words = prose(5, 3000).split(" ")
+    rows = []
+    for i in range(150):
+        lines = [own(prose, i)]
+        if i % 2:
+            lines.append(f"this page was written by {words[rng.randrange(40)]} who lives in {words[100 + rng.randrange(40)]} and likes to hear from readers")
+        if i % 3 == 0:
+            lines.append(f"this page was {prose(5000 + i, 13)}")
+        if i % 4 == 0:
+            lines.insert(0, f"Posted by user {words[200 + i]} in group {words[i % 5]} on the old board today")
+        if i % 5 == 0:
+            lines += ["roses are red", "violets are", "", "sugar is sweet so", "and so are you"][: rng.randrange(2, 6)]
+        if i % 7 == 0:
+            lines.append(f"{i} 2 3 4 5 6 7 8 9 of the numbers here {i + 1}")
+        if i % 11 == 0:
+            lines.append(f"version {i} of the text of the licence of this site as of today")
+        rng.shuffle(lines)
+        rows.append((i, "\n".join(lines)))
+    rows += [(500, rows[9][1]), (501, rows[9][1])]
+    found = {r["doc_id"]: r["text"] for r in ld.dedup_lines(docs(rows), 1.1, runs=True).collect()}
+    wanted = brute_whole(rows)
+    assert {i: t for i, t in found.items() if t != wanted[i]} == {}
+    assert sum("who lives in" in t for t in found.values()) < 5 and sum("roses are red" in t for t in found.values()) < 30
