@@ -436,10 +436,25 @@ def faq_jsonld(spark: SparkSession, d: str) -> DataFrame:
 FAQ_JSONLD = f"WITH {PAIRS} SELECT conv_id, turn, question, answer FROM pairs WHERE question <> '' AND answer <> ''"
 
 
+# One page form for each pair of elements that a question and its answer may stand in.
+_FAQ_FORMS = [
+    ("<h3>", "</h3><p>-</p><div><b>", "</b></div>"),
+    ("<h4>", "</h4><ul></ul><p>", "</p>"),
+    ("<details><summary>", "</summary><div>", "</div></details>"),
+    ("<button>", "</button><div>", "</div>"),
+    ('<span class="big question">', '</span><i class="answer">', "</i>"),
+    ('<p class="faq-question">', '</p><section class="faq-answer x">', "</section>"),
+    ("<dl><dt>", "</dt><dd>", "</dd></dl>"),
+]
+
+
 def faq_elements(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of turns on pages of seven forms in turn."""
+    forms = F.array(*[F.struct(*[F.lit(part).alias(n) for n, part in zip("abc", form)]) for form in _FAQ_FORMS])
+    form = F.get(forms, F.pmod(F.col("conv_id") + F.col("turn"), F.lit(len(_FAQ_FORMS))).cast("int"))
     html = F.concat(
-        F.lit("<body><h3>"), roles.escape(F.col("question")), F.lit("</h3><p>-</p><div><b>"),
-        roles.escape(F.col("answer")), F.lit("</b></div></body>"),
+        F.lit("<body>"), form["a"], roles.escape(F.col("question")), form["b"], roles.escape(F.col("answer")), form["c"],
+        F.lit("</body>"),
     )
     facts = page_facts(_pair_pages(spark, d, html), ["faq_candidates"])
     pairs = faq.from_elements(F.col("faq_candidates"))

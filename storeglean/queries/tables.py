@@ -104,6 +104,13 @@ WITH {RUNS}, {LATEST} SELECT {', '.join(_SHOWN)} FROM latest WHERE website_url =
 """
 
 
+def lookup_bucket(spark: SparkSession, d: str) -> DataFrame:
+    """The same in a table of buckets, of which one is read."""
+    location = scratch(spark, "stores")
+    stores.upsert_buckets(spark, location, roles.latest_runs(spark, d), F.col("extraction_timestamp"), "1", buckets=8)
+    return stores.lookup_bucket(spark, location, "Store-8.example.com").select(*_SHOWN)
+
+
 def search_stores(spark: SparkSession, d: str) -> DataFrame:
     found = stores.search(
         roles.named_stores(spark, d),
@@ -225,6 +232,7 @@ QUERIES = {
     "append_once": (append_once, APPEND_ONCE),
     "run_log": (run_log, RUN_LOG),
     "lookup_store": (lookup_store, LOOKUP_STORE),
+    "lookup_bucket": (lookup_bucket, LOOKUP_STORE),
     "search_stores": (search_stores, SEARCH_STORES),
     "search_stores_any": (search_stores_any, SEARCH_STORES_ANY),
     "recent_stores": (recent_stores, RECENT_STORES),
