@@ -212,13 +212,15 @@ FROM numbered GROUP BY store, category, chunk
 
 
 def product_type_keywords(spark: SparkSession, d: str) -> DataFrame:
+    """The types of each block of 20 parts, all of them: as keywords of a search, and as they are saved."""
     parts = roles.table(spark, d, "part").select(
         F.floor(F.col("p_partkey") / roles.BLOCK).alias("store"), "p_partkey", roles.shown_type().alias("product_type")
     )
     catalogs = parts.groupBy("store").agg(
         F.array_sort(F.collect_list(F.struct("p_partkey", "product_type"))).alias("catalog")
     )
-    return catalogs.select("store", F.array_join(industry.product_types(F.col("catalog")), ",").alias("saved"))
+    types = F.array_join(industry.product_types(F.col("catalog")), ",")
+    return catalogs.select("store", types.alias("keywords"), types.alias("saved"))
 
 
 _SHOWN_TYPE = "CASE p_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in roles.TYPE_NAMES.items()) + " ELSE '' END"
@@ -229,7 +231,8 @@ WITH firsts AS (
   SELECT store, kind, row_number() OVER (PARTITION BY store ORDER BY min(p_partkey)) AS k
   FROM firsts WHERE kind <> '' GROUP BY store, kind
 )
-SELECT s.store, coalesce(string_agg(kind, ',' ORDER BY k), '') AS saved
+SELECT s.store, coalesce(string_agg(kind, ',' ORDER BY k), '') AS keywords,
+  coalesce(string_agg(kind, ',' ORDER BY k), '') AS saved
 FROM (SELECT DISTINCT store FROM firsts) s LEFT JOIN kinds ON kinds.store = s.store GROUP BY s.store
 """
 

@@ -5,6 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from storeglean.operators import products
+from storeglean.queries import products as queries
 
 
 def test_categories_by_response(spark):
@@ -43,3 +44,12 @@ def test_positions_are_gapless(spark):
     rows = spark.createDataFrame([("g", 5), ("g", -3), ("g", 10**12), ("h", 0)], "g string, p long")
     found = products.positions(rows, ["g"], "p", "place", 2).orderBy("g", "p").collect()
     assert [tuple(r) for r in found] == [("g", -3, 0), ("g", 5, 1), ("g", 10**12, 2), ("h", 0, 0)]
+
+
+def test_all_types_are_keywords(spark, tmp_path):
+    kinds = ["LARGE", "SMALL", "PROMO", "MEDIUM", "LARGE", "ECONOMY", "STANDARD"]
+    rows = [(k, kind) for k, kind in enumerate(kinds)] + [(20, "PROMO")]
+    spark.createDataFrame(rows, "p_partkey long, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    types = "makeup,jewelry,fashion,home decor,sport shoes"
+    found = queries.product_type_keywords(spark, str(tmp_path)).select("store", "keywords", "saved").collect()
+    assert sorted(tuple(r) for r in found) == [(0, types, types), (1, "", "")]
