@@ -1,6 +1,7 @@
 import json
 import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -199,3 +200,23 @@ def test_closed_lists(value):
     assert value(social.normalize_platform, p="myspace") == "other"
     assert value(links.stored_category, c="HELP") == "help"
     assert value(links.stored_category, c="shopping") == "other"
+
+
+def test_a_large_batch_of_pages_is_worked_off_in_parts(spark):
+    held = {}
+
+    class Pages:
+        schema = spark.createDataFrame([], "k long, html string").schema
+
+        def mapInArrow(self, parse, schema):
+            held["parse"] = parse
+
+    page_facts(Pages(), ["main_text_raw"])
+    texts = [None, "é" * 400_000, "long " * 1_000_000, ""] + [f"{k} " * 5000 for k in range(300)]
+    html = [t if t is None else f"<main>{t}</main>" for t in texts]
+    batch = pa.RecordBatch.from_pydict({"k": list(range(len(html))), "html": html})
+    out = list(held["parse"](iter([batch, batch.slice(0, 0)])))
+    assert max(b.num_rows for b in out if b.nbytes > 1 << 21) == 1  # the long page is by itself
+    assert len(out) > 5 and out[-1].num_rows == 0
+    rows = [r for b in out for r in b.to_pylist()]
+    assert rows == [{"k": k, "main_text_raw": None if t is None else t.strip()} for k, t in enumerate(texts)]
