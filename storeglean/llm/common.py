@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from storeglean.sources.workspace import remove as discard
 from storeglean.sources.workspace import scratch, shared_dir
 
-__all__ = ["discard", "fresh", "hash32", "kept", "least_by_hash", "ranked", "scratch", "shared_dir", "stored", "table"]
+__all__ = ["discard", "fresh", "hash32", "kept", "least_by_hash", "once", "ranked", "scratch", "shared_dir", "stored", "table"]
 
 HASH_SPACE = 1 << 32
 
@@ -34,6 +34,12 @@ def stored(df: DataFrame, what: str) -> tuple[DataFrame, str]:
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
+def once(function):
+    """A Python function whose lists are taken apart: Spark filters empty lists out before it does so, and would call a
+    function that it takes to be repeatable a second time, in a worker of its own, for that filter."""
+    return function.asNondeterministic()
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name like `name` that no column of `df` has, upper and lower case alike."""
     taken = {c.lower() for c in df.columns}

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from storeglean.llm.common import kept, least_by_hash
+from storeglean.llm.common import kept, least_by_hash, once
 
 BITS = 20
 #: Labelled rows that a classifier is fitted on at most, and features that it weighs at most.
@@ -104,7 +104,7 @@ def features(text: str) -> Column:
     def found(texts: pa.Array) -> pa.Array:
         return pa.array([np.unique(slots(t.as_py() or "")) for t in texts], pa.list_(pa.int32()))
 
-    return found(text)
+    return once(found)(text)
 
 
 def labelled_sample(labels: DataFrame, docs: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storeglean.llm.common import discard, fresh, kept, stored, table
+from storeglean.llm.common import discard, fresh, kept, once, stored, table
 
 #: Leading tokens that make a leaf; least tokens of a line, or of a run of consecutive lines for shorter ones.
 DEPTH, MIN_TOKENS = 3, 8
@@ -105,7 +105,7 @@ def _keys(runs: bool):
         places = {"at": pa.array(at, pa.int32()), "upto": pa.array(upto, pa.int32())}
         return _lists(sizes, places | {"leaf": _longs(leaf), "line": _longs(line)})
 
-    return keys("text")
+    return once(keys)("text")
 
 
 def _lines(docs: DataFrame, runs: bool) -> DataFrame:
@@ -155,13 +155,13 @@ def _tokens_of(wanted: np.ndarray, runs: bool):
         words = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(held, pa.binary()).cast(pa.string()))
         return _lists(sizes, {"leaf": _longs(leaves), "line": _longs(lines), "t": words})
 
-    return tokens_of("text")
+    return once(tokens_of)("text")
 
 
 def _kinds(docs: DataFrame, kinds: DataFrame, runs: bool) -> DataFrame:
     """(leaf, line, n_docs, t): the tokens of each kind of line. kinds: leaf, line, n_docs."""
     _, wanted = _sieve(kinds.select("leaf"))
-    found = docs.select(F.inline(_tokens_of(wanted, runs)))
+    found = docs.select(_tokens_of(wanted, runs).alias("held")).select(F.inline("held"))
     return found.join(kinds, ["leaf", "line"]).select("leaf", "line", "n_docs", "t").dropDuplicates(["leaf", "line"])
 
 

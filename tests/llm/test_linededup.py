@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
+from storeglean.llm import hashed
 from storeglean.llm import linededup as ld
 
 
@@ -254,3 +255,13 @@ def test_the_whole_rule_against_brute_force(docs, prose):
     wanted = brute_whole(rows)
     assert {i: t for i, t in found.items() if t != wanted[i]} == {}
     assert sum("who lives in" in t for t in found.values()) < 5 and sum("roses are red" in t for t in found.values()) < 30
+
+
+def test_texts_are_taken_apart_once(spark):
+    docs = spark.range(3).selectExpr("id doc_id", "'one two three four five six seven eight nine' text")
+    kinds = spark.createDataFrame([(1, 2, 8)], "leaf long, line long, n_docs long")
+    sample = docs.select(F.lit(1.0).alias("label"), hashed.features("text").alias("x"))
+    explode = sample.select("label", F.explode("x").alias("feature"))
+    for df in (ld._lines(docs, True), ld._kinds(docs, kinds, True), explode):
+        text = df._jdf.queryExecution().optimizedPlan().toString()
+        assert sum("ArrowEvalPython" in line for line in text.splitlines()) == 1, text
