@@ -17,7 +17,7 @@ def stored_category(raw: Column) -> Column:
 def raw_category(text: Column, href: Column, ladder: dict[str, list[str]] | None = None) -> Column:
     """First category one of whose words is in the text or the address; null if none is."""
     both = F.lower(F.concat_ws("\n", text, href))
-    return first_matching_label(both, ladder or rules.LINK_KEYWORDS)
+    return let(both, lambda words: first_matching_label(words, ladder or rules.LINK_KEYWORDS))
 
 
 def _link(name: Column, url: Column, raw: Column, is_default: bool) -> Column:
@@ -85,14 +85,15 @@ def important_links(
     own = F.filter(first_seen, lambda a: ~contains_any(a["href"], rules.SOCIAL_LINK_HOSTS))
     labelled = F.transform(
         own,
-        lambda a: _link(
-            head(a["text"], limits.link_name_chars),
-            a["url"],
-            raw_category(a["text"], a["href"], ladder),
-            False,
+        lambda a: F.struct(
+            head(a["text"], limits.link_name_chars).alias("name"),
+            a["url"].alias("url"),
+            raw_category(a["text"], a["href"], ladder).alias("raw"),
         ),
     )
-    return F.filter(labelled, lambda k: k["raw_category"].isNotNull())
+    return F.transform(
+        F.filter(labelled, lambda k: k["raw"].isNotNull()), lambda k: _link(k["name"], k["url"], k["raw"], False)
+    )
 
 
 def important_links_crawl(anchors: Column, base: Column, limits: rules.Limits = rules.KEEP_ALL) -> Column:

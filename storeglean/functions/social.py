@@ -31,19 +31,25 @@ def find_handles(
     The first match decides: if it is a share button, the platform is left out. With
     `scan_past`, share buttons are skipped and the next match counts.
     """
-    found = []
+    tried = []
     for platform, pattern in (patterns or rules.SOCIAL_PATTERNS).items():
         if scan_past:
             real = F.filter(
                 F.regexp_extract_all(html, F.lit(_regex(pattern)), F.lit(1)), lambda h: ~one_of(h, rules.PSEUDO_HANDLES)
             )
-            handle = F.get(real, F.lit(0))
+            first = F.get(real, F.lit(0))
         else:
             first = blank_to_null(F.regexp_extract(html, _regex(pattern), 1))
-            handle = F.when(~one_of(first, rules.PSEUDO_HANDLES), first)
-        url = F.concat(F.lit(f"https://{platform}.com/"), handle)
-        found.append(F.when(handle.isNotNull(), _handle(platform, url, handle)))
-    return F.filter(F.array(*found), lambda s: s.isNotNull())
+        tried.append(F.struct(F.lit(platform).alias("name"), first.alias("handle")))
+    # The page is searched once for each platform; what was found is looked at several times.
+    real = F.filter(F.array(*tried), lambda t: ~one_of(t["handle"], rules.PSEUDO_HANDLES))
+
+    def handle(t: Column) -> Column:
+        known = F.when(one_of(t["name"], rules.SOCIAL_PLATFORMS), t["name"]).otherwise(F.lit("other"))
+        url = F.concat(F.lit("https://"), t["name"], F.lit(".com/"), t["handle"])
+        return F.struct(known.alias("platform"), url.alias("url"), t["handle"].alias("handle"))
+
+    return F.transform(real, handle)
 
 
 def _first_real(html: Column, platform: str, pattern: str, group: int) -> Column:

@@ -7,6 +7,8 @@ from .arrays import let
 from .text import blank_to_null
 
 _SCHEME = r"^[a-zA-Z][a-zA-Z0-9+.\-]*:"
+#: A scheme and a host that are in key form but for the slashes after them.
+_BARE = r"^https?://[a-z0-9.\-]+/*\z"
 
 
 def normalize(u: Column) -> Column:
@@ -36,7 +38,14 @@ def is_valid(u: Column) -> Column:
 
 
 def canonical(u: Column) -> Column:
-    """Key form of a store URL: normalised, host in lower case, `/` after a bare host."""
+    """Key form of a store URL: normalised, host in lower case, `/` after a bare host.
+
+    URLs of a bare host in lower case, as most are, take one pattern; the others are taken apart.
+    """
+    return F.when(u.rlike(_BARE), F.concat(F.rtrim(u, F.lit("/")), F.lit("/"))).otherwise(_taken_apart(u))
+
+
+def _taken_apart(u: Column) -> Column:
     full = normalize(u)
     rest = F.regexp_extract(full, r"^[a-zA-Z]+://[^/?#]*(.*)$", 1)
     origin = F.concat(

@@ -72,16 +72,10 @@ def _reads(
 
 
 def _candidate_pages(pages: DataFrame, candidates: dict[str, list[str]]) -> DataFrame:
-    """Pages on candidate paths, with html only where the page was delivered."""
+    """Delivered pages on candidate paths. The others fill no fact: what they tell is in `_reads`, and they go no further."""
     fact, place = _fact_of(F.col("path"), candidates)
-    return pages.where(f"path IN ({_listed(candidates)})").select(
-        _store_key().alias("store_url"),
-        "url",
-        "status",
-        "fetched_at",
-        fact.alias("fact"),
-        place.alias("place"),
-        F.when(F.col("status") == 200, F.col("html")).alias("html"),
+    return pages.where(f"path IN ({_listed(candidates)}) AND status = 200").select(
+        _store_key().alias("store_url"), "url", "fetched_at", fact.alias("fact"), place.alias("place"), "html"
     )
 
 
@@ -126,7 +120,7 @@ def extract_stores(
     """
     candidates = {"home": [rules.HOME_PATH, ""], **rules.CANDIDATE_PATHS}
     html, is_home = F.col("html"), F.col("fact") == "home"
-    raw = _candidate_pages(pages, candidates).select(
+    raw = _candidate_pages(pages, candidates).drop("url").select(
         "*",
         F.when(
             is_home & html.isNotNull(),

@@ -37,20 +37,25 @@ def product(p: Column, base: Column) -> Column:
 
 
 def _landed(feed: DataFrame) -> DataFrame:
-    """Feed pages that were delivered, `raw` being their products; pages that do not parse are not delivered."""
+    """Feed pages that were answered, `raw` being their products; it is null on pages that do not parse."""
     at = F.unix_micros(F.col("fetched_at").cast("timestamp")) if "fetched_at" in feed.columns else F.lit(0)
     raw = F.from_json("body", schemas.FEED_BODY)["products"]
-    return (
-        feed.where((F.col("status") == 200) & (F.col("page") >= 1))
-        .select("store_url", "page", F.coalesce(at, F.lit(0)).alias("_at"), F.xxhash64("body").alias("_tie"), raw.alias("raw"))
-        .where(F.col("raw").isNotNull())
+    return feed.where((F.col("status") == 200) & (F.col("page") >= 1)).select(
+        "store_url", "page", F.coalesce(at, F.lit(0)).alias("_at"), F.xxhash64("body").alias("_tie"), raw.alias("raw")
     )
 
 
+def _newest(landed: DataFrame, products: str) -> DataFrame:
+    """The newest landing of each feed page that was delivered, `products` being null where it was not. Those sort last
+    instead of being left out before: that filter would parse every body a second time."""
+    order = [F.desc(F.col(products).isNotNull()), F.desc("_at"), F.asc("_tie")]
+    return top_n(landed, ["store_url", "page"], order, 1).where(F.col(products).isNotNull())
+
+
 def newest_landings(feed: DataFrame) -> DataFrame:
     """(store_url, page, raw): the newest landing of each feed page, by `fetched_at` where the feed has it; an empty one is
     newest too. Of landings of one time the one with the least hash of its body counts. Map tasks send one landing of a page."""
-    return top_n(_landed(feed), ["store_url", "page"], [F.desc("_at"), F.asc("_tie")], 1).select("store_url", "page", "raw")
+    return _newest(_landed(feed), "raw").select("store_url", "page", "raw")
 
 
 def _paged(pages: DataFrame, page_size: int, max_pages: int | None) -> DataFrame:
@@ -76,9 +81,10 @@ def pages_read(
 ) -> DataFrame:
     """(store_url, page, n, start): the feed pages that count, how many products they have, and how many come before.
     Found on narrow rows: no products are moved for it."""
-    sizes = _landed(feed).select("store_url", "page", "_at", "_tie", F.size("raw").alias("n"))
-    newest = top_n(sizes, ["store_url", "page"], [F.desc("_at"), F.asc("_tie")], 1)
-    return _paged(newest.select("store_url", "page", "n"), page_size, max_pages)
+    sizes = _landed(feed).select(
+        "store_url", "page", "_at", "_tie", F.when(F.col("raw").isNotNull(), F.size("raw")).alias("n")
+    )
+    return _paged(_newest(sizes, "n").select("store_url", "page", "n"), page_size, max_pages)
 
 
 def _items(limits: rules.Limits) -> Column:
